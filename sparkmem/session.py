@@ -34,6 +34,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.driver.memory", "16g")
     conf = dict(SESSION_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

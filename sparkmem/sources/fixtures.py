@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_embedding
+from ..functions.hashing import add_hash_embedding
 from ..constants import VECTOR_DIM
 
 T0 = 1704067200.0
@@ -21,9 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def epoch_seconds(c) -> F.Column:
-    """TIMESTAMP -> DOUBLE Unix seconds (microsecond precision)."""
-    return F.unix_micros(F.col(c) if isinstance(c, str) else c).cast("double") / 1e6
+def epoch_seconds(df: DataFrame, c: str) -> F.Column:
+    """TIMESTAMP or TIMESTAMP_NTZ column -> DOUBLE Unix seconds (microseconds kept).
+
+    A TIMESTAMP_NTZ wall-clock value is read as UTC whatever the session time zone.
+    """
+    from pyspark.sql.types import TimestampNTZType
+    col = F.col(c)
+    if isinstance(df.schema[c].dataType, TimestampNTZType):
+        col = F.to_utc_timestamp(col.cast("timestamp"), F.current_timezone())
+    return F.unix_micros(col).cast("double") / 1e6
 
 
 # --------------------------------------------------------------------------
@@ -71,7 +78,7 @@ def stimuli_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("e:"), F.col("event_id")).alias("id"),
         F.col("event_type").alias("source"),
         F.col("props").alias("content"),
-        epoch_seconds("ts").alias("ts"),
+        epoch_seconds(e, "ts").alias("ts"),
     )
 
 
@@ -104,7 +111,8 @@ def memories(spark: SparkSession, sf_dir: str, with_embedding: bool = True,
         F.col("text").alias("content"),
     ]
     if with_embedding:
-        emb = hash_embedding("text", dim)
+        df = add_hash_embedding(df, "text", "_emb", dim)
+        emb = F.col("_emb")
         if null_embedding_every:
             emb = F.when(F.col("doc_id") % null_embedding_every != 0, emb)
         cols.append(emb.alias("embedding"))
@@ -135,7 +143,7 @@ def memory_log(spark: SparkSession, sf_dir: str, scope: str = "global") -> DataF
     """Upsert/delete log keyed by user: ``id = "u:" + user_id``."""
     e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
     is_delete = (F.col("event_type") == "error") & (F.col("event_id") % 5 == 0)
-    created = epoch_seconds("ts")
+    created = epoch_seconds(e, "ts")
     return e.select(
         F.lit(scope).alias("scope_id"),
         F.col("event_id").alias("seq"),
@@ -157,7 +165,7 @@ def memory_log_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = (F.when(F.col("event_type") == "signup", F.lit("delete_all"))
           .when((F.col("event_type") == "error") & (F.col("event_id") % 5 == 0), F.lit("delete"))
           .otherwise(F.lit("upsert")))
-    created = epoch_seconds("ts")
+    created = epoch_seconds(e, "ts")
     return e.select(
         F.col("user_id").cast("string").alias("scope_id"),
         F.col("event_id").alias("seq"),
@@ -183,7 +191,7 @@ def interrupt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("What does "), F.col("props"), F.lit(" mean?")).alias("question"),
         F.lit("Missing external info").alias("rationale"),
         F.array().cast("array<string>").alias("required_fields"),
-        epoch_seconds("ts").alias("created_ts"),
+        epoch_seconds(e, "ts").alias("created_ts"),
     )
 
 
@@ -195,7 +203,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("seq"),
         F.concat(F.lit("q:"), F.col("event_id") - F.col("event_id") % 3).alias("qid"),
         F.col("props").alias("answer_text"),
-        epoch_seconds("ts").alias("answer_ts"),
+        epoch_seconds(e, "ts").alias("answer_ts"),
     )
 
 
@@ -205,7 +213,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tasks(spark: SparkSession, sf_dir: str, clamp_uncertainty: bool = True) -> DataFrame:
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
               "o_totalprice", "o_orderdate", "o_orderpriority")
-    od = epoch_seconds("o_orderdate")
+    od = epoch_seconds(o, "o_orderdate")
     prio = F.substring(F.col("o_orderpriority"), 1, 1).cast("int")
     importance = F.element_at(F.array(*[F.lit(v) for v in (1.0, 0.8, 0.6, 0.4, 0.2)]), prio)
     unc = F.col("o_totalprice") / 500000.0

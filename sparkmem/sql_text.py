@@ -28,8 +28,8 @@ def thoughts_cte(tagged: bool = False) -> str:
     return f"""thoughts AS (
   SELECT CAST(conv_id AS VARCHAR) AS scope_id, turn AS seq,
          't:' || conv_id || ':' || turn AS id, {content} AS content, role,
-         0.5 + 0.1 * (turn % 5) AS importance, 0.5 AS uncertainty,
-         {T0} + turn * 60.0 AS ts
+         0.5::DOUBLE + 0.1::DOUBLE * (turn % 5) AS importance, 0.5::DOUBLE AS uncertainty,
+         {T0}::DOUBLE + turn * 60.0::DOUBLE AS ts
   FROM conversations)"""
 
 
@@ -66,3 +66,45 @@ def seed900_sql(s: str) -> str:
         chunk = f"(('0x' || substr({h}, {8 * i + 1}, 8))::BIGINT)"
         acc = f"((({acc}) * 796 + {chunk} % 900) % 900)"
     return acc
+
+
+def sql_lit(s: str) -> str:
+    """A SQL string literal (newlines spelled with chr(10))."""
+    parts = s.replace("'", "''").split("\n")
+    return " || chr(10) || ".join(f"'{p}'" for p in parts)
+
+
+N_CONV_SQL = "(SELECT max(conv_id) + 1 FROM conversations)"
+
+
+def memories_cte(name: str = "mem") -> str:
+    return f"""{name} AS (
+  SELECT CAST(d.doc_id % {N_CONV_SQL} AS VARCHAR) AS scope_id, d.doc_id AS seq, 'doc:' || d.doc_id AS id,
+         (['episodic', 'semantic', 'procedural'])[(d.doc_id % 3) + 1] AS type, d.text AS content,
+         coalesce(0.3::DOUBLE + 0.4::DOUBLE * l.quality, 0.5::DOUBLE) AS importance, {T0}::DOUBLE + d.doc_id * 60.0::DOUBLE AS created_at
+  FROM documents d LEFT JOIN labels l USING (doc_id))"""
+
+
+def memory_log_cte(name: str = "mlog") -> str:
+    return f"""{name} AS (
+  SELECT event_id AS seq, 'u:' || user_id AS id,
+         CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'delete' ELSE 'upsert' END AS op,
+         props AS content, least(1.0, value / 500.0) AS importance, epoch(ts) AS created_at
+  FROM events)"""
+
+
+def tasks_cte(as_of: float, name: str = "scored") -> str:
+    return f"""tk AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS scope_id, o_orderkey AS seq, CAST(o_orderkey AS VARCHAR) AS id,
+         CASE WHEN o_orderstatus <> 'P' THEN epoch(o_orderdate) + 7 * 86400.0 END AS deadline_ts,
+         ([1.0, 0.8, 0.6, 0.4, 0.2])[CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] AS importance,
+         least(1.0, o_totalprice / 500000.0) AS uncertainty, epoch(o_orderdate) AS last_update_ts,
+         (o_custkey % 10) / 10.0 AS goal_fit
+  FROM orders),
+{name} AS (
+  SELECT *, 0.35 * (CASE WHEN deadline_ts IS NULL OR deadline_ts = 0 THEN 0.0
+                         ELSE greatest(0.0, least(1.0, 1.0 - greatest(0.0, deadline_ts - {as_of}) / 86400.0)) END)
+          + 0.25 * importance + 0.15 * uncertainty
+          + 0.1 * greatest(0.0, least(1.0, 1.0 / (1.0 + greatest(0.0, {as_of} - last_update_ts) / 3600.0)))
+          + 0.15 * greatest(0.0, least(1.0, goal_fit)) AS score
+  FROM tk)"""
