@@ -36,38 +36,51 @@ from .search import MAX_BROADCAST_BYTES, _arrow_type
 
 
 def greedy_clusters(vectors: list, threshold: float, dim: int = VECTOR_DIM) -> list[int]:
-    """Cluster index per item (items in processing order)."""
-    sums: list[np.ndarray] = []
-    counts: list[int] = []
-    sizes: list[int] = []
+    """Cluster index per item (items in processing order).
+
+    Running sums per cluster give the centroid (sum / count); each item is
+    compared with every centroid of its dimension in one numpy pass and joins
+    the first that reaches ``threshold``.
+    """
+    cap = max(1, len(vectors))
+    by_dim: dict[int, tuple[np.ndarray, np.ndarray, list[int]]] = {}
     out: list[int] = []
+    n_clusters = 0
+
+    def slot(d: int):
+        if d not in by_dim:
+            by_dim[d] = (np.zeros((cap, d)), np.zeros(cap), [])
+        return by_dim[d]
+
     for v in vectors:
         if v is None or len(v) == 0:
-            sums.append(np.zeros(dim))
-            counts.append(1)
-            sizes.append(dim)
-            out.append(len(sums) - 1)
+            sums, counts, ids = slot(dim)
+            ids.append(n_clusters)  # zero vector, count 1
+            counts[len(ids) - 1] = 1.0
+            out.append(n_clusters)
+            n_clusters += 1
             continue
         e = np.asarray(v, dtype=np.float64)
-        en = np.sqrt(e @ e) + COSINE_EPS
+        sums, counts, ids = slot(e.shape[0])
+        k = len(ids)
         placed = -1
-        for ci in range(len(sums)):
-            if sizes[ci] != e.shape[0]:
-                continue
-            c = sums[ci] / counts[ci]
-            sim = float(e @ c) / (en * (np.sqrt(c @ c) + COSINE_EPS))
-            if sim >= threshold:
-                placed = ci
-                break
+        if k:
+            c = sums[:k] / counts[:k, None]
+            sims = (c @ e) / ((np.sqrt((c * c).sum(axis=1)) + COSINE_EPS) * (np.sqrt(e @ e) + COSINE_EPS))
+            hit = np.nonzero(sims >= threshold)[0]
+            if len(hit):
+                # first cluster in creation order among this dimension's clusters
+                placed = int(hit[0])
         if placed < 0:
-            sums.append(e.copy())
-            counts.append(1)
-            sizes.append(e.shape[0])
-            out.append(len(sums) - 1)
+            sums[k] = e
+            counts[k] = 1.0
+            ids.append(n_clusters)
+            out.append(n_clusters)
+            n_clusters += 1
         else:
-            sums[placed] = sums[placed] + e
-            counts[placed] += 1
-            out.append(placed)
+            sums[placed] += e
+            counts[placed] += 1.0
+            out.append(ids[placed])
     return out
 
 
