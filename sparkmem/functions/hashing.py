@@ -69,11 +69,21 @@ def add_hash_embedding(df: DataFrame, text_col: str, out_col: str = "embedding",
     return df.withColumn(out_col, _embed_udf(dim)(F.col(text_col)))
 
 
-def seed_mod900(system, prompt) -> Column:
-    """``int(sha256(system + '|' + prompt).hexdigest(), 16) % 900`` as a long."""
-    h = sha256_hex(F.concat(_c(system), F.lit("|"), _c(prompt)))
+def seed_fold(h) -> Column:
+    """``int(h, 16) % 900`` for a 64-hex-digit column ``h`` (eight 32-bit chunks)."""
     acc = F.lit(0).cast("long")
     for i in range(8):
-        chunk = F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long")
+        chunk = F.conv(F.substring(_c(h), 8 * i + 1, 8), 16, 10).cast("long")
         acc = (acc * F.lit(_TWO32_MOD) + chunk % F.lit(SEED_MODULUS)) % F.lit(SEED_MODULUS)
     return acc
+
+
+def seed_mod900(system, prompt) -> Column:
+    """``int(sha256(system + '|' + prompt).hexdigest(), 16) % 900`` as a long."""
+    return seed_fold(sha256_hex(F.concat(_c(system), F.lit("|"), _c(prompt))))
+
+
+def add_seed(df: DataFrame, system, prompt, out_col: str = "_m") -> DataFrame:
+    """Add the seed as its own projection (the digest is computed once per row)."""
+    df = df.withColumn("_sh", sha256_hex(F.concat(_c(system), F.lit("|"), _c(prompt))))
+    return df.withColumn(out_col, seed_fold("_sh")).drop("_sh")

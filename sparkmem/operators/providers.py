@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..constants import (CYCLE_SYSTEM, DECIDER_PROMPT, DECIDER_SYSTEM, DECIDER_TAGS,
                          MAX_THOUGHT_WORDS, MEMORY_TYPES, NO_SNIPPET, STORE_THRESHOLD,
                          TEMPLATES, THOUGHT_TAGS, VECTOR_DIM)
-from ..functions.hashing import add_hash_embedding, seed_mod900
+from ..functions.hashing import add_hash_embedding, add_seed, seed_mod900
 from ..functions.text import PY_WORD_CLASS, PY_WS_CLASS, py_split_words, py_splitlines, py_strip
 
 
@@ -69,22 +69,16 @@ def stimuli_snippet(prompt) -> Column:
     return F.regexp_replace(last, f"^{PY_WORD_CLASS}+:{PY_WS_CLASS}*", "")
 
 
-def deterministic_thought(system, prompt) -> Column:
-    """Thought text of the deterministic generator for (system, prompt)."""
-    m = seed_mod900(system, prompt)
+def _thought_from(m: Column, snip: Column) -> Column:
     tag = F.element_at(F.array(*[F.lit(t) for t in THOUGHT_TAGS]), (m % 3 + 1).cast("int"))
     tmpl = F.element_at(_template_array(), ((m % 3) * 3 + (m % 15) / 5 + 1).cast("int"))
-    snip = stimuli_snippet(prompt)
     x = F.when(F.length(snip) > 0, snip).otherwise(F.lit(NO_SNIPPET))
     sentence = F.replace(tmpl, F.lit("{x}"), x)
     words = F.slice(py_split_words(sentence), 1, MAX_THOUGHT_WORDS)
     return F.concat(tag, F.lit(" "), F.array_join(words, " "))
 
 
-def deterministic_decision(system, prompt) -> Column:
-    """Decision JSON of the deterministic generator (used when ``system`` starts
-    with ``STORE_DECIDER:``)."""
-    m = seed_mod900(system, prompt)
+def _decision_from(m: Column) -> Column:
     imp = (m % 100).cast("double") / 100.0
     ttype = F.element_at(F.array(*[F.lit(t) for t in MEMORY_TYPES]), ((m % 9) / 3 + 1).cast("int"))
     tag = F.element_at(F.array(*[F.lit(t) for t in DECIDER_TAGS]), (m % 3 + 1).cast("int"))
@@ -94,18 +88,30 @@ def deterministic_decision(system, prompt) -> Column:
                     F.lit('", "tags": ["auto","'), tag, F.lit('"]}'))
 
 
-def deterministic_generate(system, prompt) -> Column:
-    sysc = _c(system)
-    is_decider = py_strip(sysc).startswith(DECIDER_SYSTEM)
-    return F.when(is_decider, deterministic_decision(system, prompt)) \
-        .otherwise(deterministic_thought(system, prompt))
+def deterministic_thought(system, prompt) -> Column:
+    """Thought text of the deterministic generator for (system, prompt)."""
+    return _thought_from(seed_mod900(system, prompt), stimuli_snippet(prompt))
+
+
+def deterministic_decision(system, prompt) -> Column:
+    """Decision JSON of the deterministic generator (``system`` starting with ``STORE_DECIDER:``)."""
+    return _decision_from(seed_mod900(system, prompt))
 
 
 def generate_table(df: DataFrame, system_col, prompt_col, out_col: str = "thought",
                    provider: TextProvider | None = None) -> DataFrame:
-    """One generation per row (one row per scope-cycle)."""
+    """One generation per row (one row per scope-cycle).
+
+    The deterministic provider is planned as separate projections (digest ->
+    seed -> snippet -> text), so no intermediate is evaluated twice per row.
+    """
     if provider is None:
-        return df.withColumn(out_col, deterministic_generate(system_col, prompt_col))
+        df = df.withColumn("_sys", _c(system_col)).withColumn("_prompt", _c(prompt_col))
+        df = add_seed(df, "_sys", "_prompt", "_m")
+        df = df.withColumn("_snip", stimuli_snippet("_prompt"))
+        is_decider = py_strip(F.col("_sys")).startswith(DECIDER_SYSTEM)
+        out = F.when(is_decider, _decision_from(F.col("_m"))).otherwise(_thought_from(F.col("_m"), F.col("_snip")))
+        return df.withColumn(out_col, out).drop("_sys", "_prompt", "_m", "_snip")
 
     @F.pandas_udf("string")
     def _gen(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -50,27 +50,32 @@ def route_store_decisions(df: DataFrame, raw_col: str = "decision_raw",
     become a valid memory: non-object reply, bad importance or type).
     Unparsable JSON means "do not store".
     """
-    v = F.try_parse_json(F.col(raw_col))
+    df = df.withColumn("_v", F.try_parse_json(F.col(raw_col)))
+    v = F.col("_v")
     top = F.schema_of_variant(v)
     parsed = v.isNotNull()
     is_obj = top.startswith("OBJECT")
-    should = F.when(parsed & is_obj, _truthy(v, "$.should_store")).otherwise(F.lit(False))
     imp_var = F.variant_get(v, "$.importance", "variant")
-    imp = F.when(imp_var.isNull(), F.lit(0.5)).otherwise(F.try_variant_get(v, "$.importance", "double"))
     typ_var = F.variant_get(v, "$.type", "variant")
-    typ_s = F.try_variant_get(v, "$.type", "string")
-    typ = F.when(typ_var.isNull(), F.lit("episodic")).otherwise(typ_s)
     tags_var = F.variant_get(v, "$.tags", "variant")
-    tags_json = F.when(tags_var.isNull(), F.lit("[]")).otherwise(F.to_json(tags_var))
-    err = (F.when(parsed & ~is_obj, F.lit("reply is not an object"))
+    df = df.select(
+        "*",
+        F.when(parsed & is_obj, _truthy(v, "$.should_store")).otherwise(F.lit(False)).alias("_should"),
+        (parsed & ~is_obj).alias("_not_obj"),
+        F.when(imp_var.isNull(), F.lit(0.5)).otherwise(F.try_variant_get(v, "$.importance", "double"))
+        .alias("mem_importance"),
+        F.when(typ_var.isNull(), F.lit("episodic")).otherwise(F.try_variant_get(v, "$.type", "string"))
+        .alias("mem_type"),
+        F.concat(F.lit('{"tags":'), F.when(tags_var.isNull(), F.lit("[]")).otherwise(F.to_json(tags_var)),
+                 F.lit("}")).alias("metadata_json"))
+    should, imp, typ = F.col("_should"), F.col("mem_importance"), F.col("mem_type")
+    err = (F.when(F.col("_not_obj"), F.lit("reply is not an object"))
            .when(should & imp.isNull(), F.lit("importance is not a number"))
            .when(should & ((imp < 0) | (imp > 1)), F.lit("importance out of range"))
            .when(should & ~typ.isin(*MEMORY_TYPES), F.lit("unknown memory type")))
-    return (df.withColumn("store", should & err.isNull())
-            .withColumn("mem_type", typ)
-            .withColumn("mem_importance", imp)
-            .withColumn("metadata_json", F.concat(F.lit('{"tags":'), tags_json, F.lit("}")))
-            .withColumn("route_error", err))
+    df = df.withColumn("route_error", err)
+    return (df.withColumn("store", should & F.col("route_error").isNull())
+            .drop("_v", "_should", "_not_obj"))
 
 
 def extract_questions(df: DataFrame, content_col: str = "content") -> DataFrame:

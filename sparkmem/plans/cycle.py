@@ -24,6 +24,7 @@ from ..operators import thoughts as TH
 from ..operators import working as W
 from ..operators.pages import extract_seed_urls
 from ..operators.providers import decide_table, embed_table, generate_table
+from ..session import materialize
 from .context import build_context
 
 
@@ -59,12 +60,16 @@ def run_cycle(scopes: DataFrame, stimuli: DataFrame, wm: DataFrame, memories: Da
     th = TH.classify_thoughts(gen.select(*sc, "content"))
     th = th.select(*sc, _key("thought:", *sc, F.lit(cycle_seq)).alias("id"), "content", "tags", "importance",
                    "uncertainty", F.lit(float(as_of)).alias("ts"), F.lit(int(cycle_seq)).cast("long").alias("seq"))
+    # The thoughts are this cycle's output: writing them once to the shared
+    # checkpoint folder cuts the lineage, so the context is computed once (not
+    # once per consumer below) and a lost executor re-reads them.
+    th = materialize(th, "thoughts")
     wm_cols = ["id", "content", "tags", "importance", "uncertainty", "ts", "seq"]
     state = wm.select(*sc, *wm_cols).unionByName(th.select(*sc, *wm_cols))
     next_wm = W.working_memory(state, wm_budget, sc).drop("wm_running")
 
     dec = decide_table(th.select(*sc, "id", "content", "seq"), "content", "decision_raw", provider)
-    routed = TH.route_store_decisions(dec)
+    routed = materialize(TH.route_store_decisions(dec), "decisions")
     stored = routed.where(F.col("store"))
     stored = embed_table(stored, "content", "embedding") if embed is None else embed(stored, "content", "embedding")
     mem_rows = stored.select(
