@@ -87,15 +87,107 @@ def _chunks(queries: DataFrame, n_rows: int, row_bytes: int, id_col: str) -> lis
     return [queries.where(b == i) for i in range(n_chunks)]
 
 
+def _automaton_kernel(qids: list, queries: list, k: int, qtype: pa.DataType):
+    """mapInArrow function: one Aho-Corasick pass per document for all queries;
+    non-overlapping counts per query; local top-k per query (total order)."""
+    state = {}
+
+    def automaton():
+        if "a" not in state:
+            import ahocorasick
+            a = ahocorasick.Automaton()
+            for i, q in enumerate(queries):
+                if q in state.setdefault("idx", {}):
+                    state["idx"][q].append(i)
+                    continue
+                state["idx"][q] = [i]
+                a.add_word(q, q)
+            a.make_automaton()
+            state["a"] = a
+        return state["a"], state["idx"]
+
+    def fn(batches):
+        a, idx = automaton()
+        best = None
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            texts = rb.column(rb.schema.get_field_index("_lc")).to_pylist()
+            ids = rb.column(rb.schema.get_field_index("id")).to_pylist()
+            seqs = rb.column(rb.schema.get_field_index("seq")).to_pylist()
+            qi_l, sc_l, row_l = [], [], []
+            for r, t in enumerate(texts):
+                if not t:
+                    continue
+                last_end, counts = {}, {}
+                for end, q in a.iter(t):
+                    start = end - len(q) + 1
+                    if start >= last_end.get(q, 0):
+                        counts[q] = counts.get(q, 0) + 1
+                        last_end[q] = end + 1
+                for q, c in counts.items():
+                    for qi in idx[q]:
+                        qi_l.append(qi)
+                        sc_l.append(c)
+                        row_l.append(r)
+            if not qi_l:
+                continue
+            f = pd.DataFrame({"_qi": qi_l, "score": sc_l,
+                              "seq": [seqs[r] for r in row_l], "id": [ids[r] for r in row_l]})
+            f = pd.concat([best, f], ignore_index=True) if best is not None else f
+            f = f.sort_values(["_qi", "score", "seq", "id"], ascending=[True, False, True, True], kind="mergesort")
+            best = f.groupby("_qi", sort=False).head(k)
+        if best is None or best.empty:
+            return
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([qids[i] for i in best["_qi"]], type=qtype), pa.array(best["id"].tolist(), type=pa.string()),
+             pa.array(best["seq"].tolist(), type=pa.int64()), pa.array(best["score"].tolist(), type=pa.int64())],
+            names=["qid", "id", "seq", "score"])
+
+    return fn
+
+
 def keyword_search_batch(memories: DataFrame, queries: DataFrame, k: int = TOPK_DEFAULT,
-                         qid_col: str = "qid", query_col: str = "query") -> DataFrame:
-    """F1 for a table of queries: best ``k`` memories per query id."""
+                         qid_col: str = "qid", query_col: str = "query", method: str = "auto") -> DataFrame:
+    """F1 for a table of queries: best ``k`` memories per query id.
+
+    ``method="automaton"`` (default when pyahocorasick is importable): the
+    size-checked query chunk becomes one Aho-Corasick automaton per task and
+    each document is scanned once for all queries. ``"join"``: a broadcast
+    theta join on ``contains``. Both count non-overlapping occurrences of the
+    lower-cased query in the lower-cased content.
+    """
     k = _check_k(k)
+    if method == "auto":
+        try:
+            import ahocorasick  # noqa: F401
+            method = "automaton"
+        except ImportError:
+            method = "join"
     q = (queries.where(F.length(py_strip(query_col)) > 0)
          .select(F.col(qid_col).alias("qid"), F.lower(F.col(query_col)).alias("_ql")))
-    mem = memories.select(*[c for c in memories.columns if c != "content_lc"], _lc(memories).alias("_lc"))
     n = _count_rows(q)
     avg = q.agg(F.avg(F.length("_ql"))).first()[0] or 0
+    order = [F.col("score").desc(), F.col("seq").asc(), F.col("id").asc()]
+    if method == "automaton":
+        spark = memories.sparkSession
+        qtype = _arrow_type(q.schema["qid"].dataType)
+        mem = memories.select("id", F.col("seq").cast("long").alias("seq"), _lc(memories).alias("_lc"))
+        schema = T.StructType([T.StructField("qid", q.schema["qid"].dataType), T.StructField("id", T.StringType()),
+                               T.StructField("seq", T.LongType()), T.StructField("score", T.LongType())])
+        parts = []
+        for chunk in _chunks(q, n, int(avg) + 64, "qid"):
+            rows = chunk.collect()  # bounded by MAX_BROADCAST_BYTES
+            if rows:
+                fn = _automaton_kernel([r["qid"] for r in rows], [r["_ql"] for r in rows], k, qtype)
+                parts.append(mem.mapInArrow(fn, schema))
+        if not parts:
+            return spark.createDataFrame([], schema).withColumn("rank", F.lit(0).cast("long"))
+        hits = parts[0]
+        for p in parts[1:]:
+            hits = hits.unionByName(p)
+        return _rank(hits, ["qid"], order, k)
+    mem = memories.select(*[c for c in memories.columns if c != "content_lc"], _lc(memories).alias("_lc"))
     parts = []
     for chunk in _chunks(q, n, int(avg) + 64, "qid"):
         parts.append(mem.join(F.broadcast(chunk), F.col("_lc").contains(F.col("_ql")), "inner"))
@@ -103,7 +195,7 @@ def keyword_search_batch(memories: DataFrame, queries: DataFrame, k: int = TOPK_
     for p in parts[1:]:
         pairs = pairs.unionByName(p)
     scored = pairs.withColumn("score", count_occurrences(F.col("_lc"), F.col("_ql"))).drop("_lc", "_ql")
-    return _rank(scored, ["qid"], [F.col("score").desc(), F.col("seq").asc(), F.col("id").asc()], k)
+    return _rank(scored, ["qid"], order, k)
 
 
 # ---------------------------------------------------------------------------
