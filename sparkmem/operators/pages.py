@@ -222,6 +222,11 @@ def extract_pages(pages: DataFrame, html_col: str = "html", keep: Sequence[str]
     """Add ``text`` and ``links`` from the HTML (mapInPandas, stdlib parser)."""
     keep = list(keep)
     src = pages.select(*keep, html_col)
+    # parsing is Python work: give it at least one task per core (no shuffle when
+    # the input already has more partitions, as it does at scale)
+    par = src.sparkSession.sparkContext.defaultParallelism
+    if src.rdd.getNumPartitions() < par:
+        src = src.repartition(par)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keep)
     schema = f"{fields}, text string, links array<string>"
 
@@ -251,6 +256,9 @@ def link_frontier(fetched: DataFrame, allow, robots: DataFrame, visited: DataFra
     resolved = F.when(F.col("href").startswith("/"),
                       F.concat(F.col("_ps"), F.lit("://"), F.col("src_host"), F.col("href"))).otherwise(F.col("href"))
     links = ex.select("src_host", normalize_url(resolved).alias("link"))
+    # the gate reads its input more than once: parse the HTML once, not per use
+    from ..session import materialize
+    links = materialize(links, "links")
     links = gate_pages(links, "link", allow, robots).where(F.col("allowed"))
     if same_domain_only:
         links = links.where(url_host("link") == F.col("src_host"))
@@ -277,7 +285,8 @@ def pages_to_memories(seeds: DataFrame, pages: DataFrame, allow, robots: DataFra
     first = pn.groupBy("url").agg(F.min("page_id").alias("page_id"))
     fetched = pn.join(first, ["url", "page_id"])
     fetched = visits.join(fetched, "url")
-    ex = extract_pages(fetched, keep=("plan_id", "visit", "page_id", "url"))
+    from ..session import materialize
+    ex = materialize(extract_pages(fetched, keep=("plan_id", "visit", "page_id", "url")), "fetched")
     text = F.substring(F.col("text"), 1, SCRAPE_TEXT_CHARS)
     ex = ex.withColumn("_text", text)
     embed = embed or (lambda df, c, o: embed_table(df, c, out_col=o))
