@@ -1,14 +1,16 @@
-"""Deterministic provider arithmetic as Catalyst expressions.
+"""Deterministic provider arithmetic.
 
-* ``hash_embedding``: the SHA-256 digest of the UTF-8 text, its 32 bytes
+* ``add_hash_embedding``: the SHA-256 digest of the UTF-8 text, its 32 bytes
   repeated to ``dim`` values, each mapped to ``(b - 128) / 128`` and divided by
-  (L2 norm + 1e-8). The norm of the repeated vector is computed from the 32
-  distinct values and their repeat counts.
-* ``seed_mod900``: the 256-bit integer of ``sha256(system + "|" + prompt)``
-  reduced modulo 900, folding eight 32-bit chunks with ``acc * (2**32 mod 900)``.
-  900 is divisible by 100, 9 and 15, so every selector the deterministic
-  generator needs (``seed % 100``, ``seed % 3``, ``(seed // 3) % 3`` and
-  ``(seed // 5) % 3``) is a function of it.
+  (L2 norm + 1e-8). Computed by an Arrow-batched UDF (hashlib + one numpy
+  pass per batch), because the 256-element expression tree is too large for
+  whole-stage codegen.
+* ``seed_mod900`` / ``add_seed``: the 256-bit integer of
+  ``sha256(system + "|" + prompt)`` reduced modulo 900 in Catalyst, folding
+  eight 32-bit chunks with ``acc * (2**32 mod 900)``. 900 is divisible by 100,
+  9 and 15, so every selector the deterministic generator needs
+  (``seed % 100``, ``seed % 3``, ``(seed // 3) % 3``, ``(seed // 5) % 3``) is a
+  function of it.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Batch provider jobs: embedding, generation, store decision.
 
-The default providers are deterministic and run entirely in Catalyst (SHA-256
-arithmetic, no Python worker). A pluggable provider is any object with
+The default providers are deterministic: generation and store decisions are
+Catalyst expressions (SHA-256 seed arithmetic, planned as separate
+projections); the hash embedding is an Arrow-batched UDF. A pluggable provider is any object with
 ``embed(list[str]) -> list[list[float]]`` or ``generate(system, prompt) -> str``;
 it runs in an iterator pandas UDF, so a model is loaded once per task and fed
 Arrow batches, never one row at a time.
