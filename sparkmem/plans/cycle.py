@@ -133,3 +133,19 @@ def service_counters(stimuli: DataFrame, cycles: DataFrame) -> DataFrame:
     s = stimuli.agg(F.count(F.lit(1)).alias("stimuli_ingested")).withColumn("_k", F.lit(0))
     c = cycles.agg(F.count(F.lit(1)).alias("cycles_run")).withColumn("_k", F.lit(0))
     return s.join(c, "_k").drop("_k")
+
+
+def ingest_job(stimuli: DataFrame, as_of: float, scope_cols: Sequence[str] = ("scope_id",),
+               redact: bool = True, embed=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """K1: validate (B6) -> redact PII (B9) -> memory log rows with embeddings.
+
+    Returns ``(memory log rows, rejected stimuli with reasons, queued count per scope)``.
+    """
+    from ..operators.validate import redact_pii, validate
+    sc = list(scope_cols)
+    ok, bad = validate(stimuli.withColumn("source", F.coalesce(F.col("source"), F.lit("api"))), "stimulus")
+    if redact:
+        ok = redact_pii(ok, "content")
+    rows = stimulus_memories(ok, as_of, sc, embed)
+    queued = ok.groupBy(*sc).agg(F.count(F.lit(1)).alias("queued"))
+    return rows, bad, queued

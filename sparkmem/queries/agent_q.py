@@ -102,6 +102,18 @@ def interrupts_rejected(spark, sf):
     return rejects.select("seq", "qid")
 
 
+@query("interrupts_get", oracle=_IQ + """
+SELECT q.id, count(a.seq) > 0 AS answered, arg_max(a.answer_text, a.seq) AS answer_text
+FROM q LEFT JOIN a ON a.qid = q.id AND a.seq > q.seq
+WHERE q.id IN (SELECT qid FROM a)
+GROUP BY q.id
+""")
+def interrupts_get(spark, sf):
+    ids = fx.answers(spark, sf).select("scope_id", F.col("qid").alias("id"))
+    got = I.get_interrupts(fx.interrupt_log(spark, sf), fx.answers(spark, sf), ids)
+    return got.select("id", "answered", "answer_text")
+
+
 @query("question_extract", oracle=f"""
 WITH {thoughts_cte(tagged=True)}
 SELECT scope_id, seq, {py_strip('substr(content, 10)')} AS question
@@ -150,23 +162,30 @@ _SYS = sql_lit(CYCLE_SYSTEM)
 _BREAK_RE2 = r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 
 
+def thought_ctes(src: str) -> str:
+    """CTEs ``tg_s .. tg_t`` over ``src`` (which has ``prompt``); the last adds ``m`` and
+    ``thought`` = the deterministic generator's reply to (CYCLE_SYSTEM, prompt)."""
+    return f"""tg_s AS (SELECT *, {seed900_sql(_SYS + " || '|' || prompt")} AS m,
+             {py_strip("regexp_extract(prompt, '(?s)Stimuli:\\s*(.+)', 1)")} AS block FROM {src}),
+tg_l AS (SELECT *, list_filter(regexp_split_to_array(block, '{_BREAK_RE2}'),
+                            lambda x: length({py_strip('x')}) > 0 AND contains(x, ':')) AS cands FROM tg_s),
+tg_x AS (SELECT *, CASE WHEN len(cands) > 0
+                     THEN regexp_replace({py_strip('cands[-1]')}, '^[\\pL\\pN_]+:{PY_WS_RE2}*', '')
+                     ELSE '' END AS snip FROM tg_l),
+tg_u AS (SELECT *, (['#plan', '#question', '#insight'])[(m % 3) + 1] AS tag,
+             replace(({_templates_sql()})[(m % 3) * 3 + (m % 15) // 5 + 1], '{{x}}',
+                     CASE WHEN length(snip) > 0 THEN snip ELSE 'the goal' END) AS sentence FROM tg_x),
+tg_t AS (SELECT *, tag || ' ' ||
+       array_to_string(list_slice(regexp_split_to_array({py_strip('sentence')}, '{PY_WS_RE2}+'), 1, 60), ' ') AS thought
+FROM tg_u)"""
+
+
 @query("generate_hash", oracle=f"""
 WITH p AS (
   SELECT CAST(conv_id AS VARCHAR) AS scope_id, turn AS seq,
          'Stimuli:' || chr(10) || role || ': ' || text AS prompt FROM conversations),
-s AS (SELECT *, {seed900_sql(_SYS + " || '|' || prompt")} AS m,
-             {py_strip("regexp_extract(prompt, '(?s)Stimuli:\\s*(.+)', 1)")} AS block FROM p),
-l AS (SELECT *, list_filter(regexp_split_to_array(block, '{_BREAK_RE2}'),
-                            lambda x: length({py_strip('x')}) > 0 AND contains(x, ':')) AS cands FROM s),
-x AS (SELECT *, CASE WHEN len(cands) > 0
-                     THEN regexp_replace({py_strip('cands[-1]')}, '^[\\pL\\pN_]+:{PY_WS_RE2}*', '')
-                     ELSE '' END AS snip FROM l),
-t AS (SELECT *, (['#plan', '#question', '#insight'])[(m % 3) + 1] AS tag,
-             replace(({_templates_sql()})[(m % 3) * 3 + (m % 15) // 5 + 1], '{{x}}',
-                     CASE WHEN length(snip) > 0 THEN snip ELSE 'the goal' END) AS sentence FROM x)
-SELECT scope_id, seq, m AS seed, tag || ' ' ||
-       array_to_string(list_slice(regexp_split_to_array({py_strip('sentence')}, '{PY_WS_RE2}+'), 1, 60), ' ') AS thought
-FROM t
+{thought_ctes('p')}
+SELECT scope_id, seq, m AS seed, thought FROM tg_t
 """)
 def generate_hash(spark, sf):
     from ..functions.hashing import seed_mod900

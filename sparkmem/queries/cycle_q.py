@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_SELF_SUMMARY
+from ..constants import DECIDER_PROMPT, DECIDER_SYSTEM, DEFAULT_SELF_SUMMARY
+from ..operators.validate import EMAIL_PATTERN, PHONE_PATTERN
+from .agent_q import thought_ctes
 from ..operators import working as W
 from ..plans.context import build_context
-from ..plans.cycle import run_cycle, service_counters
+from ..plans.cycle import answer_memories, run_cycle, service_counters
+from ..plans.cycle import ingest_job as ingest_job_plan
 from ..registry import query
 from ..sources import fixtures as fx
-from ..sql_text import hash_vec_ctes, memories_cte, py_strip, sql_lit, thoughts_cte, wm_cte, T0, cosine_sql
+from ..sql_text import (T0, cosine_sql, hash_vec_ctes, memories_cte, py_strip, seed900_sql, sql_lit,
+                        thoughts_cte, wm_cte)
 
 AS_OF = T0 + 3600.0
 
@@ -75,12 +79,60 @@ def context_build(spark, sf):
                       F.md5("prompt").alias("prompt_md5"), "n_stim_lines", "n_wm_lines", "n_ltm_lines")
 
 
-@query("cycle_report")
+_CYCLE_SQL = _CTX_SQL + f""",
+{thought_ctes('p')},
+dec AS (SELECT *, {seed900_sql(sql_lit(DECIDER_SYSTEM + '|' + DECIDER_PROMPT) + ' || thought')} AS m2 FROM tg_t)
+SELECT scope_id,
+       'thought:' || substr(sha256(concat_ws(chr(1), scope_id, '1000')), 1, 16) AS thought_id,
+       thought,
+       (m2 % 100) / 100.0 > 0.55 AS stored,
+       CAST(CASE WHEN starts_with(thought, '#question')
+                  AND length({py_strip('substr(thought, 10)')}) > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_interrupts,
+       CAST(1000 AS BIGINT) AS cycle_seq
+FROM dec
+"""
+
+
+@query("cycle_report", oracle=_CYCLE_SQL)
 def cycle_report(spark, sf):
     scopes, stimuli, wm, mem = _inputs(spark, sf)
     res = run_cycle(scopes, stimuli, wm, mem, AS_OF, cycle_seq=1000, tasks=None)
-    return res.report.select("scope_id", "thought_id", "thought", "stored", F.size("interrupt_ids").alias("n_interrupts"),
-                             "cycle_seq")
+    return res.report.select("scope_id", "thought_id", "thought", "stored",
+                             F.size("interrupt_ids").cast("long").alias("n_interrupts"), "cycle_seq")
+
+
+@query("ingest_job", oracle=f"""
+WITH s AS (
+  SELECT CAST(conv_id AS VARCHAR) AS scope_id, turn AS seq, 'chat' AS source,
+         regexp_replace(regexp_replace(text, '{EMAIL_PATTERN}', '[EMAIL]', 'g'), '{PHONE_PATTERN}', '[PHONE]', 'g')
+           AS content
+  FROM conversations WHERE role = 'user' AND text IS NOT NULL)
+SELECT scope_id, seq, 'stim:' || substr(sha256(concat_ws(chr(1), scope_id, CAST(seq AS VARCHAR), source, content)), 1, 16) AS id,
+       'episodic' AS type, 0.3::DOUBLE AS importance, md5(content) AS content_md5
+FROM s
+""")
+def ingest_job(spark, sf):
+    rows, _, _ = ingest_job_plan(fx.stimuli_chat(spark, sf), AS_OF)
+    return rows.select("scope_id", "seq", "id", "type", "importance", F.md5("content").alias("content_md5"))
+
+
+@query("answer_job", oracle="""
+WITH q AS (SELECT event_id AS seq, 'q:' || event_id AS id FROM events WHERE event_type = 'signup'),
+a AS (SELECT event_id AS seq, 'q:' || (event_id - event_id % 3) AS qid, props AS answer_text
+      FROM events WHERE event_type = 'purchase'),
+last AS (SELECT q.id AS qid, max(a.seq) AS aseq, arg_max(a.answer_text, a.seq) AS content
+         FROM q JOIN a ON a.qid = q.id AND a.seq > q.seq GROUP BY q.id)
+SELECT 'mem:' || substr(sha256(concat_ws(chr(1), 'global', CAST(aseq AS VARCHAR), qid)), 1, 16) AS id,
+       qid, aseq AS seq, content, 0.4::DOUBLE AS importance,
+       '{"source":"interrupt","qid":"' || qid || '"}' AS metadata_json
+FROM last
+""")
+def answer_job(spark, sf):
+    from ..operators import interrupts as I
+    answered, _ = I.answer_interrupts(fx.interrupt_log(spark, sf), fx.answers(spark, sf))
+    mem, _stim = answer_memories(answered)
+    return mem.select("id", F.get_json_object("metadata_json", "$.qid").alias("qid"), "seq", "content",
+                      "importance", "metadata_json")
 
 
 @query("counters", oracle="""

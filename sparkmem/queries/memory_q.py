@@ -216,3 +216,14 @@ WHERE rank <= 5
 def list_recent(spark, sf):
     r = S.list_recent(_mem(spark, sf, embed=False), k=5, scope_cols=["scope_id"])
     return r.select("scope_id", "rank", "id", F.round("created_at", 6).alias("created_at"))
+
+
+@query("memory_compact_scan", oracle=_LIVE_LOG_SQL + """
+SELECT id, 'episodic' AS type, round(arg_max(importance, seq), 6) AS importance FROM live GROUP BY id
+""")
+def memory_compact_scan(spark, sf):
+    from ..session import scratch_path
+    path = scratch_path(spark, "snapshot")
+    L.compact(fx.memory_log(spark, sf), path)
+    t = L.scan_memories(spark, path, ["id", "type", "importance"]).where(F.col("type") == "episodic")
+    return t.select("id", "type", F.round("importance", 6).alias("importance"))
