@@ -110,24 +110,41 @@ def cluster_members(memories: DataFrame, max_items: int = CONSOLIDATE_MAX_ITEMS,
 
 
 def cluster_rollup(members: DataFrame, as_of: float, scope_cols: Sequence[str] = ("scope_id",),
-                   min_members: int = 2) -> DataFrame:
+                   min_members: int = 2, include_members: bool = True) -> DataFrame:
     """One semantic memory per cluster with >= 2 members.
 
     Content ``"Summary of n events:\\n"`` + the first 512 characters of the
     members' contents joined by newlines in member order; importance
-    ``min(1, .6 + .02 n)``; ``member_ids`` in member order; no embedding.
+    ``min(1, .6 + .02 n)``; no embedding.
+
+    Bounded per group whatever the cluster size: ``n`` is a partial count, and
+    only the first 512 members (each adds at least one character, the newline)
+    are collected for the text. The full member list (``member_ids`` and
+    ``metadata_json.members``) is collected only with ``include_members``,
+    for clusters that are bounded upstream (``consolidate`` caps them at
+    ``max_items``); otherwise ``first_member`` is given.
     """
     scope_cols = list(scope_cols)
-    g = members.groupBy(*scope_cols, "cluster").agg(
-        F.count(F.lit(1)).alias("n_members"),
-        F.array_sort(F.collect_list(F.struct("member_pos", "id", "content"))).alias("_m"))
-    g = g.where(F.col("n_members") >= min_members)
-    joined = F.array_join(F.transform("_m", lambda x: x["content"]), "\n")
-    key = F.sha2(F.concat_ws("\u0001", *[F.col(c).cast("string") for c in scope_cols],
-                             F.col("_m")[0]["id"]), 256)
-    return g.select(
+    key = list(scope_cols) + ["cluster"]
+    counts = members.groupBy(*key).agg(F.count(F.lit(1)).alias("n_members"),
+                                       F.min_by("id", "member_pos").alias("first_member"))
+    counts = counts.where(F.col("n_members") >= min_members)
+    w = Window.partitionBy(*key).orderBy("member_pos")
+    head = members.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SUMMARY_CHARS)
+    head = head.groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct("member_pos", "content"))).alias("_h"))
+    g = counts.join(head, key)
+    if include_members:
+        ids = members.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("member_pos", "id"))).alias("_m"))
+        g = g.join(ids, key)
+    joined = F.array_join(F.transform("_h", lambda x: x["content"]), "\n")
+    hkey = F.sha2(F.concat_ws("\u0001", *[F.col(c).cast("string") for c in scope_cols], F.col("first_member")), 256)
+    meta = [F.lit("consolidation").alias("source")]
+    if include_members:
+        meta.append(F.transform("_m", lambda x: x["id"]).alias("members"))
+    cols = [
         *scope_cols, "cluster", "n_members",
-        F.concat(F.lit("semantic:"), F.substring(key, 1, 16)).alias("id"),
+        F.concat(F.lit("semantic:"), F.substring(hkey, 1, 16)).alias("id"),
         F.lit("semantic").alias("type"),
         F.concat(F.lit("Summary of "), F.col("n_members").cast("string"), F.lit(" events:\n"),
                  F.substring(joined, 1, SUMMARY_CHARS)).alias("content"),
@@ -135,9 +152,12 @@ def cluster_rollup(members: DataFrame, as_of: float, scope_cols: Sequence[str] =
         F.least(F.lit(1.0), F.lit(0.6) + F.lit(0.02) * F.col("n_members")).alias("importance"),
         F.lit(float(as_of)).alias("created_at"),
         F.lit(float(as_of)).alias("last_access"),
-        F.to_json(F.struct(F.lit("consolidation").alias("source"),
-                           F.transform("_m", lambda x: x["id"]).alias("members"))).alias("metadata_json"),
-        F.array_join(F.transform("_m", lambda x: x["id"]), ",").alias("member_ids"))
+        F.to_json(F.struct(*meta)).alias("metadata_json"),
+        "first_member",
+    ]
+    if include_members:
+        cols.append(F.array_join(F.transform("_m", lambda x: x["id"]), ",").alias("member_ids"))
+    return g.select(*cols)
 
 
 def consolidate(memories: DataFrame, as_of: float, max_items: int = CONSOLIDATE_MAX_ITEMS,

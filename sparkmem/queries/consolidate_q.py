@@ -43,7 +43,16 @@ def consolidate_copies(spark, sf):
     return out.select("scope_id", "n_members", "content", F.round("importance", 6).alias("importance"), "member_ids")
 
 
-@query("cluster_rollup", oracle=_COPIES_SQL.replace("rn <= 1000", "rn > 0"))
+@query("cluster_rollup", oracle=f"""
+WITH d AS (SELECT lang AS scope_id, doc_id, 'doc:' || doc_id AS id, text,
+                  row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) AS rn FROM documents),
+g AS (SELECT scope_id, count(*) AS n, string_agg(text, chr(10) ORDER BY rn) AS joined, arg_min(id, rn) AS first_member
+      FROM d GROUP BY scope_id, text HAVING count(*) >= 2)
+SELECT scope_id, CAST(n AS BIGINT) AS n_members,
+       'Summary of ' || n || ' events:' || chr(10) || substr(joined, 1, 512) AS content,
+       round(least(1.0::DOUBLE, 0.6::DOUBLE + 0.02::DOUBLE * n), 6) AS importance, first_member
+FROM g
+""")
 def cluster_rollup(spark, sf):
     d = fx.table(spark, sf, "documents", "doc_id", "text", "lang")
     from pyspark.sql import Window
@@ -51,8 +60,8 @@ def cluster_rollup(spark, sf):
     members = d.select(F.col("lang").alias("scope_id"), F.sha2("text", 256).alias("cluster"),
                        F.row_number().over(w).cast("long").alias("member_pos"),
                        F.concat(F.lit("doc:"), F.col("doc_id")).alias("id"), F.col("text").alias("content"))
-    out = C.cluster_rollup(members, AS_OF)
-    return out.select("scope_id", "n_members", "content", F.round("importance", 6).alias("importance"), "member_ids")
+    out = C.cluster_rollup(members, AS_OF, include_members=False)  # clusters are not bounded here
+    return out.select("scope_id", "n_members", "content", F.round("importance", 6).alias("importance"), "first_member")
 
 
 @query("centroids", oracle="""

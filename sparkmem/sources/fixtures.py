@@ -255,22 +255,11 @@ def registrable_domain(host) -> F.Column:
     return F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
 
 
-def plan_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans in long form: one per registrable domain, seeds by page_id.
-
-    ``pos`` is the seed's position in the plan (0-based); the seed list is
-    never collected into one array.
-    """
-    p = table(spark, sf_dir, "pages", "page_id", "url")
-    dom = registrable_domain(page_host("url"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("plan_id").orderBy("page_id")
-    return (p.select(dom.alias("plan_id"), "page_id", F.col("url").alias("seed"))
-            .withColumn("pos", (F.row_number().over(w) - 1).cast("long")))
-
-
 def plan_seeds_head(spark: SparkSession, sf_dir: str, global_cap: int) -> DataFrame:
-    """Seeds at positions below ``global_cap`` only (the cap the plan applies first)."""
+    """Plans in long form (``plan_id, page_id, seed, pos``): one plan per registrable
+    domain, seeds by ``page_id``, only positions below ``global_cap`` (the cap
+    the crawl applies first). ``row_number() < cap`` is a partial
+    WindowGroupLimit, so a hot domain never ships its whole seed list."""
     p = table(spark, sf_dir, "pages", "page_id", "url")
     dom = registrable_domain(page_host("url"))
     from pyspark.sql import Window
