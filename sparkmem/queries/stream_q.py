@@ -61,3 +61,21 @@ def stream_cycle(spark, sf):
                    AS_OF, wm_schema)
     rep = spark.read.parquet(f"{out}/report")
     return rep.select("scope_id", "batch_id", "thought_id", "stored", F.size("interrupt_ids").alias("n_interrupts"))
+
+
+@query("stream_answers", oracle="""
+WITH q AS (SELECT event_id AS seq, 'q:' || event_id AS id FROM events WHERE event_type = 'signup'),
+a AS (SELECT event_id AS seq, 'q:' || (event_id - event_id % 3) AS qid, props AS answer_text,
+             CAST(epoch(ts) // 604800 AS BIGINT) AS week FROM events WHERE event_type = 'purchase'),
+last AS (SELECT q.id AS qid, a.week, max(a.seq) AS aseq, arg_max(a.answer_text, a.seq) AS content
+         FROM q JOIN a ON a.qid = q.id AND a.seq > q.seq GROUP BY q.id, a.week)
+SELECT 'mem:' || substr(sha256(concat_ws(chr(1), 'global', CAST(aseq AS VARCHAR), qid)), 1, 16) AS id,
+       aseq AS seq, content, 0.4::DOUBLE AS importance
+FROM last
+""")
+def stream_answers(spark, sf):
+    ans = fx.answers(spark, sf).withColumn("week", F.floor(F.col("answer_ts") / 604800).cast("long"))
+    stream = _stream(spark, ans, "week", "answers")  # one micro-batch per week of answers
+    out = scratch_path(spark, "answers-out")
+    J.answer_stream(stream, fx.interrupt_log(spark, sf), out, scratch_path(spark, "answers-ckpt"))
+    return spark.read.parquet(f"{out}/memories").select("id", "seq", "content", "importance")

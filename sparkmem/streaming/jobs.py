@@ -13,6 +13,7 @@ overwrite, so a batch replayed after a failure rewrites the same output
   cycle for every scope that has some (an idle tick is a batch K3 run with no
   stimuli, ``run_idle_cycle``), writing thoughts, memory rows, interrupts and
   the report per batch, and the next working-memory version.
+* I4 ``answer_stream``: answers matched to interrupts per batch -> memories + stimuli.
 * I5 ``run_available``: drain everything available now, then stop (pause);
   calling it again resumes from the checkpoint.
 """
@@ -76,27 +77,50 @@ def latest_state(spark: SparkSession, state_dir: str, last_batch: int) -> DataFr
 
 def cycle_stream(stimuli_stream: DataFrame, base_memories: DataFrame, out_dir: str, checkpoint: str,
                  as_of: float, wm_schema_df: DataFrame, **cycle_kw) -> int:
-    """One cycle per scope with pending stimuli in each micro-batch."""
+    """One cycle per scope with pending stimuli in each micro-batch.
+
+    The memories a cycle stores are kept as a folded snapshot: version N =
+    fold(version N-1 ∪ rows of batch N). The fold composes (a folded row keeps
+    its first ``created_at`` and its last ``seq``), so each batch works on the
+    live table, not on the whole history.
+    """
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         prev_wm = _read_or_none(spark, f"{out_dir}/wm/version={batch_id - 1}") if batch_id > 0 else None
         wm = prev_wm if prev_wm is not None else wm_schema_df.limit(0)
-        stored = _read_or_none(spark, f"{out_dir}/memory_log")
-        mems = base_memories
-        if stored is not None:
-            live = L.fold_log(stored.where(F.col("batch_id") < batch_id).drop("batch_id"))
-            mems = mems.unionByName(live.select(*mems.columns))
+        snap = _read_or_none(spark, f"{out_dir}/memories/version={batch_id - 1}") if batch_id > 0 else None
+        mems = base_memories if snap is None else base_memories.unionByName(snap.select(*base_memories.columns))
         scopes = batch.select("scope_id").distinct()
         res = run_cycle(scopes, batch, wm, mems, as_of, cycle_seq=1_000_000 + batch_id, **cycle_kw)
         tag = F.lit(batch_id).cast("long")
         res.report.withColumn("batch_id", tag).write.mode("overwrite") \
             .parquet(f"{out_dir}/report/batch_id={batch_id}")
-        res.memory_rows.write.mode("overwrite").parquet(f"{out_dir}/memory_log/batch_id={batch_id}")
         res.interrupts.write.mode("overwrite").parquet(f"{out_dir}/interrupts/batch_id={batch_id}")
+        rows = res.memory_rows
+        if snap is not None:
+            rows = snap.withColumn("op", F.lit("upsert")).select(*rows.columns).unionByName(rows)
+        L.fold_log(rows).select(*base_memories.columns).write.mode("overwrite") \
+            .parquet(f"{out_dir}/memories/version={batch_id}")
         res.wm.write.mode("overwrite").parquet(f"{out_dir}/wm/version={batch_id}")
     return run_available(stimuli_stream, per_batch, checkpoint)
 
 
+def answer_stream(answers_stream: DataFrame, interrupts: DataFrame, out_dir: str, checkpoint: str) -> int:
+    """I4: answers arrive as a stream. Per batch: match them to the open
+    interrupts (C1: unknown id -> rejected, last answer wins), write the answer
+    memories (importance .4) and the ``user`` stimuli that feed the next cycle."""
+    from ..operators import interrupts as I
+    from ..plans.cycle import answer_memories
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        answered, rejects = I.answer_interrupts(interrupts, batch)
+        mem, stim = answer_memories(answered)
+        mem.write.mode("overwrite").parquet(f"{out_dir}/memories/batch_id={batch_id}")
+        stim.write.mode("overwrite").parquet(f"{out_dir}/stimuli/batch_id={batch_id}")
+        rejects.write.mode("overwrite").parquet(f"{out_dir}/rejected/batch_id={batch_id}")
+    return run_available(answers_stream, per_batch, checkpoint)
+
+
 def stage_by_key(df: DataFrame, path: str, key: str) -> list:
     """Write ``df`` as one parquet file per value of ``key``, in key order and in
     separate writes, so a file stream source replays them in that order
