@@ -52,3 +52,15 @@ def test_wm_stream_restart_is_exact(spark):
     got = {(r.scope_id, r.seq) for r in J.latest_state(spark, state, last).collect()}
     exp = {(r.scope_id, r.seq) for r in W.working_memory(th, 300).collect()}
     assert got == exp
+
+
+def test_plans_keep_per_scope_work_bounded(spark):
+    """E1, F4, F1-batch and C3 plans: row_number filters become WindowGroupLimit
+    (partial before the shuffle), and no plan needs a cartesian product."""
+    qs = E.queries()
+    from tests.conftest import SF001
+    for name in ["wm_budget", "task_top", "keyword_topk_batch", "knn_join", "vector_topk"]:
+        plan = qs[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan, name
+        if name in ("wm_budget", "task_top", "knn_join"):
+            assert plan.count("WindowGroupLimit") >= 2, name
