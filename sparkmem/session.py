@@ -45,6 +45,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     spark.sparkContext.setLogLevel("ERROR")
     apply_runtime_conf(spark)
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -58,6 +59,35 @@ def apply_runtime_conf(spark: SparkSession) -> None:
                 pass
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sparkmem`` importable in the Python workers (once per application).
+
+    The Arrow/pandas functions are pickled by reference to this package, so the
+    executors need it. This zips the package on the driver and adds it with
+    ``addPyFile`` (what ``--py-files`` does); a cluster that installs the
+    package on its executors can skip it.
+    """
+    import zipfile
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    fd, zpath = tempfile.mkstemp(prefix="sparkmem-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, creating a local one only if unset."""
     sc = spark.sparkContext
