@@ -320,9 +320,11 @@ def knn_join_scoped(memories: DataFrame, queries: DataFrame, k: int,
     from ..functions.vector import dot
     k = _check_k(k)
     scope_cols = list(scope_cols)
+    # a compacted snapshot stores ``norm``; otherwise compute it here
+    mnorm = F.col("norm") if "norm" in memories.columns else l2norm(emb_col)
     mem = (memories.where(has_vector(emb_col))
            .select(*scope_cols, *key_cols, F.col("seq").cast("long").alias("seq"),
-                   F.col(emb_col).alias("_emb"), l2norm(emb_col).alias("_mn")))
+                   F.col(emb_col).alias("_emb"), mnorm.alias("_mn")))
     q = (queries.where(has_vector(qvec_col))
          .select(*scope_cols, F.col(qid_col).alias("qid"), F.col(qvec_col).alias("_qv"),
                  l2norm(qvec_col).alias("_qn")))

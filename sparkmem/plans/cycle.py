@@ -66,7 +66,8 @@ def run_cycle(scopes: DataFrame, stimuli: DataFrame, wm: DataFrame, memories: Da
     th = materialize(th, "thoughts")
     wm_cols = ["id", "content", "tags", "importance", "uncertainty", "ts", "seq"]
     state = wm.select(*sc, *wm_cols).unionByName(th.select(*sc, *wm_cols))
-    next_wm = W.working_memory(state, wm_budget, sc).drop("wm_running")
+    # next state is written once: a caller looping cycles never nests E1 plans
+    next_wm = materialize(W.working_memory(state, wm_budget, sc).drop("wm_running"), "wm")
 
     dec = decide_table(th.select(*sc, "id", "content", "seq"), "content", "decision_raw", provider)
     routed = materialize(TH.route_store_decisions(dec), "decisions")
