@@ -64,3 +64,16 @@ def test_plans_keep_per_scope_work_bounded(spark):
         assert "CartesianProduct" not in plan, name
         if name in ("wm_budget", "task_top", "knn_join"):
             assert plan.count("WindowGroupLimit") >= 2, name
+
+
+def test_two_cycles_chain(spark):
+    scopes = fx.table(spark, SF0001, "conversations", "conv_id").select(F.col("conv_id").cast("string").alias("scope_id"))
+    wm0 = W.working_memory(fx.thoughts(spark, SF0001), 4000).drop("wm_len", "wm_running")
+    mem = fx.memories(spark, SF0001, null_embedding_every=0)
+    stim = fx.stimuli_chat(spark, SF0001)
+    r1 = run_cycle(scopes, stim, wm0, mem, fx.T0 + 3600, 100)
+    r2 = run_cycle(scopes, stim.limit(0), r1.wm, mem, fx.T0 + 3660, 101)  # an idle tick: no stimuli
+    top2 = (r2.wm.where(F.col("seq") >= 100).groupBy("scope_id").agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") == 2).count())
+    assert top2 == scopes.distinct().count()
+    assert r2.context.where(F.col("query_text") != "general").count() == 0
