@@ -101,3 +101,40 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
     out = near_duplicates(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op2_embedding_near_dedup")
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine >= 0.9 among all vectors and their components."""
+    from .vectors import near_duplicates
+    out = near_duplicates(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding").withColumnRenamed("vec_id", "id"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+QUALITY_FOLDS = 5
+QUALITY_THRESHOLD = 0.3
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> bytes | None:
+    """Model learned from the labelled rows outside the held-out fold."""
+    from .quality import held_out, train
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "quality").where(~held_out("doc_id", QUALITY_FOLDS))
+    return train(docs, labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("label")))
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a factorisation machine."""
+    from .quality import held_out, score
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "n_chars").withColumnRenamed("doc_id", "id")
+    out = score(docs, quality_model(spark, docs, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), held_out("id", QUALITY_FOLDS).alias("held_out"), "score",
+                      (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op10_pieces")
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole document, and whether they decode to it."""
+    from .pieces import encode_checked
+    out = encode_checked(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+    return out.select(F.col("id").alias("doc_id"), F.size("piece_ids").alias("n_pieces"), "piece_ids", "decoded_sha256", "round_trip")
