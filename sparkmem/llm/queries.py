@@ -138,3 +138,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_checked
     out = encode_checked(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
     return out.select(F.col("id").alias("doc_id"), F.size("piece_ids").alias("n_pieces"), "piece_ids", "decoded_sha256", "round_trip")
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a repeated 100-byte string covers."""
+    from .suffix import deduplicate
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return deduplicate(docs, "doc_id", "text").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
