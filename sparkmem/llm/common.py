@@ -86,12 +86,12 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every run of bytes other than space and 0x09-0x0D; words end at row ends."""
+def words(offsets: np.ndarray, data: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every run of bytes that are no gaps (space and 0x09-0x0D by default); words end at row ends."""
     if len(data) == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    ink = ~_SPACE[data]
+    ink = ~gaps[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True                       # a row begins (or the buffer ends) here
     prev = np.empty_like(ink)

@@ -146,3 +146,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import deduplicate
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return deduplicate(docs, "doc_id", "text").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op7_decontamination")
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the item and the evidence."""
+    from .decontaminate import find_leaks
+    found = find_leaks(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", F.round("cosine", 4).alias("cosine"), "lcs",
+                        F.round("lcs_share", 4).alias("lcs_share"), F.round("answer_share", 4).alias("answer_share"))
