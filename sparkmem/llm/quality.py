@@ -29,6 +29,7 @@ BUCKETS = 1 << 14
 RANK = 8
 SAMPLE_ROWS = 6000         # most labelled rows to learn from
 EPOCHS = 12
+LEAST_VISITS = 24_000      # texts visited at least, over all epochs: a small sample gets more of them
 STATS = 13
 
 _UPPER, _DIGIT, _SPACE, _LINE, _MARK, _HIGH = (np.zeros(256, bool) for _ in range(6))
@@ -128,7 +129,7 @@ def fit(label: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     m.w0 = float(np.log(share / (1 - share)))
     gw, gv, g0 = np.full(d, 1e-2), np.full((d, RANK), 1e-2), 1e-2
     rate, decay, batch = 0.15, 1e-5, 64
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_VISITS // max(1, len(rows))))):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), batch):
             some = order[lo:lo + batch]

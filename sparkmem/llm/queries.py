@@ -155,3 +155,15 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
     return found.select(F.col("id").alias("doc_id"), "item_id", F.round("cosine", 4).alias("cosine"), "lcs",
                         F.round("lcs_share", 4).alias("lcs_share"), F.round("answer_share", 4).alias("answer_share"))
+
+
+LM_FOLDS = 10
+
+
+@query("op9_language_model")
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every whole document under a hierarchical Pitman-Yor model and under the base."""
+    from .language_model import score
+    from .quality import held_out
+    docs = documents(spark, sf_dir)
+    return score(docs.withColumn("held_out", held_out("id", LM_FOLDS))).withColumnRenamed("id", "doc_id")

@@ -103,13 +103,13 @@ def count_chunk(text: str, start: int, head: int, tail: int, path: str):
     return len(e), pos[h] + start, at[h], pos[t] + start, at[t]
 
 
-CHUNK_SCHEMA = "id long, k int, last boolean, start long, head int, tail int, chunk string"
-COUNT_SCHEMA = "id long, k int, last boolean, n long, head_pos array<long>, head_n array<long>, tail_pos array<long>, tail_n array<long>"
+CHUNK_SCHEMA = "key binary, k int, last boolean, start long, head int, tail int, chunk string"
+COUNT_SCHEMA = "key binary, k int, last boolean, n long, head_pos array<long>, head_n array<long>, tail_pos array<long>, tail_n array<long>"
 
 
 def _cut(chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("k", pa.int32()), ("last", pa.bool_()), ("start", pa.int64()),
+        schema = pa.schema([("key", pa.binary()), ("k", pa.int32()), ("last", pa.bool_()), ("start", pa.int64()),
                             ("head", pa.int32()), ("tail", pa.int32()), ("chunk", pa.string())])
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
@@ -131,7 +131,7 @@ def _cut(chunk: int, overlap: int):
 def _encode_chunks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
-        names = ["id", "k", "last", "n", "head_pos", "head_n", "tail_pos", "tail_n"]
+        names = ["key", "k", "last", "n", "head_pos", "head_n", "tail_pos", "tail_n"]
         for b in batches:
             for i in range(0, b.num_rows, 16):
                 some = b.slice(i, 16)
@@ -147,42 +147,44 @@ def _encode_chunks(path: str):
 def _count_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count_texts(texts, path), pa.int64())], ["id", "n_tokens"])
+            n = count_texts(b.column(1).to_pylist(), path)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
     return run
 
 
 def _splice(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, n_tokens of aligned texts; ids of texts with a pair of chunks that doesn't align)."""
-    right = chunks.select("id", (F.col("k") - 1).alias("k"), F.col("head_pos").alias("r_pos"), F.col("head_n").alias("r_n"))
-    joined = chunks.join(right, ["id", "k"], "left").withColumn("common", F.array_intersect("tail_pos", "r_pos"))
+    """(key, n_tokens of aligned texts; keys of texts with a pair of chunks that doesn't align)."""
+    right = chunks.select("key", (F.col("k") - 1).alias("k"), F.col("head_pos").alias("r_pos"), F.col("head_n").alias("r_n"))
+    joined = chunks.join(right, ["key", "k"], "left").withColumn("common", F.array_intersect("tail_pos", "r_pos"))
     ok = F.col("last") | (F.size("common") > 0)
     p = F.element_at("common", 1)
     left_n = F.element_at("tail_n", F.array_position("tail_pos", p).cast("int"))
     right_n = F.element_at("r_n", F.array_position("r_pos", p).cast("int"))
     part = F.when(F.col("last"), F.col("n")).when(F.size("common") > 0, left_n - right_n)
-    docs = joined.groupBy("id").agg(F.sum(part).alias("n_tokens"), F.min(F.coalesce(ok, F.lit(False))).alias("ok"))
-    return docs.where("ok").select("id", "n_tokens"), docs.where("not ok").select("id")
+    docs = joined.groupBy("key").agg(F.sum(part).alias("n_tokens"), F.min(F.coalesce(ok, F.lit(False))).alias("ok"))
+    return docs.where("ok").select("key", "n_tokens"), docs.where("not ok").select("key")
 
 
 def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
-    """(id, n_bytes, n_tokens) of rows (id unique, text)."""
+    """(id, n_bytes, n_tokens) of rows (id, text). A long text that stands in several rows is encoded once."""
     spark = docs.sparkSession
     arrow_conf(spark)
     docs = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
-    size = docs.select("id", F.octet_length("text").cast("long").alias("n_bytes"))
-    long_text = F.octet_length("text") > chunk
-    counts = docs.where(~long_text).mapInArrow(_count_batches(path), "id long, n_tokens long")
-    pending = docs.where(long_text)
+    docs = docs.withColumn("n_bytes", F.octet_length("text").cast("long"))
+    long_text = F.col("n_bytes") > chunk
+    counts = docs.where(~long_text).mapInArrow(_count_batches(path), "id long, n_bytes long, n_tokens long")
+    rows = docs.where(long_text).select("id", "n_bytes", F.unhex(F.sha2("text", 256)).alias("key"), "text")
+    texts = rows.groupBy("key").agg(F.first("text").alias("text"))
+    pending, found = texts, None
     while True:
         pieces = pending.mapInArrow(_cut(chunk, overlap), CHUNK_SCHEMA).repartition(
             int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
         encoded = written(pieces.mapInArrow(_encode_chunks(path), COUNT_SCHEMA), "token-chunks")
         done, left = _splice(encoded)
-        counts = counts.unionByName(done)
+        found = done if found is None else found.unionByName(done)
         left = written(left, "token-left")
         if left.isEmpty():
             break
-        pending = docs.where(long_text).join(left, "id", "left_semi")
+        pending = texts.join(left, "key", "left_semi").select("key", "text")
         chunk, overlap = chunk * 2, overlap * 2
-    return size.join(counts, "id")
+    return counts.unionByName(rows.select("id", "n_bytes", "key").join(found, "key").select("id", "n_bytes", "n_tokens"))

@@ -71,6 +71,9 @@ def test_token_counts_equal_the_library(spark, odd):
     alphabet = list("ab cde'\n\t 1!é汉") + ["<|endoftext|>", "  ", " the"]
     texts = ODD + ["".join(rng.choice(alphabet, int(n))) for n in rng.integers(50, 4000, 25)] + ["z" * 5000, " " * 5000, "word " * 900]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    twice = spark.createDataFrame([(None, texts[-1]), (7, texts[-1]), (7, texts[-1]), (None, "a")], "id long, text string")
+    assert sorted(r.n_tokens for r in T.count_tokens(twice, tokenizer_path("byte_bpe_50k.json"), 100, 24).collect()) == sorted(
+        [1, *[len(lib.encode(texts[-1]))] * 3])
     got = {r.id: (r.n_bytes, r.n_tokens) for r in T.count_tokens(df, tokenizer_path("byte_bpe_50k.json"), chunk=100, overlap=24).collect()}
     for i, t in enumerate(texts):
         assert got[i] == (len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False))), (i, t)
