@@ -1,0 +1,100 @@
+"""Vectors packed into blocks, for searches and joins of every vector against every other in the executors.
+
+``pack`` turns rows (keys, seq, vector) into rows of up to ``rows`` vectors of one dimension: one binary matrix, and the keys as
+arrays. ``grid`` pairs the blocks of two packed tables by dimension; a task then holds two blocks at a time, whatever the
+tables' sizes, and nothing passes through the driver.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from typing import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BLOCK_ROWS = 2048
+GRID = 64                  # lanes a dimension's block pairs are dealt to
+
+
+def pack(df: DataFrame, vec_col: str, key_cols: Sequence[str], order_cols: Sequence[str], rows: int = BLOCK_ROWS,
+         angle_to_ones: bool = False) -> DataFrame:
+    """(block, dim, n, <keys as arrays>, mat[, lo, hi]) blocks; rows of a block are in the order of ``order_cols``.
+
+    Null and empty vectors are left out. ``mat`` holds doubles. With ``angle_to_ones`` rows are first dealt out by their angle
+    to the all-ones vector, and ``lo``, ``hi`` bound it in each block (for pruning by the triangle inequality).
+    """
+    keys = list(key_cols)
+    d = df.where(F.col(vec_col).isNotNull() & (F.size(vec_col) > 0)).select(*keys, F.col(vec_col).alias("_v"))
+    if angle_to_ones:
+        total = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x.cast("double"))
+        square = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+        cos = total / (F.sqrt(square) * F.sqrt(F.size("_v").cast("double")))
+        d = d.withColumn("_a", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(cos, F.lit(0.0))))))
+        d = d.repartitionByRange("_a").sortWithinPartitions("_a")
+    fields = [T.StructField("block", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("n", T.IntegerType())]
+    fields += [T.StructField(k, T.ArrayType(df.schema[k].dataType)) for k in keys]
+    fields += [T.StructField("mat", T.BinaryType())]
+    if angle_to_ones:
+        fields += [T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]
+    schema = T.StructType(fields)
+    from pyspark.sql.pandas.types import to_arrow_schema
+    arrow = to_arrow_schema(schema)
+    order = [keys.index(c) for c in order_cols]
+
+    def block(dim: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        if order:
+            t = t.take(pa.compute.sort_indices(t, sort_keys=[(keys[i], "ascending") for i in order]))
+        v = t.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f8")
+        # a number that a recomputed task gives again
+        number = int.from_bytes(hashlib.blake2b(v.tobytes() + str(t.column(0)[0].as_py()).encode(), digest_size=7).digest(), "little")
+        cols = [pa.array([number]), pa.array([dim], pa.int32()), pa.array([t.num_rows], pa.int32())]
+        for k, f in zip(keys, schema.fields[3:]):
+            col = t.column(k).combine_chunks()
+            cols.append(pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), col))
+        cols.append(pa.array([v.tobytes()], pa.binary()))
+        if angle_to_ones:
+            a = t.column("_a").to_numpy()
+            cols += [pa.array([a.min()]), pa.array([a.max()])]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = b.schema.get_field_index("_v")
+            dims = pa.compute.list_value_length(b.column(at)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims):
+                some = b.filter(pa.array(dims == dim))
+                while some.num_rows:
+                    have = held.setdefault(int(dim), [])
+                    room = rows - sum(x.num_rows for x in have)
+                    have.append(some.slice(0, room))
+                    some = some.slice(min(room, some.num_rows))
+                    if sum(x.num_rows for x in have) == rows:
+                        yield block(int(dim), held.pop(int(dim)))
+        for dim, parts in held.items():
+            yield block(dim, parts)
+
+    return d.mapInArrow(run, schema)
+
+
+def grid(a: DataFrame, b: DataFrame) -> DataFrame:
+    """All pairs of a block of ``a`` and a block of ``b`` of one dimension, columns prefixed a_ and b_.
+
+    Blocks of ``b`` are dealt to lanes and ``a`` goes to every lane: an equi-join on (dimension, lane).
+    """
+    a = a.select(F.col("dim"), F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("lane"),
+                 *[F.col(c).alias("a_" + c) for c in a.columns if c != "dim"])
+    b = b.select(F.col("dim"), F.pmod(F.xxhash64("block"), F.lit(GRID)).cast("int").alias("lane"),
+                 *[F.col(c).alias("b_" + c) for c in b.columns if c != "dim"])
+    return a.join(b, ["dim", "lane"])
+
+
+def matrix(mat: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(mat, "<f8").reshape(-1, dim)

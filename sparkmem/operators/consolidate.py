@@ -1,25 +1,20 @@
 """Consolidation.
 
-* ``consolidate``: per scope, the newest ``max_items`` episodic memories are
-  clustered greedily in arrival order (newest first): a memory joins the
-  first cluster whose running centroid has cosine >= threshold, else opens a
-  new one; a memory without an embedding sits alone (zero vector). The fold
-  is order-dependent, so it runs per scope in ``applyInPandas`` over groups
-  bounded by ``max_items`` (the ``row_number() <= max_items`` filter is a
-  partial WindowGroupLimit, so a hot scope never ships more than that).
+* ``consolidate``: per scope, the newest ``max_items`` episodic memories (or all
+  of them) are clustered greedily in arrival order (newest first): a memory
+  joins the first cluster whose running centroid has cosine >= threshold, else
+  opens a new one; a memory without an embedding sits alone (zero vector). The
+  order-dependent fold runs per group of memories that can interact at all.
 * ``cluster_rollup`` turns clusters of two or more into semantic memories.
 * ``centroids``: mean vector per group, as a partial aggregation per
   (group, position) -- no group is collected whole.
-* ``near_duplicate_pairs``: every pair at or above a cosine threshold, exact.
-  The corpus is scanned once per broadcast chunk of vectors (size-checked);
-  each task multiplies its partition against the chunk and emits only the
-  qualifying pairs. This is pairwise over the corpus by definition (a
-  different answer from the greedy clustering); it is the scale path for the
-  "deduplicate by cosine" step.
+* ``near_duplicate_pairs``: pairs at or above a cosine threshold, exact, between
+  classes of equal vectors, by matrix products of packed blocks in the executors.
 """
 
 from __future__ import annotations
 
+import math
 from typing import Iterator, Sequence
 
 import numpy as np
@@ -32,7 +27,10 @@ from pyspark.sql import types as T
 
 from ..constants import (CONSOLIDATE_MAX_ITEMS, CONSOLIDATE_THRESHOLD, COSINE_EPS, SUMMARY_CHARS,
                          VECTOR_DIM)
-from .search import MAX_BROADCAST_BYTES, _arrow_type
+from ..functions.vector import cosine
+from ..session import materialize
+from .blocks import grid, matrix, pack
+from .graph import connected_components
 
 
 def greedy_clusters(vectors: list, threshold: float, dim: int = VECTOR_DIM) -> list[int]:
@@ -84,33 +82,71 @@ def greedy_clusters(vectors: list, threshold: float, dim: int = VECTOR_DIM) -> l
     return out
 
 
-def cluster_members(memories: DataFrame, max_items: int = CONSOLIDATE_MAX_ITEMS,
+def _arrival(df: DataFrame) -> DataFrame:
+    """``member_pos``: a sortable key of the processing order (newest first), no numbering needed."""
+    return df.withColumn("member_pos", F.struct((-F.col("created_at")).alias("created"), (-F.col("seq")).cast("long").alias("seq"),
+                                                F.col("id").alias("id")))
+
+
+def cluster_members(memories: DataFrame, max_items: int | None = CONSOLIDATE_MAX_ITEMS,
                     threshold: float = CONSOLIDATE_THRESHOLD, scope_cols: Sequence[str] = ("scope_id",),
                     dim: int = VECTOR_DIM, episodic_only: bool = True) -> DataFrame:
-    """K6 step 1: ``scope, cluster, member_pos, id, content`` for the newest
-    ``max_items`` memories of each scope."""
+    """K6 step 1: ``scope, cluster, member_pos, id, content`` of the newest ``max_items`` memories of each scope, or of
+    all of them (``None``). ``member_pos`` sorts by arrival.
+
+    The greedy fold looks at every earlier cluster, but memories interact only along chains of cosines >=
+    ``threshold ** 2``: a centroid of members within ``threshold`` of it is at least ``threshold`` as long as its
+    members' total, so an item that joins it has cosine >= ``threshold ** 2`` to one of them. The connected components of
+    that relation are therefore folded on their own, each in its order, with the same result as the whole scope. Equal
+    vectors are one node of that graph, and a component of one distinct vector is one cluster without any
+    fold (copies never gather in a task). A negative or zero threshold ties everything to everything and folds scopes whole.
+    """
     scope_cols = list(scope_cols)
     df = memories.where(F.col("type") == "episodic") if episodic_only else memories
-    w = Window.partitionBy(*scope_cols).orderBy(F.col("created_at").desc(), F.col("seq").desc(), F.col("id").asc())
-    df = (df.withColumn("member_pos", F.row_number().over(w).cast("long"))
-          .where(F.col("member_pos") <= max_items)
-          .select(*scope_cols, "member_pos", "id", "content", "embedding"))
+    df = _arrival(df)
+    if max_items is not None:
+        w = Window.partitionBy(*scope_cols).orderBy("member_pos")
+        df = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_items)
+    has = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    df = df.select(*scope_cols, "member_pos", "id", "content", "embedding",
+                   F.when(has, F.xxhash64("embedding")).alias("_h"))
+    alone = df.where(F.col("_h").isNull()).select(*scope_cols, F.concat(F.lit("alone:"), "id").alias("cluster"), "member_pos", "id", "content")
+    vectors = df.where(F.col("_h").isNotNull())
+    if threshold <= 0:
+        linked = vectors.withColumn("_c", F.lit(0).cast("long")).withColumn("_kinds", F.lit(2))
+    else:
+        # nodes: distinct (scope, vector); links within a scope at threshold ** 2
+        node = F.xxhash64(*scope_cols, "_h", "embedding")
+        vectors = vectors.withColumn("_node", node)
+        nodes = vectors.groupBy("_node").agg(F.first(F.struct(*scope_cols)).alias("_s"), F.first("embedding").alias("embedding"))
+        near = block_pairs(nodes.select(F.col("_node").alias("id"), F.col("_node").alias("seq"), F.col("_s"), "embedding"),
+                           threshold * threshold, scope_col="_s")
+        comp = connected_components(near.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")))
+        linked = (vectors.join(comp.withColumnRenamed("node", "_node").withColumnRenamed("component", "_c"), "_node", "left")
+                  .withColumn("_kinds", F.when(F.col("_c").isNull(), 1).otherwise(2))
+                  .withColumn("_c", F.coalesce("_c", "_node")))
+    single = linked.where("_kinds = 1").select(
+        *scope_cols, F.concat(F.lit("copies:"), F.col("_c").cast("string")).alias("cluster"), "member_pos", "id", "content")
+    mixed = linked.where("_kinds = 2").select(
+        *scope_cols, "_c", F.col("member_pos.created").alias("_o1"), F.col("member_pos.seq").alias("_o2"), "id", "content", "embedding")
     out_fields = [df.schema[c] for c in scope_cols] + [
-        T.StructField("cluster", T.LongType()), T.StructField("member_pos", T.LongType()),
-        T.StructField("id", T.StringType()), T.StructField("content", T.StringType())]
+        T.StructField("cluster", T.StringType()), T.StructField("created", df.schema["member_pos"].dataType["created"].dataType),
+        T.StructField("seq", T.LongType()), T.StructField("id", T.StringType()), T.StructField("content", T.StringType())]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("member_pos", kind="mergesort")
+        pdf = pdf.sort_values(["_o1", "_o2", "id"], kind="mergesort")
         idx = greedy_clusters(list(pdf["embedding"]), threshold, dim)
-        out = pdf[scope_cols + ["member_pos", "id", "content"]].copy()
-        out.insert(len(scope_cols), "cluster", np.asarray(idx, dtype=np.int64))
-        return out
+        out = pdf[scope_cols + ["_o1", "_o2", "id", "content"]].copy()
+        out.insert(len(scope_cols), "cluster", [f"{c}:{i}" for c, i in zip(pdf["_c"], idx)])
+        return out.rename(columns={"_o1": "created", "_o2": "seq"})
 
-    return df.groupBy(*scope_cols).applyInPandas(fold, T.StructType(out_fields))
+    folded = mixed.groupBy(*scope_cols, "_c").applyInPandas(fold, T.StructType(out_fields))
+    folded = folded.select(*scope_cols, "cluster", F.struct("created", "seq", "id").alias("member_pos"), "id", "content")
+    return alone.unionByName(single).unionByName(folded)
 
 
 def cluster_rollup(members: DataFrame, as_of: float, scope_cols: Sequence[str] = ("scope_id",),
-                   min_members: int = 2, include_members: bool = True) -> DataFrame:
+                   min_members: int = 2, include_members: bool = True, summary_chars: int = SUMMARY_CHARS) -> DataFrame:
     """One semantic memory per cluster with >= 2 members.
 
     Content ``"Summary of n events:\\n"`` + the first 512 characters of the
@@ -118,8 +154,8 @@ def cluster_rollup(members: DataFrame, as_of: float, scope_cols: Sequence[str] =
     ``min(1, .6 + .02 n)``; no embedding.
 
     Bounded per group whatever the cluster size: ``n`` is a partial count, and
-    only the first 512 members (each adds at least one character, the newline)
-    are collected for the text. The full member list (``member_ids`` and
+    only the first ``summary_chars + 1`` members are collected for the text (n
+    members give at least n - 1 newlines). The full member list (``member_ids`` and
     ``metadata_json.members``) is collected only with ``include_members``,
     for clusters that are bounded upstream (``consolidate`` caps them at
     ``max_items``); otherwise ``first_member`` is given.
@@ -130,7 +166,7 @@ def cluster_rollup(members: DataFrame, as_of: float, scope_cols: Sequence[str] =
                                        F.min_by("id", "member_pos").alias("first_member"))
     counts = counts.where(F.col("n_members") >= min_members)
     w = Window.partitionBy(*key).orderBy("member_pos")
-    head = members.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SUMMARY_CHARS)
+    head = members.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= summary_chars + 1)
     head = head.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("member_pos", "content"))).alias("_h"))
     g = counts.join(head, key)
@@ -147,7 +183,7 @@ def cluster_rollup(members: DataFrame, as_of: float, scope_cols: Sequence[str] =
         F.concat(F.lit("semantic:"), F.substring(hkey, 1, 16)).alias("id"),
         F.lit("semantic").alias("type"),
         F.concat(F.lit("Summary of "), F.col("n_members").cast("string"), F.lit(" events:\n"),
-                 F.substring(joined, 1, SUMMARY_CHARS)).alias("content"),
+                 F.substring(joined, 1, summary_chars)).alias("content"),
         F.lit(None).cast("array<float>").alias("embedding"),
         F.least(F.lit(1.0), F.lit(0.6) + F.lit(0.02) * F.col("n_members")).alias("importance"),
         F.lit(float(as_of)).alias("created_at"),
@@ -160,12 +196,17 @@ def cluster_rollup(members: DataFrame, as_of: float, scope_cols: Sequence[str] =
     return g.select(*cols)
 
 
-def consolidate(memories: DataFrame, as_of: float, max_items: int = CONSOLIDATE_MAX_ITEMS,
+def consolidate(memories: DataFrame, as_of: float, max_items: int | None = CONSOLIDATE_MAX_ITEMS,
                 threshold: float = CONSOLIDATE_THRESHOLD, scope_cols: Sequence[str] = ("scope_id",),
                 dim: int = VECTOR_DIM) -> DataFrame:
-    """K6: new semantic memory rows (sources are kept, as in the reference)."""
+    """K6: new semantic memory rows (sources are kept, as in the reference).
+
+    ``max_items=None`` takes every memory; the rows then name their first member instead of all of them.
+    """
     m = cluster_members(memories, max_items, threshold, scope_cols, dim)
-    return cluster_rollup(m, as_of, scope_cols)
+    if max_items is None:
+        m = materialize(m, "clusters")          # the fold runs once, not once per aggregate of the rollup
+    return cluster_rollup(m, as_of, scope_cols, include_members=max_items is not None)
 
 
 def centroids(df: DataFrame, group_cols: Sequence[str], emb_col: str = "embedding") -> DataFrame:
@@ -176,65 +217,67 @@ def centroids(df: DataFrame, group_cols: Sequence[str], emb_col: str = "embeddin
         .withColumn("pos", (F.col("pos") + 1).cast("long"))
 
 
-def _pairs_kernel(a_ids: list, a_seq: np.ndarray, amat: np.ndarray, threshold: float,
-                  id_type: pa.DataType, dim: int):
-    an = np.sqrt((amat * amat).sum(axis=1)) + COSINE_EPS
+def block_pairs(df: DataFrame, threshold: float, scope_col: str | None = None) -> DataFrame:
+    """``id_a, id_b, sim`` of rows (id, seq, embedding[, scope]) with ``seq_a < seq_b`` and cosine >= threshold.
 
-    def fn(batches: Iterator[pa.RecordBatch]):
+    Vectors are packed into blocks by their angle to a fixed direction; two blocks whose angles differ by more than the
+    threshold's angle hold no pair (triangle inequality) and never meet. Every other pair of blocks is one matrix
+    product in an executor. With ``scope_col`` only rows of one scope count.
+    """
+    keys = ["id", "seq", *([scope_col] if scope_col else [])]
+    base = df.select("id", F.col("seq").cast("long").alias("seq"), *([scope_col] if scope_col else []), F.col("embedding").alias("_emb"))
+    if scope_col:
+        base = base.withColumn(scope_col, F.xxhash64(scope_col))
+    packed = materialize(pack(base, "_emb", keys, ["seq"], angle_to_ones=True), "blocks")
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+    pairs = grid(packed, packed).where((F.col("a_block") <= F.col("b_block")) & (F.col("a_lo") <= F.col("b_hi") + reach)
+                                       & (F.col("b_lo") <= F.col("a_hi") + reach))
+    id_type = df.schema["id"].dataType
+    schema = T.StructType([T.StructField("id_a", id_type), T.StructField("id_b", id_type), T.StructField("sim", T.DoubleType())])
+    cols = ["dim", "a_block", "b_block", "a_mat", "b_mat", "a_id", "b_id", "a_seq", "b_seq"]
+    cols += [f"{s}_{scope_col}" for s in "ab"] if scope_col else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            col = rb.column(rb.schema.get_field_index("_emb"))
-            lens = pc.list_value_length(col).fill_null(-1).to_numpy(zero_copy_only=False)
-            idx = np.nonzero(lens == dim)[0]
-            if len(idx) == 0:
-                continue
-            sub = col.take(pa.array(idx))
-            m = np.asarray(sub.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
-            mn = np.sqrt((m * m).sum(axis=1)) + COSINE_EPS
-            bseq = rb.column(rb.schema.get_field_index("seq")).take(pa.array(idx)).to_numpy(zero_copy_only=False)
-            bids = rb.column(rb.schema.get_field_index("id")).take(pa.array(idx)).to_pylist()
-            for b0 in range(0, amat.shape[0], 1024):
-                s = (amat[b0:b0 + 1024] @ m.T) / np.outer(an[b0:b0 + 1024], mn)
-                ok = (s >= threshold) & (a_seq[b0:b0 + 1024, None] < bseq[None, :])
-                ai, bi = np.nonzero(ok)
-                if len(ai) == 0:
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([a_ids[b0 + i] for i in ai], type=id_type),
-                     pa.array([bids[j] for j in bi], type=id_type),
-                     pa.array(s[ai, bi], type=pa.float64())],
-                    names=["id_a", "id_b", "sim"])
-    return fn
+            for i in range(rb.num_rows):
+                dim, a, b = (rb.column(k)[i].as_py() for k in range(3))
+                x, y = matrix(rb.column(3)[i].as_py(), dim), matrix(rb.column(4)[i].as_py(), dim)
+                xn, yn = np.sqrt((x * x).sum(axis=1)) + COSINE_EPS, np.sqrt((y * y).sum(axis=1)) + COSINE_EPS
+                ids_a, ids_b = rb.column(5)[i].values, rb.column(6)[i].values
+                sa, sb = (rb.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (7, 8))
+                for lo in range(0, len(x), 512):
+                    sim = (x[lo:lo + 512] @ y.T) / np.outer(xn[lo:lo + 512], yn)
+                    ok = sim >= threshold
+                    if a == b:
+                        ok &= sa[lo:lo + 512, None] < sb
+                    if scope_col:
+                        ca, cb = (rb.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (9, 10))
+                        ok &= ca[lo:lo + 512, None] == cb
+                    r, c = np.nonzero(ok)
+                    if not len(r):
+                        continue
+                    swap = sa[r + lo] > sb[c]
+                    left, right = ids_a.take(pa.array(r + lo)), ids_b.take(pa.array(c))
+                    m = pa.array(swap)
+                    yield pa.RecordBatch.from_arrays(
+                        [pc.if_else(m, right, left), pc.if_else(m, left, right), pa.array(sim[r, c])], ["id_a", "id_b", "sim"])
+
+    return pairs.select(*cols).mapInArrow(run, schema)
 
 
 def near_duplicate_pairs(df: DataFrame, threshold: float, emb_col: str = "embedding") -> DataFrame:
-    """K7: all pairs ``id_a, id_b`` (``seq_a < seq_b``) with cosine >= threshold."""
-    spark = df.sparkSession
-    base = df.select("id", F.col("seq").cast("long").alias("seq"), F.col(emb_col).alias("_emb")) \
-        .where(F.col("_emb").isNotNull() & (F.size("_emb") > 0))
-    id_type = _arrow_type(df.schema["id"].dataType)
-    schema = T.StructType([T.StructField("id_a", df.schema["id"].dataType),
-                           T.StructField("id_b", df.schema["id"].dataType),
-                           T.StructField("sim", T.DoubleType())])
-    dims = [r[0] for r in base.select(F.size("_emb")).distinct().collect()]
-    parts = []
-    for d in dims:
-        bd = base.where(F.size("_emb") == d)
-        n = bd.count()
-        n_chunks = max(1, -(-n * (d * 8 + 64) // MAX_BROADCAST_BYTES))
-        for c in range(n_chunks):
-            chunk = bd if n_chunks == 1 else bd.where(F.pmod(F.xxhash64("id"), F.lit(n_chunks)) == c)
-            rows = chunk.collect()  # one size-checked chunk at a time
-            if not rows:
-                continue
-            amat = np.asarray([r["_emb"] for r in rows], dtype=np.float64)
-            fn = _pairs_kernel([r["id"] for r in rows], np.asarray([r["seq"] for r in rows], dtype=np.int64),
-                               amat, threshold, id_type, d)
-            parts.append(bd.mapInArrow(fn, schema))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """K7: pairs ``id_a, id_b, sim`` (``seq_a < seq_b``) with cosine >= threshold.
+
+    Equal vectors are one class, whose representative is the row of least ``seq``: the result has all pairs of
+    representatives, and one pair (representative, member) for every other row of a class, so a group
+    of copies gives as many rows as it has members.
+    """
+    base = df.select("id", F.col("seq").cast("long").alias("seq"), F.col(emb_col).alias("embedding")) \
+        .where(F.col(emb_col).isNotNull() & (F.size(emb_col) > 0))
+    base = base.withColumn("_h", F.xxhash64("embedding"))
+    first = base.groupBy("_h", "embedding").agg(F.min_by("id", "seq").alias("rep"), F.min("seq").alias("rep_seq"))
+    reps = first.select(F.col("rep").alias("id"), F.col("rep_seq").alias("seq"), "embedding")
+    among = block_pairs(reps, threshold)
+    others = base.join(first, ["_h", "embedding"]).where(F.col("seq") > F.col("rep_seq"))
+    stars = others.select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), cosine("embedding", "embedding").alias("sim"))
+    return among.unionByName(stars.where(F.col("sim") >= threshold))

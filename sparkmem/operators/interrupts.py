@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ("scope_id",)
@@ -40,6 +40,12 @@ def answer_interrupts(interrupts: DataFrame, answers: DataFrame,
     return answered, rejects
 
 
+def accepted_answers(interrupts: DataFrame, answers: DataFrame, scope_cols: Sequence[str] = KEY) -> DataFrame:
+    """Every answer that applies to an interrupt (not only the last one): ``scope, id, answer_text, answer_ts, answer_seq``."""
+    m = _matched(interrupts, answers, scope_cols).where(F.col("_valid"))
+    return m.select(*scope_cols, F.col("qid").alias("id"), "answer_text", "answer_ts", F.col("seq").alias("answer_seq"))
+
+
 def interrupt_state(interrupts: DataFrame, answers: DataFrame, scope_cols: Sequence[str] = KEY) -> DataFrame:
     """Every interrupt with ``answered``/``answer_text``/``answer_ts`` (nulls when open)."""
     answered, _ = answer_interrupts(interrupts, answers, scope_cols)
@@ -61,12 +67,15 @@ def get_interrupts(interrupts: DataFrame, answers: DataFrame, ids: DataFrame,
     return st.join(ids.select(*scope_cols, "id").distinct(), list(scope_cols) + ["id"], "left_semi")
 
 
+def interrupt_id(scope_cols: Sequence[str], seq_col: str, question_col: str) -> Column:
+    """``q:`` + hash of (scope, seq, question), so that two questions in one millisecond never collide."""
+    key = F.sha2(F.concat_ws("\u0001", *[F.col(c).cast("string") for c in scope_cols],
+                             F.col(seq_col).cast("string"), F.col(question_col)), 256)
+    return F.concat(F.lit("q:"), F.substring(key, 1, 16))
+
+
 def new_interrupt_rows(questions: DataFrame, scope_cols: Sequence[str] = KEY,
                        seq_col: str = "seq", ts_col: str = "ts") -> DataFrame:
-    """Interrupt log rows from extracted questions; id = ``q:`` + hash of
-    (scope, seq, question) so that two questions in one millisecond never collide."""
-    key = F.sha2(F.concat_ws("\u0001", *[F.col(c).cast("string") for c in scope_cols],
-                             F.col(seq_col).cast("string"), F.col("question")), 256)
-    return questions.select(*scope_cols, F.col(seq_col).alias("seq"),
-                            F.concat(F.lit("q:"), F.substring(key, 1, 16)).alias("id"),
+    """Interrupt log rows from extracted questions."""
+    return questions.select(*scope_cols, F.col(seq_col).alias("seq"), interrupt_id(scope_cols, seq_col, "question").alias("id"),
                             "question", "rationale", "required_fields", F.col(ts_col).alias("created_ts"))

@@ -23,8 +23,8 @@ from ..functions.text import PY_WS_CLASS
 
 # FIXED VALUES: schemes for which an empty-host URL is still written "scheme://"
 USES_NETLOC = ("", "ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "file", "mms",
-               "https", "shttp", "snews", "prospero", "rtsp", "rtspu", "rsync", "svn",
-               "svn+ssh", "sftp", "nfs", "git", "git+ssh", "ws", "wss")
+               "https", "shttp", "snews", "prospero", "rtsp", "rtsps", "rtspu", "rsync",
+               "svn", "svn+ssh", "sftp", "nfs", "git", "git+ssh", "ws", "wss", "itms-services")
 URL_IN_TEXT = "https?://[^" + PY_WS_CLASS[1:-1] + ")]+"
 
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)"
@@ -71,34 +71,39 @@ def normalize_urls(df: DataFrame, col: str, out_col: str | None = None) -> DataF
 # ---------------------------------------------------------------------------
 # B8 gate
 # ---------------------------------------------------------------------------
+def host_table(allow: DataFrame | Sequence[str], robots: DataFrame) -> DataFrame:
+    """One row per host: listed, known (a robots file was read), and its rules in order as one array."""
+    rules = robots.select(F.col("host").alias("_host"), F.lit(False).alias("_l"), F.lit(True).alias("_k"),
+                          F.when(F.col("rule_order").isNotNull(), F.struct("rule_order", "path_prefix", "allow")).alias("_rule"))
+    if isinstance(allow, DataFrame):
+        listed = allow.select(F.col("host").alias("_host"), F.lit(True).alias("_l"), F.lit(False).alias("_k"))
+        rules = rules.unionByName(listed, allowMissingColumns=True)
+    return rules.groupBy("_host").agg(F.max("_l").alias("_listed"), F.max("_k").alias("_known"),
+                                      F.array_sort(F.collect_set("_rule")).alias("_rules"))
+
+
 def gate_pages(df: DataFrame, url_col: str, allow: DataFrame | Sequence[str], robots: DataFrame,
                out_col: str = "allowed") -> DataFrame:
-    """Add ``out_col``. ``allow`` is a host list (``"*"`` = any) or a DataFrame ``host``."""
-    urls = df.select(F.col(url_col).alias("_u")).distinct()
-    urls = urls.withColumn("_host", url_host("_u")).withColumn(
-        "_path", F.when(F.length(url_parts("_u")[2]) > 0, url_parts("_u")[2]).otherwise(F.lit("/")))
-    wildcard = False
+    """Add ``out_col``. ``allow`` is a host list (``"*"`` = any) or a DataFrame ``host``.
+
+    One left join on the host with one row per host; the first rule (by ``rule_order``) whose prefix the path
+    starts with decides. Adaptive execution broadcasts the host table when it measured it as small and splits a
+    crowded host otherwise.
+    """
+    path = url_parts(url_col)[2]
+    d = df.withColumn("_host", url_host(url_col)).withColumn("_path", F.when(F.length(path) > 0, path).otherwise(F.lit("/")))
+    d = d.join(host_table(allow, robots), "_host", "left")
+    first = F.get(F.filter("_rules", lambda r: F.col("_path").startswith(r["path_prefix"])), F.lit(0))
+    robots_ok = F.coalesce(F.col("_known"), F.lit(False)) & F.coalesce(first["allow"], F.lit(True))
     if isinstance(allow, DataFrame):
-        listed = allow.select(F.col("host").alias("_host")).distinct().withColumn("_listed", F.lit(True))
-        urls = urls.join(listed, "_host", "left")
+        listed = F.coalesce(F.col("_listed"), F.lit(False))
     else:
         allow = list(allow)
-        wildcard = "*" in allow
-        urls = urls.withColumn("_listed", F.col("_host").isin(*allow) if allow else F.lit(False))
-    r = robots.select(F.col("host").alias("_host"), "rule_order", F.col("allow").alias("_rule_allow"), "path_prefix")
-    known = r.select("_host").distinct().withColumn("_known", F.lit(True))
-    matched = (urls.select("_u", "_host", "_path").join(r, "_host")
-               .where(F.col("rule_order").isNotNull() & F.col("_path").startswith(F.col("path_prefix")))
-               .groupBy("_u").agg(F.min_by("_rule_allow", "rule_order").alias("_decision")))
-    robots_ok = F.when(F.col("_known").isNull(), F.lit(False)).otherwise(F.coalesce(F.col("_decision"), F.lit(True)))
-    listed_ok = F.lit(True) if wildcard else F.coalesce(F.col("_listed"), F.lit(False))
-    verdict = (F.when(F.col("_u").startswith("file://"), F.lit(True))
+        listed = F.lit(True) if "*" in allow else F.col("_host").isin(*allow) if allow else F.lit(False)
+    verdict = (F.when(F.col(url_col).startswith("file://"), F.lit(True))
                .when(F.col("_host") == "", F.lit(False))
-               .when(~listed_ok, F.lit(False))
-               .otherwise(robots_ok))
-    decided = (urls.join(known, "_host", "left").join(matched, "_u", "left")
-               .select(F.col("_u"), verdict.alias(out_col)))
-    return df.join(decided, df[url_col] == decided["_u"], "left").drop("_u")
+               .otherwise(listed & robots_ok))
+    return d.withColumn(out_col, verdict).select(*df.columns, out_col)
 
 
 # ---------------------------------------------------------------------------
@@ -131,20 +136,25 @@ def extract_seed_urls(df: DataFrame, question_col: str, allow,
 # ---------------------------------------------------------------------------
 # G2 plans
 # ---------------------------------------------------------------------------
-def plan_pages(seeds: DataFrame, max_pages: int | str = SCRAPER_MAX_PAGES,
-               global_cap: int = SCRAPER_MAX_PAGES) -> DataFrame:
+def plan_pages(seeds: DataFrame, max_pages: int | str | None = SCRAPER_MAX_PAGES,
+               global_cap: int | None = SCRAPER_MAX_PAGES) -> DataFrame:
     """URLs a plan visits, in order (``visit``), before gating.
 
     ``seeds``: ``plan_id, pos, seed`` (long form) or ``plan_id, seeds`` (array).
     Seeds are cut to ``global_cap`` first, normalised, de-duplicated keeping
     the first, and at most ``max_pages`` (an int or a column name) are kept;
-    denied URLs still count, as they do in the crawl loop.
+    denied URLs still count, as they do in the crawl loop. ``None`` lifts a
+    limit; without ``max_pages`` the visit order is the seed's position, so no
+    plan is numbered whole in one task.
     """
     if "seeds" in seeds.columns and "seed" not in seeds.columns:
         seeds = seeds.select("*", F.posexplode("seeds").alias("pos", "seed")).drop("seeds")
-    s = seeds.where(F.col("pos") < global_cap).withColumn("url", normalize_url("seed"))
+    s = seeds if global_cap is None else seeds.where(F.col("pos") < global_cap)
+    s = s.withColumn("url", normalize_url("seed"))
     keep = [c for c in ([max_pages] if isinstance(max_pages, str) else [])]
     first = s.groupBy("plan_id", "url", *keep).agg(F.min("pos").alias("pos"))
+    if max_pages is None:
+        return first.withColumn("visit", (F.col("pos") + 1).cast("long"))
     w = Window.partitionBy("plan_id").orderBy("pos")
     limit = F.col(max_pages) if isinstance(max_pages, str) else F.lit(int(max_pages))
     return first.withColumn("visit", F.row_number().over(w).cast("long")).where(F.col("visit") <= limit)
@@ -174,19 +184,16 @@ class _PageParser(HTMLParser):
         self._flush()
         if tag in self.SKIP:
             self._skip += 1
-        if tag == "a":
-            for k, v in attrs:
-                if k == "href" and v is not None:
-                    self.links.append(v.strip())
-                    break
+        self._link(tag, attrs)
 
     def handle_startendtag(self, tag, attrs):
         self._flush()
-        if tag == "a":
-            for k, v in attrs:
-                if k == "href" and v is not None:
-                    self.links.append(v.strip())
-                    break
+        self._link(tag, attrs)
+
+    def _link(self, tag, attrs):
+        href = dict(attrs).get("href") if tag == "a" else None    # of a repeated attribute the last counts
+        if href is not None:
+            self.links.append(href.strip())
 
     def handle_endtag(self, tag):
         self._flush()
@@ -218,15 +225,16 @@ def parse_html(html: str | None) -> tuple[str, list[str]]:
     return "\n".join(p.texts), p.links
 
 
-def extract_pages(pages: DataFrame, html_col: str = "html", keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
-    """Add ``text`` and ``links`` from the HTML (mapInPandas, stdlib parser)."""
+def extract_pages(pages: DataFrame, html_col: str = "html", keep: Sequence[str] = ("page_id", "url"),
+                  partitions: int | None = None) -> DataFrame:
+    """Add ``text`` and ``links`` from the HTML (mapInPandas, stdlib parser).
+
+    ``partitions`` spreads the parsing over that many tasks (for an input of few splits).
+    """
     keep = list(keep)
     src = pages.select(*keep, html_col)
-    # parsing is Python work: give it at least one task per core (no shuffle when
-    # the input already has more partitions, as it does at scale)
-    par = src.sparkSession.sparkContext.defaultParallelism
-    if src.rdd.getNumPartitions() < par:
-        src = src.repartition(par)
+    if partitions:
+        src = src.repartition(partitions)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keep)
     schema = f"{fields}, text string, links array<string>"
 
@@ -255,40 +263,65 @@ def link_frontier(fetched: DataFrame, allow, robots: DataFrame, visited: DataFra
     ex = ex.where(~F.col("href").startswith("#") & ~F.col("href").startswith("mailto:"))
     resolved = F.when(F.col("href").startswith("/"),
                       F.concat(F.col("_ps"), F.lit("://"), F.col("src_host"), F.col("href"))).otherwise(F.col("href"))
-    links = ex.select("src_host", normalize_url(resolved).alias("link"))
-    # the gate reads its input more than once: parse the HTML once, not per use
-    from ..session import materialize
-    links = materialize(links, "links")
+    # one row per link before the gate: fewer rows to join, and no distinct after it
+    links = ex.select("src_host", normalize_url(resolved).alias("link")).distinct()
     links = gate_pages(links, "link", allow, robots).where(F.col("allowed"))
     if same_domain_only:
         links = links.where(url_host("link") == F.col("src_host"))
-    out = links.select("src_host", F.col("link").alias("url")).distinct()
+    out = links.select("src_host", F.col("link").alias("url"))
     if visited is not None:
         out = out.join(visited.select(F.col("url")).distinct(), "url", "left_anti")
     return out
 
 
+def _same_host_links(fetched: DataFrame, allow, robots: DataFrame) -> DataFrame:
+    """Distinct gated same-host links of each plan's pages."""
+    scheme, host, _ = url_parts("url")
+    ex = fetched.select("plan_id", scheme.alias("_ps"), host.alias("_src"), F.explode("links").alias("href"))
+    ex = ex.where(~F.col("href").startswith("#") & ~F.col("href").startswith("mailto:"))
+    full = F.when(F.col("href").startswith("/"), F.concat("_ps", F.lit("://"), "_src", "href")).otherwise(F.col("href"))
+    ex = ex.select("plan_id", "_src", normalize_url(full).alias("url")).where(url_host("url") == F.col("_src"))
+    return gate_pages(ex.select("plan_id", "url").distinct(), "url", allow, robots).where("allowed").select("plan_id", "url")
+
+
 # ---------------------------------------------------------------------------
 # K5 pages -> memories
 # ---------------------------------------------------------------------------
 def pages_to_memories(seeds: DataFrame, pages: DataFrame, allow, robots: DataFrame, as_of: float,
-                      max_pages: int | str = SCRAPER_MAX_PAGES, embed=None) -> DataFrame:
+                      max_pages: int | str | None = SCRAPER_MAX_PAGES, embed=None,
+                      global_cap: int | None = SCRAPER_MAX_PAGES, text_chars: int | None = SCRAPE_TEXT_CHARS,
+                      max_hops: int = 0, partitions: int | None = None) -> DataFrame:
     """K5: crawl plans over already-fetched pages -> semantic memory rows.
 
     The page for a visited URL is the lowest ``page_id`` whose normalised URL
-    equals it; a URL without one is a failed fetch and is skipped.
+    equals it; a URL without one is a failed fetch and is skipped. The visits
+    find their ``page_id`` without the HTML, which is then read for those pages
+    only. ``max_hops`` follows that many rounds of gated links on the page's own host
+    (``visit`` goes on after the plan's last one); ``text_chars=None`` keeps the whole text.
     """
     from ..operators.providers import embed_table
-    visits = plan_pages(seeds, max_pages)
-    visits = gate_pages(visits, "url", allow, robots).where(F.col("allowed"))
-    pn = pages.select("page_id", normalize_url("url").alias("url"), "html")
-    first = pn.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    fetched = pn.join(first, ["url", "page_id"])
-    fetched = visits.join(fetched, "url")
-    from ..session import materialize
-    ex = materialize(extract_pages(fetched, keep=("plan_id", "visit", "page_id", "url")), "fetched")
-    text = F.substring(F.col("text"), 1, SCRAPE_TEXT_CHARS)
-    ex = ex.withColumn("_text", text)
+    visits = plan_pages(seeds, max_pages, global_cap)
+    visits = gate_pages(visits, "url", allow, robots).where(F.col("allowed")).select("plan_id", "visit", "url")
+    where = pages.select("page_id", normalize_url("url").alias("url")).groupBy("url").agg(F.min("page_id").alias("page_id"))
+
+    def fetch(v: DataFrame) -> DataFrame:
+        got = v.join(where, "url").join(pages.select("page_id", "html"), "page_id")
+        return extract_pages(got, keep=("plan_id", "visit", "page_id", "url"), partitions=partitions)
+
+    ex = fetch(visits)
+    if max_hops:
+        from ..session import materialize
+        ex = materialize(ex, "fetched")
+        seen, last = visits.select("plan_id", "url"), ex
+        for hop in range(1, max_hops + 1):
+            links = last.select("plan_id", "url", "links")
+            nxt = _same_host_links(links, allow, robots).join(seen, ["plan_id", "url"], "left_anti")
+            # the order within a hop: by URL, after all visits of the hops before
+            nxt = nxt.select("plan_id", F.lit(int(1e9) * hop).cast("long").alias("visit"), "url")
+            last = materialize(fetch(nxt), "fetched")
+            seen = materialize(seen.unionByName(nxt.select("plan_id", "url")), "seen")
+            ex = ex.unionByName(last)
+    ex = ex.withColumn("_text", F.col("text") if text_chars is None else F.substring(F.col("text"), 1, text_chars))
     embed = embed or (lambda df, c, o: embed_table(df, c, out_col=o))
     ex = embed(ex, "_text", "embedding")
     key = F.sha2(F.concat_ws("\u0001", F.col("plan_id"), F.col("url")), 256)

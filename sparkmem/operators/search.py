@@ -2,15 +2,14 @@
 
 Scale notes.
 
-* Keyword search for a batch of queries is a theta join (``content_lc``
-  contains the query): the query side is broadcast only after its size is
-  checked, and split into several broadcast chunks beyond the limit. Only
-  matching pairs are produced, and ``row_number() <= k`` per query is planned
-  as a partial WindowGroupLimit before the shuffle.
-* Vector search scans the memories once per query chunk with an Arrow kernel
-  (a numpy matrix product against the broadcast query matrix). Each task keeps
-  only a local top-k per query (ties at the cut kept), so at most
-  ``k x queries`` rows per partition reach the final ranking.
+* Keyword search for a batch of queries is an equi-join on words (see
+  ``keyword_search_batch``); only matching pairs are produced, and
+  ``row_number() <= k`` per query is planned as a partial WindowGroupLimit
+  before the shuffle.
+* Vector search pairs packed blocks of queries and memories in the executors
+  (one numpy matrix product per pair). A pair keeps only a local top-k per
+  query, so at most ``k`` rows per query and memory block reach the final
+  ranking.
 * Per-scope retrieval (each query sees only its scope's memories) is an
   equi-join on the scope; AQE's skew-join handling splits a hot scope, and
   ``salt`` spreads it explicitly when wanted.
@@ -21,9 +20,7 @@ from __future__ import annotations
 from typing import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,10 +28,10 @@ from pyspark.sql import types as T
 from ..constants import COSINE_EPS, TOPK_DEFAULT
 from ..functions.text import count_occurrences, py_strip
 from ..functions.vector import has_vector, l2norm
+from .blocks import grid, matrix, pack
 
-# Query batches up to this many bytes (ids + vectors) travel as one broadcast.
-MAX_BROADCAST_BYTES = 64 << 20
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 512
+LANES = 64                 # blocks of word-less queries, and lanes of texts they meet
 
 
 def _check_k(k: int) -> int:
@@ -75,227 +72,94 @@ def keyword_search(memories: DataFrame, query: str, k: int = TOPK_DEFAULT,
     return _rank(hits, scope_cols, order, k)
 
 
-def _count_rows(df: DataFrame) -> int:
-    return int(df.count())
-
-
-def _chunks(queries: DataFrame, n_rows: int, row_bytes: int, id_col: str) -> list[DataFrame]:
-    n_chunks = max(1, -(-n_rows * row_bytes // MAX_BROADCAST_BYTES))
-    if n_chunks == 1:
-        return [queries]
-    b = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_chunks))
-    return [queries.where(b == i) for i in range(n_chunks)]
-
-
-def _automaton_kernel(qids: list, queries: list, k: int, qtype: pa.DataType):
-    """mapInArrow function: one Aho-Corasick pass per document for all queries;
-    non-overlapping counts per query; local top-k per query (total order)."""
-    state = {}
-
-    def automaton():
-        if "a" not in state:
-            import ahocorasick
-            a = ahocorasick.Automaton()
-            for i, q in enumerate(queries):
-                if q in state.setdefault("idx", {}):
-                    state["idx"][q].append(i)
-                    continue
-                state["idx"][q] = [i]
-                a.add_word(q, q)
-            a.make_automaton()
-            state["a"] = a
-        return state["a"], state["idx"]
-
-    def fn(batches):
-        a, idx = automaton()
-        best = None
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            texts = rb.column(rb.schema.get_field_index("_lc")).to_pylist()
-            ids = rb.column(rb.schema.get_field_index("id")).to_pylist()
-            seqs = rb.column(rb.schema.get_field_index("seq")).to_pylist()
-            qi_l, sc_l, row_l = [], [], []
-            for r, t in enumerate(texts):
-                if not t:
-                    continue
-                last_end, counts = {}, {}
-                for end, q in a.iter(t):
-                    start = end - len(q) + 1
-                    if start >= last_end.get(q, 0):
-                        counts[q] = counts.get(q, 0) + 1
-                        last_end[q] = end + 1
-                for q, c in counts.items():
-                    for qi in idx[q]:
-                        qi_l.append(qi)
-                        sc_l.append(c)
-                        row_l.append(r)
-            if not qi_l:
-                continue
-            f = pd.DataFrame({"_qi": qi_l, "score": sc_l,
-                              "seq": [seqs[r] for r in row_l], "id": [ids[r] for r in row_l]})
-            f = pd.concat([best, f], ignore_index=True) if best is not None else f
-            f = f.sort_values(["_qi", "score", "seq", "id"], ascending=[True, False, True, True], kind="mergesort")
-            best = f.groupby("_qi", sort=False).head(k)
-        if best is None or best.empty:
-            return
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([qids[i] for i in best["_qi"]], type=qtype), pa.array(best["id"].tolist(), type=pa.string()),
-             pa.array(best["seq"].tolist(), type=pa.int64()), pa.array(best["score"].tolist(), type=pa.int64())],
-            names=["qid", "id", "seq", "score"])
-
-    return fn
-
-
 def keyword_search_batch(memories: DataFrame, queries: DataFrame, k: int = TOPK_DEFAULT,
-                         qid_col: str = "qid", query_col: str = "query", method: str = "auto") -> DataFrame:
-    """F1 for a table of queries: best ``k`` memories per query id.
-
-    ``method="automaton"`` (default when pyahocorasick is importable): the
-    size-checked query chunk becomes one Aho-Corasick automaton per task and
-    each document is scanned once for all queries. ``"join"``: a broadcast
-    theta join on ``contains``. Both count non-overlapping occurrences of the
-    lower-cased query in the lower-cased content.
+                         qid_col: str = "qid", query_col: str = "query") -> DataFrame:
+    """F1 for a table of queries: ``qid, id, seq, score, rank`` of the best ``k`` memories per query.
+
+    A text that contains a query contains the query's inner words (those with white space on both sides
+    within it) as whole words, so queries meet the texts by an equi-join of their longest inner word with the texts' distinct
+    words, and ``contains`` decides on what meets. Queries without an inner word go, in blocks, over all texts.
+    Both parts are plain joins without a driver step; adaptive execution broadcasts whichever side it measured as small.
     """
     k = _check_k(k)
-    if method == "auto":
-        try:
-            import ahocorasick  # noqa: F401
-            method = "automaton"
-        except ImportError:
-            method = "join"
     q = (queries.where(F.length(py_strip(query_col)) > 0)
          .select(F.col(qid_col).alias("qid"), F.lower(F.col(query_col)).alias("_ql")))
-    n = _count_rows(q)
-    avg = q.agg(F.avg(F.length("_ql"))).first()[0] or 0
-    order = [F.col("score").desc(), F.col("seq").asc(), F.col("id").asc()]
-    if method == "automaton":
-        spark = memories.sparkSession
-        qtype = _arrow_type(q.schema["qid"].dataType)
-        mem = memories.select("id", F.col("seq").cast("long").alias("seq"), _lc(memories).alias("_lc"))
-        schema = T.StructType([T.StructField("qid", q.schema["qid"].dataType), T.StructField("id", T.StringType()),
-                               T.StructField("seq", T.LongType()), T.StructField("score", T.LongType())])
-        parts = []
-        for chunk in _chunks(q, n, int(avg) + 64, "qid"):
-            rows = chunk.collect()  # bounded by MAX_BROADCAST_BYTES
-            if rows:
-                fn = _automaton_kernel([r["qid"] for r in rows], [r["_ql"] for r in rows], k, qtype)
-                parts.append(mem.mapInArrow(fn, schema))
-        if not parts:
-            return spark.createDataFrame([], schema).withColumn("rank", F.lit(0).cast("long"))
-        hits = parts[0]
-        for p in parts[1:]:
-            hits = hits.unionByName(p)
-        return _rank(hits, ["qid"], order, k)
-    mem = memories.select(*[c for c in memories.columns if c != "content_lc"], _lc(memories).alias("_lc"))
-    parts = []
-    for chunk in _chunks(q, n, int(avg) + 64, "qid"):
-        parts.append(mem.join(F.broadcast(chunk), F.col("_lc").contains(F.col("_ql")), "inner"))
-    pairs = parts[0]
-    for p in parts[1:]:
-        pairs = pairs.unionByName(p)
-    scored = pairs.withColumn("score", count_occurrences(F.col("_lc"), F.col("_ql"))).drop("_lc", "_ql")
-    return _rank(scored, ["qid"], order, k)
+    words = F.split("_ql", r"\s+")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.length(w) > 0)
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    q = q.withColumn("_word", F.when(F.size(inner) > 0, longest))
+    mem = memories.select("id", F.col("seq").cast("long").alias("seq"), _lc(memories).alias("_lc"))
+    # by an inner word
+    keyed = q.where(F.col("_word").isNotNull())
+    seen = mem.select("id", "seq", F.explode(F.array_distinct(F.split("_lc", r"\s+"))).alias("_word"))
+    cand = seen.join(keyed, "_word").select("qid", "_ql", "id", "seq")
+    by_word = cand.join(mem, ["id", "seq"]).where(F.col("_lc").contains(F.col("_ql")))
+    # without one: blocks of queries against lanes of texts
+    short = q.where(F.col("_word").isNull())
+    blocks = (short.groupBy(F.pmod(F.xxhash64("qid"), F.lit(LANES)).alias("_b"))
+              .agg(F.collect_list(F.struct("qid", "_ql")).alias("_qs"))
+              .select("_qs", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("_lane")))
+    lanes = mem.withColumn("_lane", F.pmod(F.xxhash64("id", "seq"), F.lit(LANES)).cast("int"))
+    met = lanes.join(blocks, "_lane").select(
+        "id", "seq", "_lc", F.explode(F.filter("_qs", lambda x: F.col("_lc").contains(x["_ql"]))).alias("_q"))
+    rest = met.select(F.col("_q.qid").alias("qid"), F.col("_q._ql").alias("_ql"), "id", "seq", "_lc")
+    hits = by_word.select("qid", "_ql", "id", "seq", "_lc").unionByName(rest)
+    scored = hits.select("qid", "id", "seq", count_occurrences(F.col("_lc"), F.col("_ql")).cast("long").alias("score"))
+    return _rank(scored, ["qid"], [F.col("score").desc(), F.col("seq").asc(), F.col("id").asc()], k)
 
 
 # ---------------------------------------------------------------------------
 # F2 / C3 vector
 # ---------------------------------------------------------------------------
-def _topk_kernel(qids: list, qtype: pa.DataType, qmat: np.ndarray, k: int,
-                 emb_col: str, key_cols: Sequence[str], key_types: Sequence[pa.DataType]):
-    """mapInArrow function: local top-k (ties at the cut kept) per query."""
-    dim = qmat.shape[1]
-    qn = np.sqrt((qmat * qmat).sum(axis=1)) + COSINE_EPS
-    qids_arr = np.array(qids, dtype=object)
-
-    def reduce(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["_qi", "sim", "seq", "id"], ascending=[True, False, True, True],
-                                  kind="mergesort")
-        return frame.groupby("_qi", sort=False).head(k)
-
-    def fn(batches):
-        best = None
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            col = rb.column(rb.schema.get_field_index(emb_col))
-            lens = pc.list_value_length(col).fill_null(-1).to_numpy(zero_copy_only=False)
-            valid = lens == dim
-            if not valid.any():
-                continue
-            idx = np.nonzero(valid)[0]
-            sub = col.take(pa.array(idx))
-            m = np.asarray(sub.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
-            mn = np.sqrt((m * m).sum(axis=1)) + COSINE_EPS
-            keys = {c: rb.column(rb.schema.get_field_index(c)).take(pa.array(idx)).to_pylist()
-                    for c in list(key_cols) + ["seq"]}
-            n = m.shape[0]
-            frames = []
-            for b0 in range(0, qmat.shape[0], QUERY_BLOCK):
-                s = (qmat[b0:b0 + QUERY_BLOCK] @ m.T) / np.outer(qn[b0:b0 + QUERY_BLOCK], mn)
-                if n > k:
-                    kth = np.partition(s, n - k, axis=1)[:, n - k]
-                    qi, mi = np.nonzero(s >= kth[:, None])
-                else:
-                    qi, mi = np.nonzero(np.ones_like(s, dtype=bool))
-                f = pd.DataFrame({"_qi": qi + b0, "sim": s[qi, mi], "_mi": mi})
-                frames.append(f)
-            f = pd.concat(frames, ignore_index=True)
-            for c, vals in keys.items():
-                f[c] = np.asarray(vals, dtype=object)[f["_mi"].to_numpy()]
-            f = f.drop(columns=["_mi"])
-            best = reduce(f if best is None else pd.concat([best, f], ignore_index=True))
-        if best is None or best.empty:
-            return
-        arrays = [pa.array(qids_arr[best["_qi"].to_numpy()].tolist(), type=qtype)]
-        arrays += [pa.array(best[c].tolist(), type=t) for c, t in zip(key_cols, key_types)]
-        arrays += [pa.array(best["seq"].tolist(), type=pa.int64()), pa.array(best["sim"].to_numpy(), type=pa.float64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["qid", *key_cols, "seq", "sim"])
-
-    return fn
-
-
-def _arrow_type(dt: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-    return to_arrow_type(dt)
+def _best_of_block(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest of each row; of equal values the first columns."""
+    n = sim.shape[1]
+    if n <= k:
+        return np.divmod(np.arange(sim.size), n)
+    cut = np.partition(sim, n - k, axis=1)[:, n - k][:, None]
+    above, tie = sim > cut, sim == cut
+    room = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (tie & (np.cumsum(tie, axis=1) <= room)))
 
 
 def vector_hits(memories: DataFrame, queries: DataFrame, k: int = TOPK_DEFAULT,
                 qid_col: str = "qid", qvec_col: str = "embedding", emb_col: str = "embedding",
                 key_cols: Sequence[str] = ("id",)) -> DataFrame:
-    """C3 (shared store): top-``k`` (qid, key, seq, sim) for every query vector
-    against every memory of the same dimension (null / empty vectors dropped)."""
+    """C3 (shared store): top-``k`` (qid, key, seq, sim, rank) for every query vector
+    against every memory of the same dimension (null / empty vectors dropped).
+
+    Queries and memories are packed into blocks in the executors and every pair of blocks is one matrix product; a
+    pair gives its local top-k per query (ties by seq and key), and the final rank runs over those.
+    """
     k = _check_k(k)
-    spark = memories.sparkSession
-    q = queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("_qv")).where(has_vector("_qv"))
-    qtype = _arrow_type(q.schema["qid"].dataType)
-    key_types = [_arrow_type(memories.schema[c].dataType) for c in key_cols]
-    mem = memories.select(*key_cols, F.col("seq").cast("long").alias("seq"),
-                          F.col(emb_col).alias("_emb")).where(has_vector("_emb"))
+    keys = list(key_cols)
+    q = queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("_qv"))
+    mem = memories.select(*keys, F.col("seq").cast("long").alias("seq"), F.col(emb_col).alias("_emb"))
     out_schema = T.StructType([T.StructField("qid", q.schema["qid"].dataType)]
-                              + [T.StructField(c, memories.schema[c].dataType) for c in key_cols]
+                              + [T.StructField(c, memories.schema[c].dataType) for c in keys]
                               + [T.StructField("seq", T.LongType()), T.StructField("sim", T.DoubleType())])
-    n = _count_rows(q)
-    if n == 0 or k == 0:
-        return spark.createDataFrame([], out_schema).withColumn("rank", F.lit(0).cast("long"))
-    dims = [r[0] for r in q.select(F.size("_qv").alias("d")).distinct().collect()]
-    row_bytes = max(dims) * 8 + 64
-    parts = []
-    for d in dims:
-        qd = q.where(F.size("_qv") == d)
-        for chunk in _chunks(qd, n, row_bytes, "qid"):
-            rows = chunk.collect()  # bounded by MAX_BROADCAST_BYTES
-            if not rows:
-                continue
-            qmat = np.asarray([r["_qv"] for r in rows], dtype=np.float64)
-            fn = _topk_kernel([r["qid"] for r in rows], qtype, qmat, k, "_emb", list(key_cols), key_types)
-            parts.append(mem.where(F.size("_emb") == d).mapInArrow(fn, out_schema))
-    if not parts:
-        return spark.createDataFrame([], out_schema).withColumn("rank", F.lit(0).cast("long"))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    order = [F.col("sim").desc(), F.col("seq").asc()] + [F.col(c).asc() for c in key_cols]
+    if k == 0:
+        return memories.sparkSession.createDataFrame([], out_schema).withColumn("rank", F.lit(0).cast("long"))
+    pairs = grid(pack(q, "_qv", ["qid"], []), pack(mem, "_emb", [*keys, "seq"], ["seq", *keys]))
+    cols = ["dim", "a_qid", "a_mat", "b_mat", "b_seq", *["b_" + c for c in keys]]
+
+    def run(batches):
+        for rb in batches:
+            for i in range(rb.num_rows):
+                dim = rb.column(0)[i].as_py()
+                qids = rb.column(1)[i].values
+                x, y = matrix(rb.column(2)[i].as_py(), dim), matrix(rb.column(3)[i].as_py(), dim)
+                xn, yn = np.sqrt((x * x).sum(axis=1)) + COSINE_EPS, np.sqrt((y * y).sum(axis=1)) + COSINE_EPS
+                for lo in range(0, len(x), QUERY_BLOCK):
+                    sim = (x[lo:lo + QUERY_BLOCK] @ y.T) / np.outer(xn[lo:lo + QUERY_BLOCK], yn)
+                    r, c = _best_of_block(sim, k)
+                    at = pa.array(c)
+                    yield pa.RecordBatch.from_arrays(
+                        [qids.take(pa.array(r + lo)), *[rb.column(5 + j)[i].values.take(at) for j in range(len(keys))],
+                         rb.column(4)[i].values.take(at), pa.array(sim[r, c])], ["qid", *keys, "seq", "sim"])
+
+    hits = pairs.select(*cols).mapInArrow(run, out_schema)
+    order = [F.col("sim").desc(), F.col("seq").asc()] + [F.col(c).asc() for c in keys]
     return _rank(hits, ["qid"], order, k)
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import TASK_DAY_SECONDS, TASK_HOUR_SECONDS, TASK_WEIGHTS, TOPK_DEFAULT
-from .log import latest_by_key
 
 SCOPE = ("scope_id",)
 
@@ -47,25 +46,40 @@ def score_tasks(df: DataFrame, as_of, weights: Sequence[float] = TASK_WEIGHTS,
 
 
 def current_tasks(log: DataFrame, key_cols: Sequence[str] = ("scope_id", "id")) -> DataFrame:
-    """Latest version per task, with ``first_seq`` (first insertion, the tie-break)."""
-    first = log.groupBy(*key_cols).agg(F.min("seq").alias("first_seq"))
-    return latest_by_key(log, list(key_cols)).join(first, list(key_cols))
+    """Latest version per task, with ``first_seq`` (first insertion, the tie-break): one aggregate over the log."""
+    key_cols = list(key_cols)
+    others = [c for c in log.columns if c not in key_cols]
+    agg = log.groupBy(*key_cols).agg(F.min("seq").alias("first_seq"),
+                                     F.max_by(F.struct(*[F.col(c) for c in others]), F.col("seq")).alias("_r"))
+    return agg.select(*key_cols, *[F.col("_r")[c].alias(c) for c in others], "first_seq")
+
+
+def _clock(tasks: DataFrame, as_of, rescore_at) -> Column:
+    """When a task is scored: at ``rescore_at`` if given, else at the row's own ``scored_at`` (the score is frozen
+    when a version is added), else at ``as_of``."""
+    if rescore_at is not None:
+        return rescore_at if isinstance(rescore_at, Column) else F.lit(float(rescore_at))
+    now = as_of if isinstance(as_of, Column) else F.lit(float(as_of))
+    return F.coalesce(F.col("scored_at"), now) if "scored_at" in tasks.columns else now
 
 
-def _ranked(tasks: DataFrame, as_of, k: int, scope_cols, weights, statuses) -> DataFrame:
+def _ranked(tasks: DataFrame, as_of, k: int, scope_cols, weights, statuses, rescore_at=None) -> DataFrame:
     t = tasks if statuses is None else tasks.where(F.col("status").isin(*statuses))
-    t = score_tasks(t, as_of, weights)
+    t = score_tasks(t, _clock(t, as_of, rescore_at), weights)
     order = [F.col("score").desc(), F.col("first_seq").asc(), F.col("id").asc()]
     w = Window.partitionBy(*scope_cols).orderBy(*order)
     return t.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def top_tasks(log: DataFrame, as_of, k: int = TOPK_DEFAULT, scope_cols: Sequence[str] = SCOPE,
-              weights: Sequence[float] = TASK_WEIGHTS, statuses: Sequence[str] | None = None) -> DataFrame:
-    """best ``k`` current tasks per scope (status does not filter unless asked)."""
+              weights: Sequence[float] = TASK_WEIGHTS, statuses: Sequence[str] | None = None, rescore_at=None) -> DataFrame:
+    """best ``k`` current tasks per scope (status does not filter unless asked).
+
+    A log with ``scored_at`` keeps each version's score as of that time; ``rescore_at`` scores all anew.
+    """
     if k < 0:
         raise ValueError("k must be >= 0")
-    return _ranked(current_tasks(log, list(scope_cols) + ["id"]), as_of, k, scope_cols, weights, statuses)
+    return _ranked(current_tasks(log, list(scope_cols) + ["id"]), as_of, k, scope_cols, weights, statuses, rescore_at)
 
 
 def _unclaimed(log: DataFrame, claims: DataFrame | None, scope_cols) -> DataFrame:
@@ -77,19 +91,19 @@ def _unclaimed(log: DataFrame, claims: DataFrame | None, scope_cols) -> DataFram
 
 
 def peek_task(log: DataFrame, as_of, claims: DataFrame | None = None,
-              scope_cols: Sequence[str] = SCOPE, weights: Sequence[float] = TASK_WEIGHTS) -> DataFrame:
+              scope_cols: Sequence[str] = SCOPE, weights: Sequence[float] = TASK_WEIGHTS, rescore_at=None) -> DataFrame:
     """highest-scored unclaimed task per scope (``task_id``, ``score``)."""
-    best = _ranked(_unclaimed(log, claims, scope_cols), as_of, 1, scope_cols, weights, None)
+    best = _ranked(_unclaimed(log, claims, scope_cols), as_of, 1, scope_cols, weights, None, rescore_at)
     return best.select(*scope_cols, F.col("id").alias("task_id"), "score")
 
 
 def claim_next_tasks(log: DataFrame, as_of, claims: DataFrame | None = None, n: int = 1,
                      scope_cols: Sequence[str] = SCOPE,
-                     weights: Sequence[float] = TASK_WEIGHTS) -> tuple[DataFrame, DataFrame]:
+                     weights: Sequence[float] = TASK_WEIGHTS, rescore_at=None) -> tuple[DataFrame, DataFrame]:
     """pop the best ``n`` unclaimed tasks per scope.
 
     Returns ``(claimed tasks with rank, claim rows to append)``.
     """
-    best = _ranked(_unclaimed(log, claims, scope_cols), as_of, n, scope_cols, weights, None)
+    best = _ranked(_unclaimed(log, claims, scope_cols), as_of, n, scope_cols, weights, None, rescore_at)
     new_claims = best.select(*scope_cols, "id", F.col("seq").alias("version_seq"))
     return best, new_claims

@@ -78,6 +78,13 @@ def route_store_decisions(df: DataFrame, raw_col: str = "decision_raw",
             .drop("_v", "_should", "_not_obj"))
 
 
+def question_column(df: DataFrame, content_col: str = "content", out_col: str = "question") -> DataFrame:
+    """B4 as a column: the question a thought asks, null for any other thought."""
+    c = F.col(content_col)
+    df = df.withColumn("_q", F.when(c.startswith("#question"), py_strip(F.substring(c, len("#question") + 1, 1 << 30))))
+    return df.withColumn(out_col, F.when(F.length("_q") > 0, F.col("_q"))).drop("_q")
+
+
 def extract_questions(df: DataFrame, content_col: str = "content") -> DataFrame:
     """Rows starting with ``#question`` whose stripped remainder is non-empty
     -> ``question`` and ``rationale`` columns."""

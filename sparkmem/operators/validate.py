@@ -57,7 +57,8 @@ PHONE_MASK = "[PHONE]"
 
 
 def redact_pii(df: DataFrame, col: str = "content", out_col: str | None = None) -> DataFrame:
-    """Mask e-mail addresses, then phone numbers, before a text is stored or embedded."""
+    """Mask e-mail addresses, then phone numbers (no digit before or after: a card number
+    is none), before a text is stored or embedded."""
     c = F.regexp_replace(F.col(col), EMAIL_PATTERN, EMAIL_MASK)
-    c = F.regexp_replace(c, PHONE_PATTERN, PHONE_MASK)
+    c = F.regexp_replace(c, "(?<![0-9])" + PHONE_PATTERN + "(?![0-9])", PHONE_MASK)
     return df.withColumn(out_col or col, c)

@@ -6,10 +6,11 @@ the running sum is monotone, so that is exactly ``running_sum <= budget``.
 
 Scale notes. A running sum over a whole scope gets no WindowGroupLimit, so a
 hot scope would sort its entire history in one task. ``budget_prefix`` first
-keeps at most ``budget + 1`` non-empty rows per scope with ``row_number()``
-(planned as a partial WindowGroupLimit on the map side of the shuffle, so at
-most ``budget + 1`` rows per scope per partition cross the network); the
-running sum then runs over that bounded set. Zero-length rows are re-attached
+keeps at most ``budget + 1`` non-empty rows per scope with ``row_number()``, in two
+levels (salted parts of a scope, then the scope; each is planned with a partial
+WindowGroupLimit before its shuffle), so what meets in one task is bounded by
+the number of salts and the budget whatever the number of input partitions;
+the running sum then runs over that bounded set. Zero-length rows are re-attached
 by comparing with the first row that fails the budget.
 """
 
@@ -44,6 +45,19 @@ def decay_score(df: DataFrame, as_of, half_life: float = WM_HALF_LIFE_SECONDS,
     return df.withColumn(out_col, F.col(importance_col) * decay)
 
 
+SALTS = 32
+
+
+def _newest(df: DataFrame, parts: list[str], order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of each partition in ``order``, found in two levels: first within salted parts of a
+    partition, then among what these keep. A hot scope's rows so meet in ``SALTS`` tasks before one sees them."""
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if not df.schema[c].dataType.typeName().startswith("map")]), F.lit(SALTS))
+    w1 = Window.partitionBy(*parts, "_salt").orderBy(*order)
+    w2 = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(*order)
+    some = df.withColumn("_salt", salt).withColumn("_rn", F.row_number().over(w1)).where(F.col("_rn") <= n)
+    return some.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= n).drop("_rn", "_salt")
+
+
 def budget_prefix(df: DataFrame, partition_cols: Sequence[str], order_col: str, descending: bool,
                   length_col: str, budget: int, tiebreak: Sequence = (),
                   allow_zero_length: bool = True, running_col: str = "running_chars") -> DataFrame:
@@ -61,9 +75,9 @@ def budget_prefix(df: DataFrame, partition_cols: Sequence[str], order_col: str,
     wrun = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     length = F.col(length_col).cast("long")
     nonzero = df.where(length > 0) if allow_zero_length else df
-    capped = nonzero.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= budget + 1)
+    capped = _newest(nonzero, parts, order, budget + 1)
     run = capped.withColumn(running_col, F.sum(length).over(wrun))
-    kept = run.where(F.col(running_col) <= budget).drop("_rn")
+    kept = run.where(F.col(running_col) <= budget)
     if not allow_zero_length:
         return kept
     # First failing non-empty row per partition: zero-length rows before it are kept.
@@ -95,6 +109,25 @@ def working_memory(thoughts: DataFrame, char_budget: int = WM_CHAR_BUDGET,
                          running_col="wm_running")
 
 
+def working_memory_state(thoughts: DataFrame, char_budget: int = WM_CHAR_BUDGET, scope_cols: Sequence[str] = SCOPE,
+                         seq_col: str = "seq", content_col: str = "content") -> DataFrame:
+    """E1 with the newest evicted row kept as a barrier (``kept`` false): the state carried across micro-batches.
+
+    Whatever arrives later, every row older than the barrier stays out (the total before it only
+    grows), so state and new rows together give E1 of the whole history in any order of arrival.
+    """
+    df = thoughts.withColumn("wm_len", F.coalesce(F.length(content_col), F.lit(0)).cast("long"))
+    parts = list(scope_cols)
+    w = Window.partitionBy(*parts).orderBy(F.col(seq_col).desc())
+    some = _newest(df.where("wm_len > 0"), parts, [F.col(seq_col).desc()], char_budget + 1)
+    run = some.withColumn("wm_running", F.sum("wm_len").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run = run.where(F.col("wm_running") - F.col("wm_len") <= char_budget).withColumn("kept", F.col("wm_running") <= char_budget)
+    cut = run.where("not kept").groupBy(*parts).agg(F.max(seq_col).alias("_cut"))
+    zeros = (df.where("wm_len = 0").join(cut, parts, "left").where(F.col("_cut").isNull() | (F.col(seq_col) > F.col("_cut")))
+             .drop("_cut").withColumn("wm_running", F.lit(None).cast("long")).withColumn("kept", F.lit(True)))
+    return run.unionByName(zeros)
+
+
 def wm_view(wm: DataFrame, n: int = 10, scope_cols: Sequence[str] = SCOPE,
             seq_col: str = "seq") -> DataFrame:
     """The last ``n`` (>= 1) items of the buffer, oldest first (``pos`` 1..n)."""

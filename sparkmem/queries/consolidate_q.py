@@ -25,40 +25,43 @@ def _episodic_docs(spark, sf):
 _COPIES_SQL = f"""
 WITH d AS (SELECT lang AS scope_id, doc_id AS seq, 'doc:' || doc_id AS id, text,
                   {T0}::DOUBLE + doc_id * 60.0::DOUBLE AS created_at FROM documents),
-r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY created_at DESC, seq DESC) AS rn
-                     FROM d) WHERE rn <= 1000),
-g AS (SELECT scope_id, count(*) AS n, string_agg(text, chr(10) ORDER BY rn) AS joined,
-             string_agg(id, ',' ORDER BY rn) AS member_ids
-      FROM r GROUP BY scope_id, text HAVING count(*) >= 2)
+g AS (SELECT scope_id, count(*) AS n, string_agg(text, chr(10) ORDER BY created_at DESC, seq DESC) AS joined,
+             arg_max(id, seq) AS first_member
+      FROM d GROUP BY scope_id, text HAVING count(*) >= 2)
 SELECT scope_id, CAST(n AS BIGINT) AS n_members,
        'Summary of ' || n || ' events:' || chr(10) || substr(joined, 1, 512) AS content,
-       round(least(1.0::DOUBLE, 0.6::DOUBLE + 0.02::DOUBLE * n), 6) AS importance, member_ids
+       round(least(1.0::DOUBLE, 0.6::DOUBLE + 0.02::DOUBLE * n), 6) AS importance, first_member
 FROM g
 """
 
 
 @query("consolidate_copies", oracle=_COPIES_SQL)
 def consolidate_copies(spark, sf):
-    out = C.consolidate(_episodic_docs(spark, sf), AS_OF, max_items=1000, threshold=0.95)
-    return out.select("scope_id", "n_members", "content", F.round("importance", 6).alias("importance"), "member_ids")
+    """All documents of all languages: no limit on a scope's memories."""
+    out = C.consolidate(_episodic_docs(spark, sf), AS_OF, max_items=None, threshold=0.95)
+    return out.select("scope_id", "n_members", "content", F.round("importance", 6).alias("importance"), "first_member")
 
 
-@query("cluster_rollup", oracle=f"""
-WITH d AS (SELECT lang AS scope_id, doc_id, 'doc:' || doc_id AS id, text,
-                  row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) AS rn FROM documents),
-g AS (SELECT scope_id, count(*) AS n, string_agg(text, chr(10) ORDER BY rn) AS joined, arg_min(id, rn) AS first_member
-      FROM d GROUP BY scope_id, text HAVING count(*) >= 2)
+@query("consolidate_newest", oracle=_COPIES_SQL[:_COPIES_SQL.index("\ng AS")] + """
+r AS (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY created_at DESC, seq DESC) AS rn FROM d QUALIFY rn <= 50),
+g AS (SELECT scope_id, count(*) AS n, string_agg(text, chr(10) ORDER BY rn) AS joined, string_agg(id, ',' ORDER BY rn) AS member_ids
+      FROM r GROUP BY scope_id, text HAVING count(*) >= 2)
 SELECT scope_id, CAST(n AS BIGINT) AS n_members,
        'Summary of ' || n || ' events:' || chr(10) || substr(joined, 1, 512) AS content,
-       round(least(1.0::DOUBLE, 0.6::DOUBLE + 0.02::DOUBLE * n), 6) AS importance, first_member
+       round(least(1.0::DOUBLE, 0.6::DOUBLE + 0.02::DOUBLE * n), 6) AS importance, member_ids
 FROM g
 """)
+def consolidate_newest(spark, sf):
+    """The reference's default: the newest 50 memories of each scope."""
+    out = C.consolidate(_episodic_docs(spark, sf), AS_OF, threshold=0.95)
+    return out.select("scope_id", "n_members", "content", F.round("importance", 6).alias("importance"), "member_ids")
+
+
+@query("cluster_rollup", oracle=_COPIES_SQL)
 def cluster_rollup(spark, sf):
     d = fx.table(spark, sf, "documents", "doc_id", "text", "lang")
-    from pyspark.sql import Window
-    w = Window.partitionBy("lang").orderBy(F.col("doc_id").desc())
     members = d.select(F.col("lang").alias("scope_id"), F.sha2("text", 256).alias("cluster"),
-                       F.row_number().over(w).cast("long").alias("member_pos"),
+                       (-F.col("doc_id")).alias("member_pos"),
                        F.concat(F.lit("doc:"), F.col("doc_id")).alias("id"), F.col("text").alias("content"))
     out = C.cluster_rollup(members, AS_OF, include_members=False)  # clusters are not bounded here
     return out.select("scope_id", "n_members", "content", F.round("importance", 6).alias("importance"), "first_member")
@@ -76,10 +79,14 @@ def centroids(spark, sf):
 
 
 @query("near_dup_pairs", oracle=f"""
-SELECT CAST(a.vec_id AS VARCHAR) AS id_a, CAST(b.vec_id AS VARCHAR) AS id_b,
+WITH r AS (SELECT embedding, min(vec_id) AS rep FROM embeddings WHERE embedding IS NOT NULL GROUP BY embedding)
+SELECT CAST(a.rep AS VARCHAR) AS id_a, CAST(b.rep AS VARCHAR) AS id_b,
        round({cosine_sql('a.embedding', 'b.embedding')}, 6) AS sim
-FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND len(a.embedding) = len(b.embedding)
+FROM r a JOIN r b ON a.rep < b.rep AND len(a.embedding) = len(b.embedding)
 WHERE {cosine_sql('a.embedding', 'b.embedding')} >= 0.3
+UNION ALL
+SELECT CAST(r.rep AS VARCHAR), CAST(e.vec_id AS VARCHAR), round({cosine_sql('e.embedding', 'e.embedding')}, 6)
+FROM embeddings e JOIN r ON r.embedding = e.embedding AND e.vec_id > r.rep
 """)
 def near_dup_pairs(spark, sf):
     p = C.near_duplicate_pairs(fx.vectors(spark, sf), 0.3)

@@ -116,10 +116,33 @@ def seed_urls(spark, sf):
     return s.select("page_id", "pos", "seed")
 
 
-@query("pages_to_memories")
+@query("pages_to_memories", oracle=f"""
+WITH {_ROBOTS_SQL.strip()},
+s AS (SELECT regexp_extract({_host_sql('url')}, '([^.]+\\.[^.]+)$', 1) AS plan_id, page_id, {_norm_sql('url')} AS url FROM pages),
+pn AS (SELECT plan_id, url, min(page_id) AS page_id FROM s GROUP BY 1, 2),
+{_gate_sql('pn', 'url').strip()}
+SELECT plan_id, page_id + 1 AS visit, page_id, 'doc:' || substr(sha256(concat_ws(chr(1), plan_id, url)), 1, 16) AS id,
+       'semantic' AS type, 0.2::DOUBLE AS importance, '{{"source":"scraper","url":"' || url || '"}}' AS metadata_json
+FROM gated WHERE allowed
+""")
 def pages_to_memories(spark, sf):
+    """Every gated page of every plan, whole texts: no limit on seeds, pages or characters."""
+    pages = fx.table(spark, sf, "pages", "page_id", "url", "html")
+    mem = P.pages_to_memories(fx.plan_seeds(spark, sf), pages, _allow(spark, sf), fx.robots_rules(spark, sf), as_of=T0,
+                              max_pages=None, global_cap=None, text_chars=None)
+    return mem.select("plan_id", "visit", "page_id", "id", "type", "importance", "metadata_json")
+
+
+@query("pages_to_memories_head", oracle=f"""
+WITH {_ROBOTS_SQL.strip()}, {_PLAN_SQL.strip()},
+{_gate_sql('plan', 'url').strip()},
+f AS (SELECT {_norm_sql('url')} AS url, min(page_id) AS page_id FROM pages GROUP BY 1)
+SELECT g.plan_id, g.visit, f.page_id, 'doc:' || substr(sha256(concat_ws(chr(1), g.plan_id, g.url)), 1, 16) AS id,
+       'semantic' AS type, 0.2::DOUBLE AS importance
+FROM gated g JOIN f USING (url) WHERE allowed
+""")
+def pages_to_memories_head(spark, sf):
+    """The crawl's own limits: five seeds and five pages per plan, 4,000 characters per page."""
     pages = fx.table(spark, sf, "pages", "page_id", "url", "html")
-    mem = P.pages_to_memories(fx.plan_seeds_head(spark, sf, 5), pages, _allow(spark, sf),
-                              fx.robots_rules(spark, sf), as_of=T0, max_pages=5)
-    return mem.select("plan_id", "visit", "page_id", "id", "type", F.length("content").cast("long").alias("content_chars"),
-                      "importance", "metadata_json")
+    mem = P.pages_to_memories(fx.plan_seeds_head(spark, sf, 5), pages, _allow(spark, sf), fx.robots_rules(spark, sf), as_of=T0, max_pages=5)
+    return mem.select("plan_id", "visit", "page_id", "id", "type", "importance")

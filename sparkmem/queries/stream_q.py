@@ -1,4 +1,4 @@
-"""Streaming queries (I1-I5): each stages an ordered stream derived from the
+"""Streaming queries (I1-I5): each stages a file stream derived from the
 tables under the session's checkpoint folder, drains it with availableNow and
 reads the sink back."""
 
@@ -10,23 +10,29 @@ from ..operators import working as W
 from ..registry import query
 from ..session import scratch_path
 from ..sources import fixtures as fx
-from ..sql_text import T0, thoughts_cte
+from ..sources import io as IO
+from ..sql_text import T0, redact_sql, thoughts_cte
 from ..streaming import jobs as J
+from .cycle_q import cycle_sql
 
 AS_OF = T0 + 3600.0
 
 
+STAGED_FILES = 4
+
+
 def _stream(spark, df, key, name):
     src = scratch_path(spark, f"{name}-src")
-    J.stage_by_key(df, src, key)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/part_*/*.parquet")
+    J.stage(df, src, STAGED_FILES, key)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
 
 
 @query("stream_ingest", oracle=f"""
+WITH e AS (SELECT *, {redact_sql('props')} AS content FROM events WHERE props IS NOT NULL)
 SELECT 'stim:' || substr(sha256(concat_ws(chr(1), CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR),
-                                          event_type, props)), 1, 16) AS id,
+                                          event_type, content)), 1, 16) AS id,
        CAST(user_id AS VARCHAR) AS scope_id, event_id AS seq, 0.3::DOUBLE AS importance
-FROM events
+FROM e
 """)
 def stream_ingest(spark, sf):
     stim = fx.stimuli_events(spark, sf)
@@ -51,31 +57,60 @@ def stream_wm(spark, sf):
     return wm.select("scope_id", "seq", F.length("content").cast("long").alias("wm_len"))
 
 
-@query("stream_cycle")
+@query("stream_ingest_documents", oracle=f"""
+SELECT md5({redact_sql('text')}) AS content_md5, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1
+""")
+def stream_ingest_documents(spark, sf):
+    """The file reader as a stream: records of {{source, content}}, numbered, redacted and stored per micro-batch."""
+    src, sink = scratch_path(spark, "docs-src"), scratch_path(spark, "docs-sink")
+    d = fx.table(spark, sf, "documents", "source", F.col("text").alias("content"))
+    d.repartition(STAGED_FILES).write.json(src)
+    stream = IO.read_stimuli(spark, src, AS_OF, streaming=True, max_files_per_trigger=2)
+    J.ingest_stream(stream, sink, scratch_path(spark, "docs-ckpt"), AS_OF)
+    rows = spark.read.parquet(f"{sink}/memories")
+    distinct = rows.select("seq").distinct()                # no two rows share a number
+    return rows.join(distinct, "seq").groupBy(F.md5("content").alias("content_md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_cycle", oracle=cycle_sql(
+    seq="greatest((SELECT max(turn) FROM conversations), (SELECT max(doc_id) FROM documents)) + 1") + """
+SELECT scope_id, CAST(0 AS BIGINT) AS batch_id, thought_id, stored, CAST(n_interrupts AS INTEGER) AS n_interrupts FROM rep
+WHERE scope_id IN (SELECT CAST(conv_id AS VARCHAR) FROM conversations WHERE role = 'user')
+""")
 def stream_cycle(spark, sf):
     stim = fx.stimuli_chat(spark, sf)
-    stream = _stream(spark, stim, "seq", "cycle")
+    src = scratch_path(spark, "cycle-src")
+    J.stage(stim, src, STAGED_FILES)
+    stream = spark.readStream.schema(stim.schema).parquet(src)     # one micro-batch drains all that is pending
     out = scratch_path(spark, "cycle-out")
-    wm_schema = W.working_memory(fx.thoughts(spark, sf), 4000).drop("wm_len", "wm_running")
-    J.cycle_stream(stream, fx.memories(spark, sf, null_embedding_every=0), out, scratch_path(spark, "cycle-ckpt"),
-                   AS_OF, wm_schema)
+    wm0 = W.working_memory(fx.thoughts(spark, sf), 4000).drop("wm_len", "wm_running")
+    J.cycle_stream(stream, fx.memories(spark, sf, null_embedding_every=0), out, scratch_path(spark, "cycle-ckpt"), AS_OF, wm0)
     rep = spark.read.parquet(f"{out}/report")
     return rep.select("scope_id", "batch_id", "thought_id", "stored", F.size("interrupt_ids").alias("n_interrupts"))
 
 
+@query("idle_cycle", oracle=cycle_sql(
+    seq="greatest((SELECT max(turn) FROM conversations), (SELECT max(doc_id) FROM documents)) + 1", stimuli=False) + """
+SELECT scope_id, thought_id, thought, stored FROM rep
+""")
+def idle_cycle(spark, sf):
+    """A tick without stimuli: every scope runs its cycle on the query text for an empty input."""
+    scopes = fx.table(spark, sf, "conversations", "conv_id").select(F.col("conv_id").cast("string").alias("scope_id"))
+    wm0 = W.working_memory(fx.thoughts(spark, sf), 4000).drop("wm_len", "wm_running")
+    res = J.run_idle_cycle(scopes, fx.memories(spark, sf, null_embedding_every=0), scratch_path(spark, "idle"), 0, AS_OF, wm0)
+    return res.report.select("scope_id", "thought_id", "thought", "stored")
+
+
 @query("stream_answers", oracle="""
 WITH q AS (SELECT event_id AS seq, 'q:' || event_id AS id FROM events WHERE event_type = 'signup'),
-a AS (SELECT event_id AS seq, 'q:' || (event_id - event_id % 3) AS qid, props AS answer_text,
-             CAST(epoch(ts) // 604800 AS BIGINT) AS week FROM events WHERE event_type = 'purchase'),
-last AS (SELECT q.id AS qid, a.week, max(a.seq) AS aseq, arg_max(a.answer_text, a.seq) AS content
-         FROM q JOIN a ON a.qid = q.id AND a.seq > q.seq GROUP BY q.id, a.week)
-SELECT 'mem:' || substr(sha256(concat_ws(chr(1), 'global', CAST(aseq AS VARCHAR), qid)), 1, 16) AS id,
-       aseq AS seq, content, 0.4::DOUBLE AS importance
-FROM last
+a AS (SELECT event_id AS seq, 'q:' || (event_id - event_id % 3) AS qid, props AS answer_text
+      FROM events WHERE event_type = 'purchase')
+SELECT 'mem:' || substr(sha256(concat_ws(chr(1), 'global', CAST(a.seq AS VARCHAR), q.id)), 1, 16) AS id,
+       a.seq AS seq, a.answer_text AS content, 0.4::DOUBLE AS importance
+FROM q JOIN a ON a.qid = q.id AND a.seq > q.seq
 """)
 def stream_answers(spark, sf):
-    ans = fx.answers(spark, sf).withColumn("week", F.floor(F.col("answer_ts") / 604800).cast("long"))
-    stream = _stream(spark, ans, "week", "answers")  # one micro-batch per week of answers
+    stream = _stream(spark, fx.answers(spark, sf), "seq", "answers")
     out = scratch_path(spark, "answers-out")
     J.answer_stream(stream, fx.interrupt_log(spark, sf), out, scratch_path(spark, "answers-ckpt"))
     return spark.read.parquet(f"{out}/memories").select("id", "seq", "content", "importance")

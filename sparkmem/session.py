@@ -29,7 +29,7 @@ SESSION_CONF = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8,
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "sparkmem", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -37,7 +37,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
         if master.startswith("local"):
             builder = builder.config("spark.driver.memory", "16g")
     conf = dict(SESSION_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is None and master and master.startswith("local"):
+        shuffle_partitions = 8          # a cluster keeps its own setting
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -53,10 +56,8 @@ def apply_runtime_conf(spark: SparkSession) -> None:
     """Set the runtime SQL settings the operators expect (idempotent)."""
     for k, v in SESSION_CONF.items():
         if k.startswith("spark.sql."):
-            try:
+            if spark.conf.isModifiable(k):      # a static setting stays as the session has it
                 spark.conf.set(k, v)
-            except Exception:  # static conf on an existing session
-                pass
 
 
 _SHIPPED: set[str] = set()
@@ -96,6 +97,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="sparkmem-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -117,3 +120,11 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables; call it when no DataFrame built on them is needed any more."""
+    base = os.path.join(ensure_checkpoint_dir(spark), "sparkmem")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -16,7 +16,7 @@ T0 = 1704067200.0
 TASK_AS_OF = 883612800.0  # 1998-01-01 00:00 UTC
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, *columns) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -269,6 +269,13 @@ def plan_seeds_head(spark: SparkSession, sf_dir: str, global_cap: int) -> DataFr
             .where(F.col("pos") < global_cap))
 
 
+def plan_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seeds of the plans of ``plan_seeds_head``; the position is the ``page_id`` (same order, no window)."""
+    p = table(spark, sf_dir, "pages", "page_id", "url")
+    return p.select(registrable_domain(page_host("url")).alias("plan_id"), "page_id", F.col("url").alias("seed"),
+                    F.col("page_id").alias("pos"))
+
+
 def allow_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Allowlist: every host seen in ``pages`` (one row per host)."""
     p = table(spark, sf_dir, "pages", "url")

@@ -108,3 +108,13 @@ def tasks_cte(as_of: float, name: str = "scored") -> str:
           + 0.1 * greatest(0.0, least(1.0, 1.0 / (1.0 + greatest(0.0, {as_of} - last_update_ts) / 3600.0)))
           + 0.15 * greatest(0.0, least(1.0, goal_fit)) AS score
   FROM tk)"""
+
+
+def redact_sql(c: str) -> str:
+    """B9 in SQL: mail addresses, then phone numbers that no digit touches (RE2 has no lookaround, so the
+    neighbours are captured; two passes cover numbers that share a neighbour)."""
+    from .operators.validate import EMAIL_PATTERN, PHONE_PATTERN
+    p = f"(^|[^0-9]){PHONE_PATTERN}($|[^0-9])"
+    e = f"regexp_replace({c}, '{EMAIL_PATTERN}', '[EMAIL]', 'g')"
+    one = f"regexp_replace({e}, '{p}', '\\1[PHONE]\\2', 'g')"
+    return f"regexp_replace({one}, '{p}', '\\1[PHONE]\\2', 'g')"

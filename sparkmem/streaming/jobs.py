@@ -3,19 +3,18 @@
 Every job is ``readStream`` -> ``writeStream.foreachBatch`` with a checkpoint.
 Each micro-batch writes its own ``batch_id=N`` / ``version=N`` directory with
 overwrite, so a batch replayed after a failure rewrites the same output
-(idempotent), and restarting a stopped query resumes from its checkpoint.
+(idempotent), and restarting a stopped query resumes from its checkpoint. Only
+batch 0 may start without state; a later batch whose state can't be read fails.
 
-* I1 ``ingest_stream``: stimuli -> episodic memory log rows + pending stimuli.
-* I3 ``wm_stream``: working memory carried across batches. State version N =
-  E1(state N-1 ∪ batch N); exact because eviction composes when batches arrive
-  in ``seq`` order (state = longest fitting suffix of the history).
+* I1 ``ingest_stream``: stimuli -> validated and redacted -> episodic memory log rows + pending stimuli.
+* I3 ``wm_stream``: working memory carried across batches, exact in any order of arrival
+  (``working_memory_state`` keeps the newest evicted row as a barrier).
 * I2 ``cycle_stream``: each micro-batch drains the pending stimuli and runs one
-  cycle for every scope that has some (an idle tick is a batch K3 run with no
-  stimuli, ``run_idle_cycle``), writing thoughts, memory rows, interrupts and
-  the report per batch, and the next working-memory version.
-* I4 ``answer_stream``: answers matched to interrupts per batch -> memories + stimuli.
-* I5 ``run_available``: drain everything available now, then stop (pause);
-  calling it again resumes from the checkpoint.
+  cycle for every scope that has some; ``run_idle_cycle`` is the tick without
+  stimuli. Memories are appended per batch; ``compact_memories`` folds them when wanted.
+* I4 ``answer_stream``: every accepted answer -> memory + stimulus, whatever the batches.
+* I5 ``run_available`` drains everything available, then stops (pause); calling it again resumes from the
+  checkpoint. ``run_cycles`` runs n ticks on demand.
 """
 
 from __future__ import annotations
@@ -24,24 +23,21 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..constants import WM_CHAR_BUDGET
 from ..operators import log as L
 from ..operators import working as W
-from ..plans.cycle import run_cycle, stimulus_memories
+from ..plans.cycle import CycleResult, accept_stimuli, run_cycle, stimulus_memories
+from ..sources.io import next_seq, stamp_stimuli
 
+WM_COLUMNS = ("scope_id", "id", "content", "tags", "importance", "uncertainty", "ts", "seq")
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
 
+def run_available(stream: DataFrame, per_batch: Callable[[DataFrame, int], None], checkpoint: str) -> int:
+    """Process everything available, then stop; returns the last batch id.
 
-def run_available(stream: DataFrame, per_batch: Callable[[DataFrame, int], None], checkpoint: str,
-                  max_files_per_trigger: int | None = None) -> int:
-    """Process everything available, then stop; returns the last batch id."""
+    How much a batch takes is the reader's choice (``maxFilesPerTrigger``).
+    """
     q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
@@ -49,12 +45,30 @@ def run_available(stream: DataFrame, per_batch: Callable[[DataFrame, int], None]
     return int(progress["batchId"]) if progress else -1
 
 
-def ingest_stream(stimuli_stream: DataFrame, sink: str, checkpoint: str, as_of: float) -> int:
-    """Append memory rows and pending stimuli per batch."""
+def _write(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").parquet(path)
+
+
+def ingest_stream(stimuli_stream: DataFrame, sink: str, checkpoint: str, as_of: float, redact: bool = True,
+                  base_seq: int = 0) -> int:
+    """Per batch, validate (B6) and redact (B9) the stimuli, then append memory rows and pending stimuli.
+
+    A stream of ``read_stimuli(streaming=True)`` is numbered here: from ``base_seq`` on, after all rows of the batch before.
+    """
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        mem = stimulus_memories(batch, as_of)
-        mem.write.mode("overwrite").parquet(f"{sink}/memories/batch_id={batch_id}")
-        batch.write.mode("overwrite").parquet(f"{sink}/pending/batch_id={batch_id}")
+        spark = batch.sparkSession
+        if "seq" not in batch.columns:
+            first = base_seq
+            if batch_id > 0:
+                first = int(spark.read.parquet(f"{sink}/next_seq/batch_id={batch_id - 1}").first()["next_seq"])
+            batch = stamp_stimuli(batch, first)
+            top = batch.agg(F.coalesce(F.max("seq") + 1, F.lit(first)).cast("long").alias("next_seq"))
+            _write(top, f"{sink}/next_seq/batch_id={batch_id}")
+        ok, bad = accept_stimuli(batch, redact)
+        _write(ok, f"{sink}/pending/batch_id={batch_id}")
+        ok = spark.read.parquet(f"{sink}/pending/batch_id={batch_id}")
+        _write(stimulus_memories(ok, as_of), f"{sink}/memories/batch_id={batch_id}")
+        _write(bad, f"{sink}/rejected/batch_id={batch_id}")
     return run_available(stimuli_stream, per_batch, checkpoint)
 
 
@@ -63,69 +77,98 @@ def wm_stream(thoughts_stream: DataFrame, state_dir: str, checkpoint: str,
     """Keep the working memory of every scope across micro-batches."""
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prev = _read_or_none(spark, f"{state_dir}/version={batch_id - 1}") if batch_id > 0 else None
         cols = batch.columns
-        both = batch if prev is None else prev.select(*cols).unionByName(batch)
-        W.working_memory(both, char_budget).select(*cols) \
-            .write.mode("overwrite").parquet(f"{state_dir}/version={batch_id}")
+        if batch_id > 0:
+            batch = spark.read.parquet(f"{state_dir}/version={batch_id - 1}").select(*cols).unionByName(batch)
+        _write(W.working_memory_state(batch, char_budget).select(*cols, "kept"), f"{state_dir}/version={batch_id}")
     return run_available(thoughts_stream, per_batch, checkpoint)
 
 
-def latest_state(spark: SparkSession, state_dir: str, last_batch: int) -> DataFrame | None:
-    return _read_or_none(spark, f"{state_dir}/version={last_batch}")
+def latest_state(spark: SparkSession, state_dir: str, last_batch: int) -> DataFrame:
+    """The working memory after a batch (without the barrier rows)."""
+    return spark.read.parquet(f"{state_dir}/version={last_batch}").where("kept").drop("kept")
+
+
+def _tick(spark: SparkSession, out_dir: str, tick: int, scopes: DataFrame, stimuli: DataFrame, base_memories: DataFrame,
+          wm0: DataFrame, as_of: float, cycle_kw: dict) -> CycleResult:
+    """One cycle of ``scopes`` on the state after tick - 1; writes the state and results of ``tick``."""
+    if tick > 0:
+        wm = spark.read.parquet(f"{out_dir}/wm/version={tick - 1}")
+        rows = spark.read.schema(base_memories.schema).parquet(*[f"{out_dir}/memories/tick={i}" for i in range(tick)])
+        memories = base_memories.unionByName(rows.select(*base_memories.columns))
+        seq = int(spark.read.parquet(f"{out_dir}/clock/tick={tick - 1}").first()["next_seq"])
+    else:
+        wm, memories = wm0.select(*WM_COLUMNS), base_memories
+        seq = max(next_seq(wm0), next_seq(base_memories))
+    res = run_cycle(scopes, stimuli, wm, memories, as_of, cycle_seq=seq, write_once=True, **cycle_kw)
+    _write(res.report.withColumn("batch_id", F.lit(tick).cast("long")), f"{out_dir}/report/tick={tick}")
+    _write(res.interrupts, f"{out_dir}/interrupts/tick={tick}")
+    _write(res.memory_rows.select(*base_memories.columns), f"{out_dir}/memories/tick={tick}")
+    _write(res.wm.select(*WM_COLUMNS), f"{out_dir}/wm/version={tick}")
+    _write(spark.createDataFrame([(seq + 1,)], "next_seq long"), f"{out_dir}/clock/tick={tick}")
+    return res
 
 
 def cycle_stream(stimuli_stream: DataFrame, base_memories: DataFrame, out_dir: str, checkpoint: str,
-                 as_of: float, wm_schema_df: DataFrame, **cycle_kw) -> int:
+                 as_of: float, wm0: DataFrame, **cycle_kw) -> int:
     """One cycle per scope with pending stimuli in each micro-batch.
 
-    The memories a cycle stores are kept as a folded snapshot: version N =
-    fold(version N-1 ∪ rows of batch N). The fold composes (a folded row keeps
-    its first ``created_at`` and its last ``seq``), so each batch works on the
-    live table, not on the whole history.
+    A cycle's ``seq`` follows everything in the state at its start (``next_seq`` of the given store and working memory,
+    then one per tick). Memories are appended per tick, never rewritten: ids are unique per (scope, cycle).
     """
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        prev_wm = _read_or_none(spark, f"{out_dir}/wm/version={batch_id - 1}") if batch_id > 0 else None
-        wm = prev_wm if prev_wm is not None else wm_schema_df.limit(0)
-        snap = _read_or_none(spark, f"{out_dir}/memories/version={batch_id - 1}") if batch_id > 0 else None
-        mems = base_memories if snap is None else base_memories.unionByName(snap.select(*base_memories.columns))
         scopes = batch.select("scope_id").distinct()
-        res = run_cycle(scopes, batch, wm, mems, as_of, cycle_seq=1_000_000 + batch_id, **cycle_kw)
-        tag = F.lit(batch_id).cast("long")
-        res.report.withColumn("batch_id", tag).write.mode("overwrite") \
-            .parquet(f"{out_dir}/report/batch_id={batch_id}")
-        res.interrupts.write.mode("overwrite").parquet(f"{out_dir}/interrupts/batch_id={batch_id}")
-        rows = res.memory_rows
-        if snap is not None:
-            rows = snap.withColumn("op", F.lit("upsert")).select(*rows.columns).unionByName(rows)
-        L.fold_log(rows).select(*base_memories.columns).write.mode("overwrite") \
-            .parquet(f"{out_dir}/memories/version={batch_id}")
-        res.wm.write.mode("overwrite").parquet(f"{out_dir}/wm/version={batch_id}")
+        _tick(batch.sparkSession, out_dir, batch_id, scopes, batch, base_memories, wm0, as_of, cycle_kw)
     return run_available(stimuli_stream, per_batch, checkpoint)
 
 
+def run_idle_cycle(scopes: DataFrame, base_memories: DataFrame, out_dir: str, tick: int, as_of: float,
+                   wm0: DataFrame, **cycle_kw) -> CycleResult:
+    """I2's idle tick: one cycle of every given scope without stimuli, as tick number ``tick`` of ``out_dir``."""
+    spark = scopes.sparkSession
+    none = spark.createDataFrame([], "scope_id string, seq long, id string, source string, content string, ts double")
+    return _tick(spark, out_dir, tick, scopes, none, base_memories, wm0, as_of, cycle_kw)
+
+
+def run_cycles(n: int, scopes: DataFrame, stimuli: DataFrame, base_memories: DataFrame, out_dir: str, as_of: float,
+               wm0: DataFrame, first_tick: int = 0, **cycle_kw) -> list[CycleResult]:
+    """N cycles on demand: the first drains ``stimuli``, the others are idle ticks."""
+    if n < 1:
+        raise ValueError("n must be >= 1")
+    spark = scopes.sparkSession
+    out = [_tick(spark, out_dir, first_tick, scopes, stimuli, base_memories, wm0, as_of, cycle_kw)]
+    for k in range(1, n):
+        out.append(run_idle_cycle(scopes, base_memories, out_dir, first_tick + k, as_of, wm0, **cycle_kw))
+    return out
+
+
+def compact_memories(base_memories: DataFrame, out_dir: str, ticks: int, path: str) -> DataFrame:
+    """Fold the given store and the rows of ``ticks`` ticks into one snapshot at ``path``."""
+    spark = base_memories.sparkSession
+    rows = base_memories
+    if ticks:
+        new = spark.read.schema(base_memories.schema).parquet(*[f"{out_dir}/memories/tick={i}" for i in range(ticks)])
+        rows = rows.unionByName(new.select(*base_memories.columns))
+    _write(L.fold_log(rows.withColumn("op", F.lit("upsert"))), path)
+    return spark.read.parquet(path)
+
+
 def answer_stream(answers_stream: DataFrame, interrupts: DataFrame, out_dir: str, checkpoint: str) -> int:
-    """I4: answers arrive as a stream. Per batch: match them to the open
-    interrupts (C1: unknown id -> rejected, last answer wins), write the answer
-    memories (importance .4) and the ``user`` stimuli that feed the next cycle."""
+    """I4: answers arrive as a stream. Per batch: every answer that applies to an interrupt becomes a memory
+    (importance .4) and a ``user`` stimulus that feeds the next cycle; the others are rejected. The union over the batches
+    is the same however the answers fall into them; the interrupts' own state is ``answer_interrupts`` over all answers."""
     from ..operators import interrupts as I
     from ..plans.cycle import answer_memories
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        answered, rejects = I.answer_interrupts(interrupts, batch)
-        mem, stim = answer_memories(answered)
-        mem.write.mode("overwrite").parquet(f"{out_dir}/memories/batch_id={batch_id}")
-        stim.write.mode("overwrite").parquet(f"{out_dir}/stimuli/batch_id={batch_id}")
-        rejects.write.mode("overwrite").parquet(f"{out_dir}/rejected/batch_id={batch_id}")
+        _, rejects = I.answer_interrupts(interrupts, batch)
+        mem, stim = answer_memories(I.accepted_answers(interrupts, batch))
+        _write(mem, f"{out_dir}/memories/batch_id={batch_id}")
+        _write(stim, f"{out_dir}/stimuli/batch_id={batch_id}")
+        _write(rejects, f"{out_dir}/rejected/batch_id={batch_id}")
     return run_available(answers_stream, per_batch, checkpoint)
 
 
-def stage_by_key(df: DataFrame, path: str, key: str) -> list:
-    """Write ``df`` as one parquet file per value of ``key``, in key order and in
-    separate writes, so a file stream source replays them in that order
-    (one file per trigger). Used to turn a table into an ordered stream."""
-    keys = [r[0] for r in df.select(key).distinct().orderBy(key).collect()]
-    for i, k in enumerate(keys):
-        df.where(F.col(key) == k).coalesce(1).write.mode("overwrite").parquet(f"{path}/part_{i:06d}")
-    return keys
+def stage(df: DataFrame, path: str, files: int, key: str | None = None) -> None:
+    """Turn a table into the input of a file stream: one write of ``files`` files, rows of one ``key`` together."""
+    (df.repartition(files, key) if key else df.repartition(files)).write.mode("overwrite").parquet(path)

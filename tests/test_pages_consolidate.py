@@ -101,3 +101,50 @@ def test_near_duplicate_pairs_brute(spark):
     s = f @ f.T / np.outer(n, n)
     exp = {(str(i), str(j)) for i in range(40) for j in range(i + 1, 40) if s[i, j] >= 0.5}
     assert got == exp
+
+
+def test_components_fold_equals_whole_fold(spark):
+    """Folding the components of cosine >= threshold ** 2 gives the clusters of the whole greedy fold."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 6))
+    vecs = [list(map(float, base[rng.integers(12)] + rng.normal(0, 0.25, 6))) for _ in range(150)]
+    vecs += [vecs[3]] * 5 + [None, []]
+    rows = [("s", i, f"m{i}", "episodic", "c", float(i), v) for i, v in enumerate(vecs)]
+    df = spark.createDataFrame(rows, "scope_id string, seq long, id string, type string, content string, created_at double, embedding array<double>")
+    for t in (0.9, 0.7):
+        got = {}
+        for r in C.cluster_members(df, None, t).collect():
+            got.setdefault(r.cluster, set()).add(r.id)
+        order = sorted(rows, key=lambda r: -r[5])
+        idx = C.greedy_clusters([r[6] for r in order], t)
+        want = {}
+        for r, c in zip(order, idx):
+            want.setdefault(c, set()).add(r[2])
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_rollup_text_of_many_empty_members(spark):
+    df = spark.range(600).selectExpr("'s' AS scope_id", "1 AS cluster", "id AS member_pos", "cast(id AS string) AS id", "'' AS content")
+    r = C.cluster_rollup(df, 0.0, include_members=False).first()
+    assert r.content == "Summary of 600 events:\n" + "\n" * 512
+
+
+def test_copies_give_stars(spark):
+    rows = [(str(i), i, [1.0, 0.0] if i < 6 else [1.0, 0.1]) for i in range(8)]
+    df = spark.createDataFrame(rows, "id string, seq long, embedding array<double>")
+    got = sorted((r.id_a, r.id_b) for r in C.near_duplicate_pairs(df, 0.9).collect())
+    assert got == sorted([("0", str(i)) for i in range(1, 7)] + [("6", "7")])
+
+
+def test_last_href_counts():
+    assert P.parse_html('<a href="x" href="y">t</a><a>u</a>')[1] == ["y"]
+
+
+def test_hops_follow_links(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/1", '<a href="/2">n</a>one'), (2, "http://a.com/2", '<a href="/3">n</a>two'),
+                                   (3, "http://a.com/3", "three")], "page_id long, url string, html string")
+    robots = spark.createDataFrame([("a.com", None, None, None)], "host string, rule_order int, allow boolean, path_prefix string")
+    seeds = spark.createDataFrame([("p", 0, "http://a.com/1")], "plan_id string, pos long, seed string")
+    for hops, n in ((0, 1), (1, 2), (2, 3)):
+        assert P.pages_to_memories(seeds, pages, ["a.com"], robots, 0.0, max_hops=hops).count() == n
