@@ -101,15 +101,32 @@ class Terms:
         return np.where(self.hashes[at] == h, at, -1)
 
 
-def _slices(batch_col: pa.Array, terms: Terms):
-    """(first row, rows, term id of every word, passages) of slices of a batch of texts."""
-    off, data = _lowered(batch_col)
-    for lo, hi in row_slices(off):
-        o, d = off[lo:hi + 1] - off[lo], data[off[lo]:off[hi]]
-        s, e, r = words(o, d, _GAPS)
-        ids = terms.ids(span_hash(d, s, e))
-        count = np.bincount(r, minlength=hi - lo)
-        yield lo, hi, ids, count, _passages(count, np.cumsum(count) - count)
+def _to_ids(hashes: np.ndarray, kind: str):
+    """Texts as term numbers (-1: none), one per word: what the passes below read, so that texts are tokenised once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(hashes)
+        for b in batches:
+            off, data = _lowered(b.column(0))
+            for lo, hi in row_slices(off):
+                o, d = off[lo:hi + 1] - off[lo], data[off[lo]:off[hi]]
+                s, e, r = words(o, d, _GAPS)
+                ids = terms.ids(span_hash(d, s, e)).astype(kind)
+                cut = np.searchsorted(r, np.arange(hi - lo + 1)) * ids.itemsize
+                raw = ids.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(1).slice(lo, hi - lo), pa.array([raw[x:z] for x, z in zip(cut[:-1], cut[1:])], pa.binary())], ["id", "words"])
+    return run
+
+
+def _slices(col: pa.Array, kind: str, most: int = 1 << 18):
+    """(first row, term number of every word, words per text, passages) of slices of a batch of texts."""
+    size = np.dtype(kind).itemsize
+    raw = col.to_pylist()
+    count = np.array([len(x) // size for x in raw], np.int64)
+    for lo, hi in row_slices(np.concatenate([[0], np.cumsum(count)]), most):
+        ids = np.frombuffer(b"".join(raw[lo:hi]), kind).astype(np.int64)
+        n = count[lo:hi]
+        yield lo, ids, n, _passages(n, np.cumsum(n) - n)
 
 
 def _entries(ids: np.ndarray, p_lo: np.ndarray, p_hi: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,13 +140,11 @@ def _entries(ids: np.ndarray, p_lo: np.ndarray, p_hi: np.ndarray, n_terms: int)
     return key // n_terms, key % n_terms, times
 
 
-def _count_terms(hashes: np.ndarray):
+def _count_terms(n: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(hashes)
-        n = len(terms.hashes)
         df, total = np.zeros(n, np.int64), 0
         for b in batches:
-            for _, _, ids, _, (_, lo, hi) in _slices(b.column(0), terms):
+            for _, ids, _, (_, lo, hi) in _slices(b.column(0), kind):
                 _, t, _ = _entries(ids, lo, hi, n)
                 df += np.bincount(t, minlength=n)
                 total += len(lo)
@@ -137,15 +152,24 @@ def _count_terms(hashes: np.ndarray):
     return run
 
 
-def _sketch(hashes: np.ndarray, idf: np.ndarray, groups: list[np.ndarray]):
+def _pieces(p: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of entries of about ``most`` each that hold whole passages (p ascending): small enough for the CPU's cache."""
+    cuts, at = [0], 0
+    while at < len(p):
+        at = min(len(p), at + most)
+        if at < len(p):
+            at = int(np.searchsorted(p, p[at - 1], side="right"))
+        cuts.append(at)
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+def _sketch(n: int, kind: str, idf: np.ndarray, groups: list[np.ndarray]):
     """Rows (group, term, sums) of A'A G over the passages of a task; groups: (I - P) G of each group."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(hashes)
-        n = len(terms.hashes)
         start = [g.astype(np.float32) for g in groups]
         y = [np.zeros((n, g.shape[1])) for g in groups]
         for b in batches:
-            for _, _, ids, _, (_, lo, hi) in _slices(b.column(0), terms):
+            for _, ids, _, (_, lo, hi) in _slices(b.column(0), kind):
                 p, t, times = _entries(ids, lo, hi, n)
                 w = ((1 + np.log(times)) * idf[t]).astype(np.float32)
                 keep = w > 0
@@ -154,14 +178,19 @@ def _sketch(hashes: np.ndarray, idf: np.ndarray, groups: list[np.ndarray]):
                     continue
                 norm = np.sqrt(np.bincount(p, w * w, minlength=len(lo)))
                 w = (w / norm[p]).astype(np.float32)
-                order = np.argsort(t, kind="stable")
-                tt = t[order]
-                term_at = np.flatnonzero(np.append(True, tt[1:] != tt[:-1]))
-                pass_at = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-                row = np.cumsum(np.append(0, p[1:] != p[:-1]))
-                for g, acc in zip(start, y):
-                    z = np.add.reduceat(g[t] * w[:, None], pass_at, axis=0)
-                    acc[tt[term_at]] += np.add.reduceat(z[row[order]] * w[order][:, None], term_at, axis=0)
+                for x, z in _pieces(p, 4096):
+                    pp, tt, ww = p[x:z], t[x:z], w[x:z]
+                    new = np.append(True, pp[1:] != pp[:-1])
+                    row = np.cumsum(new) - 1
+                    order = np.argsort(tt, kind="stable")
+                    to = tt[order]
+                    at = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+                    for g, acc in zip(start, y):
+                        f = g[tt]
+                        f *= ww[:, None]
+                        f = np.add.reduceat(f, np.flatnonzero(new), axis=0)[row[order]]
+                        f *= ww[order][:, None]
+                        acc[to[at]] += np.add.reduceat(f, at, axis=0)
         for k, acc in enumerate(y):
             some = np.flatnonzero(np.abs(acc).sum(axis=1) > 0)
             for lo in range(0, len(some), 4096):
@@ -198,7 +227,7 @@ def _masks(ids: np.ndarray) -> dict[int, int]:
     return out
 
 
-def _search(hashes, items: list[tuple[int, np.ndarray, np.ndarray]], groups):
+def _search(hashes, kind: str, items: list[tuple[int, np.ndarray, np.ndarray]], groups):
     """items: (item id, word hashes, answer's word hashes); groups: (weights of terms (terms x r), folded benchmark passages
     (m x r), the item of each)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,20 +238,24 @@ def _search(hashes, items: list[tuple[int, np.ndarray, np.ndarray]], groups):
             wi, ai = terms.ids(w), terms.ids(a)
             checks.append((_masks(wi), len(wi), _masks(ai), len(ai)))
         out: list[tuple] = []
+        used = [weight.any(axis=1) for weight, _, _ in groups]
         for b in batches:
             doc_ids = b.column(1).to_pylist()
-            for row0, _, ids, count, (text, lo, hi) in _slices(b.column(0), terms):
+            for row0, ids, count, (text, lo, hi) in _slices(b.column(0), kind):
                 first = np.cumsum(count) - count
                 p, t, times = _entries(ids, lo, hi, n)
                 tf = (1 + np.log(times)).astype(np.float32)
                 found: dict[tuple[int, int], list] = {}
-                for weight, folded, owner in groups:
-                    use = np.flatnonzero(weight.any(axis=1)[t])
-                    for cut in np.array_split(use, max(1, len(use) // 20_000)) if len(use) else []:
+                for (weight, folded, owner), known in zip(groups, used):
+                    use = np.flatnonzero(known[t])
+                    for x, z in _pieces(p[use], 2048):
+                        cut = use[x:z]
                         pp = p[cut]
                         at = np.flatnonzero(np.append(True, pp[1:] != pp[:-1]))
-                        vec = np.add.reduceat(weight[t[cut]] * tf[cut][:, None], at, axis=0)
-                        norm = np.sqrt((vec * vec).sum(axis=1))
+                        vec = weight[t[cut]]
+                        vec *= tf[cut][:, None]
+                        vec = np.add.reduceat(vec, at, axis=0)
+                        norm = np.sqrt(np.einsum("ij,ij->i", vec, vec))
                         cos = (vec @ folded.T) / np.maximum(norm, 1e-9)[:, None]
                         i, j = np.nonzero(cos >= COSINE)
                         for q, m, c in zip(pp[at[i]].tolist(), owner[j].tolist(), cos[i, j].tolist()):
@@ -266,9 +299,9 @@ def _orthonormal(x: np.ndarray) -> np.ndarray:
     return u[:, s > 1e-6 * max(s.max(), 1e-12)]
 
 
-def latent_groups(docs: DataFrame, hashes: np.ndarray, idf: np.ndarray, passages: list[tuple[int, np.ndarray]]):
+def latent_groups(ids: DataFrame, kind: str, idf: np.ndarray, passages: list[tuple[int, np.ndarray]]):
     """Latent space of each group of benchmark passages (item number, term ids): what ``_search`` needs."""
-    n = len(hashes)
+    n = len(idf)
     rng = np.random.default_rng(11)
     groups = [passages[i:i + GROUP] for i in range(0, len(passages), GROUP)]
     mats, bases, starts = [], [], []
@@ -283,7 +316,7 @@ def latent_groups(docs: DataFrame, hashes: np.ndarray, idf: np.ndarray, passages
         mats.append(b)
         bases.append(q)
         starts.append(start - q @ (q.T @ start))
-    rows = (docs.select("text").mapInArrow(_sketch(hashes, idf, starts), "g int, term int, y binary")
+    rows = (ids.select("words").mapInArrow(_sketch(n, kind, idf, starts), "g int, term int, y binary")
             .groupBy("g", "term").applyInPandas(_add_up, "g int, term int, y binary"))
     ys = [np.zeros_like(s) for s in starts]
     for r in written(rows, "latent-sketch").collect():      # bounded: terms of the benchmark x columns of the sketch
@@ -319,7 +352,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not items:
         return spark.createDataFrame([], RESULT)
     hashes = np.unique(np.concatenate([h for _, h, _ in items]))
-    counts = written(docs.select("text").mapInArrow(_count_terms(hashes), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")),
+    kind = "<i2" if len(hashes) < 1 << 15 else "<i4"
+    ids = written(docs.select("text", "id").mapInArrow(_to_ids(hashes, kind), "id long, words binary"), "latent-words")
+    counts = written(ids.select("words").mapInArrow(_count_terms(len(hashes), kind), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")),
                      "latent-terms").collect()              # bounded: one row per term of the benchmark
     df = np.zeros(len(hashes))
     total = 0
@@ -331,7 +366,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     idf = np.where(df <= max(COMMON * total, 1), np.log((total + 1) / (df + 1)) + 0.01, 0.0)
     passages = []
     for m, (_, h, _) in enumerate(items):
-        ids = np.searchsorted(hashes, h)
-        passages += [(m, ids[a:z]) for a, z in windows(len(ids))]
-    groups = latent_groups(docs, hashes, idf, passages)
-    return docs.select("text", "id").mapInArrow(_search(hashes, items, groups), RESULT)
+        t = np.searchsorted(hashes, h)
+        passages += [(m, t[a:z]) for a, z in windows(len(t))]
+    groups = latent_groups(ids, kind, idf, passages)
+    return ids.select("words", "id").mapInArrow(_search(hashes, kind, items, groups), RESULT)
