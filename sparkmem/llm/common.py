@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,17 +14,14 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-SLICE_BYTES = 2 << 20      # text handled at once inside a task; a longer single text is handled alone
+SLICE_BYTES = 1 << 20      # text handled at once inside a task; a longer single text is handled alone
 BATCH_ROWS = "1000"        # rows per Arrow batch (long texts make small batches necessary)
 
 
 def arrow_conf(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    except Exception:  # noqa: BLE001 - a Spark version without the setting: the row bound remains
-        pass
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -45,11 +45,34 @@ def spread(spark: SparkSession, n_bytes: int, per_task: int = 16 << 20, least: i
     return max(least, math.ceil(n_bytes / per_task))
 
 
+def block_numbers() -> Iterator[int]:
+    """Numbers for the blocks of a task: unique over its stage, and the same when a lost task runs again."""
+    from pyspark import TaskContext
+    task = TaskContext.get()
+    return itertools.count((task.partitionId() if task else 0) << 32)
+
+
 # --------------------------------------------------------------------------
 # Arrow text
 # --------------------------------------------------------------------------
+_TRIMMED: list[bool] = []
+
+
+def return_freed_memory() -> None:
+    """Have the allocator hand freed arrays of a megabyte or more back to the system at once (once per process).
+
+    Python workers outlive a stage and are reused; without this, what a stage's largest arrays took stays with them.
+    """
+    if not _TRIMMED:
+        _TRIMMED.append(True)
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):            # glibc
+            libc.mallopt(-3, 1 << 20)           # M_MMAP_THRESHOLD
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets int64[n+1], bytes uint8) of a string column; a null counts as empty."""
+    return_freed_memory()
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if not pa.types.is_large_string(col.type):

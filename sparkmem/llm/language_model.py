@@ -26,7 +26,6 @@ empty result; without training documents every token has the base's uniform shar
 from __future__ import annotations
 
 import math
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_conf, clustered_ranges, lower_ascii, mix64, row_slices, span_hash, utf8, words, written
+from .common import arrow_conf, block_numbers, lower_ascii, mix64, return_freed_memory, row_slices, span_hash, utf8, words, written
 
-BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 MERGE = 256                # lists merged at once in one task
 SPLIT_TOKENS = 8_000_000   # scored tokens of a bucket above which it is split by block
 ROUNDS = 2                 # rounds of sweeps after which the restaurants' totals are updated
@@ -110,6 +109,7 @@ def _z(*arrays: np.ndarray) -> bytes:
 
 def _unz(blob: bytes) -> list[np.ndarray]:
     import zstandard
+    return_freed_memory()
     raw, out, i = zstandard.ZstdDecompressor().decompress(blob), [], 0
     while i < len(raw):
         n, kind = int.from_bytes(raw[i:i + 8], "little"), raw[i + 8:i + 12].decode().strip()
@@ -148,11 +148,15 @@ def _unpack_pairs(blob: bytes):
     return np.repeat(w, per), c, n
 
 
+def _part(block: int, parts: int) -> int:
+    return int(mix64(np.array([block], np.uint64))[0] % np.uint64(parts))
+
+
 def _send_counts(buckets: int, fan: int):
     """Training counts of each block: rows (bucket, part, pairs)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held, w, c, r, _ in _blocks(batches):
-            part = int.from_bytes(os.urandom(4), "little") % fan
+        for number, (_, held, w, c, r, _) in zip(block_numbers(), _blocks(batches)):
+            part = _part(number, fan)
             train = ~held[r]
             w, c = w[train], c[train]
             order, first = _grouped(w, c)
@@ -318,7 +322,7 @@ def _rounds(totals: Totals, round_no: int):
 
 
 def _average(totals: Totals):
-    """Averaged predictive probabilities of each bucket: rows (bucket, model)."""
+    """Averaged predictive probabilities of each bucket (in single precision: 1e-7 of each): rows (bucket, model)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -331,8 +335,10 @@ def _average(totals: Totals):
                     r.sweep()
                     for acc, p in zip((p2, p1, p0), r.probabilities()):
                         acc += p / SAMPLES
-                c = np.bincount(r.w, n, minlength=len(r.words)).astype(np.int64)
-                model = _z(r.words.astype("<u8"), c, p0, r.mid.astype("<i8"), p1, (r.w * CONTEXTS + r.k2).astype("<i8"), p2)
+                c = np.bincount(r.w, n, minlength=len(r.words)).astype("<i8")
+                # pairs in the order of (word, context), middle restaurants in that of (word, high byte)
+                model = _z(r.words.astype("<u8"), c, p0.astype("<f4"), np.bincount(r.w, minlength=len(r.words)).astype("<u4"),
+                           r.k2.astype("<u2"), p2.astype("<f4"), p1.astype("<f4"))
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([model], pa.binary())], ["bucket", "model"])
     return run
 
@@ -343,8 +349,7 @@ def _average(totals: Totals):
 def _send_documents(buckets: int, split: dict[int, int]):
     """Rows (bucket, part, block, payload): a block's words of one bucket with context, document and times; bucket -1 - x: its documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, held, w, c, r, n in _blocks(batches):
-            block = int.from_bytes(os.urandom(8), "little") >> 1
+        for block, (ids, held, w, c, r, n) in zip(block_numbers(), _blocks(batches)):
             rows = [(-1 - block % buckets, 0, _z(ids.astype("<i8"), held.astype("<u1"), n.astype("<i8")))]
             order, first = _grouped(w, c, r)
             times = np.diff(np.append(first, len(order)))
@@ -356,7 +361,7 @@ def _send_documents(buckets: int, split: dict[int, int]):
                 s = by[cut[k]:cut[k + 1]]
                 pair = np.flatnonzero(np.append(True, (w[s][1:] != w[s][:-1]) | (c[s][1:] != c[s][:-1])))
                 word = np.flatnonzero(np.append(True, w[s][pair][1:] != w[s][pair][:-1]))
-                rows.append((k, block % split.get(k, 1), _z(
+                rows.append((k, _part(block, split.get(k, 1)), _z(
                     w[s][pair][word].astype("<u8"), np.diff(np.append(word, len(pair))).astype("<u4"), c[s][pair].astype("<u2"),
                     np.diff(np.append(pair, len(s))).astype("<u4"), r[s].astype("<u4"), times[s].astype("<u4"))))
             yield pa.RecordBatch.from_arrays(
@@ -374,9 +379,11 @@ def _score_bucket(totals: Totals):
             return pd.DataFrame({"block": docs["block"], "kind": np.zeros(len(docs), np.int32), "payload": docs["payload"]})
         q, d = totals, totals.d
         if len(models):
-            known, c_of, p0_of, mid, p1_of, pairs, p2_of = _unz(models["model"].iloc[0])
+            known, c_of, p0_of, per, ctx_of, p2_of, p1_of = _unz(models["model"].iloc[0])
         else:
-            known, c_of, p0_of, mid, p1_of, pairs, p2_of = (np.zeros(0, t) for t in ("<u8", "<i8", "<f8", "<i8", "<f8", "<i8", "<f8"))
+            known, c_of, p0_of, per, ctx_of, p2_of, p1_of = (np.zeros(0, t) for t in ("<u8", "<i8", "<f4", "<u4", "<u2", "<f4", "<f4"))
+        pairs = np.repeat(np.arange(len(known)), per) * CONTEXTS + ctx_of
+        mid = np.unique(pairs >> 8)
         unk = (THETA[0] + d[0] * q.t0) / (q.v + 1) / (THETA[0] + q.n0)
         more1 = (THETA[1] + d[1] * q.t1) / (THETA[1] + q.n1)
         more2 = (THETA[2] + d[2] * q.t2) / (THETA[2] + q.n2)
@@ -469,13 +476,12 @@ def score(docs: DataFrame, merge: int = MERGE, split_tokens: int = SPLIT_TOKENS)
                 t0 = float(r["a"])
         totals = Totals(n2, t2, t1, t0, d, v, n_tokens)
     models = written(merged.mapInArrow(_average(totals), "bucket int, model binary"), "lm-models")
-    # buckets crowded by frequent words (few: each holds split_tokens tokens of the corpus)
-    crowd = merged.select("bucket", "pairs").mapInArrow(_bucket_tokens, "bucket int, n long").where(F.col("n") > split_tokens).collect()
-    split = {r["bucket"]: math.ceil(r["n"] / split_tokens) for r in crowd}
-    spread = F.lit(1)
-    for b, s in split.items():
-        spread = F.when(F.col("bucket") == b, F.lit(s)).otherwise(spread)
-    models = models.withColumn("part", F.explode(F.sequence(F.lit(0), spread - 1)))
+    # buckets crowded by frequent words are split: each holds over split_tokens tokens of the corpus, so they are few
+    crowd = written(merged.select("bucket", "pairs").mapInArrow(_bucket_tokens, "bucket int, n long").where(F.col("n") > split_tokens), "lm-crowd")
+    split = {r["bucket"]: math.ceil(r["n"] / split_tokens) for r in crowd.collect()}
+    models = (models.join(crowd, "bucket", "left")
+              .withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.ceil(F.col("n") / split_tokens), F.lit(1)).cast("int") - 1)))
+              .select("bucket", "part", "model"))
     sent = docs.mapInArrow(_send_documents(buckets, split), "bucket int, part int, block long, payload binary")
     sums = (sent.repartition(buckets, "bucket", "part").groupBy("bucket", "part")
             .cogroup(models.groupBy("bucket", "part")).applyInPandas(_score_bucket(totals), "block long, kind int, payload binary"))
