@@ -2,8 +2,8 @@
 
 * ``add_hash_embedding``: the SHA-256 digest of the UTF-8 text, its 32 bytes
   repeated to ``dim`` values, each mapped to ``(b - 128) / 128`` and divided by
-  (L2 norm + 1e-8). Computed by an Arrow-batched UDF (hashlib + one numpy
-  pass per batch), because the 256-element expression tree is too large for
+  (L2 norm + 1e-8). The digest is taken in the JVM; an Arrow-batched UDF
+  spreads it (one numpy pass per batch), because the 256-element expression tree is too large for
   whole-stage codegen.
 * ``seed_mod900`` / ``add_seed``: the 256-bit integer of
   ``sha256(system + "|" + prompt)`` reduced modulo 900 in Catalyst, folding
@@ -15,8 +15,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,14 +33,9 @@ def sha256_hex(text) -> Column:
     return F.sha2(_c(text), 256)
 
 
-def hash_vectors_np(texts: list, dim: int) -> np.ndarray:
-    """(n, dim) float32 matrix of deterministic embeddings (rows of None -> NaN)."""
-    n = len(texts)
-    dig = np.zeros((n, 32), dtype=np.float64)
-    for i, t in enumerate(texts):
-        if t is not None:
-            dig[i] = np.frombuffer(hashlib.sha256(t.encode("utf-8")).digest(), dtype=np.uint8)
-    vals = (dig - 128.0) / 128.0
+def digest_vectors(digests: np.ndarray, dim: int) -> np.ndarray:
+    """(n, dim) float32 matrix of deterministic embeddings of 32-byte digests (n, 32)."""
+    vals = (digests.astype(np.float64) - 128.0) / 128.0
     reps, rem = divmod(dim, 32)
     full = np.tile(vals, (1, reps + (1 if rem else 0)))[:, :dim]
     norm = np.sqrt((full * full).sum(axis=1)) + COSINE_EPS
@@ -51,12 +44,12 @@ def hash_vectors_np(texts: list, dim: int) -> np.ndarray:
 
 def _embed_udf(dim: int):
     @F.arrow_udf("array<float>")
-    def embed(texts: pa.Array) -> pa.Array:
-        vals = texts.to_pylist()
-        mat = hash_vectors_np(vals, dim)
-        offsets = pa.array(np.arange(0, (len(vals) + 1) * dim, dim, dtype=np.int32))
-        mask = pa.array([v is None for v in vals])
-        return pa.ListArray.from_arrays(offsets, pa.array(mat.reshape(-1)), mask=mask)
+    def embed(digests: pa.Array) -> pa.Array:
+        n = len(digests)
+        mask = digests.is_null()
+        raw = np.frombuffer(b"".join(digests.fill_null(bytes(32)).to_pylist()), np.uint8).reshape(n, 32)
+        offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(digest_vectors(raw, dim).reshape(-1)), mask=mask)
     return embed
 
 
@@ -64,11 +57,11 @@ def add_hash_embedding(df: DataFrame, text_col: str, out_col: str = "embedding",
                        dim: int = 256) -> DataFrame:
     """Add the deterministic embedding of ``text_col`` (null text gives null).
 
-    An Arrow-batched UDF: SHA-256 per text (C speed) and one numpy pass per
-    batch; the result is assembled as an Arrow list array without per-row
-    Python objects.
+    The SHA-256 is taken in the JVM, so only 32 bytes per row reach Python; an
+    Arrow-batched UDF spreads them to ``dim`` floats in one numpy pass and
+    assembles the list array without per-row Python objects.
     """
-    return df.withColumn(out_col, _embed_udf(dim)(F.col(text_col)))
+    return df.withColumn(out_col, _embed_udf(dim)(F.unhex(F.sha2(F.col(text_col).cast("binary"), 256))))
 
 
 def seed_fold(h) -> Column:

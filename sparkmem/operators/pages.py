@@ -264,10 +264,10 @@ def link_frontier(fetched: DataFrame, allow, robots: DataFrame, visited: DataFra
     resolved = F.when(F.col("href").startswith("/"),
                       F.concat(F.col("_ps"), F.lit("://"), F.col("src_host"), F.col("href"))).otherwise(F.col("href"))
     # one row per link before the gate: fewer rows to join, and no distinct after it
-    links = ex.select("src_host", normalize_url(resolved).alias("link")).distinct()
-    links = gate_pages(links, "link", allow, robots).where(F.col("allowed"))
-    if same_domain_only:
-        links = links.where(url_host("link") == F.col("src_host"))
+    if same_domain_only:        # normalising keeps the host, so the link as written decides (a small filter before the join)
+        ex = ex.where(F.col("href").startswith("/") | (url_host("href") == F.col("src_host")))
+    links = ex.select("src_host", normalize_url(resolved).alias("link"))
+    links = gate_pages(links.distinct(), "link", allow, robots).where(F.col("allowed"))
     out = links.select("src_host", F.col("link").alias("url"))
     if visited is not None:
         out = out.join(visited.select(F.col("url")).distinct(), "url", "left_anti")

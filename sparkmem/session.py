@@ -8,6 +8,7 @@ is created only when that setting is unset, which happens in tests.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -86,6 +87,7 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     sc.addPyFile(zpath)
+    atexit.register(lambda: os.path.exists(zpath) and os.unlink(zpath))
     _SHIPPED.add(app)
 
 
