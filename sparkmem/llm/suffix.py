@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_conf, clustered_ranges, mix64, powers, row_slices, span_hash, utf8, written, _BINV
+from .common import arrow_conf, block_numbers, clustered_ranges, lean, mix64, powers, return_freed_memory, row_slices, span_hash, utf8, written
 
 LENGTH = 100               # bytes of a string that counts as repeated
 GRAM = 24                  # bytes of an anchor
-BLOCK_BYTES = 8 << 20      # text of one block
-BUCKET_BYTES = 16 << 20    # text per bucket
+BLOCK_BYTES = 4 << 20      # text of one block
+BUCKET_BYTES = 8 << 20     # text per bucket
 SORT_BYTES = 1 << 20       # contexts sorted at a time
 HOT_BLOCKS = 4096
 # fixed values: a perfect difference set modulo 31 (every difference occurs once)
@@ -73,7 +72,7 @@ def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with pa.ipc.new_stream(sink, rest.schema) as w:
             w.write_table(rest)
         z = zstandard.ZstdCompressor(level=3).compress
-        number = int.from_bytes(os.urandom(8), "little") >> 1
+        number = next(numbers)
         return pa.RecordBatch.from_arrays(
             [pa.array([number]), pa.array([int(off[-1])], pa.int64()),
              *(pa.array([x], pa.binary()) for x in (
@@ -81,6 +80,7 @@ def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  z(off.astype("<i8").tobytes()), z(data.tobytes()), z(sink.getvalue().to_pybytes())))],
             ["block", "n_bytes", "ids", "ties", "offs", "data", "rest"])
 
+    numbers = block_numbers()
     held, size = [], 0
     for b in batches:
         off, _ = utf8(b.column(0))
@@ -113,7 +113,8 @@ def runs(offsets: np.ndarray, data: np.ndarray):
         s = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(n)[:n], out=s[1:])
         gram = mix64((s[GRAM:] - s[:-GRAM]) * powers(n + 1, inverse=True)[:n + 1 - GRAM])
-    bits = np.uint64(max(1, int(n).bit_length()))
+    # 33 bits of the hash over the position: the leftmost of equal grams, whatever the slice a string stands in
+    bits = np.uint64(31)
     low = ((gram >> bits) << bits) | np.arange(len(gram), dtype=np.uint64)
     width = 1
     while width * 2 <= span:                    # least of each window, by doubling
@@ -193,6 +194,7 @@ def _send_contexts(buckets: int):
             for number, ids, ties, o, d, codes in zip(*(b.column(k).to_pylist() for k in range(6))):
                 z = zstandard.ZstdCompressor(level=1).compress
                 ids, ties, o, d = _unz(ids, "<i8"), _unz(ties, "<i8"), _unz(o, "<i8"), _unz(d, "u1")
+                return_freed_memory()
                 h, _ = _block_anchors(o, d)
                 to = _bucket(h, buckets)
                 state = np.zeros(len(h), np.uint8)
@@ -342,6 +344,7 @@ def _sort_bucket(key, pdf):
     import zstandard
     z = zstandard.ZstdCompressor(level=1).compress
     out_block, out_marks = [], []
+    return_freed_memory()
     if key[0] < 0:                              # marks made within blocks, on their way back
         return pd.DataFrame({"block": pdf["block"], "marks": pdf["marks"]})
     n_of = pdf["n"].to_numpy()
@@ -440,7 +443,7 @@ def _cut(rest_names: list[str], with_text: bool):
                 at = o - n_gone[o]
                 whole = zstandard.ZstdDecompressor().decompress(rest)
                 t = pa.ipc.open_stream(whole).read_all().combine_chunks()
-                cols = [t.column(c).combine_chunks() if t.num_rows else t.column(c).combine_chunks() for c in rest_names]
+                cols = [t.column(c).combine_chunks() for c in rest_names]
                 parts = [kept[a:z] for a, z in zip(at[:-1], at[1:])]
                 cols += [pa.array(np.diff(o), pa.int64()), pa.array(np.diff(n_gone[o]), pa.int64()), pa.array(np.diff(n_open[o]), pa.int64())]
                 if with_text:
@@ -464,15 +467,15 @@ def deduplicate(docs: DataFrame, id_col: str, text_col: str, with_text: bool = F
     own = docs.select(F.col(text_col).alias("_text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_tie"),
                       F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("_id"),
                       *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
-    blocks = written(own.mapInArrow(_pack_blocks, BLOCK_SCHEMA), "suffix-blocks")
+    blocks = written(own.mapInArrow(lean(_pack_blocks), BLOCK_SCHEMA), "suffix-blocks")
     n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / BUCKET_BYTES))
-    sent = blocks.select("block", "offs", "data").mapInArrow(_send_anchors(buckets), "bucket int, block long, h binary, multi binary")
+    sent = blocks.select("block", "offs", "data").mapInArrow(lean(_send_anchors(buckets)), "bucket int, block long, h binary, multi binary")
     codes = written(sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(
         _answer_anchors(hot_blocks), "block long, bucket int, code binary"), "suffix-codes")
     of_block = codes.groupBy("block").agg(F.collect_list(F.struct("bucket", "code")).alias("codes"))
     contexts = (blocks.select("block", "ids", "ties", "offs", "data").join(of_block, "block")
-                .select("block", "ids", "ties", "offs", "data", "codes").mapInArrow(_send_contexts(buckets), CONTEXT_SCHEMA))
+                .select("block", "ids", "ties", "offs", "data", "codes").mapInArrow(lean(_send_contexts(buckets)), CONTEXT_SCHEMA))
     marks = written(contexts.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_sort_bucket, "block long, marks binary"), "suffix-marks")
     back = marks.groupBy("block").agg(F.collect_list("marks").alias("marks"))
     fields = [docs.schema[c] for c in rest]
@@ -480,6 +483,6 @@ def deduplicate(docs: DataFrame, id_col: str, text_col: str, with_text: bool = F
     schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields)),
                         "n_bytes long, n_removed long, n_spans long", "kept_text string" if with_text else "kept_sha256 string"])
     out = (blocks.select("block", "offs", "data", "rest").join(back, "block", "left").select("offs", "data", "rest", "marks")
-           .mapInArrow(_cut(names, with_text), schema))
+           .mapInArrow(lean(_cut(names, with_text)), schema))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, rest)], "n_bytes", "n_removed", "n_spans",
                       "kept_text" if with_text else "kept_sha256")
