@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_conf, block_numbers, lower_ascii, mix64, return_freed_memory, row_slices, span_hash, utf8, words, written
+from .common import arrow_conf, block_numbers, lean, lower_ascii, mix64, return_freed_memory, row_slices, span_hash, utf8, words, written
 
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
@@ -109,7 +109,6 @@ def _z(*arrays: np.ndarray) -> bytes:
 
 def _unz(blob: bytes) -> list[np.ndarray]:
     import zstandard
-    return_freed_memory()
     raw, out, i = zstandard.ZstdDecompressor().decompress(blob), [], 0
     while i < len(raw):
         n, kind = int.from_bytes(raw[i:i + 8], "little"), raw[i + 8:i + 12].decode().strip()
@@ -308,6 +307,7 @@ def _rounds(totals: Totals, round_no: int):
         t2, t1, t0 = np.zeros(CONTEXTS, np.int64), np.zeros(256, np.int64), 0
         for b in batches:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                return_freed_memory()
                 r = Restaurants(*_unpack_pairs(blob), totals, seed=bucket * 1000 + round_no)
                 for _ in range(SWEEPS):
                     r.sweep()
@@ -326,6 +326,7 @@ def _average(totals: Totals):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                return_freed_memory()
                 w, k, n = _unpack_pairs(blob)
                 r = Restaurants(w, k, n, totals, seed=bucket * 1000 + 999)
                 for _ in range(BURN_IN):
@@ -377,6 +378,7 @@ def _score_bucket(totals: Totals):
             return pd.DataFrame({"block": np.zeros(0, np.int64), "kind": np.zeros(0, np.int32), "payload": np.zeros(0, object)})
         if key[0] < 0:
             return pd.DataFrame({"block": docs["block"], "kind": np.zeros(len(docs), np.int32), "payload": docs["payload"]})
+        return_freed_memory()
         q, d = totals, totals.d
         if len(models):
             known, c_of, p0_of, per, ctx_of, p2_of, p1_of = _unz(models["model"].iloc[0])
@@ -441,7 +443,7 @@ def score(docs: DataFrame, merge: int = MERGE, split_tokens: int = SPLIT_TOKENS)
     buckets = max(parts, math.ceil(n_bytes / BUCKET_BYTES))
     fan = max(1, math.ceil(n_bytes / BLOCK_BYTES / merge))
     schema = "bucket int, part int, pairs binary"
-    counts = docs.mapInArrow(_send_counts(buckets, fan), schema)
+    counts = docs.mapInArrow(lean(_send_counts(buckets, fan)), schema)
     while fan > 1:
         fan = math.ceil(fan / merge)
         counts = counts.repartition(buckets, "bucket", "part").groupBy("bucket", "part").applyInPandas(_merge_group(fan), schema)
@@ -453,7 +455,7 @@ def score(docs: DataFrame, merge: int = MERGE, split_tokens: int = SPLIT_TOKENS)
         return written(df, name).collect()
 
     n2, t2, t1, sizes = np.zeros(CONTEXTS), np.zeros(CONTEXTS), np.zeros(256), np.zeros((4, 2))
-    for r in total_rows(merged.select("pairs").mapInArrow(_statistics, "kind long, key long, a long, b long")
+    for r in total_rows(merged.select("pairs").mapInArrow(lean(_statistics), "kind long, key long, a long, b long")
                         .groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "lm-stats"):
         if r["kind"] == 2:
             n2[r["key"]], t2[r["key"]] = r["a"], r["b"]
@@ -466,7 +468,7 @@ def score(docs: DataFrame, merge: int = MERGE, split_tokens: int = SPLIT_TOKENS)
     totals = Totals(n2, t2, t1, float(v), d, v, n_tokens)
     for k in range(ROUNDS):
         t2, t1, t0 = np.zeros(CONTEXTS), np.zeros(256), 0.0
-        for r in total_rows(merged.mapInArrow(_rounds(totals, k), "kind long, key long, a long")
+        for r in total_rows(merged.mapInArrow(lean(_rounds(totals, k)), "kind long, key long, a long")
                             .groupBy("kind", "key").agg(F.sum("a").alias("a")), "lm-round"):
             if r["kind"] == 2:
                 t2[r["key"]] = r["a"]
@@ -475,14 +477,14 @@ def score(docs: DataFrame, merge: int = MERGE, split_tokens: int = SPLIT_TOKENS)
             else:
                 t0 = float(r["a"])
         totals = Totals(n2, t2, t1, t0, d, v, n_tokens)
-    models = written(merged.mapInArrow(_average(totals), "bucket int, model binary"), "lm-models")
+    models = written(merged.mapInArrow(lean(_average(totals)), "bucket int, model binary"), "lm-models")
     # buckets crowded by frequent words are split: each holds over split_tokens tokens of the corpus, so they are few
     crowd = written(merged.select("bucket", "pairs").mapInArrow(_bucket_tokens, "bucket int, n long").where(F.col("n") > split_tokens), "lm-crowd")
     split = {r["bucket"]: math.ceil(r["n"] / split_tokens) for r in crowd.collect()}
     models = (models.join(crowd, "bucket", "left")
               .withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.ceil(F.col("n") / split_tokens), F.lit(1)).cast("int") - 1)))
               .select("bucket", "part", "model"))
-    sent = docs.mapInArrow(_send_documents(buckets, split), "bucket int, part int, block long, payload binary")
+    sent = docs.mapInArrow(lean(_send_documents(buckets, split)), "bucket int, part int, block long, payload binary")
     sums = (sent.repartition(buckets, "bucket", "part").groupBy("bucket", "part")
             .cogroup(models.groupBy("bucket", "part")).applyInPandas(_score_bucket(totals), "block long, kind int, payload binary"))
     out = sums.groupBy("block").applyInPandas(

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import _BINV, arrow_conf, clustered_ranges, mix64, powers, row_slices, utf8, _M2
+from .common import _BINV, arrow_conf, clustered_ranges, lean, mix64, powers, row_slices, utf8, _M2
 
 SPACE = 0x2581
 KNOWN_WORDS = 600_000      # distinct words a worker remembers before it starts anew
@@ -461,4 +461,4 @@ def encode_checked(docs: DataFrame, path: str) -> DataFrame:
                      pa.LargeListArray.from_arrays(at, pa.array(ids, pa.int32())).cast(pa.list_(pa.int32())),
                      pa.array(sha), pa.array(same)], ["id", "piece_ids", "decoded_sha256", "round_trip"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, piece_ids array<int>, decoded_sha256 string, round_trip boolean")
+    return docs.select("id", "text").mapInArrow(lean(run), "id long, piece_ids array<int>, decoded_sha256 string, round_trip boolean")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_conf, lower_ascii, row_slices, span_hash, utf8, words, written
+from .common import arrow_conf, lean, lower_ascii, row_slices, span_hash, utf8, words, written
 
 BUCKETS = 1 << 14
 RANK = 8
@@ -205,4 +205,4 @@ def score(docs: DataFrame, model: bytes | None) -> DataFrame:
                     s = m.score(*features(off[lo:hi + 1] - off[lo], data[off[lo]:off[hi]], chars[lo:hi]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(s)], ["id", "score"])
 
-    return docs.select("id", "text", F.col("n_chars").cast("double").alias("n_chars")).mapInArrow(run, "id long, score double")
+    return docs.select("id", "text", F.col("n_chars").cast("double").alias("n_chars")).mapInArrow(lean(run), "id long, score double")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_conf, components, forest, lower_ascii, row_slices, utf8, words, written
+from .common import arrow_conf, components, forest, lean, lower_ascii, row_slices, utf8, words, written
 
 CELL_ROWS = 1 << 15        # fingerprints in one block of a cell
 FRONTIER = 1 << 21         # node pairs walked at once
@@ -73,7 +73,7 @@ def _fingerprint_batches(shingle: int):
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(id, fp long) of rows (id, text); fp holds the 64 bits."""
     arrow_conf(docs.sparkSession)
-    return docs.select("id", "text").mapInArrow(_fingerprint_batches(shingle), "id long, fp long")
+    return docs.select("id", "text").mapInArrow(lean(_fingerprint_batches(shingle)), "id long, fp long")
 
 
 # --------------------------------------------------------------------------
