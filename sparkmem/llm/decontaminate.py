@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_conf, row_slices, span_hash, utf8, words, written
+from .common import arrow_conf, lean, row_slices, span_hash, utf8, words, written
 
 PASSAGE = 64
 STRIDE = PASSAGE // 2
@@ -166,31 +166,37 @@ def _pieces(p: np.ndarray, most: int) -> list[tuple[int, int]]:
 def _sketch(n: int, kind: str, idf: np.ndarray, groups: list[np.ndarray]):
     """Rows (group, term, sums) of A'A G over the passages of a task; groups: (I - P) G of each group."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = [g.astype(np.float32) for g in groups]
+        # idf is put into the start vectors and the sums, the passage's length into its row: of a passage's entries
+        # only those of repeated terms need a factor of their own
+        start = [(g * idf[:, None]).astype(np.float32) for g in groups]
         y = [np.zeros((n, g.shape[1])) for g in groups]
         for b in batches:
             for _, ids, _, (_, lo, hi) in _slices(b.column(0), kind):
                 p, t, times = _entries(ids, lo, hi, n)
-                w = ((1 + np.log(times)) * idf[t]).astype(np.float32)
-                keep = w > 0
-                p, t, w = p[keep], t[keep], w[keep]
+                keep = idf[t] > 0
+                p, t, times = p[keep], t[keep], times[keep]
                 if not len(p):
                     continue
-                norm = np.sqrt(np.bincount(p, w * w, minlength=len(lo)))
-                w = (w / norm[p]).astype(np.float32)
+                tf = (1 + np.log(times)).astype(np.float32)
+                w = tf * idf[t]
+                norm2 = np.bincount(p, w * w, minlength=len(lo))
                 for x, z in _pieces(p, 4096):
-                    pp, tt, ww = p[x:z], t[x:z], w[x:z]
+                    pp, tt, ff = p[x:z], t[x:z], tf[x:z]
                     new = np.append(True, pp[1:] != pp[:-1])
                     row = np.cumsum(new) - 1
+                    at_p = np.flatnonzero(new)
+                    inv = (1.0 / norm2[pp[at_p]]).astype(np.float32)[:, None]
                     order = np.argsort(tt, kind="stable")
-                    to = tt[order]
+                    to, ro, fo = tt[order], row[order], ff[order]
                     at = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+                    more, more_o = np.flatnonzero(ff > 1), np.flatnonzero(fo > 1)
                     for g, acc in zip(start, y):
                         f = g[tt]
-                        f *= ww[:, None]
-                        f = np.add.reduceat(f, np.flatnonzero(new), axis=0)[row[order]]
-                        f *= ww[order][:, None]
+                        f[more] *= ff[more, None]
+                        f = (np.add.reduceat(f, at_p, axis=0) * inv)[ro]
+                        f[more_o] *= fo[more_o, None]
                         acc[to[at]] += np.add.reduceat(f, at, axis=0)
+        y = [acc * idf[:, None] for acc in y]
         for k, acc in enumerate(y):
             some = np.flatnonzero(np.abs(acc).sum(axis=1) > 0)
             for lo in range(0, len(some), 4096):
@@ -253,7 +259,8 @@ def _search(hashes, kind: str, items: list[tuple[int, np.ndarray, np.ndarray]],
                         pp = p[cut]
                         at = np.flatnonzero(np.append(True, pp[1:] != pp[:-1]))
                         vec = weight[t[cut]]
-                        vec *= tf[cut][:, None]
+                        more = np.flatnonzero(times[cut] > 1)
+                        vec[more] *= tf[cut[more], None]
                         vec = np.add.reduceat(vec, at, axis=0)
                         norm = np.sqrt(np.einsum("ij,ij->i", vec, vec))
                         cos = (vec @ folded.T) / np.maximum(norm, 1e-9)[:, None]
@@ -316,7 +323,7 @@ def latent_groups(ids: DataFrame, kind: str, idf: np.ndarray, passages: list[tup
         mats.append(b)
         bases.append(q)
         starts.append(start - q @ (q.T @ start))
-    rows = (ids.select("words").mapInArrow(_sketch(n, kind, idf, starts), "g int, term int, y binary")
+    rows = (ids.select("words").mapInArrow(lean(_sketch(n, kind, idf, starts)), "g int, term int, y binary")
             .groupBy("g", "term").applyInPandas(_add_up, "g int, term int, y binary"))
     ys = [np.zeros_like(s) for s in starts]
     for r in written(rows, "latent-sketch").collect():      # bounded: terms of the benchmark x columns of the sketch
@@ -353,8 +360,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return spark.createDataFrame([], RESULT)
     hashes = np.unique(np.concatenate([h for _, h, _ in items]))
     kind = "<i2" if len(hashes) < 1 << 15 else "<i4"
-    ids = written(docs.select("text", "id").mapInArrow(_to_ids(hashes, kind), "id long, words binary"), "latent-words")
-    counts = written(ids.select("words").mapInArrow(_count_terms(len(hashes), kind), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")),
+    ids = written(docs.select("text", "id").mapInArrow(lean(_to_ids(hashes, kind)), "id long, words binary"), "latent-words")
+    counts = written(ids.select("words").mapInArrow(lean(_count_terms(len(hashes), kind)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")),
                      "latent-terms").collect()              # bounded: one row per term of the benchmark
     df = np.zeros(len(hashes))
     total = 0
@@ -369,4 +376,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         t = np.searchsorted(hashes, h)
         passages += [(m, t[a:z]) for a, z in windows(len(t))]
     groups = latent_groups(ids, kind, idf, passages)
-    return ids.select("words", "id").mapInArrow(_search(hashes, kind, items, groups), RESULT)
+    return ids.select("words", "id").mapInArrow(lean(_search(hashes, kind, items, groups)), RESULT)
