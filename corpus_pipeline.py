@@ -7,8 +7,8 @@
 5. pieces: whole texts as SentencePiece ids, with the decoded text's digest.
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept and, but for the last, returns the
-columns of ``documents``. Rows of one doc_id share their fate in the stages that drop documents, repeated rows of a
-near-duplicate class are reduced to one row; a null text passes as an empty one; a row without doc_id is never dropped by
+columns of ``documents``. Rows of one doc_id share their fate in the stages that drop documents; stage 2 keeps one of
+repeated rows; a null text passes as an empty one; a row without doc_id is never dropped by
 the quality and decontamination stages' joins (nulls match nothing). An empty table passes through all stages.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 import os
 import sys
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -58,10 +58,12 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     _prepare(spark)
     classes = near_duplicates(_ids(docs))
     others = classes.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.select(COLUMNS).join(others, "doc_id", "left_anti")
-    # repeated rows of the document that stays: the first by its columns
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))
-    return kept.withColumn("_n", F.when(F.col("doc_id").isNull(), 1).otherwise(first)).where("_n = 1").select(COLUMNS)
+    docs = docs.select(COLUMNS)
+    # doc_ids that stand in several rows (none in a clean corpus): repeated rows become one
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = docs.join(others.unionByName(twice).distinct(), "doc_id", "left_anti")
+    repeated = docs.join(twice, "doc_id", "left_semi").join(others, "doc_id", "left_anti").distinct()
+    return once.select(COLUMNS).unionByName(repeated.select(COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
