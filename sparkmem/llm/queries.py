@@ -103,7 +103,24 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-@query("op2_embedding_near_dedup")
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.9
+), r AS (
+  SELECT a AS node, b AS reach FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a
+), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1), c AS (SELECT node AS vec_id, min(reach) AS low FROM r GROUP BY 1)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+       vec_id <= coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
+
+
+@query("op2_embedding_near_dedup", OP2_SQL)
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at cosine >= 0.9 among all vectors and their components."""
     from .vectors import near_duplicates
