@@ -8,7 +8,8 @@
    one distributed pass: Y = (I - P) A'A (I - P) G for a Gaussian G, summed term by term over all
    tasks, and the Nystrom form of the randomised SVD on the small sketch.
 3. Every corpus passage is folded into the latent space; passages of cosine >= ``COSINE`` to a benchmark passage
-   are candidates.
+   are candidates, and so are passages that hold ``COVERED`` of its distinct words. Every term has a positive weight, and
+   the share of covered words knows no weights, so that the copies of an item can't hide it however many they are.
 4. A candidate is checked on the words around it: the longest common subsequence with the item (bit
    parallel) and with the item's answer (what follows its last "answer:" mark, or its last sentence).
    An item is found when ``NEAR`` of its words stand there in order, or ``PARAPHRASE`` of them together with
@@ -45,7 +46,7 @@ NEAR = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.8
 LEAST_WORDS = 5
-COMMON = 0.2               # terms in more than this share of passages carry no weight
+COVERED = 0.6              # share of a benchmark passage's distinct words that makes a candidate by itself
 MOST_BENCHMARK = 64 << 20
 
 _GAPS = np.zeros(256, bool)
@@ -173,8 +174,6 @@ def _sketch(n: int, kind: str, idf: np.ndarray, groups: list[np.ndarray]):
         for b in batches:
             for _, ids, _, (_, lo, hi) in _slices(b.column(0), kind):
                 p, t, times = _entries(ids, lo, hi, n)
-                keep = idf[t] > 0
-                p, t, times = p[keep], t[keep], times[keep]
                 if not len(p):
                     continue
                 tf = (1 + np.log(times)).astype(np.float32)
@@ -235,7 +234,7 @@ def _masks(ids: np.ndarray) -> dict[int, int]:
 
 def _search(hashes, kind: str, items: list[tuple[int, np.ndarray, np.ndarray]], groups):
     """items: (item id, word hashes, answer's word hashes); groups: (weights of terms (terms x r), folded benchmark passages
-    (m x r), the item of each)."""
+    (m x r), the item of each, which terms each holds (terms x m))."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(hashes)
         n = len(terms.hashes)
@@ -244,7 +243,8 @@ def _search(hashes, kind: str, items: list[tuple[int, np.ndarray, np.ndarray]],
             wi, ai = terms.ids(w), terms.ids(a)
             checks.append((_masks(wi), len(wi), _masks(ai), len(ai)))
         out: list[tuple] = []
-        used = [weight.any(axis=1) for weight, _, _ in groups]
+        used = [weight.any(axis=1) | has.any(axis=1) for weight, _, _, has in groups]
+        needs = [np.ceil(COVERED * has.sum(axis=0) - 1e-9) for _, _, _, has in groups]
         for b in batches:
             doc_ids = b.column(1).to_pylist()
             for row0, ids, count, (text, lo, hi) in _slices(b.column(0), kind):
@@ -252,7 +252,7 @@ def _search(hashes, kind: str, items: list[tuple[int, np.ndarray, np.ndarray]],
                 p, t, times = _entries(ids, lo, hi, n)
                 tf = (1 + np.log(times)).astype(np.float32)
                 found: dict[tuple[int, int], list] = {}
-                for (weight, folded, owner), known in zip(groups, used):
+                for (weight, folded, owner, has), known, need in zip(groups, used, needs):
                     use = np.flatnonzero(known[t])
                     for x, z in _pieces(p[use], 2048):
                         cut = use[x:z]
@@ -264,7 +264,8 @@ def _search(hashes, kind: str, items: list[tuple[int, np.ndarray, np.ndarray]],
                         vec = np.add.reduceat(vec, at, axis=0)
                         norm = np.sqrt(np.einsum("ij,ij->i", vec, vec))
                         cos = (vec @ folded.T) / np.maximum(norm, 1e-9)[:, None]
-                        i, j = np.nonzero(cos >= COSINE)
+                        held = np.add.reduceat(has[t[cut]], at, axis=0, dtype=np.uint8)      # at most PASSAGE words each
+                        i, j = np.nonzero((cos >= COSINE) | (held >= need))
                         for q, m, c in zip(pp[at[i]].tolist(), owner[j].tolist(), cos[i, j].tolist()):
                             found.setdefault((int(text[q]), m), []).append((int(lo[q]), int(hi[q]), c))
                 for (d, m), spots in found.items():
@@ -341,8 +342,7 @@ def latent_groups(ids: DataFrame, kind: str, idf: np.ndarray, passages: list[tup
         weight = (v * idf[:, None]).astype(np.float32)
         folded = b @ v
         folded /= np.maximum(np.linalg.norm(folded, axis=1), 1e-12)[:, None]
-        some = np.abs(b).sum(axis=1) > 0
-        out.append((weight, folded[some].astype(np.float32), np.array([m for m, _ in g])[some]))
+        out.append((weight, folded.astype(np.float32), np.array([m for m, _ in g]), (b.T > 0).astype(np.uint8)))
     return out
 
 
@@ -370,7 +370,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             total = r["n"]
         else:
             df[r["term"]] = r["n"]
-    idf = np.where(df <= max(COMMON * total, 1), np.log((total + 1) / (df + 1)) + 0.01, 0.0)
+    idf = np.log((total + 1) / (df + 1)) + 0.01
     passages = []
     for m, (_, h, _) in enumerate(items):
         t = np.searchsorted(hashes, h)

@@ -54,3 +54,26 @@ def test_paraphrases_and_odd_rows(spark):
     assert got == want
     assert D.find_leaks(docs.limit(0), bench).count() == 0
     assert D.find_leaks(docs, bench.limit(0)).count() == 0
+
+
+def _leaks(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.id, r.item_id): r for r in D.find_leaks(docs, bench).collect()}
+
+
+def _writer(seed, size=3000):
+    rng = np.random.default_rng(seed)
+    vocab = ["".join(rng.choice(list("abcdefghijklm"), int(n))) for n in rng.integers(3, 9, size)]
+    return lambda n: " ".join(rng.choice(vocab, n))
+
+
+def test_copies_of_an_item_do_not_hide_it(spark):
+    """A third of the rows hold one item (bare, or among rare words of other items), or both of two rows."""
+    text = _writer(5)
+    items = [text(20) for _ in range(40)]
+    rare = " ".join(items[1:]).split()
+    texts = [text(60) for _ in range(60)]
+    texts += [items[0] if i % 2 else " ".join(rare[i:i + 15]) + " " + items[0] + " " + " ".join(rare[i + 99:i + 114]) for i in range(30)]
+    assert {d for d, m in _leaks(spark, texts, items) if m == 0} == set(range(60, 90))
+    assert set(_leaks(spark, [items[0], text(9) + " " + items[0]], items)) == {(0, 0), (1, 0)}
