@@ -1,8 +1,9 @@
 """Operator 9, language-model scoring by a hierarchical Pitman-Yor model.
 
-Restaurants: one per context (the previous word, hashed to 16 bits whose high byte is a hash of its last two bytes),
-whose parents are the restaurants of the high byte alone, whose parent is the root; the root's base is uniform over
-the V known words and one unknown. A dish w in a restaurant with n customers at t tables is served with
+Restaurants: one per context (the whole previous word, by 64-bit hash), whose parents are the restaurants of its class
+(16 bits: a hash of its last two bytes, and 8 bits of its own hash), whose parents are those of the class's high byte alone,
+whose parent is the root; the root's base is uniform over the V known words and one unknown. A dish w in a restaurant
+with n customers at t tables is served with
 
     P(w) = (n - d t + (theta + d T) P_parent(w)) / (theta + N)
 
@@ -15,9 +16,12 @@ sampled by blocked Gibbs: given the parent's P(w), the number of tables of a dis
 blocks that grow with n). Probabilities are averaged over the samples after burn-in.
 
 Data flow: texts are counted in blocks; (word, context, count) lists go to buckets by word (all restaurants' data on a word
-lie in one bucket, merged in a tree where there are many blocks). Only the restaurants' totals N and T cross buckets: vectors of
-65,536 numbers, whatever the corpus; they are updated between rounds of sweeps. For scoring, each block sends its words with
-context and document to the buckets and gets sums per document back; a bucket crowded by a frequent word is split by block.
+lie in one bucket, merged in a tree where there are many blocks). Only the restaurants' totals N and T cross buckets, and they
+are updated between rounds of sweeps: those of classes are vectors of 65,536 numbers, whatever the corpus; those of whole-word
+contexts, which grow with it, are summed in buckets by context, and each bucket of words gets back the totals of the contexts
+it holds. For scoring, each block sends its words with context and document to the buckets and gets sums per document back;
+a bucket crowded by a frequent word is split by block. A pair of word and context that was not learned goes on to the bucket
+of its context, for the weight with which that context hands down to its class.
 
 Nulls and odd input: a null or empty text is the end token alone; repeated rows get repeated results; an empty table gives an
 empty result; without training documents every token has the base's uniform share; extra columns are ignored.
@@ -43,8 +47,9 @@ ROUNDS = 2                 # rounds of sweeps after which the restaurants' total
 SWEEPS = 3                 # sweeps in each of them
 BURN_IN, SAMPLES = 2, 4    # sweeps of the last round
 EXACT = 128
-THETA = (1.0, 1.0, 1.0)    # concentration of root, middle and context restaurants
-CONTEXTS = 1 << 16
+THETA = (1.0, 1.0, 1.0, 1.0)   # concentration of root, middle, class and context restaurants
+CONTEXTS = 1 << 16         # classes of contexts
+SEGMENT = 1 << 13          # numbers of the classes' totals summed in one task
 END = np.uint64(0x456E64)  # the end token's hash
 START = np.uint64(0x537461)
 
@@ -60,8 +65,8 @@ def tokens(offsets: np.ndarray, data: np.ndarray):
     h = span_hash(low, s, e)
     tail = low[np.maximum(e - 1, 0)].astype(np.uint64) if len(e) else np.zeros(0, np.uint64)
     prev = np.where(e - s > 1, low[np.maximum(e - 2, 0)], 0).astype(np.uint64) if len(e) else tail
-    # context that a word sets for the next: 8 bits of its last two bytes, 8 bits of itself
-    ctx = ((mix64(tail * np.uint64(257) + prev) >> np.uint64(56)) << np.uint64(8)) | (h >> np.uint64(56))
+    # context that a word sets for the next: itself, over its class of 8 bits of its last two bytes and 8 bits of itself
+    ctx = (h << np.uint64(16)) | ((mix64(tail * np.uint64(257) + prev) >> np.uint64(56)) << np.uint64(8)) | (h >> np.uint64(56))
     count = np.bincount(r, minlength=n)
     at = np.arange(len(h)) + r                  # an end token stands after each row's words
     size = len(h) + n
@@ -71,10 +76,10 @@ def tokens(offsets: np.ndarray, data: np.ndarray):
     row[at] = r
     ends = np.cumsum(count + 1) - 1
     row[ends] = np.arange(n)
-    context = np.full(size, START & np.uint64(0xFFFF), np.uint64)
+    context = np.full(size, START << np.uint64(16) | START & np.uint64(0xFFFF), np.uint64)
     if len(h):
         context[at + 1] = ctx
-    return word, context.astype(np.uint16), row
+    return word, context, row
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]):
@@ -135,16 +140,26 @@ def _grouped(word, context, extra=None):
     return order, np.flatnonzero(new)
 
 
+def _class(context: np.ndarray) -> np.ndarray:
+    return (context & np.uint64(0xFFFF)).astype(np.int64)
+
+
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and the number of each value among them."""
+    uniq, at = np.unique(x.astype("<u8"), return_inverse=True)
+    return uniq, at.astype("<u1" if len(uniq) <= 1 << 8 else "<u2" if len(uniq) <= 1 << 16 else "<u4")
+
+
 def _pack_pairs(word, context, count) -> bytes:
-    """Pairs sorted by (word, context): distinct words, pairs of each, contexts, counts."""
+    """Pairs sorted by (word, context): distinct words, pairs of each, distinct contexts, their numbers, counts."""
     first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
     per = np.diff(np.append(first, len(word))).astype("<u4")
-    return _z(word[first].astype("<u8"), per, context.astype("<u2"), count.astype("<u4" if count.max(initial=0) < 2**32 else "<u8"))
+    return _z(word[first].astype("<u8"), per, *_numbered(context), count.astype("<u4" if count.max(initial=0) < 2**32 else "<u8"))
 
 
 def _unpack_pairs(blob: bytes):
-    w, per, c, n = _unz(blob)
-    return np.repeat(w, per), c, n
+    w, per, c, at, n = _unz(blob)
+    return np.repeat(w, per), c[at], n
 
 
 def _part(block: int, parts: int) -> int:
@@ -234,7 +249,7 @@ class Totals:
     """What crosses buckets: customers and tables of the restaurants, discounts and sizes."""
 
     def __init__(self, n2, t2, t1, t0, d, v, n_tokens):
-        self.n2, self.t2 = n2, t2               # contexts
+        self.n2, self.t2 = n2, t2               # classes
         self.n1 = t2.reshape(256, 256).sum(axis=1)
         self.t1 = t1                            # high bytes
         self.n0, self.t0 = float(t1.sum()), t0  # root
@@ -278,69 +293,136 @@ class Restaurants:
         self.t0 = draw_tables(self.n0, base, np.maximum(q.t0 - self.t0, 0), d[0], THETA[0], self.log_s[0], self.rng)
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, key, a, b): n customers a and dishes b of each context; kinds 1 and 0 the dishes of middle and root;
-    kind -1 the sizes (0: words and tokens; 1..3: dishes seen once and twice in root, middle, contexts)."""
-    n2, t2, t1 = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64), np.zeros(256, np.int64)
-    sizes = np.zeros((4, 2), np.int64)
-    for b in batches:
-        for blob in b.column(0).to_pylist():
-            w, k, n = _unpack_pairs(blob)
-            n2 += np.bincount(k, n, minlength=CONTEXTS).astype(np.int64)
-            t2 += np.bincount(k, minlength=CONTEXTS)
-            uniq, wi = np.unique(w, return_inverse=True)
-            mid, kids = np.unique(wi * 256 + (k >> 8).astype(np.int64), return_counts=True)
-            t1 += np.bincount(mid % 256, minlength=256)
-            above = np.bincount(mid // 256, minlength=len(uniq))
-            sizes += np.array([[len(uniq), n.sum()], *([(x == 1).sum(), (x == 2).sum()] for x in (above, kids, n))]).astype(np.int64)
-    some = np.flatnonzero(t2)
-    kind = np.concatenate([np.full(len(some), 2), np.full(256, 1), np.full(4, -1)])
-    key = np.concatenate([some, np.arange(256), np.arange(4)])
-    a = np.concatenate([n2[some], t1, sizes[:, 0]])
-    c = np.concatenate([t2[some], np.zeros(256, np.int64), sizes[:, 1]])
-    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(a), pa.array(c)], ["kind", "key", "a", "b"])
-
-
-def _rounds(totals: Totals, round_no: int):
-    """Tables of all restaurants after the sweeps of a round: rows (kind, key, a)."""
+class Seating:
+    """The seating of one bucket's words in whole-word contexts (``n_of``, ``t_of``: customers and tables of each pair's
+    context); the tables of a pair are the customers that its class's restaurant has of the word."""
+
+    def __init__(self, word, context, count, n_of, t_of, totals: Totals, seed: int):
+        self.n3, self.n_of, self.t_of = count.astype(np.int64), n_of, t_of
+        words, w = np.unique(word, return_inverse=True)
+        own, self.to2 = np.unique(w * CONTEXTS + _class(context), return_inverse=True)
+        self.t3 = np.ones(len(count), np.int64)
+        self.above = Restaurants(words[own // CONTEXTS], own % CONTEXTS, self._customers(len(own)), totals, seed)
+        self.d, self.log_s = totals.d[3], stirling(totals.d[3])
+
+    def _customers(self, n: int) -> np.ndarray:
+        return np.bincount(self.to2, self.t3, minlength=n).astype(np.int64)
+
+    def probabilities(self):
+        """(context, class, middle, root) probabilities of the seated dishes."""
+        p2, p1, p0 = self.above.probabilities()
+        p3 = (self.n3 - self.d * self.t3 + (THETA[3] + self.d * self.t_of) * p2[self.to2]) / (THETA[3] + self.n_of)
+        return p3, p2, p1, p0
+
+    def sweep(self) -> None:
+        p2 = self.above.probabilities()[0]
+        self.t3 = draw_tables(self.n3, p2[self.to2], np.maximum(self.t_of - self.t3, 0), self.d, THETA[3], self.log_s, self.above.rng)
+        self.above.n2 = self._customers(len(p2))
+        self.above.sweep()
+
+
+TOTALS_SCHEMA = "part int, bucket int, totals binary"
+
+
+def _state(bucket: int, buckets: int, context, at, count, t3, n2, k2, t2, k1, t1, t0: int, sizes) -> dict:
+    """What a bucket has of all totals: rows (part, bucket, totals). Parts from 0 on: the contexts of a bucket of contexts, their
+    customers and tables; part -1 - x: segment x of the classes' customers and tables, the middle's and the root's tables, sizes."""
+    n3 = np.bincount(at, count, minlength=len(context)).astype(np.int64)
+    s3 = np.bincount(at, t3, minlength=len(context)).astype(np.int64)
+    to = _bucket(context, buckets)
+    by = np.argsort(to, kind="stable")
+    cut = np.searchsorted(to[by], np.arange(buckets + 1))
+    parts, blobs = [], []
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        s = by[cut[k]:cut[k + 1]]
+        parts.append(k)
+        blobs.append(_z(context[s], *(x[s].astype("<u4" if x.max(initial=0) < 2**32 else "<u8") for x in (n3, s3))))
+    vector = np.concatenate([np.bincount(k2, n2, minlength=CONTEXTS), np.bincount(k2, t2, minlength=CONTEXTS),
+                             np.bincount(k1, t1, minlength=256), [t0], np.ravel(sizes)]).astype("<i8")
+    for x in range(0, len(vector), SEGMENT):
+        parts.append(-1 - x // SEGMENT)
+        blobs.append(_z(vector[x:x + SEGMENT]))
+    return {"part": parts, "bucket": [bucket] * len(parts), "totals": blobs}
+
+
+def _statistics(buckets: int):
+    """The state before any sweep: one table for every dish. Sizes: words and tokens; dishes seen once and twice in
+    root, middle, classes, contexts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t2, t1, t0 = np.zeros(CONTEXTS, np.int64), np.zeros(256, np.int64), 0
         for b in batches:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                return_freed_memory()
-                r = Restaurants(*_unpack_pairs(blob), totals, seed=bucket * 1000 + round_no)
-                for _ in range(SWEEPS):
-                    r.sweep()
-                t2 += np.bincount(r.k2, r.t2, minlength=CONTEXTS).astype(np.int64)
-                t1 += np.bincount(r.k1, r.t1, minlength=256).astype(np.int64)
-                t0 += int(r.t0.sum())
-        some = np.flatnonzero(t2)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([np.full(len(some), 2), np.full(256, 1), [0]])),
-             pa.array(np.concatenate([some, np.arange(256), [0]])), pa.array(np.concatenate([t2[some], t1, [t0]]))], ["kind", "key", "a"])
+                w, per, context, at, n = _unz(blob)
+                own, n2 = np.unique(np.repeat(np.arange(len(w)), per) * CONTEXTS + _class(context[at]), return_counts=True)
+                mid, n1 = np.unique(own >> 8, return_counts=True)
+                n0 = np.bincount(mid // 256, minlength=len(w))
+                sizes = [[len(w), n.sum()], *([(x == 1).sum(), (x == 2).sum()] for x in (n0, n1, n2, n))]
+                rows = _state(bucket, buckets, context, at, n, np.ones(len(n), np.int64), n2, own % CONTEXTS, np.ones(len(own), np.int64),
+                              mid % 256, np.ones(len(mid), np.int64), len(w), sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows["part"], pa.int32()), pa.array(rows["bucket"], pa.int32()), pa.array(rows["totals"], pa.binary())],
+                    ["part", "bucket", "totals"])
+    return run
+
+
+def _sum_totals(key, pdf):
+    """Sums over the buckets. A part of the contexts: to each bucket the totals of what it sent, and one row (bucket -1) of all
+    contexts; a segment: one row (bucket -1)."""
+    import pandas as pd
+    return_freed_memory()
+    if key[0] < 0:
+        total = 0
+        for x in pdf["totals"]:
+            total = total + _unz(x)[0]
+        return pd.DataFrame({"part": [key[0]], "bucket": [-1], "totals": [_z(total)]})
+    context, n, t = zip(*map(_unz, pdf["totals"]))
+    cut = np.cumsum([0, *map(len, context)])
+    uniq, inv = np.unique(np.concatenate(context), return_inverse=True)
+    n, t = (np.bincount(inv, np.concatenate(x)).astype(np.int64) for x in (n, t))
+    n, t = (x.astype("<u4" if x.max(initial=0) < 2**32 else "<u8") for x in (n, t))
+    back = [_z(n[inv[a:z]], t[inv[a:z]]) for a, z in zip(cut[:-1], cut[1:])]
+    return pd.DataFrame({"part": key[0], "bucket": [*pdf["bucket"], -1], "totals": [*back, _z(uniq, n, t)]})
+
+
+def _seated(bucket: int, pairs, replies, buckets: int, totals: Totals, seed: int):
+    """(words, pairs of each, contexts, their numbers, counts, seating) of a bucket, given the totals of its contexts."""
+    return_freed_memory()
+    w, per, context, at, n = _unz(pairs["pairs"].iloc[0])
+    to = _bucket(context, buckets)
+    n_of, t_of = np.zeros(len(context)), np.zeros(len(context))
+    for part, blob in zip(replies["part"], replies["totals"]):
+        here = np.flatnonzero(to == part)
+        n_of[here], t_of[here] = _unz(blob)
+    return w, per, context, at, n, Seating(np.repeat(w, per), context[at], n, n_of[at], t_of[at], totals, seed)
+
+
+def _rounds(totals: Totals, round_no: int, buckets: int):
+    """The state of a bucket after the sweeps of a round."""
+    def run(key, pairs, replies):
+        import pandas as pd
+        _, _, context, at, n, s = _seated(key[0], pairs, replies, buckets, totals, key[0] * 1000 + round_no)
+        for _ in range(SWEEPS):
+            s.sweep()
+        r = s.above
+        return pd.DataFrame(_state(key[0], buckets, context, at, n, s.t3, r.n2, r.k2, r.t2, r.k1, r.t1, int(r.t0.sum()), np.zeros((5, 2))))
     return run
 
 
-def _average(totals: Totals):
+def _average(totals: Totals, buckets: int):
     """Averaged predictive probabilities of each bucket (in single precision: 1e-7 of each): rows (bucket, model)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                return_freed_memory()
-                w, k, n = _unpack_pairs(blob)
-                r = Restaurants(w, k, n, totals, seed=bucket * 1000 + 999)
-                for _ in range(BURN_IN):
-                    r.sweep()
-                p2, p1, p0 = (np.zeros(x) for x in (len(n), len(r.mid), len(r.words)))
-                for _ in range(SAMPLES):
-                    r.sweep()
-                    for acc, p in zip((p2, p1, p0), r.probabilities()):
-                        acc += p / SAMPLES
-                c = np.bincount(r.w, n, minlength=len(r.words)).astype("<i8")
-                # pairs in the order of (word, context), middle restaurants in that of (word, high byte)
-                model = _z(r.words.astype("<u8"), c, p0.astype("<f4"), np.bincount(r.w, minlength=len(r.words)).astype("<u4"),
-                           r.k2.astype("<u2"), p2.astype("<f4"), p1.astype("<f4"))
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([model], pa.binary())], ["bucket", "model"])
+    def run(key, pairs, replies):
+        import pandas as pd
+        w, per, context, at, n, s = _seated(key[0], pairs, replies, buckets, totals, key[0] * 1000 + 999)
+        for _ in range(BURN_IN):
+            s.sweep()
+        sums = [np.zeros(len(p)) for p in s.probabilities()]
+        for _ in range(SAMPLES):
+            s.sweep()
+            for acc, p in zip(sums, s.probabilities()):
+                acc += p / SAMPLES
+        p3, p2, p1, p0 = (x.astype("<f4") for x in sums)
+        c = np.bincount(np.repeat(np.arange(len(w)), per), n, minlength=len(w)).astype("<i8")
+        # pairs in the order of (word, context), classes in that of (word, class), middle restaurants of (word, high byte)
+        return pd.DataFrame({"bucket": [key[0]], "model": [_z(w, c, p0, per, context, at, p3, p2, p1)]})
     return run
 
 
@@ -363,7 +445,7 @@ def _send_documents(buckets: int, split: dict[int, int]):
                 pair = np.flatnonzero(np.append(True, (w[s][1:] != w[s][:-1]) | (c[s][1:] != c[s][:-1])))
                 word = np.flatnonzero(np.append(True, w[s][pair][1:] != w[s][pair][:-1]))
                 rows.append((k, _part(block, split.get(k, 1)), _z(
-                    w[s][pair][word].astype("<u8"), np.diff(np.append(word, len(pair))).astype("<u4"), c[s][pair].astype("<u2"),
+                    w[s][pair][word].astype("<u8"), np.diff(np.append(word, len(pair))).astype("<u4"), *_numbered(c[s][pair]),
                     np.diff(np.append(pair, len(s))).astype("<u4"), r[s].astype("<u4"), times[s].astype("<u4"))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()),
@@ -371,21 +453,28 @@ def _send_documents(buckets: int, split: dict[int, int]):
     return run
 
 
-def _score_bucket(totals: Totals):
+SUMS_SCHEMA = "block long, kind int, part int, payload binary"
+
+
+def _score_bucket(totals: Totals, buckets: int):
+    """Rows (block, kind, part, payload). Kind 0: documents; 1: sums per document; 2: contexts of pairs not learned, by part."""
     def run(key, docs, models):
         import pandas as pd
         if not len(docs):
-            return pd.DataFrame({"block": np.zeros(0, np.int64), "kind": np.zeros(0, np.int32), "payload": np.zeros(0, object)})
+            return pd.DataFrame({"block": np.zeros(0, np.int64), "kind": np.zeros(0, np.int32), "part": np.zeros(0, np.int32), "payload": np.zeros(0, object)})
         if key[0] < 0:
-            return pd.DataFrame({"block": docs["block"], "kind": np.zeros(len(docs), np.int32), "payload": docs["payload"]})
+            return pd.DataFrame({"block": docs["block"], "kind": 0, "part": 0, "payload": docs["payload"]})
         return_freed_memory()
         q, d = totals, totals.d
         if len(models):
-            known, c_of, p0_of, per, ctx_of, p2_of, p1_of = _unz(models["model"].iloc[0])
+            known, c_of, p0_of, per, ctx_of, at_of, p3_of, p2_of, p1_of = _unz(models["model"].iloc[0])
         else:
-            known, c_of, p0_of, per, ctx_of, p2_of, p1_of = (np.zeros(0, t) for t in ("<u8", "<i8", "<f4", "<u4", "<u2", "<f4", "<f4"))
-        pairs = np.repeat(np.arange(len(known)), per) * CONTEXTS + ctx_of
-        mid = np.unique(pairs >> 8)
+            known, c_of, p0_of, per, ctx_of, at_of, p3_of, p2_of, p1_of = (
+                np.zeros(0, t) for t in ("<u8", "<i8", "<f4", "<u4", "<u8", "<u1", "<f4", "<f4", "<f4"))
+        owner = np.repeat(np.arange(len(known)), per)
+        pairs = owner * len(ctx_of) + at_of
+        own = np.unique(owner * CONTEXTS + _class(ctx_of[at_of]))
+        mid = np.unique(own >> 8)
         unk = (THETA[0] + d[0] * q.t0) / (q.v + 1) / (THETA[0] + q.n0)
         more1 = (THETA[1] + d[1] * q.t1) / (THETA[1] + q.n1)
         more2 = (THETA[2] + d[2] * q.t2) / (THETA[2] + q.n2)
@@ -395,26 +484,61 @@ def _score_bucket(totals: Totals):
             return at, (keys[at] == x) if len(keys) else np.zeros(len(x), bool)
 
         out = []
-        for payload in docs["payload"]:
-            w, per_w, ctx, per_p, row, times = _unz(payload)
+        for block, payload in zip(docs["block"], docs["payload"]):
+            w, per_w, ctx, ci, per_p, row, times = _unz(payload)
             at, have = find(known, w)
             c = np.where(have, c_of[at] if len(known) else 0, 0)
             p0 = np.where(have, p0_of[at] if len(known) else 0.0, unk)
             wi = np.repeat(np.arange(len(w)), per_w)
-            k2 = ctx.astype(np.int64)
+            k2 = _class(ctx)[ci]
             k1 = k2 >> 8
             gid = np.where(have, at, -1)[wi]
             m_at, m_have = find(mid, gid * 256 + k1)
             p1 = np.where(m_have & (gid >= 0), p1_of[m_at] if len(mid) else 0.0, more1[k1] * p0[wi])
-            p_at, p_have = find(pairs, gid * CONTEXTS + k2)
-            p2 = np.where(p_have & (gid >= 0), p2_of[p_at] if len(pairs) else 0.0, more2[k2] * p1)
+            o_at, o_have = find(own, gid * CONTEXTS + k2)
+            p2 = np.where(o_have & (gid >= 0), p2_of[o_at] if len(own) else 0.0, more2[k2] * p1)
+            c_at, c_have = find(ctx_of, ctx)
+            p_at, p_have = find(pairs, gid * len(ctx_of) + c_at[ci])
+            learned = p_have & c_have[ci] & (gid >= 0)
+            # of a pair not learned, its context's own factor is added by the bucket of the context
+            p3 = np.where(learned, p3_of[p_at] if len(pairs) else 0.0, p2)
             base = np.log10((c + 0.1) / (q.n_tokens + 0.1 * (q.v + 1)))
             pi = np.repeat(np.arange(len(wi)), per_p)
             docs_here, ri = np.unique(row, return_inverse=True)
             t = times.astype(np.float64)
-            out.append(_z(docs_here.astype("<u4"), np.bincount(ri, t * np.log10(p2)[pi]), np.bincount(ri, t * base[wi][pi]),
-                          np.bincount(ri, t * (c > 0)[wi][pi]).astype("<u4")))
-        return pd.DataFrame({"block": docs["block"], "kind": np.ones(len(docs), np.int32), "payload": out})
+            out.append((block, 1, 0, _z(docs_here.astype("<u4"), np.bincount(ri, t * np.log10(p3)[pi]), np.bincount(ri, t * base[wi][pi]),
+                                        np.bincount(ri, t * (c > 0)[wi][pi]).astype("<u4"))))
+            if q.n_tokens and not learned.all():
+                lost = np.flatnonzero(~learned[pi])
+                lc, lr, lt = ctx[ci[pi[lost]]], row[lost], times[lost]
+                order, first = _grouped(lc, lr)
+                lt = np.add.reduceat(lt[order], first).astype("<u4")
+                lc, lr = lc[order][first], lr[order][first]
+                to = _bucket(lc, buckets)
+                by = np.argsort(to, kind="stable")
+                cut = np.searchsorted(to[by], np.arange(buckets + 1))
+                for k in np.flatnonzero(np.diff(cut)).tolist():
+                    s = by[cut[k]:cut[k + 1]]
+                    out.append((block, 2, k, _z(*_numbered(lc[s]), lr[s], lt[s])))
+        return pd.DataFrame(out, columns=["block", "kind", "part", "payload"])
+    return run
+
+
+def _hand_down(d: float):
+    """What contexts add to the documents' sums for pairs not learned: (theta + d T) / (theta + N) of each, 1 of a context not learned."""
+    def run(key, asked, table):
+        import pandas as pd
+        out = []
+        context, n, t = _unz(table["totals"].iloc[0]) if len(table) else (np.zeros(0, x) for x in ("<u8", "<u4", "<u4"))
+        more = np.log10((THETA[3] + d * t) / (THETA[3] + n))
+        for payload in asked["payload"]:
+            ctx, ci, row, times = _unz(payload)
+            at = np.minimum(np.searchsorted(context, ctx), max(len(context) - 1, 0))
+            add = np.where(context[at] == ctx, more[at], 0.0) if len(context) else np.zeros(len(ctx))
+            docs_here, ri = np.unique(row, return_inverse=True)
+            zero = np.zeros(len(docs_here))
+            out.append(_z(docs_here.astype("<u4"), np.bincount(ri, times * add[ci]), zero, zero.astype("<u4")))
+        return pd.DataFrame({"block": asked["block"], "kind": 1, "part": 0, "payload": out})
     return run
 
 
@@ -450,34 +574,31 @@ def score(docs: DataFrame, merge: int = MERGE, split_tokens: int = SPLIT_TOKENS)
     merged = written(counts.repartition(buckets, "bucket").groupBy("bucket", "part").applyInPandas(_merge_group(1), schema)
                      .select("bucket", "pairs"), "lm-counts")
 
-    def total_rows(df: DataFrame, name: str):
-        """Sums by restaurant: at most 65,536 + 256 + 5 rows."""
-        return written(df, name).collect()
-
-    n2, t2, t1, sizes = np.zeros(CONTEXTS), np.zeros(CONTEXTS), np.zeros(256), np.zeros((4, 2))
-    for r in total_rows(merged.select("pairs").mapInArrow(lean(_statistics), "kind long, key long, a long, b long")
-                        .groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "lm-stats"):
-        if r["kind"] == 2:
-            n2[r["key"]], t2[r["key"]] = r["a"], r["b"]
-        elif r["kind"] == 1:
-            t1[r["key"]] = r["a"]
-        else:
-            sizes[r["key"]] = r["a"], r["b"]
+    def summed(state: DataFrame, name: str) -> tuple[DataFrame, np.ndarray]:
+        """Totals by part and bucket, and the vector of the classes' (about 131,000 numbers)."""
+        sums = written(state.repartition(buckets, "part").groupBy("part").applyInPandas(_sum_totals, TOTALS_SCHEMA), name)
+        rows = sums.where("part < 0").orderBy(F.desc("part")).collect()
+        size = 2 * CONTEXTS + 256 + 1 + 10
+        return sums, np.concatenate([_unz(bytes(r["totals"]))[0] for r in rows]) if rows else np.zeros(size, np.int64)
+
+    def seated(sums: DataFrame):
+        return (merged.repartition(buckets, "bucket").groupBy("bucket")
+                .cogroup(sums.where("part >= 0 and bucket >= 0").groupBy("bucket")))
+
+    sums, vector = summed(merged.select("bucket", "pairs").mapInArrow(lean(_statistics(buckets)), TOTALS_SCHEMA), "lm-stats")
+    sizes = vector[2 * CONTEXTS + 257:].reshape(5, 2)
     d = [float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if a + b else 0.5 for a, b in sizes[1:]]
     v, n_tokens = int(sizes[0, 0]), int(sizes[0, 1])
-    totals = Totals(n2, t2, t1, float(v), d, v, n_tokens)
+
+    def totals_of(x: np.ndarray) -> Totals:
+        x = x.astype(np.float64)
+        return Totals(x[:CONTEXTS], x[CONTEXTS:2 * CONTEXTS], x[2 * CONTEXTS:2 * CONTEXTS + 256], float(x[2 * CONTEXTS + 256]), d, v, n_tokens)
+
+    totals = totals_of(vector)
     for k in range(ROUNDS):
-        t2, t1, t0 = np.zeros(CONTEXTS), np.zeros(256), 0.0
-        for r in total_rows(merged.mapInArrow(lean(_rounds(totals, k)), "kind long, key long, a long")
-                            .groupBy("kind", "key").agg(F.sum("a").alias("a")), "lm-round"):
-            if r["kind"] == 2:
-                t2[r["key"]] = r["a"]
-            elif r["kind"] == 1:
-                t1[r["key"]] = r["a"]
-            else:
-                t0 = float(r["a"])
-        totals = Totals(n2, t2, t1, t0, d, v, n_tokens)
-    models = written(merged.mapInArrow(lean(_average(totals)), "bucket int, model binary"), "lm-models")
+        sums, vector = summed(seated(sums).applyInPandas(_rounds(totals, k, buckets), TOTALS_SCHEMA), "lm-round")
+        totals = totals_of(vector)
+    models = written(seated(sums).applyInPandas(_average(totals, buckets), "bucket int, model binary"), "lm-models")
     # buckets crowded by frequent words are split: each holds over split_tokens tokens of the corpus, so they are few
     crowd = written(merged.select("bucket", "pairs").mapInArrow(_bucket_tokens, "bucket int, n long").where(F.col("n") > split_tokens), "lm-crowd")
     split = {r["bucket"]: math.ceil(r["n"] / split_tokens) for r in crowd.collect()}
@@ -485,9 +606,11 @@ def score(docs: DataFrame, merge: int = MERGE, split_tokens: int = SPLIT_TOKENS)
               .withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.ceil(F.col("n") / split_tokens), F.lit(1)).cast("int") - 1)))
               .select("bucket", "part", "model"))
     sent = docs.mapInArrow(lean(_send_documents(buckets, split)), "bucket int, part int, block long, payload binary")
-    sums = (sent.repartition(buckets, "bucket", "part").groupBy("bucket", "part")
-            .cogroup(models.groupBy("bucket", "part")).applyInPandas(_score_bucket(totals), "block long, kind int, payload binary"))
-    out = sums.groupBy("block").applyInPandas(
+    scored = written(sent.repartition(buckets, "bucket", "part").groupBy("bucket", "part")
+                     .cogroup(models.groupBy("bucket", "part")).applyInPandas(_score_bucket(totals, buckets), SUMS_SCHEMA), "lm-scored")
+    handed = (scored.where("kind = 2").repartition(buckets, "part").groupBy("part")
+              .cogroup(sums.where("part >= 0 and bucket < 0").groupBy("part")).applyInPandas(_hand_down(d[3]), SUMS_SCHEMA))
+    out = scored.where("kind < 2").unionByName(handed).groupBy("block").applyInPandas(
         _add_up, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
