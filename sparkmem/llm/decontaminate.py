@@ -13,7 +13,7 @@
 4. A candidate is checked on the words around it: the longest common subsequence with the item (bit
    parallel) and with the item's answer (what follows its last "answer:" mark, or its last sentence).
    An item is found when ``NEAR`` of its words stand there in order, or ``PARAPHRASE`` of them together with
-   ``ANSWER`` of its answer.
+   ``ANSWER`` of its answer, in any of the places; the best of those that pass is reported.
 
 The benchmark is taken in groups of ``GROUP`` passages, so the matrices a task holds are bounded (at most
 GROUP * PASSAGE terms by GROUP + RANK columns); its total size is checked against ``MOST_BENCHMARK`` bytes.
@@ -232,6 +232,29 @@ def _masks(ids: np.ndarray) -> dict[int, int]:
     return out
 
 
+def evidence(ids: np.ndarray, spots: list[tuple], begin: int, end: int, masks: dict[int, int], size: int,
+             a_masks: dict[int, int], a_size: int) -> tuple[int, float, float] | None:
+    """(LCS, its share, the answer's share) of the best place around the spots of a document that holds the item, or None."""
+    best = None
+    done = -1
+    for x, z, *_ in sorted(spots):
+        x, z = max(begin, x - size), min(end, z + size)
+        if z <= done:
+            continue
+        # words around the passage, in steps that hold the item whole
+        for s in range(x, max(x + 1, z - size), max(1, size // 2)):
+            seq = ids[s:min(z, s + 2 * size)]
+            seq = seq[seq >= 0].tolist()
+            k = lcs(masks, size, seq)
+            if k / size < PARAPHRASE:
+                continue
+            here = (k, k / size, lcs(a_masks, a_size, seq) / max(1, a_size))
+            if (here[1] >= NEAR or here[2] >= ANSWER) and (best is None or here > best):
+                best = here
+        done = z
+    return best
+
+
 def _search(hashes, kind: str, items: list[tuple[int, np.ndarray, np.ndarray]], groups):
     """items: (item id, word hashes, answer's word hashes); groups: (weights of terms (terms x r), folded benchmark passages
     (m x r), the item of each, which terms each holds (terms x m))."""
@@ -271,23 +294,9 @@ def _search(hashes, kind: str, items: list[tuple[int, np.ndarray, np.ndarray]],
                 for (d, m), spots in found.items():
                     masks, size, a_masks, a_size = checks[m]
                     begin, end = int(first[d]), int(first[d] + count[d])
-                    spots.sort()
-                    best = (0, 0.0, 0.0)
-                    done = -1
-                    for x, z, _ in spots:
-                        x, z = max(begin, x - size), min(end, z + size)
-                        if z <= done:
-                            continue
-                        # words around the passage, in steps that hold the item whole
-                        for s in range(x, max(x + 1, z - size), max(1, size // 2)):
-                            seq = ids[s:min(z, s + 2 * size)]
-                            seq = seq[seq >= 0].tolist()
-                            k = lcs(masks, size, seq)
-                            if k > best[0]:
-                                best = (k, k / size, lcs(a_masks, a_size, seq) / max(1, a_size))
-                        done = z
-                    if best[1] >= NEAR or (best[1] >= PARAPHRASE and best[2] >= ANSWER):
-                        out.append((doc_ids[row0 + d], items[m][0], max(c for _, _, c in spots), best[0], best[1], best[2]))
+                    best = evidence(ids, spots, begin, end, masks, size, a_masks, a_size)
+                    if best:
+                        out.append((doc_ids[row0 + d], items[m][0], max(c for _, _, c in spots), *best))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, ty) for c, ty in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64()))],

@@ -77,3 +77,14 @@ def test_copies_of_an_item_do_not_hide_it(spark):
     texts += [items[0] if i % 2 else " ".join(rare[i:i + 15]) + " " + items[0] + " " + " ".join(rare[i + 99:i + 114]) for i in range(30)]
     assert {d for d, m in _leaks(spark, texts, items) if m == 0} == set(range(60, 90))
     assert set(_leaks(spark, [items[0], text(9) + " " + items[0]], items)) == {(0, 0), (1, 0)}
+
+
+def test_every_place_of_an_item_is_judged(spark):
+    """More of the item without its answer early on, less of it with the answer later."""
+    text = _writer(6)
+    items = [text(40) + ". Answer: " + text(8) for _ in range(30)]
+    w = items[0].split()
+    early, late = " ".join(w[:35]), " ".join(w[:22] + w[40:])
+    texts = [early + " " + text(250) + " " + late + " " + text(40), early + " " + text(250), *(text(200) for _ in range(40))]
+    got = _leaks(spark, texts, items)
+    assert set(got) == {(0, 0)} and got[0, 0].answer_share == 1.0 and got[0, 0].lcs_share < 0.7
