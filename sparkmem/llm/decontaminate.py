@@ -14,13 +14,14 @@
    parallel) and with the item's answer (what follows its last "answer:" mark, or its last sentence).
    An item is found when ``NEAR`` of its words stand there in order, or ``PARAPHRASE`` of them together with
    ``ANSWER`` of its answer, in any of the places; the best of those that pass is reported.
+   Of an item longer than a passage, ``NEAR`` of the words of a passage are enough, too: ``lcs_share`` is then the share of
+   the passage. Items of fewer than ``LEAST_WORDS`` words, too short for the cosine, are found as exact word sequences.
 
 The benchmark is taken in groups of ``GROUP`` passages, so the matrices a task holds are bounded (at most
 GROUP * PASSAGE terms by GROUP + RANK columns); its total size is checked against ``MOST_BENCHMARK`` bytes.
 
 Nulls and odd input: null or empty texts and items match nothing; repeated items are found alike, repeated rows give
-repeated results; an empty corpus or benchmark gives an empty result; extra columns are ignored. Items of fewer
-than ``LEAST_WORDS`` words are too short to tell and match nothing.
+repeated results; an empty corpus or benchmark gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_conf, lean, row_slices, span_hash, utf8, words, written
+from .common import arrow_conf, lean, mix64, row_slices, span_hash, utf8, words, written
 
 PASSAGE = 64
 STRIDE = PASSAGE // 2
@@ -233,8 +234,11 @@ def _masks(ids: np.ndarray) -> dict[int, int]:
 
 
 def evidence(ids: np.ndarray, spots: list[tuple], begin: int, end: int, masks: dict[int, int], size: int,
-             a_masks: dict[int, int], a_size: int) -> tuple[int, float, float] | None:
-    """(LCS, its share, the answer's share) of the best place around the spots of a document that holds the item, or None."""
+             a_masks: dict[int, int], a_size: int, whole: bool = True) -> tuple[int, float, float] | None:
+    """(LCS, its share, the answer's share) of the best place around the spots of a document that holds the item, or None.
+
+    Not ``whole``: masks and size are of a passage of the item, for which the answer is no evidence.
+    """
     best = None
     done = -1
     for x, z, *_ in sorted(spots):
@@ -249,21 +253,77 @@ def evidence(ids: np.ndarray, spots: list[tuple], begin: int, end: int, masks: d
             if k / size < PARAPHRASE:
                 continue
             here = (k, k / size, lcs(a_masks, a_size, seq) / max(1, a_size))
-            if (here[1] >= NEAR or here[2] >= ANSWER) and (best is None or here > best):
+            if (here[1] >= NEAR or whole and here[2] >= ANSWER) and (best is None or here > best):
                 best = here
         done = z
     return best
 
 
-def _search(hashes, kind: str, items: list[tuple[int, np.ndarray, np.ndarray]], groups):
-    """items: (item id, word hashes, answer's word hashes); groups: (weights of terms (terms x r), folded benchmark passages
-    (m x r), the item of each, which terms each holds (terms x m))."""
+def passage_evidence(ids: np.ndarray, spots: list[tuple], begin: int, end: int, item: np.ndarray, a_masks: dict[int, int],
+                     a_size: int) -> tuple[int, float, float] | None:
+    """The same for the passages of an item; the last of each spot is the first word of the benchmark passage retrieved.
+
+    The stretch that was copied may begin anywhere, so the passages between the retrieved one and its neighbours count, too.
+    """
+    best = None
+    tried = set()
+    for spot in spots:
+        for a in range(max(0, spot[-1] - STRIDE), min(len(item) - PASSAGE, spot[-1] + STRIDE) + 1, STRIDE // 4):
+            if (a, spot[0]) not in tried:
+                tried.add((a, spot[0]))
+                part = item[a:a + PASSAGE]
+                here = evidence(ids, [spot], begin, end, _masks(part), len(part), a_masks, a_size, whole=False)
+                if here and (best is None or here > best):
+                    best = here
+    return best
+
+
+def _sequence_keys(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    key = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        key = mix64(key * np.uint64(3) + ids[at + k].astype(np.uint64) + np.uint64(1))
+    return key
+
+
+class Sequences:
+    """Items of a few words, looked up as exact sequences of words."""
+
+    def __init__(self, items: list[np.ndarray]):
+        self.of: dict[tuple, list[int]] = {}
+        for m, w in enumerate(items):
+            if 0 < len(w) < LEAST_WORDS:
+                self.of.setdefault(tuple(w.tolist()), []).append(m)
+        self.keys = {}
+        for n in {len(w) for w in self.of}:
+            self.keys[n] = np.unique(np.concatenate([_sequence_keys(np.array(w), np.array([0]), n) for w in self.of if len(w) == n]))
+
+    def find(self, ids: np.ndarray, count: np.ndarray):
+        """(text, item) of every text that holds an item."""
+        last = np.repeat(np.cumsum(count), count)       # one past the last word of each word's text
+        text = np.repeat(np.arange(len(count)), count)
+        out = set()
+        for n, keys in self.keys.items():
+            at = np.flatnonzero((np.arange(len(ids)) + n <= last) & (ids >= 0))
+            key = _sequence_keys(ids, at, n)
+            hit = np.isin(key, keys)
+            # one place for each text and key
+            _, one = np.unique(np.stack([text[at[hit]].astype(np.uint64), key[hit]]), axis=1, return_index=True)
+            for p in at[hit][one].tolist():
+                out.update((int(text[p]), m) for m in self.of.get(tuple(ids[p:p + n].tolist()), ()))
+        return sorted(out)
+
+
+def _search(hashes, kind: str, items: list[tuple[int, np.ndarray, np.ndarray]], passages: list[tuple[int, int]], groups):
+    """items: (item id, word hashes, answer's word hashes); passages: (item, first word); groups: (weights of terms (terms x r),
+    folded benchmark passages (m x r), the number of each, which terms each holds (terms x m))."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(hashes)
         n = len(terms.hashes)
         checks = []
-        for _, w, a in items:
-            wi, ai = terms.ids(w), terms.ids(a)
+        item_ids = [terms.ids(w) for _, w, _ in items]
+        short = Sequences(item_ids)
+        for wi, (_, _, a) in zip(item_ids, items):
+            ai = terms.ids(a)
             checks.append((_masks(wi), len(wi), _masks(ai), len(ai)))
         out: list[tuple] = []
         used = [weight.any(axis=1) | has.any(axis=1) for weight, _, _, has in groups]
@@ -290,13 +350,17 @@ def _search(hashes, kind: str, items: list[tuple[int, np.ndarray, np.ndarray]],
                         held = np.add.reduceat(has[t[cut]], at, axis=0, dtype=np.uint8)      # at most PASSAGE words each
                         i, j = np.nonzero((cos >= COSINE) | (held >= need))
                         for q, m, c in zip(pp[at[i]].tolist(), owner[j].tolist(), cos[i, j].tolist()):
-                            found.setdefault((int(text[q]), m), []).append((int(lo[q]), int(hi[q]), c))
+                            found.setdefault((int(text[q]), passages[m][0]), []).append((int(lo[q]), int(hi[q]), c, passages[m][1]))
                 for (d, m), spots in found.items():
                     masks, size, a_masks, a_size = checks[m]
                     begin, end = int(first[d]), int(first[d] + count[d])
                     best = evidence(ids, spots, begin, end, masks, size, a_masks, a_size)
+                    if best is None and size > PASSAGE:
+                        best = passage_evidence(ids, spots, begin, end, item_ids[m], a_masks, a_size)
                     if best:
-                        out.append((doc_ids[row0 + d], items[m][0], max(c for _, _, c in spots), *best))
+                        out.append((doc_ids[row0 + d], items[m][0], max(c for _, _, c, _ in spots), *best))
+                for d, m in short.find(ids, count):
+                    out.append((doc_ids[row0 + d], items[m][0], 1.0, checks[m][1], 1.0, float(checks[m][3] > 0)))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, ty) for c, ty in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64()))],
@@ -316,15 +380,15 @@ def _orthonormal(x: np.ndarray) -> np.ndarray:
     return u[:, s > 1e-6 * max(s.max(), 1e-12)]
 
 
-def latent_groups(ids: DataFrame, kind: str, idf: np.ndarray, passages: list[tuple[int, np.ndarray]]):
-    """Latent space of each group of benchmark passages (item number, term ids): what ``_search`` needs."""
+def latent_groups(ids: DataFrame, kind: str, idf: np.ndarray, passages: list[np.ndarray]):
+    """Latent space of each group of benchmark passages (term ids of each): what ``_search`` needs."""
     n = len(idf)
     rng = np.random.default_rng(11)
     groups = [passages[i:i + GROUP] for i in range(0, len(passages), GROUP)]
     mats, bases, starts = [], [], []
     for g in groups:
         b = np.zeros((len(g), n))
-        for k, (_, t) in enumerate(g):
+        for k, t in enumerate(g):
             term, times = np.unique(t, return_counts=True)
             b[k, term] = (1 + np.log(times)) * idf[term]
         b /= np.maximum(np.linalg.norm(b, axis=1), 1e-12)[:, None]
@@ -339,7 +403,7 @@ def latent_groups(ids: DataFrame, kind: str, idf: np.ndarray, passages: list[tup
     for r in written(rows, "latent-sketch").collect():      # bounded: terms of the benchmark x columns of the sketch
         ys[r["g"]][r["term"]] = np.frombuffer(bytes(r["y"]), "<f8")
     out = []
-    for g, b, q, start, y in zip(groups, mats, bases, starts, ys):
+    for k, (g, b, q, start, y) in enumerate(zip(groups, mats, bases, starts, ys)):
         y = y - q @ (q.T @ y)
         core = start.T @ y
         core = (core + core.T) / 2
@@ -351,7 +415,7 @@ def latent_groups(ids: DataFrame, kind: str, idf: np.ndarray, passages: list[tup
         weight = (v * idf[:, None]).astype(np.float32)
         folded = b @ v
         folded /= np.maximum(np.linalg.norm(folded, axis=1), 1e-12)[:, None]
-        out.append((weight, folded.astype(np.float32), np.array([m for m, _ in g]), (b.T > 0).astype(np.uint8)))
+        out.append((weight, folded.astype(np.float32), k * GROUP + np.arange(len(g)), (b.T > 0).astype(np.uint8)))
     return out
 
 
@@ -364,7 +428,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         raise ValueError(f"the benchmark has {size} bytes, more than {MOST_BENCHMARK}; give it in parts")
     rows = benchmark.where("text is not null").select("item_id", "text").orderBy("item_id", "text").collect()
     hashed = _hashed([r["text"] for r in rows])
-    items = [(r["item_id"], h, a) for r, h, a in zip(rows, hashed, _hashed([answer_of(r["text"]) for r in rows])) if len(h) >= LEAST_WORDS]
+    items = [(r["item_id"], h, a) for r, h, a in zip(rows, hashed, _hashed([answer_of(r["text"]) for r in rows])) if len(h)]
     if not items:
         return spark.createDataFrame([], RESULT)
     hashes = np.unique(np.concatenate([h for _, h, _ in items]))
@@ -380,9 +444,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         else:
             df[r["term"]] = r["n"]
     idf = np.log((total + 1) / (df + 1)) + 0.01
-    passages = []
-    for m, (_, h, _) in enumerate(items):
-        t = np.searchsorted(hashes, h)
-        passages += [(m, t[a:z]) for a, z in windows(len(t))]
-    groups = latent_groups(ids, kind, idf, passages)
-    return ids.select("words", "id").mapInArrow(lean(_search(hashes, kind, items, groups)), RESULT)
+    passages = [(m, a, z) for m, (_, h, _) in enumerate(items) if len(h) >= LEAST_WORDS for a, z in windows(len(h))]
+    groups = latent_groups(ids, kind, idf, [np.searchsorted(hashes, items[m][1][a:z]) for m, a, z in passages])
+    return ids.select("words", "id").mapInArrow(lean(_search(hashes, kind, items, [x[:2] for x in passages], groups)), RESULT)

@@ -88,3 +88,16 @@ def test_every_place_of_an_item_is_judged(spark):
     texts = [early + " " + text(250) + " " + late + " " + text(40), early + " " + text(250), *(text(200) for _ in range(40))]
     got = _leaks(spark, texts, items)
     assert set(got) == {(0, 0)} and got[0, 0].answer_share == 1.0 and got[0, 0].lcs_share < 0.7
+
+
+def test_passages_of_long_items_and_short_items(spark):
+    text = _writer(7)
+    long = [text(300) for _ in range(3)]
+    w = long[0].split()
+    items = long + [text(30) for _ in range(20)] + ["zzq one", "\u6f22\u5b57\u306e\u554f\u984c", "zzq one", ""]
+    texts = [text(100) + " " + " ".join(w[a:a + 64]) + " " + text(100) for a in (48, 64, 100)]       # 64 words of 300
+    texts += [text(100) + " " + " ".join(w[100:120]) + " " + text(100)]                              # 20 of 300
+    texts += [text(20) + " Zzq, one " + text(20), text(20) + " one zzq " + text(5), "zzq\n" + text(3) + " one", text(9) + " \u6f22\u5b57\u306e\u554f\u984c. " + text(9), "zzq", "one"]
+    texts += [text(200) for _ in range(40)]
+    assert set(_leaks(spark, texts, items)) == {(0, 0), (1, 0), (2, 0), (4, 23), (4, 25), (7, 24)}
+    assert set(_leaks(spark, texts, items[23:])) == {(4, 0), (4, 2), (7, 1)}
