@@ -1,4 +1,4 @@
-"""Operator 7, benchmark decontamination by latent semantic retrieval.
+"""Operator 7, benchmark decontamination by projected TF-IDF retrieval.
 
 1. Terms are the benchmark's words; their document frequencies are counted over all passages (windows of
    ``PASSAGE`` words, half overlapping) of the corpus.
@@ -6,7 +6,8 @@
    beyond any corpus direction, so their span is part of the leading subspace whatever the corpus; the
    remaining ``RANK`` directions are the leading ones of the corpus passages with that span deflated, from
    one distributed pass: Y = (I - P) A'A (I - P) G for a Gaussian G, summed term by term over all
-   tasks, and the Nystrom form of the randomised SVD on the small sketch.
+   tasks, and the Nystrom form of the randomised SVD on the small sketch. These directions are orthogonal to every
+   benchmark passage: they lengthen corpus passages only, so paraphrases in other words are not retrieved.
 3. Every corpus passage is folded into the latent space; passages of cosine >= ``COSINE`` to a benchmark passage
    are candidates, and so are passages that hold ``COVERED`` of its distinct words. Every term has a positive weight, and
    the share of covered words knows no weights, so that the copies of an item can't hide it however many they are.
