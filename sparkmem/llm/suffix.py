@@ -21,8 +21,8 @@ found in more than ``HOT_BLOCKS`` blocks is spread over the buckets string by st
 gathers in one bucket.
 
 Nulls and odd input: a null text counts as empty and stays null in the cleaned text; a null id comes before all others;
-rows of one id are ordered by the hash of their text, and equal rows one after another, the first being
-the earliest; an empty table gives an empty result; extra columns are handed on.
+rows of one id are ordered by the hash of their text, and equal rows by block and place in the block, the first being
+the earliest for every string; an empty table gives an empty result; extra columns are handed on.
 """
 
 from __future__ import annotations
@@ -304,7 +304,7 @@ def repeated_starts(text: np.ndarray, base: np.ndarray, n: np.ndarray, anchor_at
     """(entry, start) of all starts whose LENGTH-byte string also starts earlier.
 
     ``text``: the contexts' bytes; of each context: where it begins, its number of starts, the anchor's offset, its
-    group (equal anchor) and its age (keys of the order: id, tie, position).
+    group (equal anchor) and its age (keys of the order: id, tie, block, document, position).
     """
     # ranks of the difference-cover sample: strings of LENGTH - COVER + 1 bytes at positions whose phase
     # (distance from the context's anchor modulo COVER) is in the set
@@ -366,6 +366,7 @@ def _sort_bucket(key, pdf):
     size = n_start + LENGTH - 1
     base = np.cumsum(size) - size
     row = np.repeat(np.arange(len(n_of)), n_of)
+    block = pdf["block"].to_numpy()[row]
     uniq, group, times = np.unique(anchor, return_inverse=True, return_counts=True)
     order = np.argsort(group, kind="stable")
     order = order[times[group[order]] > 1]
@@ -383,7 +384,7 @@ def _sort_bucket(key, pdf):
         b = np.cumsum(size[e]) - size[e]
         # equal contexts: all but the earliest are repeats as a whole
         h = mix64(span_hash(part, b, b + size[e]) + group[e].astype(np.uint64))
-        o = np.lexsort((first[e], ties[e], ids[e], h))
+        o = np.lexsort((first[e], doc[e], block[e], ties[e], ids[e], h))
         dup = o[1:][h[o][1:] == h[o][:-1]]
         marks.append((e[dup], first[e[dup]], first[e[dup]] + n_start[e[dup]]))
         keep = np.ones(len(e), bool)
@@ -393,7 +394,7 @@ def _sort_bucket(key, pdf):
         e, b = e[keep], b[keep]
         if not len(e):
             continue
-        entry, start = repeated_starts(part, b, n_start[e], off[e].astype(np.int64), group[e], [ids[e], ties[e], first[e]])
+        entry, start = repeated_starts(part, b, n_start[e], off[e].astype(np.int64), group[e], [ids[e], ties[e], block[e], doc[e], first[e]])
         o = np.lexsort((start, entry))
         entry, start = entry[o], start[o]
         if len(entry):

@@ -77,3 +77,29 @@ def test_repeated_and_empty(spark):
     assert out[0] == (0, 0, t[:120]) and sorted(x[1] for x in out[1:]) == [120, 150]
     assert [r.kept_text for r in S.deduplicate(df, "doc_id", "text", with_text=True).collect() if r.doc_id == 2] == [None]
     assert S.deduplicate(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_the_earliest_of_equal_rows_is_the_same_in_any_order_of_arrival():
+    """Equal rows in two blocks: each string keeps the one of the smaller block number, however the rows reach a bucket."""
+    import pandas as pd
+    import pyarrow as pa
+    import zstandard
+    z = zstandard.ZstdCompressor().compress
+    rng = np.random.default_rng(4)
+    text = np.frombuffer("".join(rng.choice(list("abcdefgh"), 600)).encode(), np.uint8)
+
+    def sent(block, cut):
+        data = np.concatenate([rng.integers(97, 105, cut).astype(np.uint8), text])
+        offs = np.array([0, cut, len(data)])
+        h, _ = S._block_anchors(offs, data)
+        code = np.packbits(np.stack([np.ones(len(h), np.uint8), np.zeros(len(h), np.uint8)])).tobytes()
+        cols = [pa.array([block]), *(pa.array([z(x.tobytes())], pa.binary()) for x in (np.array([5, 5]), np.array([1, 2]), offs, data)),
+                pa.array([[{"bucket": 0, "code": code}]])]
+        batch = pa.RecordBatch.from_arrays(cols, ["block", "ids", "ties", "offs", "data", "codes"])
+        return pa.Table.from_batches(list(S._send_contexts(1)(iter([batch])))).to_pandas()
+
+    for tail in (0, 130):                       # 130: other bytes before the text, so contexts differ at its head
+        rows = pd.concat([sent(7, tail), sent(9, tail)], ignore_index=True)
+        rows = rows[rows["bucket"] == 0]
+        for order in (rows, rows[::-1]):
+            assert set(S._sort_bucket((0,), order.reset_index(drop=True))["block"]) == {9}
