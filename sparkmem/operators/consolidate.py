@@ -30,11 +30,12 @@ from ..constants import (CONSOLIDATE_MAX_ITEMS, CONSOLIDATE_THRESHOLD, COSINE_EP
 from ..functions.vector import cosine
 from ..session import materialize
 from .blocks import grid, matrix, pack
-from .graph import connected_components
+from .graph import connected_components, spanning_stars
 
 
-def greedy_clusters(vectors: list, threshold: float, dim: int = VECTOR_DIM) -> list[int]:
-    """Cluster index per item (items in processing order).
+def greedy_clusters(vectors: list, threshold: float, dim: int = VECTOR_DIM, times: list[int] | None = None) -> list[int]:
+    """Cluster index per item (items in processing order); ``times``: copies of each that follow one another (they join the same
+    cluster: the first copy only moves its centroid towards the next).
 
     Running sums per cluster give the centroid (sum / count); each item is
     compared with every centroid of its dimension in one numpy pass and joins
@@ -50,7 +51,7 @@ def greedy_clusters(vectors: list, threshold: float, dim: int = VECTOR_DIM) -> l
             by_dim[d] = (np.zeros((cap, d)), np.zeros(cap), [])
         return by_dim[d]
 
-    for v in vectors:
+    for v, n in zip(vectors, times if times is not None else [1] * len(vectors)):
         if v is None or len(v) == 0:
             sums, counts, ids = slot(dim)
             ids.append(n_clusters)  # zero vector, count 1
@@ -70,14 +71,14 @@ def greedy_clusters(vectors: list, threshold: float, dim: int = VECTOR_DIM) -> l
                 # first cluster in creation order among this dimension's clusters
                 placed = int(hit[0])
         if placed < 0:
-            sums[k] = e
-            counts[k] = 1.0
+            sums[k] = e * n
+            counts[k] = n
             ids.append(n_clusters)
             out.append(n_clusters)
             n_clusters += 1
         else:
-            sums[placed] += e
-            counts[placed] += 1.0
+            sums[placed] += e * n
+            counts[placed] += n
             out.append(ids[placed])
     return out
 
@@ -99,7 +100,8 @@ def cluster_members(memories: DataFrame, max_items: int | None = CONSOLIDATE_MAX
     members' total, so an item that joins it has cosine >= ``threshold ** 2`` to one of them. The connected components of
     that relation are therefore folded on their own, each in its order, with the same result as the whole scope. Equal
     vectors are one node of that graph, and a component of one distinct vector is one cluster without any
-    fold (copies never gather in a task). A negative or zero threshold ties everything to everything and folds scopes whole.
+    fold. The fold of a component takes its distinct vectors, and its rows as runs of equal vectors, without ids or contents;
+    clusters are joined back to the rows. A negative or zero threshold ties everything to everything and folds scopes whole.
     """
     scope_cols = list(scope_cols)
     df = memories.where(F.col("type") == "episodic") if episodic_only else memories
@@ -111,37 +113,44 @@ def cluster_members(memories: DataFrame, max_items: int | None = CONSOLIDATE_MAX
     df = df.select(*scope_cols, "member_pos", "id", "content", "embedding",
                    F.when(has, F.xxhash64("embedding")).alias("_h"))
     alone = df.where(F.col("_h").isNull()).select(*scope_cols, F.concat(F.lit("alone:"), "id").alias("cluster"), "member_pos", "id", "content")
-    vectors = df.where(F.col("_h").isNotNull())
+    # nodes: distinct (scope, vector)
+    vectors = df.where(F.col("_h").isNotNull()).withColumn("_node", F.xxhash64(*scope_cols, "_h", "embedding"))
     if threshold <= 0:
         linked = vectors.withColumn("_c", F.lit(0).cast("long")).withColumn("_kinds", F.lit(2))
     else:
-        # nodes: distinct (scope, vector); links within a scope at threshold ** 2
-        node = F.xxhash64(*scope_cols, "_h", "embedding")
-        vectors = vectors.withColumn("_node", node)
+        # links within a scope at threshold ** 2
         nodes = vectors.groupBy("_node").agg(F.first(F.struct(*scope_cols)).alias("_s"), F.first("embedding").alias("embedding"))
         near = block_pairs(nodes.select(F.col("_node").alias("id"), F.col("_node").alias("seq"), F.col("_s"), "embedding"),
-                           threshold * threshold, scope_col="_s")
+                           threshold * threshold, scope_col="_s", links=True)
         comp = connected_components(near.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")))
         linked = (vectors.join(comp.withColumnRenamed("node", "_node").withColumnRenamed("component", "_c"), "_node", "left")
                   .withColumn("_kinds", F.when(F.col("_c").isNull(), 1).otherwise(2))
                   .withColumn("_c", F.coalesce("_c", "_node")))
     single = linked.where("_kinds = 1").select(
         *scope_cols, F.concat(F.lit("copies:"), F.col("_c").cast("string")).alias("cluster"), "member_pos", "id", "content")
-    mixed = linked.where("_kinds = 2").select(
-        *scope_cols, "_c", F.col("member_pos.created").alias("_o1"), F.col("member_pos.seq").alias("_o2"), "id", "content", "embedding")
-    out_fields = [df.schema[c] for c in scope_cols] + [
-        T.StructField("cluster", T.StringType()), T.StructField("created", df.schema["member_pos"].dataType["created"].dataType),
-        T.StructField("seq", T.LongType()), T.StructField("id", T.StringType()), T.StructField("content", T.StringType())]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_o1", "_o2", "id"], kind="mergesort")
-        idx = greedy_clusters(list(pdf["embedding"]), threshold, dim)
-        out = pdf[scope_cols + ["_o1", "_o2", "id", "content"]].copy()
-        out.insert(len(scope_cols), "cluster", [f"{c}:{i}" for c, i in zip(pdf["_c"], idx)])
-        return out.rename(columns={"_o1": "created", "_o2": "seq"})
-
-    folded = mixed.groupBy(*scope_cols, "_c").applyInPandas(fold, T.StructType(out_fields))
-    folded = folded.select(*scope_cols, "cluster", F.struct("created", "seq", "id").alias("member_pos"), "id", "content")
+    group = F.xxhash64(*scope_cols, "_c")
+    mixed = (linked.where("_kinds = 2").withColumn("_g", group)
+             .withColumn("_row", F.xxhash64("_g", "member_pos", "_node")))
+    # rows as keys only, numbered by runs of equal vectors in arrival order
+    order = Window.partitionBy("_g").orderBy("_pos", "_node")
+    before = F.lag("_node").over(order)
+    rows = mixed.groupBy("_g", "_row", "_node").agg(F.first("member_pos").alias("_pos"), F.count(F.lit(1)).alias("_n"))
+    rows = rows.withColumn("_new", F.when(before == F.col("_node"), 0).otherwise(1))
+    rows = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = materialize(rows.select("_g", "_row", "_node", "_n", "_run"), "runs")
+    runs = rows.groupBy("_g", "_run").agg(F.first("_node").alias("_node"), F.sum("_n").alias("_n"))
+    kinds = mixed.groupBy("_g", "_node").agg(F.first("embedding").alias("embedding"))
+
+    def fold(key, runs: pd.DataFrame, kinds: pd.DataFrame) -> pd.DataFrame:
+        runs = runs.sort_values("_run")
+        vector = dict(zip(kinds["_node"], kinds["embedding"]))
+        idx = greedy_clusters([vector[x] for x in runs["_node"]], threshold, dim, runs["_n"].tolist())
+        return pd.DataFrame({"_g": key[0], "_run": runs["_run"], "_i": idx})
+
+    clusters = runs.groupBy("_g").cogroup(kinds.groupBy("_g")).applyInPandas(fold, "_g long, _run long, _i long")
+    found = rows.join(clusters, ["_g", "_run"]).select("_row", "_i")
+    folded = mixed.join(found, "_row").select(
+        *scope_cols, F.concat_ws(":", F.col("_c").cast("string"), F.col("_i").cast("string")).alias("cluster"), "member_pos", "id", "content")
     return alone.unionByName(single).unionByName(folded)
 
 
@@ -217,12 +226,13 @@ def centroids(df: DataFrame, group_cols: Sequence[str], emb_col: str = "embeddin
         .withColumn("pos", (F.col("pos") + 1).cast("long"))
 
 
-def block_pairs(df: DataFrame, threshold: float, scope_col: str | None = None) -> DataFrame:
+def block_pairs(df: DataFrame, threshold: float, scope_col: str | None = None, links: bool = False) -> DataFrame:
     """``id_a, id_b, sim`` of rows (id, seq, embedding[, scope]) with ``seq_a < seq_b`` and cosine >= threshold.
 
     Vectors are packed into blocks by their angle to a fixed direction; two blocks whose angles differ by more than the
     threshold's angle hold no pair (triangle inequality) and never meet. Every other pair of blocks is one matrix
     product in an executor. With ``scope_col`` only rows of one scope count.
+    With ``links`` (ids are numbers) a product gives edges with the same components instead of all its pairs, without ``sim``.
     """
     keys = ["id", "seq", *([scope_col] if scope_col else [])]
     base = df.select("id", F.col("seq").cast("long").alias("seq"), *([scope_col] if scope_col else []), F.col("embedding").alias("_emb"))
@@ -256,6 +266,10 @@ def block_pairs(df: DataFrame, threshold: float, scope_col: str | None = None) -
                     r, c = np.nonzero(ok)
                     if not len(r):
                         continue
+                    if links:
+                        u, v = spanning_stars(ids_a.to_numpy(zero_copy_only=False)[r + lo], ids_b.to_numpy(zero_copy_only=False)[c])
+                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.float64())], ["id_a", "id_b", "sim"])
+                        continue
                     swap = sa[r + lo] > sb[c]
                     left, right = ids_a.take(pa.array(r + lo)), ids_b.take(pa.array(c))
                     m = pa.array(swap)

@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 
+def spanning_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges with the components of the edges u-v: each node but the least of its component, with that least node."""
+    nodes, inv = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = inv[:len(u)], inv[len(u):]
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        for end in (a, b, before[a], before[b]):
+            np.minimum.at(label, end, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    keep = label != np.arange(len(nodes))
+    return nodes[keep], nodes[label[keep]]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges (u, v); component is the smallest node it reaches.
 

@@ -148,3 +148,16 @@ def test_hops_follow_links(spark):
     seeds = spark.createDataFrame([("p", 0, "http://a.com/1")], "plan_id string, pos long, seed string")
     for hops, n in ((0, 1), (1, 2), (2, 3)):
         assert P.pages_to_memories(seeds, pages, ["a.com"], robots, 0.0, max_hops=hops).count() == n
+
+
+def test_fold_gets_runs_without_contents(spark, monkeypatch):
+    """A hot group of copies beside one other vector reaches the fold as runs; rows, nulls and repeated rows come back whole."""
+    rows = [("s" if i % 2 else None, i, f"m{i}", "episodic", "c" * 50, float(i), [1.0, 0.0] if i < 190 else [1.0, 0.05]) for i in range(200)]
+    rows += rows[:4]
+    df = spark.createDataFrame(rows, "scope_id string, seq long, id string, type string, content string, created_at double, embedding array<double>")
+    got = C.cluster_members(df, None, 0.9)
+    assert sorted((r.scope_id or "", r.id, r.content) for r in got.collect()) == sorted((r[0] or "", r[2], r[4]) for r in rows)
+    assert {r.n for r in got.groupBy("scope_id", "cluster").agg(C.F.count("*").alias("n")).collect()} == {102}
+    assert C.greedy_clusters([[1.0, 0.0], [0.0, 1.0], [0.8, 0.6]], 0.7, times=[50, 3, 1]) == [0, 1, 0]
+    near = spark.createDataFrame([(i, i, [1.0, i / 1000]) for i in range(60)], "id long, seq long, embedding array<double>")
+    assert C.block_pairs(near, 0.9, links=True).count() < 200 < C.block_pairs(near, 0.9).count()
