@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,3 +184,82 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import held_out
     docs = documents(spark, sf_dir)
     return score(docs.withColumn("held_out", held_out("id", LM_FOLDS))).withColumnRenamed("id", "doc_id")
+
+
+OP11_SQL = """
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html FROM pages
+), f AS (
+  SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS low,
+         row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS LAST) = 1 AS is_first
+  FROM p
+)
+SELECT page_id, payload_bytes,
+       list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                              1 + (CAST(('0x' || substr(h, 5 * (i // 4) + 1, 5)) AS BIGINT) // CAST(pow(2, 15 - 5 * (i % 4)) AS BIGINT)) % 32, 1)
+                       for i in range(32)], 'string_agg', '') AS payload_digest,
+       CASE WHEN is_first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT is_first THEN low END AS refers_to
+FROM f
+"""
+
+
+@query("op11_warc", OP11_SQL)
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records in archives with a dictionary, and what the archives hold when read back."""
+    from ..session import scratch_path
+    from .warc import read_archives, resolve_revisits, write_archives
+    folder = scratch_path(spark, "warc")
+    write_archives(read_table(spark, sf_dir, "pages", "page_id", "url", "html"), folder)
+    records = written(read_archives(spark, folder, with_payload=False), "warc-read")
+    return resolve_revisits(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS m
+  FROM d LEFT JOIN marks USING (doc_id)
+), g AS (
+  SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL
+), o AS (
+  SELECT '' AS filter_order, 0 AS step, -1 AS k, 0 AS before
+  UNION ALL
+  SELECT filter_order || chr(CAST(65 + i AS INTEGER)), step + 1, CAST(i AS INTEGER), before + CASE WHEN k < 0 THEN 0 ELSE 1 << k END
+  FROM o, range(5) r(i) WHERE step < 5 AND position(chr(CAST(65 + i AS INTEGER)) IN filter_order) = 0
+), s AS (
+  SELECT w.filter_order, o.step, o.k, o.before FROM o JOIN o w ON w.step = 5 AND starts_with(w.filter_order, o.filter_order) AND o.step > 0
+), x AS (
+  SELECT part, filter_order, step, k,
+         sum(n) FILTER ((m & before) = 0 AND ((m >> k) & 1) = 0) AS kept, sum(n) FILTER ((m & before) = 0 AND ((m >> k) & 1) = 1) AS removed,
+         sum(n) FILTER ((m & before) <> 0 AND ((m >> k) & 1) = 1) AS redundant, sum(n) FILTER (m = (1 << k)) AS unique_fails,
+         sum(good) FILTER ((m & before) = 0 AND ((m >> k) & 1) = 1) AS good_lost, sum(toxic) FILTER ((m & before) = 0 AND ((m >> k) & 1) = 1) AS toxic_lost
+  FROM g, s GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(removed) OVER (PARTITION BY part, k), 0) AS BIGINT) AS shapley
+FROM x
+"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents, in all orders, per language."""
+    from .filter_audit import audit
+    return audit(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leading 8 whitened components of all embeddings."""
+    from .whitening import whiten
+    vectors = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding").withColumnRenamed("vec_id", "id")
+    return whiten(vectors).withColumnRenamed("id", "vec_id")
