@@ -6,12 +6,12 @@ every record is a frame of its own, so a reader can start at any record. ``read_
 
 Equal payloads (by SHA-256) are stored once: the row of the smallest page_id is the ``response``, every other row becomes a ``revisit``
 that names it. Payloads meet in an aggregate that keeps one copy per task before anything is shuffled, so a payload that a third of
-all rows hold moves once per task; rows without payload (the revisits) are narrow. Records go to archives by hash; the number of
-archives grows with the bytes stored, and a task holds one archive.
+all rows hold moves once per task, and each payload moves once; rows without payload (the revisits) are narrow. A task fills one archive
+after another from the rows it gets and holds one at a time.
 
-Files are written by Spark's own text sink, so its commit protocol decides what is kept when a task runs again, and any
-file system that Spark reaches will do. The sink ends each row with a line feed; a row therefore ends with the head of a skippable frame of one
-byte, whose content that line feed is: every file stays a plain sequence of frames.
+Files are written by Spark's own text sink, a row a file, so its commit protocol decides what is kept when a task runs again, and any
+file system that Spark reaches will do. The sink ends each row with a line feed; an archive therefore ends with the head of a skippable frame of
+one byte, whose content that line feed is: every file stays a plain sequence of frames.
 
 Nulls and odd input: a null html is an empty payload; a null url leaves ``WARC-Target-URI`` out, control characters in a url are
 percent-encoded; null page_ids come after all others when the smallest is sought, and a null one is left out of the record. Rows repeated whole
@@ -36,12 +36,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow_conf, lean, return_freed_memory, written
 
-ARCHIVE_BYTES = 64 << 20   # of records in one archive, before compression
+ARCHIVE_BYTES = 64 << 20   # of records after which an archive is closed, before compression
 DICTIONARY_BYTES = 112_640
 LEVEL = 6
 PIECE = 128 << 10          # longest sample a dictionary is built from; longer records give several
 TRAIN_BYTES = 256 << 20    # an archive above this (one very long record) is sampled evenly
-ROW_BYTES = 1 << 20        # of frames in one row of the sink
 # fixed values of the format: Zstandard frame magics, the one of a dictionary frame, and one of the other skippable frames
 FRAME, DICTIONARY_FRAME, SKIPPABLE = 0xFD2FB528, 0x184D2A5D, 0x184D2A50
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -104,44 +103,50 @@ def build_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> byte
         return None
 
 
-def _archive(date: str):
-    """One archive of all rows of a task, as rows of frames."""
+def _archive(date: str, archive_bytes: int):
+    """Archives of a task's rows, one row each: an archive is closed once its records hold ``archive_bytes``."""
     closing = struct.pack("<II", SKIPPABLE, 1)      # the sink's line feed is this frame's content
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records: list[bytes] = []
-        for b in batches:
-            cols = {n: b.column(n) for n in b.schema.names}
-            for i in range(b.num_rows):
-                v = {n: c[i].as_py() for n, c in cols.items()}
-                records.append(_page_record(date, v["key"], v["page_id"], v["url"], v["copy"], v["size"], v["sha1"], v["html"],
-                                            v["first_id"], v["first_url"]))
-        if not records:
-            return
+    def archive(records: list[bytes]) -> pa.RecordBatch:
         raw = build_dictionary(records)
-        part = bytearray()
         params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=True, write_checksum=True, write_dict_id=True)
+        out = bytearray()
         if raw is None:
             packer = zstandard.ZstdCompressor(compression_params=params)
         else:
             stored = min(zstandard.ZstdCompressor(level=19).compress(raw), raw, key=len)
-            part += struct.pack("<II", DICTIONARY_FRAME, len(stored)) + stored
+            out += struct.pack("<II", DICTIONARY_FRAME, len(stored)) + stored
             shared = zstandard.ZstdCompressionDict(raw)
             shared.precompute_compress(level=LEVEL)
             packer = zstandard.ZstdCompressor(compression_params=params, dict_data=shared)
-        part += packer.compress(_info_record(date, len(records)))
+        out += packer.compress(_info_record(date, len(records)))
         records.reverse()
         while records:
-            part += packer.compress(records.pop())
-            if len(part) >= ROW_BYTES or not records:
-                yield pa.RecordBatch.from_arrays([pa.array([bytes(part + closing)], pa.binary())], ["value"])
-                part = bytearray()
+            out += packer.compress(records.pop())
+        out += closing
+        return pa.RecordBatch.from_arrays([pa.array([bytes(out)], pa.binary())], ["value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records, held = [], 0
+        for b in batches:
+            cols = {n: b.column(n) for n in b.schema.names}
+            for i in range(b.num_rows):
+                v = {n: c[i].as_py() for n, c in cols.items()}
+                records.append(_page_record(date, v["key"], v["page_id"], v["url"], v["copy"], v["size"], v["sha1"], v["html"],
+                                            v["first_id"], v["first_url"]))
+                held += len(records[-1])
+                if held >= archive_bytes:
+                    yield archive(records)
+                    records, held = [], 0
+                    return_freed_memory()
+        if records:
+            yield archive(records)
         return_freed_memory()
     return run
 
 
-def plan_records(pages: DataFrame, least: int = 0) -> tuple[DataFrame, int]:
-    """(records to write, bytes of their payloads): responses with html, revisits without, each row with its first holder."""
+def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
+    """The records to write: responses with html, revisits without, each of these with its first holder."""
     def smallest(*names):
         return F.min(F.struct(*[x for n in names for x in (F.col(n).isNull().alias(f"no_{n}"), F.col(n).alias(n))]))
 
@@ -163,19 +168,15 @@ def plan_records(pages: DataFrame, least: int = 0) -> tuple[DataFrame, int]:
                     F.explode(F.expr("sequence(0L, if(own IS NULL, 0L, rows - 1))")).alias("copy"), "size",
                     F.unhex(F.sha1("html")).alias("sha1"), "html",
                     F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("string").alias("first_url")))
-    sizes = narrow.groupBy("key").agg(F.first("size").alias("size"), F.sum("rows").alias("n"))
-    total = sizes.agg(F.sum(F.col("size") * F.when(small, F.col("n")).otherwise(1) + 700 * F.col("n"))).first()[0] or 0
-    return once.unionByName(again), int(total)
+    return once.unionByName(again)
 
 
 def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write the pages' records as archives ``*.warc.zst`` into ``folder`` (a path of any file system that Spark reaches)."""
     spark = pages.sparkSession
     arrow_conf(spark)
-    records, total = plan_records(pages, least)
-    records = records.repartition(max(1, math.ceil(total / archive_bytes)), "key", "page_id", "url", "copy")
-    (records.mapInArrow(_archive(date), "value binary").select(F.col("value").cast("string").alias("value"))
-     .write.mode("overwrite").option("compression", "none").text(folder))
+    (plan_records(pages, least).mapInArrow(_archive(date, archive_bytes), "value binary").select(F.col("value").cast("string").alias("value"))
+     .write.mode("overwrite").option("compression", "none").option("maxRecordsPerFile", 1).text(folder))
     _name_archives(spark, folder)
 
 
