@@ -35,6 +35,7 @@ from .common import arrow_conf, block_numbers, return_freed_memory, utf8, writte
 
 FILTERS = "ABCDE"
 RANGE = 1 << 16            # documents of one range of ids
+SALTS = 32                 # parts that the rows of one text are dealt to where they meet its least doc_id
 SLICE = 4 << 20            # bytes of a text whose words are split at once
 MARKS = b"#$%&*|"          # fixed value: a text that holds one of them fails D
 _UPPER = bytes(range(65, 91))
@@ -187,9 +188,12 @@ def failing_documents(docs: DataFrame, labels: DataFrame, range_rows: int = RANG
     arrow_conf(docs.sparkSession)
     scanned = written(docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("part"))
                       .mapInArrow(_scan(range_rows), "row long, range long, doc_id long, part string, fails int, key binary"), "audit-rows")
-    repeated = scanned.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
+    # a text that a third of all rows hold is dealt to SALTS keys
+    repeated = (scanned.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+                .select("key", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
     marks = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    return (scanned.join(repeated, "key", "left").join(marks, "doc_id", "left")
+    salted = scanned.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    return (salted.join(repeated, ["key", "salt"], "left").join(marks, "doc_id", "left")
             .select("row", "range", "part", F.expr("fails + if(doc_id > least, 16, 0)").alias("fails"),
                     (F.coalesce("good", F.lit(0)) == 1).alias("good"), (F.coalesce("toxic", F.lit(0)) == 1).alias("toxic")))
 
