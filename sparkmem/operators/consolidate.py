@@ -4,83 +4,39 @@
   of them) are clustered greedily in arrival order (newest first): a memory
   joins the first cluster whose running centroid has cosine >= threshold, else
   opens a new one; a memory without an embedding sits alone (zero vector). The
-  order-dependent fold runs per group of memories that can interact at all.
+  order-dependent fold runs per group of memories that can interact at all, in
+  rounds. ``consolidate_members`` also gives the members, as rows.
 * ``cluster_rollup`` turns clusters of two or more into semantic memories.
 * ``centroids``: mean vector per group, as a partial aggregation per
   (group, position) -- no group is collected whole.
 * ``near_duplicate_pairs``: pairs at or above a cosine threshold, exact, between
-  classes of equal vectors, by matrix products of packed blocks in the executors.
+  classes of equal vectors, over a stored index (``vector_index``).
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from typing import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import (CONSOLIDATE_MAX_ITEMS, CONSOLIDATE_THRESHOLD, COSINE_EPS, SUMMARY_CHARS,
-                         VECTOR_DIM)
+from ..constants import CONSOLIDATE_MAX_ITEMS, CONSOLIDATE_THRESHOLD, SUMMARY_CHARS, VECTOR_DIM
 from ..functions.vector import cosine
 from ..session import materialize
-from .blocks import grid, matrix, pack
+from . import vector_index as V
 from .graph import connected_components, spanning_stars
+from .greedy import ROUND_ITEMS, fold, fold_groups, number_runs
 
 
 def greedy_clusters(vectors: list, threshold: float, dim: int = VECTOR_DIM, times: list[int] | None = None) -> list[int]:
-    """Cluster index per item (items in processing order); ``times``: copies of each that follow one another (they join the same
-    cluster: the first copy only moves its centroid towards the next).
-
-    Running sums per cluster give the centroid (sum / count); each item is
-    compared with every centroid of its dimension in one numpy pass and joins
-    the first that reaches ``threshold``.
-    """
-    cap = max(1, len(vectors))
-    by_dim: dict[int, tuple[np.ndarray, np.ndarray, list[int]]] = {}
-    out: list[int] = []
-    n_clusters = 0
-
-    def slot(d: int):
-        if d not in by_dim:
-            by_dim[d] = (np.zeros((cap, d)), np.zeros(cap), [])
-        return by_dim[d]
-
-    for v, n in zip(vectors, times if times is not None else [1] * len(vectors)):
-        if v is None or len(v) == 0:
-            sums, counts, ids = slot(dim)
-            ids.append(n_clusters)  # zero vector, count 1
-            counts[len(ids) - 1] = 1.0
-            out.append(n_clusters)
-            n_clusters += 1
-            continue
-        e = np.asarray(v, dtype=np.float64)
-        sums, counts, ids = slot(e.shape[0])
-        k = len(ids)
-        placed = -1
-        if k:
-            c = sums[:k] / counts[:k, None]
-            sims = (c @ e) / ((np.sqrt((c * c).sum(axis=1)) + COSINE_EPS) * (np.sqrt(e @ e) + COSINE_EPS))
-            hit = np.nonzero(sims >= threshold)[0]
-            if len(hit):
-                # first cluster in creation order among this dimension's clusters
-                placed = int(hit[0])
-        if placed < 0:
-            sums[k] = e * n
-            counts[k] = n
-            ids.append(n_clusters)
-            out.append(n_clusters)
-            n_clusters += 1
-        else:
-            sums[placed] += e * n
-            counts[placed] += n
-            out.append(ids[placed])
-    return out
+    """Cluster index per item (items in processing order): the plain fold of one group (``greedy.fold``)."""
+    return fold(vectors, times if times is not None else [1] * len(vectors), threshold, {}, 0, dim)
 
 
 def _arrival(df: DataFrame) -> DataFrame:
@@ -91,7 +47,7 @@ def _arrival(df: DataFrame) -> DataFrame:
 
 def cluster_members(memories: DataFrame, max_items: int | None = CONSOLIDATE_MAX_ITEMS,
                     threshold: float = CONSOLIDATE_THRESHOLD, scope_cols: Sequence[str] = ("scope_id",),
-                    dim: int = VECTOR_DIM, episodic_only: bool = True) -> DataFrame:
+                    dim: int = VECTOR_DIM, episodic_only: bool = True, round_items: int = ROUND_ITEMS) -> DataFrame:
     """K6 step 1: ``scope, cluster, member_pos, id, content`` of the newest ``max_items`` memories of each scope, or of
     all of them (``None``). ``member_pos`` sorts by arrival.
 
@@ -99,9 +55,9 @@ def cluster_members(memories: DataFrame, max_items: int | None = CONSOLIDATE_MAX
     ``threshold ** 2``: a centroid of members within ``threshold`` of it is at least ``threshold`` as long as its
     members' total, so an item that joins it has cosine >= ``threshold ** 2`` to one of them. The connected components of
     that relation are therefore folded on their own, each in its order, with the same result as the whole scope. Equal
-    vectors are one node of that graph, and a component of one distinct vector is one cluster without any
-    fold. The fold of a component takes its distinct vectors, and its rows as runs of equal vectors, without ids or contents;
-    clusters are joined back to the rows. A negative or zero threshold ties everything to everything and folds scopes whole.
+    vectors are one node of that graph (128 bits of hash), and a component of one distinct vector is one cluster without any
+    fold. Larger components are folded in rounds (``greedy``), so none of them is a task, whatever its size.
+    A negative or zero threshold ties everything to everything: a scope is then one component.
     """
     scope_cols = list(scope_cols)
     df = memories.where(F.col("type") == "episodic") if episodic_only else memories
@@ -111,47 +67,39 @@ def cluster_members(memories: DataFrame, max_items: int | None = CONSOLIDATE_MAX
         df = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_items)
     has = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     df = df.select(*scope_cols, "member_pos", "id", "content", "embedding",
-                   F.when(has, F.xxhash64("embedding")).alias("_h"))
-    alone = df.where(F.col("_h").isNull()).select(*scope_cols, F.concat(F.lit("alone:"), "id").alias("cluster"), "member_pos", "id", "content")
+                   *[F.when(has, F.xxhash64(F.lit(salt), *scope_cols, F.lit(salt), "embedding")).alias(h) for salt, h in ((1, "_h1"), (2, "_h2"))])
+    df = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "members")
+    cols = [*scope_cols, "cluster", "member_pos", "id", "content"]
+    alone = df.where("_h1 is null").withColumn("cluster", F.concat(F.lit("alone:"), "id")).select(*cols)
+    rows = df.where("_h1 is not null")
     # nodes: distinct (scope, vector)
-    vectors = df.where(F.col("_h").isNotNull()).withColumn("_node", F.xxhash64(*scope_cols, "_h", "embedding"))
+    nodes = materialize(rows.groupBy("_h1", "_h2").agg(F.first(F.struct(*scope_cols)).alias("_s"), F.first("embedding").alias("embedding"))
+                        .withColumn("_node", F.monotonically_increasing_id()), "nodes")
     if threshold <= 0:
-        linked = vectors.withColumn("_c", F.lit(0).cast("long")).withColumn("_kinds", F.lit(2))
+        whole = nodes.groupBy("_s").agg(F.min("_node").alias("_c"))
+        label = nodes.join(whole, nodes["_s"].eqNullSafe(whole["_s"])).select("_h1", "_h2", "_node", "_c", F.lit(True).alias("_mixed"))
+        found = True
     else:
         # links within a scope at threshold ** 2
-        nodes = vectors.groupBy("_node").agg(F.first(F.struct(*scope_cols)).alias("_s"), F.first("embedding").alias("embedding"))
-        near = block_pairs(nodes.select(F.col("_node").alias("id"), F.col("_node").alias("seq"), F.col("_s"), "embedding"),
-                           threshold * threshold, scope_col="_s", links=True)
-        comp = connected_components(near.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")))
-        linked = (vectors.join(comp.withColumnRenamed("node", "_node").withColumnRenamed("component", "_c"), "_node", "left")
-                  .withColumn("_kinds", F.when(F.col("_c").isNull(), 1).otherwise(2))
-                  .withColumn("_c", F.coalesce("_c", "_node")))
-    single = linked.where("_kinds = 1").select(
-        *scope_cols, F.concat(F.lit("copies:"), F.col("_c").cast("string")).alias("cluster"), "member_pos", "id", "content")
-    group = F.xxhash64(*scope_cols, "_c")
-    mixed = (linked.where("_kinds = 2").withColumn("_g", group)
-             .withColumn("_row", F.xxhash64("_g", "member_pos", "_node")))
-    # rows as keys only, numbered by runs of equal vectors in arrival order
-    order = Window.partitionBy("_g").orderBy("_pos", "_node")
-    before = F.lag("_node").over(order)
-    rows = mixed.groupBy("_g", "_row", "_node").agg(F.first("member_pos").alias("_pos"), F.count(F.lit(1)).alias("_n"))
-    rows = rows.withColumn("_new", F.when(before == F.col("_node"), 0).otherwise(1))
-    rows = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = materialize(rows.select("_g", "_row", "_node", "_n", "_run"), "runs")
-    runs = rows.groupBy("_g", "_run").agg(F.first("_node").alias("_node"), F.sum("_n").alias("_n"))
-    kinds = mixed.groupBy("_g", "_node").agg(F.first("embedding").alias("embedding"))
-
-    def fold(key, runs: pd.DataFrame, kinds: pd.DataFrame) -> pd.DataFrame:
-        runs = runs.sort_values("_run")
-        vector = dict(zip(kinds["_node"], kinds["embedding"]))
-        idx = greedy_clusters([vector[x] for x in runs["_node"]], threshold, dim, runs["_n"].tolist())
-        return pd.DataFrame({"_g": key[0], "_run": runs["_run"], "_i": idx})
-
-    clusters = runs.groupBy("_g").cogroup(kinds.groupBy("_g")).applyInPandas(fold, "_g long, _run long, _i long")
-    found = rows.join(clusters, ["_g", "_run"]).select("_row", "_i")
-    folded = mixed.join(found, "_row").select(
-        *scope_cols, F.concat_ws(":", F.col("_c").cast("string"), F.col("_i").cast("string")).alias("cluster"), "member_pos", "id", "content")
-    return alone.unionByName(single).unionByName(folded)
+        links = materialize(block_pairs(nodes.select(F.col("_node").alias("id"), F.col("_node").alias("seq"), "_s", "embedding"),
+                                        threshold * threshold, scope_col="_s", links=True).select(F.col("id_a").alias("u"), F.col("id_b").alias("v")), "links")
+        found = bool(links.limit(1).count())
+        label = nodes.select("_h1", "_h2", "_node", F.col("_node").alias("_c"), F.lit(False).alias("_mixed"))
+        if found:
+            comp = connected_components(links).select(F.col("node").alias("_node"), F.col("component").alias("_comp"))
+            label = (nodes.join(comp, "_node", "left")
+                     .select("_h1", "_h2", "_node", F.coalesce("_comp", "_node").alias("_c"), F.col("_comp").isNotNull().alias("_mixed")))
+    linked = rows.join(label, ["_h1", "_h2"])
+    single = linked.where("not _mixed").withColumn("cluster", F.concat(F.lit("copies:"), F.col("_c").cast("string"))).select(*cols)
+    if not found:
+        return alone.unionByName(single)
+    mixed = materialize(linked.where("_mixed").select("_row", "_node", "_c", "member_pos"), "mixed")
+    runs = number_runs(mixed.select(F.col("_c").alias("group"), F.col("member_pos").alias("pos"), F.col("_row").alias("row"), F.col("_node").alias("node")))
+    clusters = fold_groups(runs.groupBy("group", "run").agg(F.first("node").alias("node"), F.count(F.lit(1)).alias("n")),
+                           nodes.select(F.col("_node").alias("node"), "embedding"), threshold, dim, round_items)
+    by_row = runs.join(clusters, ["group", "run"]).select(F.col("row").alias("_row"), F.concat_ws(":", F.col("group").cast("string"),
+                                                                                                F.col("cluster").cast("string")).alias("cluster"))
+    return alone.unionByName(single).unionByName(rows.join(by_row, "_row").select(*cols))
 
 
 def cluster_rollup(members: DataFrame, as_of: float, scope_cols: Sequence[str] = ("scope_id",),
@@ -210,12 +158,25 @@ def consolidate(memories: DataFrame, as_of: float, max_items: int | None = CONSO
                 dim: int = VECTOR_DIM) -> DataFrame:
     """K6: new semantic memory rows (sources are kept, as in the reference).
 
-    ``max_items=None`` takes every memory; the rows then name their first member instead of all of them.
+    ``max_items=None`` takes every memory; the rows then name their first member, and ``consolidate_members`` has all of them.
+    """
+    return consolidate_members(memories, as_of, max_items, threshold, scope_cols, dim)[0]
+
+
+def consolidate_members(memories: DataFrame, as_of: float, max_items: int | None = None, threshold: float = CONSOLIDATE_THRESHOLD,
+                        scope_cols: Sequence[str] = ("scope_id",), dim: int = VECTOR_DIM) -> tuple[DataFrame, DataFrame]:
+    """K6 with its members as rows: ``(semantic memories, (scope, id of the semantic memory, member_pos, member))``.
+
+    A cluster's members are rows, not a list, so neither the number of memories nor a cluster's size needs a limit.
     """
     m = cluster_members(memories, max_items, threshold, scope_cols, dim)
     if max_items is None:
         m = materialize(m, "clusters")          # the fold runs once, not once per aggregate of the rollup
-    return cluster_rollup(m, as_of, scope_cols, include_members=max_items is not None)
+    rows = cluster_rollup(m, as_of, scope_cols, include_members=max_items is not None)
+    key = [*scope_cols, "cluster"]
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"r.{c}")) for c in key]
+    members = m.alias("m").join(rows.select(*key, F.col("id").alias("semantic_id")).alias("r"), functools.reduce(lambda a, b: a & b, same))
+    return rows, members.select(*[F.col(f"m.{c}").alias(c) for c in scope_cols], "semantic_id", "member_pos", F.col("m.id").alias("member"))
 
 
 def centroids(df: DataFrame, group_cols: Sequence[str], emb_col: str = "embedding") -> DataFrame:
@@ -227,56 +188,45 @@ def centroids(df: DataFrame, group_cols: Sequence[str], emb_col: str = "embeddin
 
 
 def block_pairs(df: DataFrame, threshold: float, scope_col: str | None = None, links: bool = False) -> DataFrame:
-    """``id_a, id_b, sim`` of rows (id, seq, embedding[, scope]) with ``seq_a < seq_b`` and cosine >= threshold.
+    """``id_a, id_b, sim`` of rows (id, seq, embedding[, scope]) with ``seq_a < seq_b`` and cosine >= threshold, exact.
 
-    Vectors are packed into blocks by their angle to a fixed direction; two blocks whose angles differ by more than the
-    threshold's angle hold no pair (triangle inequality) and never meet. Every other pair of blocks is one matrix
-    product in an executor. With ``scope_col`` only rows of one scope count.
+    The vectors are stored as an index; blocks whose bounds to any pivot are further apart than the threshold's angle hold no pair and never
+    meet, the others are multiplied tile by tile. With ``scope_col`` only rows of one scope count.
     With ``links`` (ids are numbers) a product gives edges with the same components instead of all its pairs, without ``sim``.
     """
     keys = ["id", "seq", *([scope_col] if scope_col else [])]
     base = df.select("id", F.col("seq").cast("long").alias("seq"), *([scope_col] if scope_col else []), F.col("embedding").alias("_emb"))
     if scope_col:
         base = base.withColumn(scope_col, F.xxhash64(scope_col))
-    packed = materialize(pack(base, "_emb", keys, ["seq"], angle_to_ones=True), "blocks")
-    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
-    pairs = grid(packed, packed).where((F.col("a_block") <= F.col("b_block")) & (F.col("a_lo") <= F.col("b_hi") + reach)
-                                       & (F.col("b_lo") <= F.col("a_hi") + reach))
+    index = V.build_index(base, "_emb", keys, ["seq"])
+    reach = math.acos(min(1.0, threshold)) if threshold > 0 else math.pi
     id_type = df.schema["id"].dataType
     schema = T.StructType([T.StructField("id_a", id_type), T.StructField("id_b", id_type), T.StructField("sim", T.DoubleType())])
-    cols = ["dim", "a_block", "b_block", "a_mat", "b_mat", "a_id", "b_id", "a_seq", "b_seq"]
-    cols += [f"{s}_{scope_col}" for s in "ab"] if scope_col else []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            for i in range(rb.num_rows):
-                dim, a, b = (rb.column(k)[i].as_py() for k in range(3))
-                x, y = matrix(rb.column(3)[i].as_py(), dim), matrix(rb.column(4)[i].as_py(), dim)
-                xn, yn = np.sqrt((x * x).sum(axis=1)) + COSINE_EPS, np.sqrt((y * y).sum(axis=1)) + COSINE_EPS
-                ids_a, ids_b = rb.column(5)[i].values, rb.column(6)[i].values
-                sa, sb = (rb.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (7, 8))
-                for lo in range(0, len(x), 512):
-                    sim = (x[lo:lo + 512] @ y.T) / np.outer(xn[lo:lo + 512], yn)
-                    ok = sim >= threshold
-                    if a == b:
-                        ok &= sa[lo:lo + 512, None] < sb
-                    if scope_col:
-                        ca, cb = (rb.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (9, 10))
-                        ok &= ca[lo:lo + 512, None] == cb
-                    r, c = np.nonzero(ok)
-                    if not len(r):
-                        continue
-                    if links:
-                        u, v = spanning_stars(ids_a.to_numpy(zero_copy_only=False)[r + lo], ids_b.to_numpy(zero_copy_only=False)[c])
-                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.float64())], ["id_a", "id_b", "sim"])
-                        continue
-                    swap = sa[r + lo] > sb[c]
-                    left, right = ids_a.take(pa.array(r + lo)), ids_b.take(pa.array(c))
-                    m = pa.array(swap)
-                    yield pa.RecordBatch.from_arrays(
-                        [pc.if_else(m, right, left), pc.if_else(m, left, right), pa.array(sim[r, c])], ["id_a", "id_b", "sim"])
-
-    return pairs.select(*cols).mapInArrow(run, schema)
+
+    def work(a: V.Block, blocks: list[V.Block], _) -> Iterator[pa.RecordBatch]:
+        ids_a, seq_a = a.keys.column("id"), a.keys.column("seq").to_numpy(zero_copy_only=False)
+        for b in blocks:
+            ids_b, seq_b = b.keys.column("id"), b.keys.column("seq").to_numpy(zero_copy_only=False)
+            for r, c, s in V.pairs_above(a, b, threshold):
+                ok = np.ones(len(r), bool)
+                if a.number == b.number:
+                    ok &= seq_a[r] < seq_b[c]
+                if scope_col:
+                    scope_a, scope_b = (x.keys.column(scope_col).to_numpy(zero_copy_only=False) for x in (a, b))
+                    ok &= scope_a[r] == scope_b[c]
+                r, c, s = r[ok], c[ok], s[ok]
+                if not len(r):
+                    continue
+                if links:
+                    u, v = spanning_stars(ids_a.to_numpy(zero_copy_only=False)[r], ids_b.to_numpy(zero_copy_only=False)[c])
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.float64())], ["id_a", "id_b", "sim"])
+                    continue
+                swap = pa.array(seq_a[r] > seq_b[c])
+                left, right = ids_a.take(pa.array(r)), ids_b.take(pa.array(c))
+                yield pa.RecordBatch.from_arrays([pc.if_else(swap, right, left), pc.if_else(swap, left, right), pa.array(s)],
+                                                 ["id_a", "id_b", "sim"])
+
+    return V.products(index, index, V.near_blocks(index, index, reach), work, schema)
 
 
 def near_duplicate_pairs(df: DataFrame, threshold: float, emb_col: str = "embedding") -> DataFrame:

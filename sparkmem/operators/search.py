@@ -6,10 +6,10 @@ Scale notes.
   ``keyword_search_batch``); only matching pairs are produced, and
   ``row_number() <= k`` per query is planned as a partial WindowGroupLimit
   before the shuffle.
-* Vector search pairs packed blocks of queries and memories in the executors
-  (one numpy matrix product per pair). A pair keeps only a local top-k per
-  query, so at most ``k`` rows per query and memory block reach the final
-  ranking.
+* Vector search runs on stored indexes (``vector_index``): bounds of blocks are
+  compared first, and only blocks that can hold a hit are multiplied. A product
+  keeps a local top-k per query, so at most ``k`` rows per query and block that
+  was read reach the final ranking.
 * Per-scope retrieval (each query sees only its scope's memories) is an
   equi-join on the scope; AQE's skew-join handling splits a hot scope, and
   ``salt`` spreads it explicitly when wanted.
@@ -28,9 +28,10 @@ from pyspark.sql import types as T
 from ..constants import COSINE_EPS, TOPK_DEFAULT
 from ..functions.text import count_occurrences, py_strip
 from ..functions.vector import has_vector, l2norm
-from .blocks import grid, matrix, pack
+from ..session import materialize
+from . import vector_index as V
 
-QUERY_BLOCK = 512
+FIRST_BLOCKS = 4           # blocks of memories that each block of queries meets before bounds decide
 LANES = 64                 # blocks of word-less queries, and lanes of texts they meet
 
 
@@ -111,56 +112,64 @@ def keyword_search_batch(memories: DataFrame, queries: DataFrame, k: int = TOPK_
 # ---------------------------------------------------------------------------
 # F2 / C3 vector
 # ---------------------------------------------------------------------------
-def _best_of_block(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k largest of each row; of equal values the first columns."""
-    n = sim.shape[1]
-    if n <= k:
-        return np.divmod(np.arange(sim.size), n)
-    cut = np.partition(sim, n - k, axis=1)[:, n - k][:, None]
-    above, tie = sim > cut, sim == cut
-    room = k - above.sum(axis=1, keepdims=True)
-    return np.nonzero(above | (tie & (np.cumsum(tie, axis=1) <= room)))
-
-
 def vector_hits(memories: DataFrame, queries: DataFrame, k: int = TOPK_DEFAULT,
                 qid_col: str = "qid", qvec_col: str = "embedding", emb_col: str = "embedding",
                 key_cols: Sequence[str] = ("id",)) -> DataFrame:
     """C3 (shared store): top-``k`` (qid, key, seq, sim, rank) for every query vector
-    against every memory of the same dimension (null / empty vectors dropped).
+    against every memory of the same dimension (unusable vectors dropped), exact.
 
-    Queries and memories are packed into blocks in the executors and every pair of blocks is one matrix product; a
-    pair gives its local top-k per query (ties by seq and key), and the final rank runs over those.
+    Both sides are stored as vector indexes. Each block of queries first meets its few nearest blocks of memories, which gives
+    every query a k-th cosine it has for certain; after that a block of memories is read only if the bounds of its angles
+    allow a cosine that reaches the least of those. Ties go by seq and key.
     """
     k = _check_k(k)
     keys = list(key_cols)
     q = queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("_qv"))
     mem = memories.select(*keys, F.col("seq").cast("long").alias("seq"), F.col(emb_col).alias("_emb"))
-    out_schema = T.StructType([T.StructField("qid", q.schema["qid"].dataType)]
+    names = [*keys, "seq"]
+    hit_schema = T.StructType([T.StructField("qid", q.schema["qid"].dataType)]
                               + [T.StructField(c, memories.schema[c].dataType) for c in keys]
                               + [T.StructField("seq", T.LongType()), T.StructField("sim", T.DoubleType())])
     if k == 0:
-        return memories.sparkSession.createDataFrame([], out_schema).withColumn("rank", F.lit(0).cast("long"))
-    pairs = grid(pack(q, "_qv", ["qid"], []), pack(mem, "_emb", [*keys, "seq"], ["seq", *keys]))
-    cols = ["dim", "a_qid", "a_mat", "b_mat", "b_seq", *["b_" + c for c in keys]]
-
-    def run(batches):
-        for rb in batches:
-            for i in range(rb.num_rows):
-                dim = rb.column(0)[i].as_py()
-                qids = rb.column(1)[i].values
-                x, y = matrix(rb.column(2)[i].as_py(), dim), matrix(rb.column(3)[i].as_py(), dim)
-                xn, yn = np.sqrt((x * x).sum(axis=1)) + COSINE_EPS, np.sqrt((y * y).sum(axis=1)) + COSINE_EPS
-                for lo in range(0, len(x), QUERY_BLOCK):
-                    sim = (x[lo:lo + QUERY_BLOCK] @ y.T) / np.outer(xn[lo:lo + QUERY_BLOCK], yn)
-                    r, c = _best_of_block(sim, k)
-                    at = pa.array(c)
-                    yield pa.RecordBatch.from_arrays(
-                        [qids.take(pa.array(r + lo)), *[rb.column(5 + j)[i].values.take(at) for j in range(len(keys))],
-                         rb.column(4)[i].values.take(at), pa.array(sim[r, c])], ["qid", *keys, "seq", "sim"])
-
-    hits = pairs.select(*cols).mapInArrow(run, out_schema)
+        return memories.sparkSession.createDataFrame([], hit_schema).withColumn("rank", F.lit(0).cast("long"))
+    stored = V.build_index(mem, "_emb", names, ["seq", *keys])
+    asked = V.build_index(q, "_qv", ["qid"], pivots=stored.pivots)
+    schema = T.StructType([*hit_schema.fields, T.StructField("block", T.LongType()), T.StructField("certain", T.DoubleType())])
+
+    def rows(a: V.Block, b: V.Block, r, c, s, certain) -> pa.RecordBatch:
+        found = b.keys.take(pa.array(c))
+        return pa.RecordBatch.from_arrays(
+            [a.keys.column(0).take(pa.array(r)), *[found.column(j) for j in range(len(names))], pa.array(s),
+             pa.array(np.full(len(r), a.number)), pa.array(certain)], [*hit_schema.names, "block", "certain"])
+
+    def first(a, blocks, _):
+        best = np.full((len(a.x), k), -2.0)                 # the k greatest cosines of each query so far
+        found = []
+        for b in blocks:
+            r, c, s = V.best_of(a, b, k)
+            here = np.full((len(a.x), k), -2.0)
+            here[r, np.arange(len(r)) - np.searchsorted(r, r)] = s
+            best = np.sort(np.concatenate([best, here], axis=1), axis=1)[:, -k:]
+            found.append((b, r, c, s))
+        for b, r, c, s in found:
+            yield rows(a, b, r, c, s, best[r, 0])
+
+    def rest(a, blocks, floor):
+        for b in blocks:
+            r, c, s = V.best_of(a, b, k, floor)
+            yield rows(a, b, r, c, s, s)
+
+    near = V.nearest_blocks(asked, stored, FIRST_BLOCKS)
+    if stored.n_blocks > FIRST_BLOCKS:                      # else the first pass has met them all
+        near = materialize(near, "nearest")
+    hits = V.products(asked, stored, near, first, schema, by_left=True)
+    if stored.n_blocks > FIRST_BLOCKS:
+        hits = materialize(hits, "first-hits")
+        floors = hits.groupBy("block").agg(F.min("certain").alias("floor"))
+        more = V.near_blocks(asked, stored, floors=floors).join(near, ["a_block", "b_block"], "left_anti")
+        hits = hits.unionByName(V.products(asked, stored, more, rest, schema))
     order = [F.col("sim").desc(), F.col("seq").asc()] + [F.col(c).asc() for c in keys]
-    return _rank(hits, ["qid"], order, k)
+    return _rank(hits.drop("block", "certain"), ["qid"], order, k)
 
 
 def vector_search(memories: DataFrame, query_vec, k: int = TOPK_DEFAULT,

@@ -6,18 +6,22 @@ the running sum is monotone, so that is exactly ``running_sum <= budget``.
 
 Scale notes. A running sum over a whole scope gets no WindowGroupLimit, so a
 hot scope would sort its entire history in one task. ``budget_prefix`` first
-keeps at most ``budget + 1`` non-empty rows per scope with ``row_number()``, in two
-levels (salted parts of a scope, then the scope; each is planned with a partial
-WindowGroupLimit before its shuffle), so what meets in one task is bounded by
-the number of salts and the budget whatever the number of input partitions;
-the running sum then runs over that bounded set. Zero-length rows are re-attached
-by comparing with the first row that fails the budget.
+cuts every Arrow batch of the input to what the budget can need of it
+(``budget_cut``: no shuffle, about budget / mean length rows of a scope and
+batch leave it); one shuffle by scope and the running sum then see only those.
+Zero-length rows are re-attached by comparing with the first row that fails the
+budget.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,17 +49,51 @@ def decay_score(df: DataFrame, as_of, half_life: float = WM_HALF_LIFE_SECONDS,
     return df.withColumn(out_col, F.col(importance_col) * decay)
 
 
-SALTS = 32
+def budget_cut(df: DataFrame, partition_cols: Sequence[str], order: Sequence[tuple[str, bool]], length_col: str, budget: int) -> DataFrame:
+    """What a budgeted prefix per partition can need of ``df``, found without a shuffle: the mergeable half of ``budget_prefix``.
 
+    Of each Arrow batch and partition the rows in order while the batch's *own* running total of ``length_col`` is within the budget, the first that
+    fails, and rows that tie with it. A local total is never above the global one, so no row of the result is lost; and what a batch
+    keeps is about budget / mean length rows of a partition, however hot it is. ``order``: (column, ascending), nulls as Spark sorts them.
+    """
+    parts = list(partition_cols)
 
-def _newest(df: DataFrame, parts: list[str], order: list, n: int) -> DataFrame:
-    """The first ``n`` rows of each partition in ``order``, found in two levels: first within salted parts of a
-    partition, then among what these keep. A hot scope's rows so meet in ``SALTS`` tasks before one sees them."""
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if not df.schema[c].dataType.typeName().startswith("map")]), F.lit(SALTS))
-    w1 = Window.partitionBy(*parts, "_salt").orderBy(*order)
-    w2 = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(*order)
-    some = df.withColumn("_salt", salt).withColumn("_rn", F.row_number().over(w1)).where(F.col("_rn") <= n)
-    return some.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= n).drop("_rn", "_salt")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            group = np.zeros(n, np.int64)
+            for c in parts:
+                code = pd.factorize(b.column(b.schema.get_field_index(c)).to_pandas(), use_na_sentinel=False)[0]
+                group = np.unique(group * (code.max() + 1) + code, return_inverse=True)[1]
+            keys = {"g": pa.array(group)}
+            for k, (c, _) in enumerate(order):
+                col = b.column(b.schema.get_field_index(c))
+                keys[f"n{k}"], keys[f"v{k}"] = col.is_valid().cast(pa.int8()), col
+            by = [("g", "ascending")]
+            for k, (_, up) in enumerate(order):            # Spark: nulls are smallest
+                by += [(f"{x}{k}", "ascending" if up else "descending") for x in "nv"]
+            at = pc.sort_indices(pa.table(keys), sort_keys=by).to_numpy()
+            g = group[at]
+            length = pc.fill_null(b.column(b.schema.get_field_index(length_col)), 0).to_numpy(zero_copy_only=False)[at]
+            total = np.cumsum(length)
+            start = np.searchsorted(g, g)
+            before = total - length - (total[start] - length[start])     # of the partition, without the row itself
+            keep = before <= budget
+            # rows beyond the first that fails stay if they tie with it
+            lost = np.flatnonzero(~keep)
+            first = lost[np.concatenate([[True], g[lost][1:] != g[lost][:-1]])] if len(lost) else lost
+            if len(first):
+                cols = [keys[f"{x}{k}"].take(pa.array(at)).to_pandas().to_numpy() for k in range(len(order)) for x in "nv"]
+                for f in first:
+                    r = f
+                    while r < n and g[r] == g[f] and all(v[r] == v[f - 1] or (pd.isna(v[r]) and pd.isna(v[f - 1])) for v in cols):
+                        keep[r] = True
+                        r += 1
+            yield b.take(pa.array(np.sort(at[keep])))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def budget_prefix(df: DataFrame, partition_cols: Sequence[str], order_col: str, descending: bool,
@@ -75,7 +113,9 @@ def budget_prefix(df: DataFrame, partition_cols: Sequence[str], order_col: str,
     wrun = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     length = F.col(length_col).cast("long")
     nonzero = df.where(length > 0) if allow_zero_length else df
-    capped = _newest(nonzero, parts, order, budget + 1)
+    cut_order = [(order_col, not descending)] + [(f"_t{k}", True) for k in range(len(tiebreak))]
+    capped = budget_cut(nonzero.withColumns({f"_t{k}": _col(t) for k, t in enumerate(tiebreak)}), parts, cut_order, length_col, budget)
+    capped = capped.drop(*[f"_t{k}" for k in range(len(tiebreak))])
     run = capped.withColumn(running_col, F.sum(length).over(wrun))
     kept = run.where(F.col(running_col) <= budget)
     if not allow_zero_length:
@@ -109,25 +149,6 @@ def working_memory(thoughts: DataFrame, char_budget: int = WM_CHAR_BUDGET,
                          running_col="wm_running")
 
 
-def working_memory_state(thoughts: DataFrame, char_budget: int = WM_CHAR_BUDGET, scope_cols: Sequence[str] = SCOPE,
-                         seq_col: str = "seq", content_col: str = "content") -> DataFrame:
-    """E1 with the newest evicted row kept as a barrier (``kept`` false): the state carried across micro-batches.
-
-    Whatever arrives later, every row older than the barrier stays out (the total before it only
-    grows), so state and new rows together give E1 of the whole history in any order of arrival.
-    """
-    df = thoughts.withColumn("wm_len", F.coalesce(F.length(content_col), F.lit(0)).cast("long"))
-    parts = list(scope_cols)
-    w = Window.partitionBy(*parts).orderBy(F.col(seq_col).desc())
-    some = _newest(df.where("wm_len > 0"), parts, [F.col(seq_col).desc()], char_budget + 1)
-    run = some.withColumn("wm_running", F.sum("wm_len").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    run = run.where(F.col("wm_running") - F.col("wm_len") <= char_budget).withColumn("kept", F.col("wm_running") <= char_budget)
-    cut = run.where("not kept").groupBy(*parts).agg(F.max(seq_col).alias("_cut"))
-    zeros = (df.where("wm_len = 0").join(cut, parts, "left").where(F.col("_cut").isNull() | (F.col(seq_col) > F.col("_cut")))
-             .drop("_cut").withColumn("wm_running", F.lit(None).cast("long")).withColumn("kept", F.lit(True)))
-    return run.unionByName(zeros)
-
-
 def wm_view(wm: DataFrame, n: int = 10, scope_cols: Sequence[str] = SCOPE,
             seq_col: str = "seq") -> DataFrame:
     """The last ``n`` (>= 1) items of the buffer, oldest first (``pos`` 1..n)."""
@@ -155,7 +176,7 @@ def wm_lines(wm: DataFrame, as_of, half_life: float = WM_HALF_LIFE_SECONDS,
     # order: score desc, then arrival (seq asc) -- expressed as a composite key
     lines = lines.withColumn("_neg", -F.col("score"))
     kept = budget_prefix(lines, scope_cols, "_neg", False, "line_len", budget,
-                         tiebreak=[F.col(seq_col).asc()], allow_zero_length=False)
+                         tiebreak=[seq_col], allow_zero_length=False)
     w = Window.partitionBy(*scope_cols).orderBy(F.col("_neg").asc(), F.col(seq_col).asc())
     return kept.withColumn("rank", F.row_number().over(w).cast("long")).drop("_neg")
 

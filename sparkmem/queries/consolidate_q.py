@@ -57,6 +57,17 @@ def consolidate_newest(spark, sf):
     return out.select("scope_id", "n_members", "content", F.round("importance", 6).alias("importance"), "member_ids")
 
 
+@query("consolidate_members", oracle=_COPIES_SQL[:_COPIES_SQL.index("\ng AS")] + """
+g AS (SELECT scope_id, text, arg_max(id, seq) AS first_member FROM d GROUP BY scope_id, text HAVING count(*) >= 2)
+SELECT d.scope_id, 'semantic:' || substr(sha256(concat_ws(chr(1), d.scope_id, first_member)), 1, 16) AS semantic_id, d.id AS member
+FROM d JOIN g USING (scope_id, text)
+""")
+def consolidate_members(spark, sf):
+    """The members of every cluster of all documents, as rows."""
+    _, members = C.consolidate_members(_episodic_docs(spark, sf), AS_OF, threshold=0.95)
+    return members.select("scope_id", "semantic_id", "member")
+
+
 @query("cluster_rollup", oracle=_COPIES_SQL)
 def cluster_rollup(spark, sf):
     d = fx.table(spark, sf, "documents", "doc_id", "text", "lang")
