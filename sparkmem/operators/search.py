@@ -31,7 +31,7 @@ from ..functions.vector import has_vector, l2norm
 from ..session import materialize
 from . import vector_index as V
 
-FIRST_BLOCKS = 4           # blocks of memories that each block of queries meets before bounds decide
+FIRST_BYTES = 32 << 20     # of memories' matrices that each block of queries meets before bounds decide
 LANES = 64                 # blocks of word-less queries, and lanes of texts they meet
 
 
@@ -114,11 +114,11 @@ def keyword_search_batch(memories: DataFrame, queries: DataFrame, k: int = TOPK_
 # ---------------------------------------------------------------------------
 def vector_hits(memories: DataFrame, queries: DataFrame, k: int = TOPK_DEFAULT,
                 qid_col: str = "qid", qvec_col: str = "embedding", emb_col: str = "embedding",
-                key_cols: Sequence[str] = ("id",)) -> DataFrame:
+                key_cols: Sequence[str] = ("id",), first_bytes: int = FIRST_BYTES) -> DataFrame:
     """C3 (shared store): top-``k`` (qid, key, seq, sim, rank) for every query vector
     against every memory of the same dimension (unusable vectors dropped), exact.
 
-    Both sides are stored as vector indexes. Each block of queries first meets its few nearest blocks of memories, which gives
+    Both sides are stored as vector indexes. Each block of queries first meets its nearest blocks of memories (``first_bytes`` of them), which gives
     every query a k-th cosine it has for certain; after that a block of memories is read only if the bounds of its angles
     allow a cosine that reaches the least of those. Ties go by seq and key.
     """
@@ -159,12 +159,11 @@ def vector_hits(memories: DataFrame, queries: DataFrame, k: int = TOPK_DEFAULT,
             r, c, s = V.best_of(a, b, k, floor)
             yield rows(a, b, r, c, s, s)
 
-    near = V.nearest_blocks(asked, stored, FIRST_BLOCKS)
-    if stored.n_blocks > FIRST_BLOCKS:                      # else the first pass has met them all
-        near = materialize(near, "nearest")
-    hits = V.products(asked, stored, near, first, schema, by_left=True)
-    if stored.n_blocks > FIRST_BLOCKS:
-        hits = materialize(hits, "first-hits")
+    if stored.n_bytes <= first_bytes:                       # the first pass meets all there is
+        hits = V.products(asked, stored, V.all_blocks(asked, stored), first, schema, by_left=True)
+    else:
+        near = materialize(V.nearest_blocks(asked, stored, max(1, first_bytes * stored.n_blocks // stored.n_bytes)), "nearest")
+        hits = materialize(V.products(asked, stored, near, first, schema, by_left=True), "first-hits")
         floors = hits.groupBy("block").agg(F.min("certain").alias("floor"))
         more = V.near_blocks(asked, stored, floors=floors).join(near, ["a_block", "b_block"], "left_anti")
         hits = hits.unionByName(V.products(asked, stored, more, rest, schema))

@@ -30,6 +30,7 @@ from ..session import scratch_path
 BLOCK_BYTES = 4 << 20      # of a block's matrix (doubles)
 LEAST_ROWS = 256           # of a block where there are that many
 SPLITS = 16                # blocks a small table is cut into, so that its products are spread over tasks
+SORTED_AT_ONCE = 32 << 20  # bytes of vectors that one task sorts into blocks; above that, ranges of them are dealt to tasks
 TILE = 4                   # a tile is TILE x TILE blocks
 PAGE = 1024                # blocks whose bounds are compared at once
 SAMPLE, PIVOTS = 512, 32   # vectors the pivots are chosen from, pivots of one length
@@ -43,6 +44,7 @@ class VectorIndex:
     blocks: DataFrame
     n_blocks: int
     n_rows: int
+    n_bytes: int               # of all matrices
     pivots: dict[int, np.ndarray]
 
 
@@ -193,15 +195,17 @@ def build_index(df: DataFrame, vec_col: str, key_cols: Sequence[str], order_cols
 
     schema = base.limit(0).withColumns({"_dim": F.lit(0), "_cell": F.lit(0), "_angle": F.lit(0.0)}).schema
     placed = base.mapInArrow(_assign(pivots, to_arrow_schema(schema)), schema)
-    if n <= LEAST_ROWS:
+    longest = max([d for d in pivots] or [1])
+    if n * longest * 8 <= SORTED_AT_ONCE:
         placed = placed.coalesce(1)
     else:
         placed = placed.repartitionByRange("_dim", "_cell", "_angle", F.xxhash64(*keys))
     placed = placed.sortWithinPartitions("_dim", "_cell", "_angle")
     count, to = Observation(), scratch_path(spark, "vector-blocks")
     (placed.mapInArrow(_pack(pivots, keys, list(order_cols), block_rows), BLOCK_SCHEMA)
-     .observe(count, F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).write.parquet(to))
-    return VectorIndex(spark.read.schema(BLOCK_SCHEMA).parquet(to), int(count.get["blocks"]), int(count.get["rows"]), pivots)
+     .observe(count, F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+              F.coalesce(F.sum(F.octet_length("mat").cast("long")), F.lit(0)).alias("bytes")).write.parquet(to))
+    return VectorIndex(spark.read.schema(BLOCK_SCHEMA).parquet(to), int(count.get["blocks"]), int(count.get["rows"]), int(count.get["bytes"]), pivots)
 
 
 # --------------------------------------------------------------------------
@@ -310,6 +314,12 @@ class Block:
         return self._kinds
 
 
+def all_blocks(a: VectorIndex, b: VectorIndex) -> DataFrame:
+    """(a_block, b_block, floor) of all blocks of one length (for a ``b`` of few blocks)."""
+    return (a.blocks.select("dim", F.col("block").alias("a_block")).join(b.blocks.select("dim", F.col("block").alias("b_block")), "dim")
+            .select("a_block", "b_block", F.lit(-2.0).alias("floor")))
+
+
 def products(a: VectorIndex, b: VectorIndex, pairs: DataFrame, work: Callable[[Block, list[Block], float], Iterator[pa.RecordBatch]],
              schema, by_left: bool = False) -> DataFrame:
     """``work(block of a, its blocks of b within a tile, floor)`` for the given pairs (a_block, b_block, floor).
@@ -320,12 +330,13 @@ def products(a: VectorIndex, b: VectorIndex, pairs: DataFrame, work: Callable[[B
     spark = pairs.sparkSession
     side = F.lit(0).cast("long") if by_left else F.floor(F.col("b_block") / TILE).cast("long")
     own = F.col("a_block") if by_left else F.floor(F.col("a_block") / TILE).cast("long")
-    path, count = scratch_path(spark, "tiles"), Observation()
-    (pairs.select(own.alias("ta"), side.alias("tb"), "a_block", "b_block", "floor").groupBy("ta", "tb", "a_block")
-     .agg(F.collect_list("b_block").alias("wanted"), F.min("floor").alias("floor"))
-     .observe(count, F.count(F.lit(1)).alias("n")).write.parquet(path))
-    need = spark.read.parquet(path)
-    n_lefts = int(count.get["n"])
+    need = (pairs.select(own.alias("ta"), side.alias("tb"), "a_block", "b_block", "floor").groupBy("ta", "tb", "a_block")
+            .agg(F.collect_list("b_block").alias("wanted"), F.min("floor").alias("floor")))
+    n_lefts = a.n_blocks
+    if not by_left:                             # how many tiles have work is known once the pairs are
+        path, count = scratch_path(spark, "tiles"), Observation()
+        need.observe(count, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        need, n_lefts = spark.read.schema(need.schema).parquet(path), int(count.get["n"])
     wide = ["block", "dim", "keys", "mat"]
     left = need.select("ta", "tb", F.lit(0).alias("side"), F.col("a_block").alias("block"), "wanted", "floor")
     right = (need.select("ta", "tb", F.lit(1).alias("side"), F.explode("wanted").alias("block")).distinct()

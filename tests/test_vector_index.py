@@ -28,6 +28,7 @@ def small_blocks(monkeypatch):
     """Many blocks from few rows (only the driver's side plans with these)."""
     monkeypatch.setattr(V, "LEAST_ROWS", 16)
     monkeypatch.setattr(V, "SPLITS", 64)
+    monkeypatch.setattr(V, "SORTED_AT_ONCE", 1024)
 
 
 def cosines(x, y):
@@ -71,13 +72,13 @@ def test_pairs_equal_brute_force(spark, small_blocks, threshold):
     assert all(abs(s - (sim[int(a), int(b)] if b != "z" else 0)) < 1e-12 for (a, b), s in got.items())
 
 
-@pytest.mark.parametrize("k", [1, 5, 40])
-def test_topk_equals_brute_force(spark, small_blocks, k):
+@pytest.mark.parametrize("k,first", [(1, 8192), (5, 8192), (40, 8192), (5, 1 << 25)])
+def test_topk_equals_brute_force(spark, small_blocks, k, first):
     x, q = clustered(900), np.concatenate([clustered(30, seed=1), np.random.default_rng(3).normal(size=(30, 16)), np.zeros((1, 16))])
     x[100:400] = x[7]                                               # a third of the rows are copies: ties go by seq
     queries = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(q)], "qid long, embedding array<double>")
     got = {}
-    for r in S.vector_hits(frame(spark, x, ODD), queries, k).collect():
+    for r in S.vector_hits(frame(spark, x, ODD), queries, k, first_bytes=first).collect():
         got.setdefault(r.qid, []).append((r["rank"], int(r.seq)))
     full = np.concatenate([x, np.zeros((1, 16))])
     seqs = [*range(900), 9000]
