@@ -110,7 +110,74 @@ SELECT 'mem:' || substr(sha256(concat_ws(chr(1), 'global', CAST(a.seq AS VARCHAR
 FROM q JOIN a ON a.qid = q.id AND a.seq > q.seq
 """)
 def stream_answers(spark, sf):
-    stream = _stream(spark, fx.answers(spark, sf), "seq", "answers")
-    out = scratch_path(spark, "answers-out")
-    J.answer_stream(stream, fx.interrupt_log(spark, sf), out, scratch_path(spark, "answers-ckpt"))
-    return spark.read.parquet(f"{out}/memories").select("id", "seq", "content", "importance")
+    """Questions and answers as two streams; each micro-batch takes a file of either, whichever way questions and answers fall into them."""
+    sink = scratch_path(spark, "answers-out")
+    J.answer_stream(_stream(spark, fx.interrupt_log(spark, sf), "id", "questions"), _stream(spark, fx.answers(spark, sf), "seq", "answers"),
+                    sink, scratch_path(spark, "answers-ckpt"))
+    rows, _, _ = J.decisions(spark, sink)
+    return rows.select("id", "seq", "content", "importance")
+
+
+@query("stream_late_questions", oracle="""
+WITH q AS (SELECT event_id AS seq, 'q:' || event_id AS id FROM events WHERE event_type = 'signup'),
+a AS (SELECT event_id AS seq, 'q:' || (event_id - event_id % 3) AS qid, props AS answer_text
+      FROM events WHERE event_type = 'purchase')
+SELECT a.seq, a.qid, a.answer_text, a.seq > q.seq AS accepted FROM q JOIN a ON a.qid = q.id
+""")
+def stream_late_questions(spark, sf):
+    """Every answer arrives before any question: answers wait in the state store until theirs comes, in a later run of the same query."""
+    sink, ckpt = scratch_path(spark, "late-out"), scratch_path(spark, "late-ckpt")
+    answers, questions = fx.answers(spark, sf), fx.interrupt_log(spark, sf)
+    a, q = scratch_path(spark, "late-a"), scratch_path(spark, "late-q")
+    J.stage(answers, a, STAGED_FILES, "seq")
+    questions.limit(0).write.parquet(q)
+    for arrived in (False, True):
+        if arrived:
+            questions.repartition(STAGED_FILES, "id").write.mode("append").parquet(q)
+        J.answer_stream(spark.readStream.schema(questions.schema).option("maxFilesPerTrigger", 2).parquet(q),
+                        spark.readStream.schema(answers.schema).option("maxFilesPerTrigger", 2).parquet(a), sink, ckpt)
+    return spark.read.parquet(sink).select("seq", "qid", "answer_text", "accepted")
+
+
+@query("stream_idle_tick", oracle=cycle_sql(
+    seq="greatest((SELECT max(turn) FROM conversations), (SELECT max(doc_id) FROM documents)) + 1") + """
+SELECT scope_id, thought_id, thought, stored FROM rep
+""")
+def stream_idle_tick(spark, sf):
+    """A scheduled tick: scopes with pending stimuli and scopes without run their cycle in one micro-batch."""
+    stim = fx.stimuli_chat(spark, sf)
+    src, ticks, out = scratch_path(spark, "tick-stim"), scratch_path(spark, "ticks"), scratch_path(spark, "tick-out")
+    J.stage(stim, src, STAGED_FILES)
+    conv = fx.table(spark, sf, "conversations", "conv_id", "turn")
+    conv.agg(F.lit(AS_OF).alias("as_of")).coalesce(1).write.parquet(ticks)
+    scopes = conv.select(F.col("conv_id").cast("string").alias("scope_id")).distinct()
+    wm0 = W.working_memory(fx.thoughts(spark, sf), 4000).drop("wm_len", "wm_running")
+    J.scheduled_cycles(spark.readStream.schema("as_of double").parquet(ticks), spark.readStream.schema(stim.schema).parquet(src), scopes,
+                       fx.memories(spark, sf, null_embedding_every=0), out, scratch_path(spark, "tick-ckpt"), wm0)
+    return spark.read.parquet(f"{out}/report").select("scope_id", "thought_id", "thought", "stored")
+
+
+@query("run_cycles", oracle="""
+WITH s AS (SELECT greatest((SELECT max(turn) FROM conversations), (SELECT max(doc_id) FROM documents)) + 1 AS seq)
+SELECT DISTINCT CAST(conv_id AS VARCHAR) AS scope_id, seq + n AS cycle_seq,
+       'thought:' || substr(sha256(concat_ws(chr(1), CAST(conv_id AS VARCHAR), CAST(seq + n AS VARCHAR))), 1, 16) AS thought_id
+FROM conversations, s, range(3) r(n)
+""")
+def run_cycles(spark, sf):
+    """Three cycles on demand, each on the state that the one before left."""
+    scopes = fx.table(spark, sf, "conversations", "conv_id").select(F.col("conv_id").cast("string").alias("scope_id"))
+    wm0 = W.working_memory(fx.thoughts(spark, sf), 4000).drop("wm_len", "wm_running")
+    out = scratch_path(spark, "cycles")
+    J.run_cycles(3, scopes, fx.stimuli_chat(spark, sf), fx.memories(spark, sf, null_embedding_every=0), out, AS_OF, wm0)
+    return spark.read.parquet(f"{out}/report").select("scope_id", "cycle_seq", "thought_id")
+
+
+@query("live_counters", oracle="""
+SELECT 'stimuli_ingested' AS name, count(*) AS n FROM events WHERE props IS NOT NULL
+UNION ALL SELECT 'stimuli_rejected', count(*) FROM events WHERE props IS NULL
+""")
+def live_counters(spark, sf):
+    """Totals of a stream of several batches, from what was observed while they were written."""
+    sink = scratch_path(spark, "live-sink")
+    J.ingest_stream(_stream(spark, fx.stimuli_events(spark, sf), "source", "live"), sink, scratch_path(spark, "live-ckpt"), AS_OF)
+    return J.live_counters(spark, sink)

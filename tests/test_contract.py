@@ -67,8 +67,11 @@ def test_plans_keep_per_scope_work_bounded(spark):
     for name in ["wm_budget", "task_top", "keyword_topk_batch", "knn_join", "vector_topk"]:
         plan = qs[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan, name
-        if name in ("wm_budget", "task_top", "knn_join"):
+        if name in ("task_top", "knn_join"):
             assert plan.count("WindowGroupLimit") >= 2, name
+        if name == "wm_budget":         # one shuffle by scope for the running sum, after the cut of the input batches
+            below = plan[plan.index("hashpartitioning(scope_id"):]
+            assert "MapInArrow" in below and plan.index("Window") < plan.index("MapInArrow"), name
 
 
 def test_two_cycles_chain(spark):
