@@ -274,53 +274,82 @@ def link_frontier(fetched: DataFrame, allow, robots: DataFrame, visited: DataFra
     return out
 
 
-def _same_host_links(fetched: DataFrame, allow, robots: DataFrame) -> DataFrame:
-    """Distinct gated same-host links of each plan's pages."""
+def _next_links(fetched: DataFrame, allow, robots: DataFrame) -> DataFrame:
+    """(plan_id, url, at) of the gated same-host links of fetched pages; ``at`` = (visit of the page, place in it) of the first."""
     scheme, host, _ = url_parts("url")
-    ex = fetched.select("plan_id", scheme.alias("_ps"), host.alias("_src"), F.explode("links").alias("href"))
+    ex = fetched.select("plan_id", "visit", scheme.alias("_ps"), host.alias("_src"), F.posexplode("links").alias("pos", "href"))
     ex = ex.where(~F.col("href").startswith("#") & ~F.col("href").startswith("mailto:"))
     full = F.when(F.col("href").startswith("/"), F.concat("_ps", F.lit("://"), "_src", "href")).otherwise(F.col("href"))
-    ex = ex.select("plan_id", "_src", normalize_url(full).alias("url")).where(url_host("url") == F.col("_src"))
-    return gate_pages(ex.select("plan_id", "url").distinct(), "url", allow, robots).where("allowed").select("plan_id", "url")
+    ex = ex.select("plan_id", "_src", F.struct("visit", "pos").alias("at"), normalize_url(full).alias("url")).where(url_host("url") == F.col("_src"))
+    first = ex.groupBy("plan_id", "url").agg(F.min("at").alias("at"))
+    return gate_pages(first, "url", allow, robots).where("allowed").drop("allowed")
+
+
+def _ranked(links: DataFrame, limit: int | str | None) -> DataFrame:
+    """``links`` with their rank per plan in the order of ``at`` (and at most ``limit`` of a plan, if it is a number)."""
+    if limit is not None:
+        w = Window.partitionBy("plan_id").orderBy("at")
+        ranked = links.withColumn("rank", F.row_number().over(w).cast("long"))
+        return ranked.where(F.col("rank") <= limit) if isinstance(limit, int) else ranked
+    # no limit: ranges of (plan, at) are numbered, so no plan is numbered whole in one task
+    from ..session import materialize
+    from .greedy import number_runs
+    rows = materialize(links.withColumn("row", F.monotonically_increasing_id()), "links")
+    runs = number_runs(rows.select(F.xxhash64("plan_id").alias("group"), F.col("at").alias("pos"), "row", F.col("row").alias("node")))
+    rows = rows.join(runs.select("row", "run"), "row")
+    least = rows.groupBy("plan_id").agg(F.min("run").alias("least"))
+    return rows.join(least, "plan_id").withColumn("rank", F.col("run") - F.col("least") + 1).drop("row", "run", "least")
 
 
 # ---------------------------------------------------------------------------
 # K5 pages -> memories
 # ---------------------------------------------------------------------------
+def crawl(seeds: DataFrame, pages: DataFrame, allow, robots: DataFrame, max_pages: int | str | None = SCRAPER_MAX_PAGES,
+          global_cap: int | None = SCRAPER_MAX_PAGES, max_hops: int = 0, partitions: int | None = None) -> DataFrame:
+    """``plan_id, visit, hop, page_id, url, text, links`` of the pages that plans reach, breadth first, over pages fetched before.
+
+    A plan visits its seeds in order, then the gated links on a page's own host, in the order of (visit of the page, place in
+    it), each URL once; ``visit`` is the plan's total order over all hops, and ``max_pages`` is its budget over all hops: every URL taken counts, denied
+    seeds and failed fetches too. A hop is a round: the frontier is what was found, less what was seen, cut to what is left of
+    the budget. The page of a URL is the lowest ``page_id`` whose normalised URL equals it; a URL without one is a failed fetch. Visits
+    find their ``page_id`` without the HTML, which is then read for those pages only.
+    """
+    from ..session import materialize
+    where = pages.select("page_id", normalize_url("url").alias("url")).groupBy("url").agg(F.min("page_id").alias("page_id"))
+
+    def fetch(visits: DataFrame, hop: int) -> DataFrame:
+        got = visits.join(where, "url").join(pages.select("page_id", "html"), "page_id")
+        return extract_pages(got, keep=("plan_id", "visit", "page_id", "url"), partitions=partitions).withColumn("hop", F.lit(hop))
+
+    planned = plan_pages(seeds, max_pages, global_cap)
+    if not max_hops:
+        return fetch(gate_pages(planned.select("plan_id", "visit", "url"), "url", allow, robots).where("allowed").drop("allowed"), 0)
+    limits = planned.select("plan_id", F.col(max_pages).alias("_most")).distinct() if isinstance(max_pages, str) else None
+    taken = materialize(planned.select("plan_id", "visit", "url"), "taken")
+    last = materialize(fetch(gate_pages(taken, "url", allow, robots).where("allowed").drop("allowed"), 0), "fetched")
+    out = last
+    for hop in range(1, max_hops + 1):
+        links = _next_links(last, allow, robots).join(taken.select("plan_id", "url"), ["plan_id", "url"], "left_anti")
+        top = taken.groupBy("plan_id").agg(F.max("visit").alias("_top"))
+        new = _ranked(links, max_pages).join(top, "plan_id").withColumn("visit", F.col("_top") + F.col("rank"))
+        if limits is not None:
+            new = new.join(limits, "plan_id").where("visit <= _most")
+        elif max_pages is not None:
+            new = new.where(F.col("visit") <= max_pages)
+        new = materialize(new.select("plan_id", "visit", "url"), "frontier")
+        last = materialize(fetch(new, hop), "fetched")
+        taken = taken.unionByName(new)
+        out = out.unionByName(last)
+    return out
+
+
 def pages_to_memories(seeds: DataFrame, pages: DataFrame, allow, robots: DataFrame, as_of: float,
                       max_pages: int | str | None = SCRAPER_MAX_PAGES, embed=None,
                       global_cap: int | None = SCRAPER_MAX_PAGES, text_chars: int | None = SCRAPE_TEXT_CHARS,
                       max_hops: int = 0, partitions: int | None = None) -> DataFrame:
-    """K5: crawl plans over already-fetched pages -> semantic memory rows.
-
-    The page for a visited URL is the lowest ``page_id`` whose normalised URL
-    equals it; a URL without one is a failed fetch and is skipped. The visits
-    find their ``page_id`` without the HTML, which is then read for those pages
-    only. ``max_hops`` follows that many rounds of gated links on the page's own host
-    (``visit`` goes on after the plan's last one); ``text_chars=None`` keeps the whole text.
-    """
+    """K5: crawl plans (``crawl``) over already-fetched pages -> semantic memory rows; ``text_chars=None`` keeps the whole text."""
     from ..operators.providers import embed_table
-    visits = plan_pages(seeds, max_pages, global_cap)
-    visits = gate_pages(visits, "url", allow, robots).where(F.col("allowed")).select("plan_id", "visit", "url")
-    where = pages.select("page_id", normalize_url("url").alias("url")).groupBy("url").agg(F.min("page_id").alias("page_id"))
-
-    def fetch(v: DataFrame) -> DataFrame:
-        got = v.join(where, "url").join(pages.select("page_id", "html"), "page_id")
-        return extract_pages(got, keep=("plan_id", "visit", "page_id", "url"), partitions=partitions)
-
-    ex = fetch(visits)
-    if max_hops:
-        from ..session import materialize
-        ex = materialize(ex, "fetched")
-        seen, last = visits.select("plan_id", "url"), ex
-        for hop in range(1, max_hops + 1):
-            links = last.select("plan_id", "url", "links")
-            nxt = _same_host_links(links, allow, robots).join(seen, ["plan_id", "url"], "left_anti")
-            # the order within a hop: by URL, after all visits of the hops before
-            nxt = nxt.select("plan_id", F.lit(int(1e9) * hop).cast("long").alias("visit"), "url")
-            last = materialize(fetch(nxt), "fetched")
-            seen = materialize(seen.unionByName(nxt.select("plan_id", "url")), "seen")
-            ex = ex.unionByName(last)
+    ex = crawl(seeds, pages, allow, robots, max_pages, global_cap, max_hops, partitions)
     ex = ex.withColumn("_text", F.col("text") if text_chars is None else F.substring(F.col("text"), 1, text_chars))
     embed = embed or (lambda df, c, o: embed_table(df, c, out_col=o))
     ex = embed(ex, "_text", "embedding")
@@ -335,16 +364,17 @@ def pages_to_memories(seeds: DataFrame, pages: DataFrame, allow, robots: DataFra
         F.lit(float(as_of)).alias("created_at"),
         F.lit(float(as_of)).alias("last_access"),
         F.to_json(F.struct(F.lit("scraper").alias("source"), F.col("url").alias("url"))).alias("metadata_json"),
-        "url", "links",
+        "url", "links", "hop",
     )
 
 
 def read_pages(spark, path: str, fmt: str = "parquet") -> DataFrame:
     """A10: pages source: parquet ``(page_id, url, html)``, or a directory of HTML
-    files read whole (``url`` = ``file://`` path)."""
+    files read whole (``url`` = ``file://`` path; numbered in the order of their paths, however they are dealt to tasks)."""
     if fmt == "parquet":
         return spark.read.parquet(path)
+    from ..sources.io import number_by_file
     df = spark.read.option("wholetext", True).text(path)
-    return df.select(F.monotonically_increasing_id().alias("page_id"),
-                     F.input_file_name().alias("url"),
-                     F.col("value").alias("html"))
+    df = df.select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"), F.col("_metadata.file_path").alias("_file"),
+                   F.col("_metadata.file_block_start").alias("_block"))
+    return number_by_file(df, 0, "page_id").select("page_id", "url", "html")

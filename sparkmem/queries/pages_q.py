@@ -146,3 +146,79 @@ def pages_to_memories_head(spark, sf):
     pages = fx.table(spark, sf, "pages", "page_id", "url", "html")
     mem = P.pages_to_memories(fx.plan_seeds_head(spark, sf, 5), pages, _allow(spark, sf), fx.robots_rules(spark, sf), as_of=T0, max_pages=5)
     return mem.select("plan_id", "visit", "page_id", "id", "type", "importance")
+
+
+_HOP_SQL = f"""
+f AS (SELECT {_norm_sql('url')} AS url, min(page_id) AS page_id FROM pages GROUP BY 1),
+raw AS (SELECT page_id, lower(regexp_extract(url, '{_SCHEME}', 1)) AS ps, {_host_sql('url')} AS src_host,
+               regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages WHERE page_id IN (SELECT page_id FROM f)),
+l AS (SELECT page_id, ps, src_host, trim(unnest(hrefs)) AS href, generate_subscripts(hrefs, 1) AS pos FROM raw),
+n AS (SELECT page_id, src_host, pos, {_norm_sql('link')} AS url FROM (
+        SELECT *, CASE WHEN starts_with(href, '/') THEN ps || '://' || src_host || href ELSE href END AS link
+        FROM l WHERE NOT starts_with(href, '#') AND NOT starts_with(href, 'mailto:'))),
+every AS (SELECT DISTINCT url FROM n UNION SELECT url FROM plan),
+{_gate_sql('every', 'url').strip()},
+ok AS (SELECT url FROM gated WHERE allowed),
+out_links AS (SELECT n.page_id, n.pos, n.url FROM n JOIN ok USING (url) WHERE {_host_sql('n.url')} = src_host),
+v0 AS (SELECT plan_id, visit, url FROM plan),
+h0 AS (SELECT v0.*, f.page_id FROM v0 JOIN ok USING (url) JOIN f USING (url))"""
+
+
+def _round_sql(k: int, most: int) -> str:
+    """CTEs of one more hop: v<k> (all visits taken so far) and h<k> (the pages of hop k)."""
+    return f"""
+c{k} AS (SELECT plan_id, o.url, min(struct_pack(v := h.visit, p := o.pos)) AS at_
+       FROM h{k - 1} h JOIN out_links o USING (page_id) GROUP BY 1, 2),
+n{k} AS (SELECT plan_id, top + row_number() OVER (PARTITION BY plan_id ORDER BY at_) AS visit, url
+       FROM c{k} JOIN (SELECT plan_id, max(visit) AS top FROM v{k - 1} GROUP BY 1) USING (plan_id)
+       WHERE (plan_id, url) NOT IN (SELECT (plan_id, url) FROM v{k - 1})),
+m{k} AS (SELECT * FROM n{k} WHERE visit <= {most}),
+v{k} AS (SELECT * FROM v{k - 1} UNION ALL SELECT * FROM m{k}),
+h{k} AS (SELECT m{k}.*, f.page_id FROM m{k} JOIN f USING (url))"""
+
+
+def _site_path_sql(i: str) -> str:
+    return f"(CASE WHEN ({i}) % 16 < 8 THEN '/en/p/' ELSE '/fr/p/' END || CAST({i} AS VARCHAR))"
+
+
+_SITE_SQL = f"""
+pages AS (
+  SELECT page_id,
+         'http://' || CASE page_id % 8 WHEN 0 THEN 'm.s0.example.com' WHEN 1 THEN 'blog.s1.example.com' WHEN 2 THEN 's2.example.org'
+                      ELSE 's' || (page_id % 8) || '.example.com' END || {_site_path_sql('page_id')} AS url,
+         '<a href="' || {_site_path_sql('page_id + 8')} || '">n</a><a href="' || {_site_path_sql('page_id + 40')}
+         || '">n</a><a href="' || {_site_path_sql('page_id // 16 * 8 + page_id % 8')}
+         || '">n</a><a href="http://s5.example.com' || {_site_path_sql('page_id + 5')} || '">n</a>' || coalesce(html, '') AS html
+  FROM main.pages),
+plan AS (SELECT {_host_sql('url')} AS plan_id, row_number() OVER (PARTITION BY {_host_sql('url')} ORDER BY page_id) AS visit, url FROM pages
+         QUALIFY visit <= 2)
+"""
+
+
+def _crawl_oracle(most: int) -> str:
+    return f"""
+WITH {_SITE_SQL.strip()}, {_ROBOTS_SQL.strip()}, {_HOP_SQL.strip()}, {_round_sql(1, most).strip()}, {_round_sql(2, most).strip()}
+SELECT plan_id, CAST(visit AS BIGINT) AS visit, 0 AS hop, page_id, url FROM h0
+UNION ALL SELECT plan_id, visit, 1, page_id, url FROM h1
+UNION ALL SELECT plan_id, visit, 2, page_id, url FROM h2
+"""
+
+
+def _crawl_sites(spark, sf, most):
+    pages = fx.site_pages(spark, sf)
+    hosts = pages.select(fx.page_host("url").alias("host")).distinct()
+    seeds = pages.select(fx.page_host("url").alias("plan_id"), F.col("url").alias("seed"), F.expr("page_id div 8").alias("pos")).where("pos < 2")
+    out = P.crawl(seeds, pages, hosts, fx.robots_rules(spark, sf, hosts), max_pages=most, global_cap=2, max_hops=2)
+    return out.select("plan_id", "visit", "hop", "page_id", "url")
+
+
+@query("crawl_hops", oracle=_crawl_oracle(9))
+def crawl_hops(spark, sf):
+    """Eight sites, two seeds each, links followed for two hops, breadth first, within a budget of nine URLs a site."""
+    return _crawl_sites(spark, sf, 9)
+
+
+@query("crawl_hops_whole", oracle=_crawl_oracle(10 ** 9))
+def crawl_hops_whole(spark, sf):
+    """The same without a budget."""
+    return _crawl_sites(spark, sf, None)

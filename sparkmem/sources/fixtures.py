@@ -282,8 +282,25 @@ def allow_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(page_host("url").alias("host")).distinct()
 
 
-def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Robots rules derived from the host names seen in ``pages``.
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` as eight sites whose pages link to each other (no link of the table itself leads to a page of it): page i is
+    ``/en/p/i`` or ``/fr/p/i`` of site i % 8 and links to i + 8, i + 40, i // 16 * 8 + i % 8 (again and again) and to a page of another site; its own HTML
+    follows."""
+    p = table(spark, sf_dir, "pages", "page_id", "html")
+    site = F.expr("page_id % 8")
+    host = (F.when(site == 0, F.lit("m.s0.example.com")).when(site == 1, F.lit("blog.s1.example.com")).when(site == 2, F.lit("s2.example.org"))
+            .otherwise(F.concat(F.lit("s"), site.cast("string"), F.lit(".example.com"))))
+
+    def path(i: str) -> F.Column:
+        return F.concat(F.when(F.expr(f"({i}) % 16 < 8"), F.lit("/en/p/")).otherwise(F.lit("/fr/p/")), F.expr(f"cast({i} as string)"))
+
+    links = [path("page_id + 8"), path("page_id + 40"), path("page_id div 16 * 8 + page_id % 8"), F.concat(F.lit("http://s5.example.com"), path("page_id + 5"))]
+    body = F.concat(*[F.concat(F.lit('<a href="'), x, F.lit('">n</a>')) for x in links], F.coalesce("html", F.lit("")))
+    return p.select("page_id", F.concat(F.lit("http://"), host, path("page_id")).alias("url"), body.alias("html"))
+
+
+def robots_rules(spark: SparkSession, sf_dir: str, hosts: DataFrame | None = None) -> DataFrame:
+    """Robots rules derived from the host names seen in ``pages`` (or from ``hosts``).
 
     * ``m.*`` hosts: (1, deny ``/en/``), (2, allow ``/``)
     * ``blog.*`` hosts: (1, deny ``/fr/``)
@@ -291,7 +308,7 @@ def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     * every other host: an empty robots file -> known, no rules -> allowed
     Returned columns: host, rule_order (null for an empty file), allow, path_prefix.
     """
-    hosts = allow_hosts(spark, sf_dir).where(~F.col("host").endswith(".org"))
+    hosts = (allow_hosts(spark, sf_dir) if hosts is None else hosts).where(~F.col("host").endswith(".org"))
     m_rules = F.array(
         F.struct(F.lit(1).alias("rule_order"), F.lit(False).alias("allow"), F.lit("/en/").alias("path_prefix")),
         F.struct(F.lit(2).alias("rule_order"), F.lit(True).alias("allow"), F.lit("/").alias("path_prefix")))
