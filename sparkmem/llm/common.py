@@ -60,6 +60,7 @@ def return_freed_memory() -> None:
 
     Python workers outlive a stage and are reused; without this, what a stage's largest arrays took stays with them.
     """
+    pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(None)
     if hasattr(libc, "malloc_trim"):            # glibc
         libc.malloc_trim(0)
@@ -73,6 +74,15 @@ def lean(run):
     return wrapped
 
 
+def lean_groups(run):
+    """The same for a function of ``applyInPandas``."""
+    def wrapped(key, pdf):
+        out = run(key, pdf)
+        return_freed_memory()
+        return out
+    return wrapped
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets int64[n+1], bytes uint8) of a string column; a null counts as empty."""
     return_freed_memory()
