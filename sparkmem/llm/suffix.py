@@ -17,8 +17,8 @@ document and an earlier start); strings are judged on the input and never cross
 4. Marks go back to their blocks, where the covered bytes are cut.
 
 Memory: a block, a bucket (their number grows with the data) and ``SORT_BYTES`` of contexts at a time. An anchor
-found in more than ``HOT_BLOCKS`` blocks is spread over the buckets string by string, so no group
-gathers in one bucket.
+whose contexts hold more than ``SORT_BYTES`` in all is spread over the buckets string by string, so no group
+gathers in one bucket or is sorted beyond that at once.
 
 Nulls and odd input: a null text counts as empty and stays null in the cleaned text; a null id comes before all others;
 rows of one id are ordered by the hash of their text, and equal rows by block and place in the block, the first being
@@ -36,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_conf, block_numbers, clustered_ranges, lean, mix64, powers, return_freed_memory, row_slices, span_hash, utf8, written
+from .common import arrow_conf, block_numbers, clustered_ranges, lean, lean_groups, mix64, powers, return_freed_memory, row_slices, span_hash, utf8, written
 
 LENGTH = 100               # bytes of a string that counts as repeated
 GRAM = 24                  # bytes of an anchor
 BLOCK_BYTES = 4 << 20      # text of one block
 BUCKET_BYTES = 8 << 20     # text per bucket
-SORT_BYTES = 1 << 20       # contexts sorted at a time
-HOT_BLOCKS = 4096
+SORT_BYTES = 1 << 20       # contexts sorted at a time; an anchor whose contexts hold more is hot
+CUT_BYTES = 256 << 10      # text that leaves a block at once
 # fixed values: a perfect difference set modulo 31 (every difference occurs once)
 COVER = 31
 COVER_SET = (1, 5, 11, 24, 25, 27)
@@ -144,17 +144,33 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (mix64(h ^ np.uint64(0xA5A5A5A5)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _block_anchors(offs, data) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchors of a block (sorted) and how often each occurs."""
-    parts = [runs(offs[lo:hi + 1] - offs[lo], data[offs[lo]:offs[hi]])[3] for lo, hi in row_slices(offs)]
-    return np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
+def _block_anchors(offs, data, weigh: bool = False):
+    """Distinct anchors of a block (sorted); with ``weigh`` also how often each occurs, and the bytes of its different contexts."""
+    first, last, anchor = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for lo, hi in row_slices(offs):
+        f, e, _, h = runs(offs[lo:hi + 1] - offs[lo], data[offs[lo]:offs[hi]])
+        anchor.append(h)
+        if weigh:
+            first.append(f + offs[lo])
+            last.append(e + offs[lo])
+    anchor = np.concatenate(anchor)
+    if not weigh:
+        return np.unique(anchor)
+    first, last = np.concatenate(first), np.concatenate(last)
+    h, at, n = np.unique(anchor, return_inverse=True, return_counts=True)
+    more = np.flatnonzero(n[at] > 1)
+    counted = n[at] == 1
+    counted[more[np.unique(_context_hash(data, first[more], last[more], anchor[more]), return_index=True)[1]]] = True
+    return h, n, np.bincount(at[counted], (last - first + LENGTH - 1)[counted], len(h))
 
 
 def _send_anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, o, d in zip(*(b.column(k).to_pylist() for k in range(3))):
-                h, n = _block_anchors(_unz(o, "<i8"), _unz(d, "u1"))
+                h, n, size = _block_anchors(_unz(o, "<i8"), _unz(d, "u1"), weigh=True)
+                # a byte: whether the anchor repeats in the block, and the contexts' bytes as quarters of a power of two, rounded up
+                said = np.minimum(np.ceil(4 * np.log2(np.maximum(size, 1))), 127).astype(np.uint8) | (n > 1).astype(np.uint8) << 7
                 to = _bucket(h, buckets)
                 order = np.argsort(to, kind="stable")
                 cut = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -162,20 +178,22 @@ def _send_anchors(buckets: int):
                     some = order[cut[k]:cut[k + 1]]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([int(k)], pa.int32()), pa.array([number], pa.int64()), pa.array([h[some].tobytes()], pa.binary()),
-                         pa.array([np.packbits(n[some] > 1).tobytes()], pa.binary())], ["bucket", "block", "h", "multi"])
+                         pa.array([said[some].tobytes()], pa.binary())], ["bucket", "block", "h", "said"])
+                return_freed_memory()
     return run
 
 
-def _answer_anchors(hot_blocks: int):
+def _answer_anchors(hot_bytes: int):
     def run(key, pdf):
-        """Code of each anchor sent: 0 occurs once, 1 repeats, 2 repeats in very many blocks."""
+        """Code of each anchor sent: 0 occurs once, 1 repeats, 2 repeats and its contexts hold more than ``hot_bytes``."""
         import pandas as pd
         hs = [np.frombuffer(x, "<u8") for x in pdf["h"]]
-        multi = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool) for x, h in zip(pdf["multi"], hs)]
+        said = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["said"]])
         uniq, inv, n = np.unique(np.concatenate(hs), return_inverse=True, return_counts=True)
         rep = n > 1
-        rep[inv[np.concatenate(multi)]] = True
-        code = (rep.astype(np.uint8) + (n > hot_blocks))[inv]
+        rep[inv[said > 127]] = True
+        size = np.bincount(inv, 2.0 ** ((said & 127) / 4), len(uniq))
+        code = (rep.astype(np.uint8) + (rep & (size > hot_bytes)))[inv]
         cut = np.cumsum([0, *map(len, hs)])
         return pd.DataFrame({"block": pdf["block"], "bucket": key[0],
                              "code": [np.packbits(np.stack([c & 1, c >> 1])).tobytes() if len(c) else b"" for c in
@@ -195,7 +213,7 @@ def _send_contexts(buckets: int):
                 z = zstandard.ZstdCompressor(level=1).compress
                 ids, ties, o, d = _unz(ids, "<i8"), _unz(ties, "<i8"), _unz(o, "<i8"), _unz(d, "u1")
                 return_freed_memory()
-                h, _ = _block_anchors(o, d)
+                h = _block_anchors(o, d)
                 to = _bucket(h, buckets)
                 state = np.zeros(len(h), np.uint8)
                 for c in codes or []:
@@ -422,42 +440,48 @@ def _sort_bucket(key, pdf):
 # Cutting
 # --------------------------------------------------------------------------
 def _cut(rest_names: list[str], with_text: bool):
-    """Columns: offs, data, rest, marks (array of binary)."""
+    """Columns: offs, data, rest, marks (array of binary). A block is opened alone and leaves in slices of CUT_BYTES of its text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         for b in batches:
-            for o, d, rest, marks in zip(*(b.column(k).to_pylist() for k in range(4))):
-                o, d = _unz(o, "<i8"), _unz(d, "u1")
-                gone = np.zeros(len(d) + 1, np.int32)
-                for m in marks or []:
-                    doc, f, e = _unz(m, "<i4").reshape(3, -1).astype(np.int64)
-                    np.add.at(gone, o[doc] + f, 1)
-                    np.add.at(gone, o[doc] + e - 1 + LENGTH, -1)
-                gone = np.cumsum(gone)[:-1] > 0
-                opens = gone.copy()
-                opens[1:] &= ~gone[:-1]
-                starts = o[:-1][o[:-1] < len(d)]
-                opens[starts] |= gone[starts]
-                n_gone = np.concatenate([[0], np.cumsum(gone)])
-                n_open = np.concatenate([[0], np.cumsum(opens)])
-                kept = d[~gone].tobytes()
-                at = o - n_gone[o]
-                whole = zstandard.ZstdDecompressor().decompress(rest)
-                t = pa.ipc.open_stream(whole).read_all().combine_chunks()
-                cols = [t.column(c).combine_chunks() for c in rest_names]
-                parts = [kept[a:z] for a, z in zip(at[:-1], at[1:])]
-                cols += [pa.array(np.diff(o), pa.int64()), pa.array(np.diff(n_gone[o]), pa.int64()), pa.array(np.diff(n_open[o]), pa.int64())]
-                if with_text:
-                    null = t.column("_null").to_pylist()
-                    cols.append(pa.array([None if x else p.decode("utf-8", "ignore") for x, p in zip(null, parts)], pa.string()))
-                else:
-                    cols.append(pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string()))
-                yield pa.RecordBatch.from_arrays(
-                    cols, [*rest_names, "n_bytes", "n_removed", "n_spans", "kept_text" if with_text else "kept_sha256"])
+            for i in range(b.num_rows):
+                yield from cut(*(b.column(k)[i] for k in range(4)), zstandard.ZstdDecompressor())
+                return_freed_memory()
+
+    def cut(o, d, rest, marks, unpack) -> Iterator[pa.RecordBatch]:
+        o, d = _unz(o.as_buffer(), "<i8"), _unz(d.as_buffer(), "u1")
+        gone = np.zeros(len(d) + 1, np.int32)
+        for m in marks.values if marks.is_valid else []:
+            doc, f, e = _unz(m.as_buffer(), "<i4").reshape(3, -1).astype(np.int64)
+            np.add.at(gone, o[doc] + f, 1)
+            np.add.at(gone, o[doc] + e - 1 + LENGTH, -1)
+        np.cumsum(gone, out=gone)
+        gone = gone[:-1] > 0
+        t = pa.ipc.open_stream(unpack.decompress(rest.as_buffer())).read_all().combine_chunks()
+        for lo, hi in row_slices(o, CUT_BYTES):
+            at = o[lo:hi + 1] - o[lo]
+            lost, text = gone[o[lo]:o[hi]], d[o[lo]:o[hi]]
+            opens = lost.copy()
+            opens[1:] &= ~lost[:-1]
+            starts = at[:-1][at[:-1] < len(text)]
+            opens[starts] |= lost[starts]
+            n_lost = np.concatenate([[0], np.cumsum(lost, dtype=np.int64)])[at]
+            n_open = np.concatenate([[0], np.cumsum(opens, dtype=np.int64)])[at]
+            kept, to = text[~lost].tobytes(), at - n_lost
+            cols = [t.column(c).slice(lo, hi - lo).combine_chunks() for c in rest_names]
+            cols += [pa.array(np.diff(at), pa.int64()), pa.array(np.diff(n_lost), pa.int64()), pa.array(np.diff(n_open), pa.int64())]
+            parts = (kept[a:z] for a, z in zip(to[:-1], to[1:]))
+            if with_text:
+                null = t.column("_null").slice(lo, hi - lo).to_pylist()
+                cols.append(pa.array([None if x else p.decode("utf-8", "ignore") for x, p in zip(null, parts)], pa.string()))
+            else:
+                cols.append(pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string()))
+            yield pa.RecordBatch.from_arrays(
+                cols, [*rest_names, "n_bytes", "n_removed", "n_spans", "kept_text" if with_text else "kept_sha256"])
     return run
 
 
-def deduplicate(docs: DataFrame, id_col: str, text_col: str, with_text: bool = False, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str, text_col: str, with_text: bool = False, hot_bytes: int = SORT_BYTES) -> DataFrame:
     """All columns but the text, with n_bytes, n_removed, n_spans, and kept_sha256 or (``with_text``) kept_text.
 
     ``kept_text`` leaves out characters that a cut has split.
@@ -471,13 +495,13 @@ def deduplicate(docs: DataFrame, id_col: str, text_col: str, with_text: bool = F
     blocks = written(own.mapInArrow(lean(_pack_blocks), BLOCK_SCHEMA), "suffix-blocks")
     n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / BUCKET_BYTES))
-    sent = blocks.select("block", "offs", "data").mapInArrow(lean(_send_anchors(buckets)), "bucket int, block long, h binary, multi binary")
+    sent = blocks.select("block", "offs", "data").mapInArrow(lean(_send_anchors(buckets)), "bucket int, block long, h binary, said binary")
     codes = written(sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(
-        _answer_anchors(hot_blocks), "block long, bucket int, code binary"), "suffix-codes")
+        lean_groups(_answer_anchors(hot_bytes)), "block long, bucket int, code binary"), "suffix-codes")
     of_block = codes.groupBy("block").agg(F.collect_list(F.struct("bucket", "code")).alias("codes"))
     contexts = (blocks.select("block", "ids", "ties", "offs", "data").join(of_block, "block")
                 .select("block", "ids", "ties", "offs", "data", "codes").mapInArrow(lean(_send_contexts(buckets)), CONTEXT_SCHEMA))
-    marks = written(contexts.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_sort_bucket, "block long, marks binary"), "suffix-marks")
+    marks = written(contexts.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lean_groups(_sort_bucket), "block long, marks binary"), "suffix-marks")
     back = marks.groupBy("block").agg(F.collect_list("marks").alias("marks"))
     fields = [docs.schema[c] for c in rest]
     names = [f"c{i}" for i in range(len(rest))]

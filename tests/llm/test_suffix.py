@@ -49,14 +49,14 @@ def fixture_rows():
     return [(int(i), t) for i, t in zip(ids, texts)]
 
 
-@pytest.mark.parametrize("hot,block", [(4096, 8 << 20), (0, 4000), (2, 4000)])
+@pytest.mark.parametrize("hot,block", [(1 << 20, 8 << 20), (0, 4000), (600, 4000)])
 def test_equals_brute_force(spark, monkeypatch, hot, block):
     monkeypatch.setattr(S, "BLOCK_BYTES", block)
     monkeypatch.setattr(S, "SORT_BYTES", 5000)
     rows = fixture_rows()
     df = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, n_bytes_2 string").repartition(3)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
-           for r in S.deduplicate(df, "doc_id", "text", hot_blocks=hot).collect()}
+           for r in S.deduplicate(df, "doc_id", "text", hot_bytes=hot).collect()}
     rows = sorted(rows)
     want = dict(zip([i for i, _ in rows], brute(rows)))
     assert got == want
@@ -91,7 +91,7 @@ def test_the_earliest_of_equal_rows_is_the_same_in_any_order_of_arrival():
     def sent(block, cut):
         data = np.concatenate([rng.integers(97, 105, cut).astype(np.uint8), text])
         offs = np.array([0, cut, len(data)])
-        h, _ = S._block_anchors(offs, data)
+        h = S._block_anchors(offs, data)
         code = np.packbits(np.stack([np.ones(len(h), np.uint8), np.zeros(len(h), np.uint8)])).tobytes()
         cols = [pa.array([block]), *(pa.array([z(x.tobytes())], pa.binary()) for x in (np.array([5, 5]), np.array([1, 2]), offs, data)),
                 pa.array([[{"bucket": 0, "code": code}]])]
@@ -103,3 +103,26 @@ def test_the_earliest_of_equal_rows_is_the_same_in_any_order_of_arrival():
         rows = rows[rows["bucket"] == 0]
         for order in (rows, rows[::-1]):
             assert set(S._sort_bucket((0,), order.reset_index(drop=True))["block"]) == {9}
+
+
+def test_a_phrase_in_every_row_gathers_in_no_bucket(spark, monkeypatch):
+    """A fixed phrase between other words: its anchors have a context per row, far more than is sorted at once; they are dealt out."""
+    rng = np.random.default_rng(8)
+    phrase = "".join(rng.choice(list("abcdefgh"), 120))
+    rows = [(i, "".join(rng.choice(list("ijklmnop"), 60)) + phrase + "".join(rng.choice(list("qrstuvwx"), 60))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.deduplicate(df, "doc_id", "text", hot_bytes=20_000).collect()}
+    assert got == dict(zip(range(400), brute(rows)))
+    # the groups a bucket would sort: by anchor they hold most of the input, dealt out by string they stay small
+    offs = np.cumsum([0, *[len(t) for _, t in rows]])
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    h, n, size = S._block_anchors(offs, data, weigh=True)
+    assert size.max() > 40_000 and n[size.argmax()] == 400
+
+
+def test_weights_count_different_contexts_once():
+    rng = np.random.default_rng(9)
+    text = np.frombuffer("".join(rng.choice(list("abcdefgh"), 400)).encode(), np.uint8)
+    one = S._block_anchors(np.array([0, 400]), text, weigh=True)
+    many = S._block_anchors(np.arange(21) * 400, np.tile(text, 20), weigh=True)
+    assert (one[0] == many[0]).all() and (one[2] == many[2]).all() and (many[1] == 20 * one[1]).all()
