@@ -214,6 +214,26 @@ def knn_join_scoped(memories: DataFrame, queries: DataFrame, k: int,
     return out.select(*scope_cols, "qid", *key_cols, "seq", "sim", "rank")
 
 
+def scope_hits(memories: DataFrame, queries: DataFrame, k: int, scope_cols: Sequence[str] = ("scope_id",), qvec_col: str = "embedding",
+               emb_col: str = "embedding", keep: Sequence[str] = ("id",)) -> DataFrame:
+    """C3 for one query per scope: the ``k`` nearest of the scope's own memories, with the columns ``keep``, in one pass over the memories.
+
+    The ranking is by scope, as the join is, and a partial limit keeps k rows of a scope per partition before anything is shuffled: texts
+    travel with these rows and are not read a second time. A store that is bucketed by scope is read without an exchange.
+    """
+    from ..functions.vector import dot
+    k, sc = _check_k(k), list(scope_cols)
+    norm = F.col("norm") if "norm" in memories.columns else l2norm(emb_col)
+    mem = (memories.where(has_vector(emb_col))
+           .select(*sc, *keep, F.col("seq").cast("long").alias("seq"), F.col(emb_col).alias("_emb"), norm.alias("_mn")))
+    q = (queries.where(has_vector(qvec_col)).select(*sc, F.col(qvec_col).alias("_qv"), l2norm(qvec_col).alias("_qn")))
+    # written as a difference, so that the lengths are no key of the join and the scope's partitioning serves it
+    pairs = mem.join(q, sc).where(F.size("_emb") - F.size("_qv") == 0)
+    pairs = pairs.withColumn("sim", dot("_qv", "_emb") / ((F.col("_qn") + COSINE_EPS) * (F.col("_mn") + COSINE_EPS)))
+    pairs = pairs.select(*sc, *keep, "seq", "sim")
+    return _rank(pairs, sc, [F.col("sim").desc(), F.col("seq").asc(), *[F.col(c).asc() for c in keep if c == "id"]], k)
+
+
 # ---------------------------------------------------------------------------
 # G4, F3, B10
 # ---------------------------------------------------------------------------

@@ -98,11 +98,12 @@ def budget_cut(df: DataFrame, partition_cols: Sequence[str], order: Sequence[tup
 
 def budget_prefix(df: DataFrame, partition_cols: Sequence[str], order_col: str, descending: bool,
                   length_col: str, budget: int, tiebreak: Sequence = (),
-                  allow_zero_length: bool = True, running_col: str = "running_chars") -> DataFrame:
+                  allow_zero_length: bool = True, running_col: str = "running_chars", few: bool = False) -> DataFrame:
     """Rows, in order, while the running total of ``length_col`` stays within ``budget``.
 
     ``order_col`` (+ ``tiebreak`` columns, ascending) fixes a total order per
-    partition. Lengths must be >= 0. Adds ``running_col``.
+    partition. Lengths must be >= 0. Adds ``running_col``. ``few``: partitions are
+    known to be small, so nothing is cut before the running sum.
     """
     if budget < 0:
         return df.limit(0).withColumn(running_col, F.lit(None).cast("long"))
@@ -113,6 +114,9 @@ def budget_prefix(df: DataFrame, partition_cols: Sequence[str], order_col: str,
     wrun = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     length = F.col(length_col).cast("long")
     nonzero = df.where(length > 0) if allow_zero_length else df
+    if few:
+        run = nonzero.withColumn(running_col, F.sum(length).over(wrun))
+        return run.where(F.col(running_col) <= budget)
     cut_order = [(order_col, not descending)] + [(f"_t{k}", True) for k in range(len(tiebreak))]
     capped = budget_cut(nonzero.withColumns({f"_t{k}": _col(t) for k, t in enumerate(tiebreak)}), parts, cut_order, length_col, budget)
     capped = capped.drop(*[f"_t{k}" for k in range(len(tiebreak))])
@@ -211,7 +215,7 @@ def memory_lines(hits: DataFrame, ctx_tokens: int = LLM_CTX, scope_cols: Sequenc
     lines = hits.select(*scope_cols, F.col(rank_col),
                         F.concat(F.col("type"), F.lit(":"), py_strip("content")).alias("line"))
     lines = lines.withColumn("line_len", F.length("line").cast("long"))
-    return budget_prefix(lines, scope_cols, rank_col, False, "line_len", budget, allow_zero_length=False)
+    return budget_prefix(lines, scope_cols, rank_col, False, "line_len", budget, allow_zero_length=False, few=True)   # at most k
 
 
 def recent_thoughts(thoughts: DataFrame, k: int = 10, cap: int = RECENT_THOUGHTS_CAP,

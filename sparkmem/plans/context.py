@@ -5,8 +5,9 @@ stimuli -> newest-first budgeted lines (E4) -> query text (or "general")
 working memory -> decayed, budgeted summary lines (E3);
 -> ``system`` and ``prompt`` strings with the Self / WM / LTM / Stimuli sections.
 
-Shuffles: the per-scope line joins and the scope-keyed retrieval join; every
-per-scope list that is collected is bounded by a character budget or by k.
+Shuffles: all are by scope. Memories are read once; from a store bucketed by
+scope (``operators.store``) without an exchange. Every per-scope list that is
+collected is bounded by a character budget or by k.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def build_context(scopes: DataFrame, stimuli: DataFrame, wm: DataFrame, memories
                   as_of: float, self_summary: str = DEFAULT_SELF_SUMMARY, ctx_tokens: int = LLM_CTX,
                   k: int = CYCLE_RETRIEVAL_K, half_life: float = WM_HALF_LIFE_SECONDS,
                   shared_memories: bool = False, scope_cols: Sequence[str] = ("scope_id",),
-                  embed=None, salt: int = 1) -> DataFrame:
+                  embed=None) -> DataFrame:
     """One row per scope: ``system, prompt, stim_text, query_text`` and line counts.
 
     ``scopes``: the scopes that run a cycle (a scope with no pending stimuli
@@ -50,9 +51,7 @@ def build_context(scopes: DataFrame, stimuli: DataFrame, wm: DataFrame, memories
         hits = hits.select(*[F.col("qid")[c].alias(c) for c in sc], "id", "seq", "sim", "rank")
         hits = hits.join(memories.select("id", "type", "content"), "id")
     else:
-        qq = q.select(*sc, F.struct(*sc).alias("qid"), F.col("_qv").alias("embedding"))
-        hits = S.knn_join_scoped(memories, qq, k, scope_cols=sc, salt=salt)
-        hits = hits.join(memories.select(*sc, "id", "type", "content"), sc + ["id"])
+        hits = S.scope_hits(memories, q.select(*sc, F.col("_qv").alias("embedding")), k, scope_cols=sc, keep=("id", "type", "content"))
     ltm = W.join_lines(W.memory_lines(hits, ctx_tokens, sc), "rank", scope_cols=sc, out_col="ltm_text") \
         .withColumnRenamed("n_lines", "n_ltm_lines")
     wml = W.join_lines(W.wm_lines(wm, as_of, half_life, ctx_tokens, sc), "rank", scope_cols=sc, out_col="wm_text") \

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..constants import DECIDER_PROMPT, DECIDER_SYSTEM, DEFAULT_SELF_SUMMARY, PROMPT_TAIL
 from ..operators import interrupts as I
+from ..operators.store import MemoryStore
 from .agent_q import thought_ctes
 from ..operators import working as W
 from ..plans.context import build_context
@@ -86,6 +89,21 @@ def context_build(spark, sf):
                       F.md5("prompt").alias("prompt_md5"), "n_stim_lines", "n_wm_lines", "n_ltm_lines")
 
 
+@query("context_store", oracle=_CTX_SQL + """
+SELECT scope_id, CAST(length(prompt) AS BIGINT) AS prompt_chars, md5(prompt) AS prompt_md5,
+       CAST(n_stim AS BIGINT) AS n_stim_lines, CAST(n_wm AS BIGINT) AS n_wm_lines, CAST(n_ltm AS BIGINT) AS n_ltm_lines
+FROM p
+""")
+def context_store(spark, sf):
+    """The same over a store bucketed by scope that came to be by refreshes: half of the memories, then the others as log rows."""
+    scopes, stimuli, wm, mem = _inputs(spark, sf)
+    store = MemoryStore.create(mem.where("seq % 2 = 0"), f"memories_{uuid.uuid4().hex[:12]}", 16)
+    store.refresh(mem.where("seq % 2 = 1").withColumn("op", F.lit("upsert")))
+    ctx = build_context(scopes, stimuli, wm, store.read(), AS_OF)
+    return ctx.select("scope_id", F.length("prompt").cast("long").alias("prompt_chars"),
+                      F.md5("prompt").alias("prompt_md5"), "n_stim_lines", "n_wm_lines", "n_ltm_lines")
+
+
 def cycle_sql(seq: str = "1000", stimuli: bool = True) -> str:
     """CTEs up to ``rep``: the report of one cycle of every scope."""
     return ctx_sql(stimuli) + f""",
