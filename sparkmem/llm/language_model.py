@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,19 +84,20 @@ def tokens(offsets: np.ndarray, data: np.ndarray):
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]):
-    """(ids, held-out flags, word, context, row, tokens per row) of blocks of batches (text, id, held_out)."""
+    """(ids with their null flags, held-out flags, word, context, row, tokens per row) of blocks of batches (text, id, held_out)."""
     ids, held, parts, size, base = [], [], [], 0, 0
 
     def out():
         w, c, r = (np.concatenate(x) for x in zip(*parts))
-        return np.concatenate(ids), np.concatenate(held), w, c, r, np.bincount(r, minlength=base)
+        return np.concatenate(ids, axis=1), np.concatenate(held), w, c, r, np.bincount(r, minlength=base)
 
     for b in batches:
         off, data = utf8(b.column(0))
         for lo, hi in row_slices(off):
             w, c, r = tokens(off[lo:hi + 1] - off[lo], data[off[lo]:off[hi]])
             parts.append((w, c, r + base))
-            ids.append(b.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False))
+            own = b.column(1).slice(lo, hi - lo)            # integers stay integers beside a null
+            ids.append(np.stack([pc.fill_null(own, 0).to_numpy(), own.is_null().to_numpy(zero_copy_only=False).astype(np.int64)]))
             held.append(b.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool))
             base += hi - lo
             size += int(off[hi] - off[lo])
@@ -433,7 +435,7 @@ def _send_documents(buckets: int, split: dict[int, int]):
     """Rows (bucket, part, block, payload): a block's words of one bucket with context, document and times; bucket -1 - x: its documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, (ids, held, w, c, r, n) in zip(block_numbers(), _blocks(batches)):
-            rows = [(-1 - block % buckets, 0, _z(ids.astype("<i8"), held.astype("<u1"), n.astype("<i8")))]
+            rows = [(-1 - block % buckets, 0, _z(ids[0].astype("<i8"), ids[1].astype("<u1"), held.astype("<u1"), n.astype("<i8")))]
             order, first = _grouped(w, c, r)
             times = np.diff(np.append(first, len(order)))
             w, c, r = w[order][first], c[order][first], r[order][first]
@@ -544,14 +546,14 @@ def _hand_down(d: float):
 
 def _add_up(key, pdf):
     import pandas as pd
-    ids, held, n = _unz(pdf["payload"][pdf["kind"] == 0].iloc[0])
+    ids, null, held, n = _unz(pdf["payload"][pdf["kind"] == 0].iloc[0])
     score, base, known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
     for payload in pdf["payload"][pdf["kind"] == 1]:
         r, s, b, k = _unz(payload)
         score[r] += s
         base[r] += b
         known[r] += k
-    return pd.DataFrame({"id": ids, "held_out": held.astype(bool), "n_tokens": n, "n_known": known, "base_score": base, "score": score})
+    return pd.DataFrame({"id": pd.arrays.IntegerArray(ids.copy(), null.astype(bool)), "held_out": held.astype(bool), "n_tokens": n, "n_known": known, "base_score": base, "score": score})
 
 
 def score(docs: DataFrame, merge: int = MERGE, split_tokens: int = SPLIT_TOKENS) -> DataFrame:

@@ -128,3 +128,10 @@ def test_contexts_not_learned_hand_down(spark):
     rows = [(i, t, False) for i, t in enumerate(train)] + [(900, "fixed other", True), (901, "free other", True), (902, "unseen other", True)]
     got = {r.id: r.score for r in L.score(spark.createDataFrame(rows, "id long, text string, held_out boolean")).collect()}
     assert got[901] > got[900] + 0.5 and all(math.isfinite(x) for x in got.values())
+
+
+def test_ids_beside_a_null_id_stay_as_they_are(spark):
+    rows = [(2 ** 60 + 1, "a b", False), (None, "a c", False), (2 ** 60 + 3, "a b", True)]
+    docs = spark.createDataFrame(rows, "id long, text string, held_out boolean").coalesce(1)
+    got = {r.id: (r.held_out, r.n_tokens) for r in L.score(docs).collect()}
+    assert got == {2 ** 60 + 1: (False, 3), None: (False, 3), 2 ** 60 + 3: (True, 3)}
