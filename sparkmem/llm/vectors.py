@@ -13,7 +13,9 @@ pair of bounded blocks. What leaves a task are link counts per vector and a span
 Equal vectors are one representative with a multiplicity throughout.
 
 Nulls and odd input: a vector that is null, empty, zero or holds null or non-finite components links with
-nothing; vectors of different length never link; repeated rows count as links of each other (rows with one id are one vertex);
+nothing; vectors of different length never link; repeated rows count as links of each other, rows of one id
+and different vectors are vectors of their own; a null id links like any other and
+counts as a link of its partners, but is no smallest id (a component of null ids alone has a null one);
 an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -201,15 +203,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     arrow_conf(vectors.sparkSession)
     base = vectors.select("id", "embedding").mapInArrow(_units, "id long, unit binary, dim int")
     base = written(base.withColumn("key", F.unhex(F.sha2("unit", 256))), "range-units")
+    # groups go by a number of their own: ids may be null, and then have no order
     groups = written(base.where("unit is not null").groupBy("key", "dim")
-                     .agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("unit").alias("unit")), "range-groups")
-    found = range_join(groups, threshold)
+                     .agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("unit").alias("unit"))
+                     .withColumn("id", F.monotonically_increasing_id()), "range-groups")
+    found = range_join(groups.select("id", "unit", "dim", "n"), threshold)
     counts = found.where("v is null").groupBy("u").agg(F.sum("n").alias("others"))
     comp = components(found.where("v is not null").select("u", "v"), "range-cc")
-    groups = (groups.select("key", "id", "n").join(counts.withColumnRenamed("u", "id"), "id", "left")
-              .join(comp.withColumnRenamed("node", "id"), "id", "left")
-              .select("key", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-                      F.coalesce("component", "id").alias("component_id")))
+    groups = (groups.select("key", "id", "least", "n").join(counts.withColumnRenamed("u", "id"), "id", "left")
+              .join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    low = groups.groupBy("component").agg(F.min("least").alias("component_id"))
+    groups = (groups.join(low, "component")
+              .select("key", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id"))
     out = base.select("id", "key").join(groups, "key", "left")
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       F.coalesce("component_id", "id").alias("component_id"))

@@ -44,6 +44,20 @@ def test_range_join_equals_brute_force(spark, monkeypatch, cell, block, threshol
     assert got == {i: (n[i], comp[i]) for i in ids}
 
 
+def test_range_join_null_and_large_ids(spark):
+    """A null id beside ids above 2^53: links and ids stay as they are."""
+    big = 2 ** 60
+    rows = [(big + 1, [1.0, 0.0]), (big + 2, [1.0, 0.01]), (big + 3, [1.0, 0.02]), (None, [0.0, 1.0]), (7, [0.01, 1.0]), (None, [-1.0, 0.0]), (None, None)]
+    got = V.near_duplicates(spark.createDataFrame(rows, "id long, embedding array<double>").coalesce(1)).collect()
+    key = sorted(((r.id, r.n_links, r.component_id) for r in got), key=str)
+    assert key == sorted([(big + 1, 2, big + 1), (big + 2, 2, big + 1), (big + 3, 2, big + 1), (None, 1, 7), (7, 1, 7), (None, 0, None), (None, 0, None)], key=str)
+
+
+def test_null_id_is_held_out_of_nothing(spark):
+    rows = spark.createDataFrame([(None,), (4,)], "doc_id long").select(Q.held_out("doc_id", 1).alias("h")).collect()
+    assert [r.h for r in rows] == [False, True]
+
+
 def test_range_join_empty(spark):
     assert V.near_duplicates(spark.createDataFrame([], "id long, embedding array<float>")).count() == 0
 
