@@ -174,7 +174,8 @@ def _unpack(packed: bytes) -> Machine:
 
 
 def held_out(doc_id: str, folds: int) -> Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0
+    """Whether crc32 of the id as text is a multiple of ``folds``; a null id is held out of nothing."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> bytes | None:
