@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import log as L
 from ..operators import search as S
+from ..operators import text_index as X
 from ..operators.providers import embed_table
 from ..registry import query
 from ..sources import fixtures as fx
@@ -142,19 +143,47 @@ def keyword_topk(spark, sf):
     return S.keyword_search(_mem(spark, sf, embed=False), "the", k=5).select("id", "score", "rank")
 
 
-@query("keyword_topk_batch", oracle=f"""
+_BATCH_SQL = f"""
 WITH m AS (SELECT doc_id AS seq, 'doc:' || doc_id AS id, lower(text) AS lc FROM documents),
 q AS (SELECT item_id AS qid, lower(text) AS ql FROM benchmark WHERE length({py_strip('text')}) > 0),
 s AS (SELECT qid, id, seq, (length(lc) - length(replace(lc, ql, ''))) // length(ql) AS score
       FROM m JOIN q ON contains(m.lc, q.ql))
 SELECT qid, CAST(rank AS BIGINT) AS rank, id, CAST(score AS BIGINT) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seq) AS rank FROM s) WHERE rank <= 5
-""")
+"""
+
+
+@query("keyword_topk_batch", oracle=_BATCH_SQL)
 def keyword_topk_batch(spark, sf):
     hits = S.keyword_search_batch(_mem(spark, sf, embed=False), _benchmark_queries(spark, sf), k=5)
     return hits.select("qid", "rank", "id", "score")
 
 
+@query("keyword_topk_indexed", oracle=_BATCH_SQL)
+def keyword_topk_indexed(spark, sf):
+    """The same over postings of trigrams: texts are read for candidates only."""
+    index = X.build_text_index(_mem(spark, sf, embed=False))
+    return X.indexed_search(index, _benchmark_queries(spark, sf), k=5).select("qid", "rank", "id", "score")
+
+
+@query("keyword_fragments", oracle="""
+WITH m AS (SELECT doc_id AS seq, 'doc:' || doc_id AS id, lower(text) AS lc FROM documents),
+q AS (SELECT item_id * 2 AS qid, lower(substr(text, 3, 9)) AS ql FROM benchmark WHERE length(trim(substr(text, 3, 9))) = 9
+      UNION ALL SELECT item_id * 2 + 1, lower(substr(text, 2, 2)) FROM benchmark WHERE length(trim(substr(text, 2, 2))) = 2),
+s AS (SELECT qid, id, seq, (length(lc) - length(replace(lc, ql, ''))) // length(ql) AS score
+      FROM m JOIN q ON contains(m.lc, q.ql))
+SELECT qid, CAST(rank AS BIGINT) AS rank, id, CAST(score AS BIGINT) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seq) AS rank FROM s) WHERE rank <= 5
+""")
+def keyword_fragments(spark, sf):
+    """Fragments that begin and end within words, and queries of two characters, over the postings of trigrams."""
+    b = fx.table(spark, sf, "benchmark", "item_id", "text")
+    cut = [b.select((F.col("item_id") * 2 + odd).alias("qid"), F.substring("text", at, n).alias("query")).where(F.length(F.trim("query")) == n)
+           for odd, at, n in ((0, 3, 9), (1, 2, 2))]
+    index = X.build_text_index(_mem(spark, sf, embed=False))
+    return X.indexed_search(index, cut[0].unionByName(cut[1]), k=5).select("qid", "rank", "id", "score")
+
+
 _VEC_SQL = f"""
 WITH bq AS (SELECT item_id, text FROM benchmark WHERE length({py_strip('text')}) > 0),
 {hash_vec_ctes('qv', 'bq', 'item_id', 'text')},
