@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import itertools
 import math
 from collections.abc import Iterator
@@ -40,6 +41,25 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def free_disk(spark: SparkSession, *folders: str) -> None:
+    """Delete written tables that no later step reads, and have Spark's cleaner delete the shuffle files of jobs whose plans are out of reach.
+
+    For jobs of several rounds: else shuffle files stay until the driver happens to collect its garbage.
+    """
+    jvm = spark.sparkContext._jvm
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
+def folder_of(table: DataFrame) -> str | None:
+    """The folder of a table that ``written`` gave."""
+    files = table.inputFiles()
+    return files[0].rsplit("/", 1)[0] if files else None
+
+
 def spread(spark: SparkSession, n_bytes: int, per_task: int = 16 << 20, least: int = 12) -> int:
     """Number of partitions for ``n_bytes`` of work: grows with the data."""
     return max(least, math.ceil(n_bytes / per_task))

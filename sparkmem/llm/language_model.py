@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_conf, block_numbers, lean, lower_ascii, mix64, return_freed_memory, row_slices, span_hash, utf8, words, written
+from .common import arrow_conf, block_numbers, folder_of, free_disk, lean, lower_ascii, mix64, return_freed_memory, row_slices, span_hash, utf8, words, written
 
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
@@ -575,6 +575,8 @@ def score(docs: DataFrame, merge: int = MERGE, split_tokens: int = SPLIT_TOKENS)
         counts = counts.repartition(buckets, "bucket", "part").groupBy("bucket", "part").applyInPandas(_merge_group(fan), schema)
     merged = written(counts.repartition(buckets, "bucket").groupBy("bucket", "part").applyInPandas(_merge_group(1), schema)
                      .select("bucket", "pairs"), "lm-counts")
+    del counts
+    free_disk(spark)
 
     def summed(state: DataFrame, name: str) -> tuple[DataFrame, np.ndarray]:
         """Totals by part and bucket, and the vector of the classes' (about 131,000 numbers)."""
@@ -598,12 +600,16 @@ def score(docs: DataFrame, merge: int = MERGE, split_tokens: int = SPLIT_TOKENS)
 
     totals = totals_of(vector)
     for k in range(ROUNDS):
+        last = folder_of(sums)
         sums, vector = summed(seated(sums).applyInPandas(_rounds(totals, k, buckets), TOTALS_SCHEMA), "lm-round")
         totals = totals_of(vector)
+        free_disk(spark, *([last] if last else []))         # a round reads the one before it only
     models = written(seated(sums).applyInPandas(_average(totals, buckets), "bucket int, model binary"), "lm-models")
     # buckets crowded by frequent words are split: each holds over split_tokens tokens of the corpus, so they are few
     crowd = written(merged.select("bucket", "pairs").mapInArrow(_bucket_tokens, "bucket int, n long").where(F.col("n") > split_tokens), "lm-crowd")
     split = {r["bucket"]: math.ceil(r["n"] / split_tokens) for r in crowd.collect()}
+    counted = folder_of(merged)
+    free_disk(spark, *([counted] if counted else []))
     models = (models.join(crowd, "bucket", "left")
               .withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.ceil(F.col("n") / split_tokens), F.lit(1)).cast("int") - 1)))
               .select("bucket", "part", "model"))
