@@ -375,6 +375,6 @@ def read_pages(spark, path: str, fmt: str = "parquet") -> DataFrame:
         return spark.read.parquet(path)
     from ..sources.io import number_by_file
     df = spark.read.option("wholetext", True).text(path)
-    df = df.select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"), F.col("_metadata.file_path").alias("_file"),
+    df = df.select(F.input_file_name().alias("url"), F.col("value").alias("html"), F.col("_metadata.file_path").alias("_file"),
                    F.col("_metadata.file_block_start").alias("_block"))
     return number_by_file(df, 0, "page_id").select("page_id", "url", "html")

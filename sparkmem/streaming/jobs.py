@@ -119,18 +119,18 @@ def _tick(spark: SparkSession, out_dir: str, tick: int, scopes: DataFrame, stimu
           wm0: DataFrame, as_of: float, cycle_kw: dict, folders: list[str] | None = None) -> CycleResult:
     """One cycle of ``scopes`` on the state after tick - 1; writes the state and results of ``tick``. ``folders`` hold the memories that
     came after the given store (all former ticks' by default)."""
-    if folders is None:
-        folders = [f"{out_dir}/memories/tick={i}" for i in range(tick)]
-    memories = base_memories
-    if folders:
-        rows = spark.read.schema(base_memories.schema).parquet(*folders)
-        memories = base_memories.unionByName(rows.select(*base_memories.columns))
     if tick > 0:
         wm = spark.read.parquet(f"{out_dir}/wm/version={tick - 1}")
         seq = int(spark.read.parquet(f"{out_dir}/clock/tick={tick - 1}").first()["next_seq"])
     else:
         wm = wm0.select(*WM_COLUMNS)
         seq = max(next_seq(wm0), next_seq(base_memories))
+    if folders is None:
+        folders = [f"{out_dir}/memories/tick={i}" for i in range(tick)]
+    memories = base_memories
+    if folders:
+        rows = spark.read.schema(base_memories.schema).parquet(*folders)
+        memories = base_memories.unionByName(rows.select(*base_memories.columns))
     res = run_cycle(scopes, stimuli, wm, memories, as_of, cycle_seq=seq, write_once=True, **cycle_kw)
     ran = Observation()
     _write(res.report.withColumn("batch_id", F.lit(tick).cast("long")).observe(ran, F.count(F.lit(1)).alias("n")), f"{out_dir}/report/tick={tick}")
