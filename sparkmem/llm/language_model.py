@@ -44,6 +44,7 @@ BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 MERGE = 256                # lists merged at once in one task
 SPLIT_TOKENS = 8_000_000   # scored tokens of a bucket above which it is split by block
+WAVES = 2                  # parts in which the documents are scored
 ROUNDS = 2                 # rounds of sweeps after which the restaurants' totals are updated
 SWEEPS = 3                 # sweeps in each of them
 BURN_IN, SAMPLES = 2, 4    # sweeps of the last round
@@ -613,9 +614,16 @@ def score(docs: DataFrame, merge: int = MERGE, split_tokens: int = SPLIT_TOKENS)
     models = (models.join(crowd, "bucket", "left")
               .withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.ceil(F.col("n") / split_tokens), F.lit(1)).cast("int") - 1)))
               .select("bucket", "part", "model"))
-    sent = docs.mapInArrow(lean(_send_documents(buckets, split)), "bucket int, part int, block long, payload binary")
-    scored = written(sent.repartition(buckets, "bucket", "part").groupBy("bucket", "part")
-                     .cogroup(models.groupBy("bucket", "part")).applyInPandas(_score_bucket(totals, buckets), SUMS_SCHEMA), "lm-scored")
+    scored = None
+    for wave in range(WAVES):                   # only a part of the documents' pairs is on disk at a time
+        some = docs.where(F.pmod(F.xxhash64("id", "text"), F.lit(WAVES)) == wave)
+        sent = some.mapInArrow(lean(_send_documents(buckets, split)), "bucket int, part int, block long, payload binary")
+        done = written(sent.repartition(buckets, "bucket", "part").groupBy("bucket", "part")
+                       .cogroup(models.groupBy("bucket", "part")).applyInPandas(_score_bucket(totals, buckets), SUMS_SCHEMA), "lm-scored")
+        done = done.withColumn("block", F.col("block") * WAVES + wave)
+        scored = done if scored is None else scored.unionByName(done)
+        del sent, some
+        free_disk(spark)
     handed = (scored.where("kind = 2").repartition(buckets, "part").groupBy("part")
               .cogroup(sums.where("part >= 0 and bucket < 0").groupBy("part")).applyInPandas(_hand_down(d[3]), SUMS_SCHEMA))
     out = scored.where("kind < 2").unionByName(handed).groupBy("block").applyInPandas(
