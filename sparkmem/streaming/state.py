@@ -1,6 +1,6 @@
 """State that streams keep per key: the working memory of a scope (I3), questions and their early answers (I4).
 
-Both are ``applyInPandasWithState``: only keys that a micro-batch touches are read and written, the state store carries them over restarts, and
+Both are ``applyInPandasWithState`` (I4 by parts of the questions): only keys that a micro-batch touches are read and written, the state store carries them over restarts, and
 what a task holds of a key is bounded by the state, not by the batch: a key's rows come as chunks that are folded one after another.
 """
 
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +20,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..constants import WM_CHAR_BUDGET
 from ..operators.working import budget_cut
 
-SALTS = 8                  # parts a question's answers are dealt to
+SALTS = 8                  # lanes a question's answers are dealt to
+PARTS = 512                # keys of the state of questions and answers
 
 
 # --------------------------------------------------------------------------
@@ -81,43 +83,58 @@ def working_memory_by_scope(thoughts: DataFrame, char_budget: int = WM_CHAR_BUDG
 # I4: questions and answers
 # --------------------------------------------------------------------------
 DECISION = "scope_id string, qid string, seq long, answer_text string, answer_ts double, accepted boolean"
+_OPEN = pa.schema([("scope_id", pa.string()), ("qid", pa.string()), ("created", pa.int64())])
+_WAITING = pa.schema([("scope_id", pa.string()), ("qid", pa.string()), ("seq", pa.int64()), ("answer_text", pa.string()), ("answer_ts", pa.float64())])
+_QUESTION = ["scope_id", "qid"]
 
 
-def decide_answers(questions: DataFrame, answers: DataFrame, salts: int = SALTS) -> DataFrame:
+def _packed(rows: pd.DataFrame, schema: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(pa.Table.from_pandas(rows, schema, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw: bytes | None, schema: pa.Schema) -> pd.DataFrame:
+    table = pa.ipc.open_stream(raw).read_all() if raw else schema.empty_table()
+    return table.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+
+
+def decide_answers(questions: DataFrame, answers: DataFrame, salts: int = SALTS, parts: int = PARTS) -> DataFrame:
     """Every answer with ``accepted``: whether it applies to a question of an earlier ``seq`` (C1), whichever of the two arrives first.
 
     ``questions``: stream of (scope_id, id, seq, created_ts); ``answers``: stream of (scope_id, qid, seq, answer_text, answer_ts). A question
     stays open in the state store; an answer whose question has not come waits there, without a limit of time (a watermark would drop
-    questions that come late). A question's answers are dealt to ``salts`` keys, each of which holds the question, so a question that all the
-    answers name is no one task's.
+    questions that come late). A key of the state is one of ``parts`` parts of the questions, whose rows are matched as columns: a key per
+    question costs a call of Python each. A question's answers are dealt to ``salts`` lanes, each of which has the question in a part of its own,
+    so a question that all the answers name is no one task's. ``parts`` and ``salts`` are part of the checkpoint: a stopped query keeps them.
     A question that comes again changes nothing (the earliest seq counts).
     """
-    none = {n: F.lit(None).cast(t) for n, t in (("answer_text", "string"), ("answer_ts", "double"))}
-    q = (questions.select("scope_id", F.col("id").alias("qid"), F.col("seq").cast("long").alias("seq"), F.col("created_ts").alias("ts"))
-         .withColumns(none).withColumns({"is_question": F.lit(True), "salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))}))
-    a = answers.select("scope_id", "qid", F.col("seq").cast("long").alias("seq"), F.col("answer_ts").alias("ts"), "answer_text", "answer_ts",
+    q = (questions.select("scope_id", F.col("id").alias("qid"), F.col("seq").cast("long").alias("seq"))
+         .withColumns({"answer_text": F.lit(None).cast("string"), "answer_ts": F.lit(None).cast("double"), "is_question": F.lit(True),
+                       "salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))}))
+    a = answers.select("scope_id", "qid", F.col("seq").cast("long").alias("seq"), "answer_text", F.col("answer_ts").cast("double").alias("answer_ts"),
                        F.lit(False).alias("is_question"), F.pmod(F.xxhash64("seq", "answer_text"), F.lit(salts)).cast("int").alias("salt"))
-    both = q.unionByName(a)
+    both = q.unionByName(a).withColumn("part", F.pmod(F.xxhash64("salt", "scope_id", "qid"), F.lit(parts)).cast("int")).drop("salt")
     names = [x.split()[0] for x in DECISION.split(", ")]
 
-    def decided(key, rows, accepted) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["seq", "answer_text", "answer_ts"], dtype=object)
-        out["scope_id"], out["qid"], out["accepted"] = key[0], key[1], accepted
-        return out[names]
-
     def match(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        created, waiting = state.get if state.exists else (None, "[]")
-        waiting = json.loads(waiting)
+        raw = state.get if state.exists else (None, None)
+        opened, waiting = _unpacked(raw[0], _OPEN), _unpacked(raw[1], _WAITING)
         for chunk in chunks:
-            opened = chunk.loc[chunk["is_question"].astype(bool), "seq"].dropna()
-            if len(opened):
-                created = int(min(opened)) if created is None else min(created, int(min(opened)))
-            rows = chunk.loc[~chunk["is_question"].astype(bool), ["seq", "answer_text", "answer_ts"]].itertuples(index=False, name=None)
-            waiting += [[None if pd.isna(s) else int(s), t, None if pd.isna(ts) else float(ts)] for s, t, ts in rows]
-            if created is not None and waiting:
-                ok = [w[0] is not None and w[0] > created for w in waiting]
-                yield decided(key, waiting, ok)
-                waiting = []
-        state.update((created, json.dumps(waiting)))
-
-    return both.groupBy("scope_id", "qid", "salt").applyInPandasWithState(match, DECISION, "created long, waiting string", "append", GroupStateTimeout.NoTimeout)
+            asks = chunk["is_question"].astype(bool)
+            chunk["seq"] = chunk["seq"].astype("Int64")
+            asked = chunk.loc[asks & chunk["seq"].notna(), [*_QUESTION, "seq"]].rename(columns={"seq": "created"})
+            rows = chunk.loc[~asks, _WAITING.names]
+            if len(asked):
+                opened = pd.concat([opened, asked]).groupby(_QUESTION, dropna=False, as_index=False, sort=False)["created"].min()
+                rows, waiting = pd.concat([waiting, rows]), waiting.iloc[:0]       # those that waited may have their question now
+            met = rows.merge(opened, "left", on=_QUESTION)
+            known = met["created"].notna()
+            if known.any():
+                out = met[known]
+                yield out.assign(accepted=(out["seq"] > out["created"]).fillna(False).astype(bool))[names]
+            waiting = pd.concat([waiting, met.loc[~known, _WAITING.names]])
+        state.update((_packed(opened, _OPEN), _packed(waiting, _WAITING)))
+
+    return both.groupBy("part").applyInPandasWithState(match, DECISION, "opened binary, waiting binary", "append", GroupStateTimeout.NoTimeout)
