@@ -103,7 +103,7 @@ SELECT source, md5(text) AS content_md5, CAST(count(*) AS BIGINT) AS n, true AS
 def stimuli_load(spark, sf):
     """Two loads of one table of records join one store: no number and no id is given twice."""
     src = scratch_path(spark, "stimuli")
-    fx.table(spark, sf, "documents", "source", F.col("text").alias("content")).repartition(3).write.json(src)
+    fx.table(spark, sf, "documents", "source", F.col("text").alias("content")).write.json(src)
     one = IO.read_stimuli(spark, src, 5.0)
     two = IO.read_stimuli(spark, src, 5.0, base_seq=IO.next_seq(one))
     ids = one.unionByName(two).groupBy("id").agg(F.count(F.lit(1)).alias("same_id"), F.countDistinct("seq").alias("seqs"))

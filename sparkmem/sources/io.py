@@ -42,7 +42,7 @@ def number_by_file(df: DataFrame, base_seq: int = 0, seq_col: str = "seq") -> Da
     w = Window.orderBy("_file", "_block")
     offset = F.sum("_rows").over(w) - F.col("_rows") + F.lit(int(base_seq))
     splits = splits.select("_file", "_block", "_first", offset.alias("_offset"))
-    return (df.join(splits, ["_file", "_block"])
+    return (df.join(F.broadcast(splits), ["_file", "_block"])
             .withColumn(seq_col, (F.col("_offset") + F.col("_mid") - F.col("_first")).cast("long"))
             .drop("_file", "_block", "_mid", "_first", "_offset"))
 
