@@ -18,13 +18,13 @@ from .cycle_q import cycle_sql
 AS_OF = T0 + 3600.0
 
 
-STAGED_FILES = 4
+STAGED_BATCHES = 4
 
 
 def _stream(spark, df, key, name):
     src = scratch_path(spark, f"{name}-src")
-    J.stage(df, src, STAGED_FILES, key)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    per = J.stage(df, src, STAGED_BATCHES, key)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per).parquet(src)
 
 
 @query("stream_ingest", oracle=f"""
@@ -36,7 +36,7 @@ FROM e
 """)
 def stream_ingest(spark, sf):
     stim = fx.stimuli_events(spark, sf)
-    stream = _stream(spark, stim, "source", "ingest")
+    stream = _stream(spark, stim, "seq", "ingest")
     sink = scratch_path(spark, "ingest-sink")
     J.ingest_stream(stream, sink, scratch_path(spark, "ingest-ckpt"), AS_OF)
     return spark.read.parquet(f"{sink}/memories").select("id", "scope_id", "seq", "importance")
@@ -64,8 +64,8 @@ def stream_ingest_documents(spark, sf):
     """The file reader as a stream: records of {{source, content}}, numbered, redacted and stored per micro-batch."""
     src, sink = scratch_path(spark, "docs-src"), scratch_path(spark, "docs-sink")
     d = fx.table(spark, sf, "documents", "source", F.col("text").alias("content"))
-    d.repartition(STAGED_FILES).write.json(src)
-    stream = IO.read_stimuli(spark, src, AS_OF, streaming=True, max_files_per_trigger=2)
+    per = J.stage(d, src, STAGED_BATCHES, fmt="json")
+    stream = IO.read_stimuli(spark, src, AS_OF, streaming=True, max_files_per_trigger=2 * per)
     J.ingest_stream(stream, sink, scratch_path(spark, "docs-ckpt"), AS_OF)
     rows = spark.read.parquet(f"{sink}/memories")
     distinct = rows.select("seq").distinct()                # no two rows share a number
@@ -80,7 +80,7 @@ WHERE scope_id IN (SELECT CAST(conv_id AS VARCHAR) FROM conversations WHERE role
 def stream_cycle(spark, sf):
     stim = fx.stimuli_chat(spark, sf)
     src = scratch_path(spark, "cycle-src")
-    J.stage(stim, src, STAGED_FILES)
+    J.stage(stim, src, STAGED_BATCHES)
     stream = spark.readStream.schema(stim.schema).parquet(src)     # one micro-batch drains all that is pending
     out = scratch_path(spark, "cycle-out")
     wm0 = W.working_memory(fx.thoughts(spark, sf), 4000).drop("wm_len", "wm_running")
@@ -110,7 +110,7 @@ SELECT 'mem:' || substr(sha256(concat_ws(chr(1), 'global', CAST(a.seq AS VARCHAR
 FROM q JOIN a ON a.qid = q.id AND a.seq > q.seq
 """)
 def stream_answers(spark, sf):
-    """Questions and answers as two streams; each micro-batch takes a file of either, whichever way questions and answers fall into them."""
+    """Questions and answers as two streams; each micro-batch takes some files of either, whichever way questions and answers fall into them."""
     sink = scratch_path(spark, "answers-out")
     J.answer_stream(_stream(spark, fx.interrupt_log(spark, sf), "id", "questions"), _stream(spark, fx.answers(spark, sf), "seq", "answers"),
                     sink, scratch_path(spark, "answers-ckpt"))
@@ -129,13 +129,13 @@ def stream_late_questions(spark, sf):
     sink, ckpt = scratch_path(spark, "late-out"), scratch_path(spark, "late-ckpt")
     answers, questions = fx.answers(spark, sf), fx.interrupt_log(spark, sf)
     a, q = scratch_path(spark, "late-a"), scratch_path(spark, "late-q")
-    J.stage(answers, a, STAGED_FILES, "seq")
+    per = J.stage(answers, a, STAGED_BATCHES, "seq")
     questions.limit(0).write.parquet(q)
     for arrived in (False, True):
         if arrived:
-            questions.repartition(STAGED_FILES, "id").write.mode("append").parquet(q)
-        J.answer_stream(spark.readStream.schema(questions.schema).option("maxFilesPerTrigger", 2).parquet(q),
-                        spark.readStream.schema(answers.schema).option("maxFilesPerTrigger", 2).parquet(a), sink, ckpt)
+            J.stage(questions, q, STAGED_BATCHES, "id", mode="append")
+        J.answer_stream(spark.readStream.schema(questions.schema).option("maxFilesPerTrigger", 2 * per).parquet(q),
+                        spark.readStream.schema(answers.schema).option("maxFilesPerTrigger", 2 * per).parquet(a), sink, ckpt)
     return spark.read.parquet(sink).select("seq", "qid", "answer_text", "accepted")
 
 
@@ -147,7 +147,7 @@ def stream_idle_tick(spark, sf):
     """A scheduled tick: scopes with pending stimuli and scopes without run their cycle in one micro-batch."""
     stim = fx.stimuli_chat(spark, sf)
     src, ticks, out = scratch_path(spark, "tick-stim"), scratch_path(spark, "ticks"), scratch_path(spark, "tick-out")
-    J.stage(stim, src, STAGED_FILES)
+    J.stage(stim, src, STAGED_BATCHES)
     conv = fx.table(spark, sf, "conversations", "conv_id", "turn")
     conv.agg(F.lit(AS_OF).alias("as_of")).coalesce(1).write.parquet(ticks)
     scopes = conv.select(F.col("conv_id").cast("string").alias("scope_id")).distinct()
@@ -179,5 +179,5 @@ UNION ALL SELECT 'stimuli_rejected', count(*) FROM events WHERE props IS NULL
 def live_counters(spark, sf):
     """Totals of a stream of several batches, from what was observed while they were written."""
     sink = scratch_path(spark, "live-sink")
-    J.ingest_stream(_stream(spark, fx.stimuli_events(spark, sf), "source", "live"), sink, scratch_path(spark, "live-ckpt"), AS_OF)
+    J.ingest_stream(_stream(spark, fx.stimuli_events(spark, sf), "seq", "live"), sink, scratch_path(spark, "live-ckpt"), AS_OF)
     return J.live_counters(spark, sink)

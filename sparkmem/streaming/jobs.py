@@ -285,6 +285,9 @@ def last_manifest(spark: SparkSession, out_dir: str, batch_id: int) -> dict:
     return json.loads(spark.read.parquet(f"{out_dir}/manifest/batch_id={batch_id}").first()["state"])
 
 
-def stage(df: DataFrame, path: str, files: int, key: str | None = None) -> None:
-    """Turn a table into the input of a file stream: one write of ``files`` files, rows of one ``key`` together."""
-    (df.repartition(files, key) if key else df.repartition(files)).write.mode("overwrite").parquet(path)
+def stage(df: DataFrame, path: str, batches: int, key: str | None = None, mode: str = "overwrite", fmt: str = "parquet") -> int:
+    """Turn a table into the input of a file stream, in one write, rows of one ``key`` together; returns how many files (``maxFilesPerTrigger``) make
+    about one of ``batches`` batches. A batch is as many files as the session has cores, so that neither the write nor a batch is a few tasks'."""
+    per = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    (df.repartition(batches * per, key) if key else df.repartition(batches * per)).write.mode(mode).format(fmt).save(path)
+    return per
