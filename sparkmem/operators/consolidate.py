@@ -119,6 +119,7 @@ def cluster_rollup(members: DataFrame, as_of: float, scope_cols: Sequence[str] =
     """
     scope_cols = list(scope_cols)
     key = list(scope_cols) + ["cluster"]
+    members = members.withColumn("content", F.substring("content", 1, summary_chars))
     counts = members.groupBy(*key).agg(F.count(F.lit(1)).alias("n_members"),
                                        F.min_by("id", "member_pos").alias("first_member"))
     counts = counts.where(F.col("n_members") >= min_members)
@@ -169,6 +170,8 @@ def consolidate_members(memories: DataFrame, as_of: float, max_items: int | None
 
     A cluster's members are rows, not a list, so neither the number of memories nor a cluster's size needs a limit.
     """
+    # a summary shows no more of any text than its own length
+    memories = memories.withColumn("content", F.substring("content", 1, SUMMARY_CHARS))
     m = cluster_members(memories, max_items, threshold, scope_cols, dim)
     if max_items is None:
         m = materialize(m, "clusters")          # the fold runs once, not once per aggregate of the rollup

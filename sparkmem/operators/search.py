@@ -143,20 +143,21 @@ def vector_hits(memories: DataFrame, queries: DataFrame, k: int = TOPK_DEFAULT,
              pa.array(np.full(len(r), a.number)), pa.array(certain)], [*hit_schema.names, "block", "certain"])
 
     def first(a, blocks, _):
-        best = np.full((len(a.x), k), -2.0)                 # the k greatest cosines of each query so far
-        found = []
+        best, found = V.Best(len(a.x), k), []
         for b in blocks:
-            r, c, s = V.best_of(a, b, k)
-            here = np.full((len(a.x), k), -2.0)
-            here[r, np.arange(len(r)) - np.searchsorted(r, r)] = s
-            best = np.sort(np.concatenate([best, here], axis=1), axis=1)[:, -k:]
+            r, c, s = V.best_of(a, b, k, best.certain)
+            best.add(r, s)
             found.append((b, r, c, s))
         for b, r, c, s in found:
-            yield rows(a, b, r, c, s, best[r, 0])
+            keep = s >= best.certain[r]
+            r, c, s = r[keep], c[keep], s[keep]
+            yield rows(a, b, r, c, s, best.certain[r])
 
     def rest(a, blocks, floor):
+        best = V.Best(len(a.x), k)
         for b in blocks:
-            r, c, s = V.best_of(a, b, k, floor)
+            r, c, s = V.best_of(a, b, k, np.maximum(floor, best.certain))
+            best.add(r, s)
             yield rows(a, b, r, c, s, s)
 
     if stored.n_bytes <= first_bytes:                       # the first pass meets all there is

@@ -34,6 +34,8 @@ SORTED_AT_ONCE = 32 << 20  # bytes of vectors that one task sorts into blocks; a
 TILE = 4                   # a tile is TILE x TILE blocks
 PAGE = 1024                # blocks whose bounds are compared at once
 SAMPLE, PIVOTS = 512, 32   # vectors the pivots are chosen from, pivots of one length
+GROUP_BYTES = 16 << 20     # of a row group of the stored blocks: a reader holds one whole, and a writer checks only every hundred rows unless told
+PRODUCT = 1 << 20          # cosines that a product has at once
 SLACK = 1e-6               # of angles, far above rounding
 BLOCK_SCHEMA = "block long, dim int, n int, lo array<double>, hi array<double>, keys binary, mat binary"
 
@@ -204,7 +206,8 @@ def build_index(df: DataFrame, vec_col: str, key_cols: Sequence[str], order_cols
     count, to = Observation(), scratch_path(spark, "vector-blocks")
     (placed.mapInArrow(_pack(pivots, keys, list(order_cols), block_rows), BLOCK_SCHEMA)
      .observe(count, F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-              F.coalesce(F.sum(F.octet_length("mat").cast("long")), F.lit(0)).alias("bytes")).write.parquet(to))
+              F.coalesce(F.sum(F.octet_length("mat").cast("long")), F.lit(0)).alias("bytes"))
+     .write.options(**{"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}).parquet(to))
     return VectorIndex(spark.read.schema(BLOCK_SCHEMA).parquet(to), int(count.get["blocks"]), int(count.get["rows"]), int(count.get["bytes"]), pivots)
 
 
@@ -303,6 +306,7 @@ class Block:
         self.number, self.keys, self.x = number, keys, x
         self.norms = np.sqrt((x * x).sum(axis=1)) + COSINE_EPS
         self._kinds: tuple[np.ndarray, np.ndarray] | None = None
+        self._units: np.ndarray | None = None
 
     @property
     def kinds(self) -> tuple[np.ndarray, np.ndarray]:
@@ -314,6 +318,14 @@ class Block:
         return self._kinds
 
 
+    @property
+    def units(self) -> np.ndarray:
+        """The vectors over their norms: a product of them is the cosine, but for the last digits."""
+        if self._units is None:
+            self._units = self.x / self.norms[:, None]
+        return self._units
+
+
 def all_blocks(a: VectorIndex, b: VectorIndex) -> DataFrame:
     """(a_block, b_block, floor) of all blocks of one length (for a ``b`` of few blocks)."""
     return (a.blocks.select("dim", F.col("block").alias("a_block")).join(b.blocks.select("dim", F.col("block").alias("b_block")), "dim")
@@ -348,7 +360,7 @@ def products(a: VectorIndex, b: VectorIndex, pairs: DataFrame, work: Callable[[B
             .repartition(tiles, "ta", "tb").sortWithinPartitions("ta", "tb", F.col("side").desc(), "block"))
 
     def opened(rb, i) -> Block:
-        x = np.frombuffer(rb.column(8)[i].as_buffer(), "<f8").reshape(-1, rb.column(6)[i].as_py())
+        x = np.frombuffer(rb.column(8)[i].as_buffer(), "<f8").reshape(-1, rb.column(6)[i].as_py()).copy()    # a view would keep the whole batch
         return Block(rb.column(3)[i].as_py(), keys_of(rb.column(7)[i].as_buffer()), x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,8 +391,9 @@ def single_cosines(a: Block, b: Block, r: np.ndarray, c: np.ndarray) -> np.ndarr
 
 def pairs_above(a: Block, b: Block, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows of a, rows of b, cosines) of the pairs that reach the threshold, for a bounded number of rows of a at once."""
-    for lo in range(0, len(a.x), 512):
-        sim = (a.x[lo:lo + 512] @ b.x.T) / np.outer(a.norms[lo:lo + 512], b.norms)
+    step = max(16, PRODUCT // max(1, len(b.x)))
+    for lo in range(0, len(a.x), step):
+        sim = (a.x[lo:lo + step] @ b.x.T) / np.outer(a.norms[lo:lo + step], b.norms)
         r, c = np.nonzero(sim >= threshold - 1e-12)
         s = sim[r, c]
         close = np.abs(s - threshold) <= 1e-12
@@ -391,22 +404,61 @@ def pairs_above(a: Block, b: Block, threshold: float) -> Iterator[tuple[np.ndarr
             yield r + lo, c, s
 
 
-def best_of(a: Block, b: Block, k: int, floor: float = -2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of a, row of b, cosine) of the k greatest cosines of each row of a that reach the floor; of equal ones the first rows of b."""
+def best_of(a: Block, b: Block, k: int, floor: float | np.ndarray = -2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, cosine) of the k greatest cosines of each row of a that reach the floor (one for all, or one per row); of equal ones
+    the first rows of b. Rows of a come in order.
+
+    Only distinct vectors of b are multiplied, and only cosines that reach the floor are ranked: most products fall under a good floor.
+    """
     first, number = b.kinds
-    x, norms = b.x[first], b.norms[first]
-    rs, cs = [], []
-    for lo in range(0, len(a.x), 256):
-        sim = ((a.x[lo:lo + 256] @ x.T) / np.outer(a.norms[lo:lo + 256], norms))[:, number]
+    u = b.units[first]
+    members = np.argsort(number, kind="stable")             # rows of each distinct vector, in order
+    size = np.minimum(np.bincount(number, minlength=len(first)), k)
+    start = np.searchsorted(number[members], np.arange(len(first)))
+    floors = np.broadcast_to(np.asarray(floor, np.float64), len(a.x))
+    rs, cs, ss = [], [], []
+
+    def cut(r, c, s, order_by):
+        """The k first of each row by falling cosine, then ``order_by``."""
+        order = np.lexsort((order_by, -s, r))
+        r, c, s = r[order], c[order], s[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        return r[keep], c[keep], s[keep]
+
+    step = max(16, PRODUCT // max(1, len(u)))
+    for lo in range(0, len(a.x), step):
+        sim = a.units[lo:lo + step] @ u.T
+        least = floors[lo:lo + step, None] - 1e-9
+        hit = sim >= least
         n = sim.shape[1]
-        if n > k:
-            cut = np.partition(sim, n - k, axis=1)[:, n - k][:, None]
-            above, tie = sim > cut, sim == cut
-            keep = above | (tie & (np.cumsum(tie, axis=1) <= k - above.sum(axis=1, keepdims=True)))
-        else:
-            keep = np.ones(sim.shape, bool)
-        r, c = np.nonzero(keep & (sim >= floor - 1e-12))
+        if n > k and np.count_nonzero(hit) > 32 * k * len(sim):
+            kth = np.partition(sim, n - k, axis=1)[:, n - k][:, None]
+            hit = sim >= np.maximum(least, kth - 1e-12)
+        r, c = np.nonzero(hit)
+        # exact cosines, so that equal ones are equal; then the rows of the vectors that are left
+        r, c, s = cut(r, c, single_cosines(a, b, r + lo, first[c]), first[c])
+        n = size[c]
+        row = members[np.repeat(start[c], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        r, s = np.repeat(r, n), np.repeat(s, n)
+        r, row, s = cut(r, row, s, row)
         rs.append(r + lo)
-        cs.append(c)
-    r, c = np.concatenate(rs), np.concatenate(cs)
-    return r, c, single_cosines(a, b, r, c)
+        cs.append(row)
+        ss.append(s)
+    return np.concatenate(rs), np.concatenate(cs), np.concatenate(ss)
+
+
+class Best:
+    """The k greatest cosines of each row so far."""
+
+    def __init__(self, rows: int, k: int):
+        self.found, self.k = np.full((rows, k), -2.0), k
+
+    def add(self, r: np.ndarray, s: np.ndarray) -> None:
+        """Cosines of rows (in order, at most k of a row)."""
+        here = np.full_like(self.found, -2.0)
+        here[r, np.arange(len(r)) - np.searchsorted(r, r)] = s
+        self.found = np.sort(np.concatenate([self.found, here], axis=1), axis=1)[:, -self.k:]
+
+    @property
+    def certain(self) -> np.ndarray:
+        return self.found[:, 0]
