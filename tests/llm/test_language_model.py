@@ -135,3 +135,39 @@ def test_ids_beside_a_null_id_stay_as_they_are(spark):
     docs = spark.createDataFrame(rows, "id long, text string, held_out boolean").coalesce(1)
     got = {r.id: (r.held_out, r.n_tokens) for r in L.score(docs).collect()}
     assert got == {2 ** 60 + 1: (False, 3), None: (False, 3), 2 ** 60 + 3: (True, 3)}
+
+
+def test_turns_cut_what_is_sent_and_change_no_score(spark):
+    """A turn sends its own range of buckets only (disk holds one turn's words), and the turns together are the whole job."""
+    import pyarrow as pa
+    texts = [f"w{i % 7} x{i % 11} y{i} w{i % 3}" for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(60)), pa.array([i % 5 == 0 for i in range(60)])], ["text", "id", "held_out"])
+    sent = [[(r["bucket"], r["block"], r["payload"]) for b in L._send_documents(9, {}, low, high)([batch]) for r in b.to_pylist()]
+            for low, high in ((0, 3), (3, 6), (6, 9), (0, 9))]
+    for low, rows in zip((0, 3, 6), sent):
+        assert rows and all(low <= k < low + 3 or (k < 0 and low == 0) for k, _, _ in rows)
+    assert sorted(sent[0] + sent[1] + sent[2]) == sorted(sent[3])
+    df = spark.createDataFrame([(i, t, i % 5 == 0) for i, t in enumerate(texts)], "id long, text string, held_out boolean").coalesce(1)
+    one, many = ({r.id: tuple(r)[1:5] + (round(r.base_score, 9), round(r.score, 9)) for r in L.score(df, turns=n).collect()} for n in (1, 4))
+    assert len(one) == 60 and one == many
+
+
+def test_contexts_asked_for_are_one_row_per_block_and_bucket():
+    """Contexts of pairs not learned, from many buckets of words, are summed before they are dealt to the buckets of contexts."""
+    import pandas as pd
+    contexts, rng = np.arange(1, 41, dtype=np.uint64) << np.uint64(50), np.random.default_rng(0)
+    asked, law = [], Counter()
+    for _ in range(30):
+        ci, row, times = rng.integers(0, 40, 50), rng.integers(0, 6, 50), rng.integers(1, 4, 50)
+        asked.append((7, 2, 0, L._z(contexts, ci.astype("<u4"), row.astype("<u4"), times.astype("<u4"))))
+        for c, r, t in zip(ci, row, times):
+            law[int(contexts[c]), int(r)] += int(t)
+    out = L._sum_block(5)((7,), pd.DataFrame(asked, columns=["block", "kind", "part", "payload"]))
+    assert len(out) == out["part"].nunique() <= 5 and set(out["kind"]) == {2}
+    got = Counter()
+    for part, payload in zip(out["part"], out["payload"]):
+        ctx, ci, row, times = L._unz(payload)
+        assert (L._bucket(ctx, 5) == part).all()
+        for c, r, t in zip(ctx[ci], row, times):
+            got[int(c), int(r)] += int(t)
+    assert got == law
