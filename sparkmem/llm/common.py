@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import itertools
 import math
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import free_disk, scratch_path  # noqa: F401
 
 SLICE_BYTES = 1 << 20      # text handled at once inside a task; a longer single text is handled alone
 BATCH_ROWS = "1000"        # rows per Arrow batch (long texts make small batches necessary)
@@ -42,20 +40,6 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
-def free_disk(spark: SparkSession, *folders: str) -> None:
-    """Delete written tables that no later step reads, and have Spark's cleaner delete the shuffle files of jobs whose plans are out of reach.
-
-    For jobs of several rounds: else shuffle files stay until the driver happens to collect its garbage.
-    """
-    jvm = spark.sparkContext._jvm
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    time.sleep(0.5)                             # the listeners let go of a job's plan a moment after its end
-    jvm.System.gc()
-
-
 def folder_of(table: DataFrame) -> str | None:
     """The folder of a table that ``written`` gave."""
     files = table.inputFiles()

@@ -1,15 +1,11 @@
 """Operator 2, embedding near-duplicates as an exact metric range join.
 
-Vectors are taken as points on the unit sphere with the angle as metric. Pivots (a bounded sample of the
-vectors) partition the points into cells by nearest pivot. For an angle ``a`` of the threshold, a point x
-of cell i can have a partner y in cell j only if, by the triangle inequality,
-
-    angle(x, p_j) <= angle(x, p_i) + 2 a     and     min_j - a <= angle(x, p_j) <= max_j + a
-
-with min_j, max_j the least and greatest angle of cell j's own points to p_j; x is copied to just those
-cells j > i. Cells then join on their own. A cell is cut into blocks by the angle to its pivot and, where
-crowded, by hash; block pairs whose angles differ by more than ``a`` are left out, and a task multiplies one
-pair of bounded blocks. What leaves a task are link counts per vector and a spanning forest of the links found, never pairs.
+Vectors are taken as points on the unit sphere with the angle as metric. Pivots (a bounded sample of the vectors, more of them the more
+vectors there are) partition the points into cells by nearest pivot; cells are cut into blocks by the angle to their pivot, and each block is
+stored once, as the table has its vectors, with its least and greatest angle to every pivot (``operators.vector_index``). Two
+blocks meet only if, by the triangle inequality, these leave room for a pair within the angle of the threshold. Tiles of blocks are multiplied
+in tasks, in turns that send no more than the stored blocks have in all or a fixed size, and a turn's shuffle files go before the next. What leaves a task are
+link counts per vector and a spanning forest of the links found, never pairs.
 Equal vectors are one representative with a multiplicity throughout.
 
 Nulls and odd input: a vector that is null, empty, zero or holds null or non-finite components links with
@@ -21,6 +17,7 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -28,186 +25,95 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators import vector_index as I
+from ..session import free_disk
 from .common import arrow_conf, components, forest, written
 
 MOST_PIVOTS = 1024         # bound of the driver's sample and of what tasks carry along
 CELL_ROWS = 4096           # vectors a cell should hold
 BLOCK_ROWS = 2048          # vectors of one block
-SLACK = 1e-9               # of angles, far above rounding
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the digest of their unit vector; null where a vector has none."""
     for b in batches:
-        units, dims = [], []
+        keys = []
         for v in b.column(1).to_pylist():
-            unit = None
+            key = None
             if v and None not in v:
                 x = np.array(v, np.float64)
                 top = np.abs(x).max()
                 if np.isfinite(x).all() and top > 0:
                     x = x / top
-                    unit = (x / math.sqrt(float(x @ x)) + 0.0).astype("<f8").tobytes()
-            units.append(unit)
-            dims.append(len(v) if unit else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(units, pa.binary()), pa.array(dims, pa.int32())], ["id", "unit", "dim"])
-
-
-def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
-
-
-def _matrix(col: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), "<f8").reshape(-1, dim)
-
-
-def _assign(pivots: dict[int, np.ndarray]):
-    """Nearest pivot and the angle to it; cells are numbered over all dimensions."""
-    base, at = {}, 0
-    for d in sorted(pivots):
-        base[d], at = at, at + len(pivots[d])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            dims = b.column(2).to_numpy(zero_copy_only=False)
-            for d in np.unique(dims):
-                some = b.filter(pa.array(dims == d))
-                ang = _angles(_matrix(some.column(1), int(d)), pivots[int(d)])
-                own = ang.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [*some.columns, pa.array((own + base[int(d)]).astype(np.int32)), pa.array(ang[np.arange(len(own)), own])],
-                    ["id", "unit", "dim", "n", "cell", "angle"])
-    return run, base
-
-
-def _replicate(pivots, base, low: dict[int, float], high: dict[int, float], a: float):
-    """One row per cell a vector has to be in: its own (kind 0) and those above whose points may lie within reach (kind 1)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            dims = b.column(2).to_numpy(zero_copy_only=False)
-            for d in np.unique(dims):
-                d = int(d)
-                some = b.filter(pa.array(dims == d))
-                p = pivots[d]
-                lo = np.array([low.get(base[d] + j, np.inf) for j in range(len(p))])
-                hi = np.array([high.get(base[d] + j, -np.inf) for j in range(len(p))])
-                ang = _angles(_matrix(some.column(1), d), p)
-                own = some.column(4).to_numpy() - base[d]
-                mine = some.column(5).to_numpy()
-                near = ((ang <= mine[:, None] + 2 * a + SLACK) & (ang >= lo - a - SLACK) & (ang <= hi + a + SLACK)
-                        & (np.arange(len(p)) > own[:, None]))
-                for lo_row in range(0, len(own), 256):          # a bounded number of copies at once
-                    row, cell = np.nonzero(near[lo_row:lo_row + 256])
-                    row = row + lo_row
-                    me = np.arange(lo_row, min(lo_row + 256, len(own)))
-                    r = np.concatenate([me, row])
-                    c = np.concatenate([own[me], cell])
-                    t = some.take(pa.array(r))
-                    kind = np.concatenate([np.zeros(len(me), np.int32), np.ones(len(row), np.int32)])
-                    strip = np.floor(ang[r, c] / a).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [t.column(0), t.column(1), t.column(2), t.column(3), pa.array((c + base[d]).astype(np.int32)), pa.array(kind), pa.array(strip)],
-                        ["id", "unit", "dim", "n", "cell", "kind", "strip"])
-    return run
-
-
-def _pack(key, pdf):
-    import pandas as pd
-    return pd.DataFrame({"cell": [key[0]], "kind": [key[1]], "strip": [key[2]], "sub": [key[3]], "dim": [int(pdf["dim"].iloc[0])],
-                         "ids": [pdf["id"].to_numpy().astype("<i8").tobytes()], "ns": [pdf["n"].to_numpy().astype("<i8").tobytes()],
-                         "units": [b"".join(pdf["unit"])]})
-
-
-def _join_blocks(threshold: float):
-    """Link counts (u, null, n) and forest edges (u, v, null) of block pairs."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for same, d, ai, an, au, bi, bn, bu in zip(*(c.to_pylist() for c in b.columns)):
-                ids_a, n_a = np.frombuffer(ai, "<i8"), np.frombuffer(an, "<i8")
-                x = np.frombuffer(au, "<f8").reshape(-1, d)
-                ids_b, n_b = (ids_a, n_a) if same else (np.frombuffer(bi, "<i8"), np.frombuffer(bn, "<i8"))
-                y = x if same else np.frombuffer(bu, "<f8").reshape(-1, d)
-                us, ns, eu, ev = [], [], [], []
-                got_b = np.zeros(len(y), np.int64)
-                for lo in range(0, len(x), 512):
-                    hit = (x[lo:lo + 512] @ y.T) >= threshold
-                    if same:
-                        hit &= np.arange(lo, lo + len(hit))[:, None] < np.arange(len(y))
-                    got_a = hit @ n_b
-                    got_b += n_a[lo:lo + 512] @ hit
-                    us.append(ids_a[lo:lo + 512])
-                    ns.append(got_a)
-                    i, j = np.nonzero(hit)
-                    if len(i):
-                        u, v = forest(ids_a[lo + i], ids_b[j])
-                        eu.append(u)
-                        ev.append(v)
-                us.append(ids_b)
-                ns.append(got_b)
-                u, n = np.concatenate(us), np.concatenate(ns)
-                keep = n > 0
-                if not keep.any():
-                    continue
-                p, q = forest(np.concatenate(eu), np.concatenate(ev))
-                u, n = u[keep], n[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([u, p])),
-                     pa.array(np.concatenate([np.zeros_like(u), q]), mask=np.concatenate([np.ones(len(u), bool), np.zeros(len(p), bool)])),
-                     pa.array(np.concatenate([n, np.zeros_like(p)]), mask=np.concatenate([np.zeros(len(u), bool), np.ones(len(p), bool)]))],
-                    ["u", "v", "n"])
-    return run
+                    key = hashlib.sha256((x / math.sqrt(float(x @ x)) + 0.0).astype("<f8").tobytes()).digest()
+            keys.append(key)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary())], ["id", "embedding", "key"])
+
+
+def _unit_block(number: int, keys: pa.RecordBatch, x: np.ndarray, axes: np.ndarray | None = None) -> I.Block:
+    """A block of unit vectors: its products are cosines."""
+    return I.Block(number, keys, I.units(x.astype(np.float64, copy=False)), axes, np.ones(len(x)))
+
+
+def _pivots(vectors: list, n: int) -> dict[int, np.ndarray]:
+    """A pivot per CELL_ROWS vectors: a length has its share of the sample's."""
+    by_dim: dict[int, list] = {}
+    for v in vectors[:max(1, min(MOST_PIVOTS, math.ceil(n / CELL_ROWS)))]:
+        by_dim.setdefault(len(v), []).append(v)
+    return {d: I.units(np.array(some, np.float64)) for d, some in by_dim.items()}
 
 
 def range_join(reps: DataFrame, threshold: float) -> DataFrame:
-    """(u, v, n): link counts (v null) and forest edges (n null) of distinct vectors (id, unit, dim, n)."""
-    a = math.acos(min(1.0, max(-1.0, threshold)))
-    spark = reps.sparkSession
-    sizes = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    pivots = {}
-    for d, n in sizes.items():
-        m = max(1, min(MOST_PIVOTS, math.ceil(n / CELL_ROWS)))
-        rows = reps.where(F.col("dim") == d).orderBy(F.xxhash64("id"), "id").limit(m).select("unit").collect()
-        pivots[d] = np.array([np.frombuffer(bytes(r[0]), "<f8") for r in rows])
-    assign, base = _assign(pivots)
-    own = written(reps.select("id", "unit", "dim", "n").mapInArrow(
-        assign, "id long, unit binary, dim int, n long, cell int, angle double"), "range-cells")
-    bounds = own.groupBy("cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi")).collect()
-    low, high = {r["cell"]: r["lo"] for r in bounds}, {r["cell"]: r["hi"] for r in bounds}
-    copies = own.mapInArrow(_replicate(pivots, base, low, high, a),
-                            "id long, unit binary, dim int, n long, cell int, kind int, strip int")
-    copies = written(copies, "range-copies")
-    crowd = copies.groupBy("cell", "kind", "strip").agg(F.count("*").alias("rows"))
-    blocks = (copies.join(crowd, ["cell", "kind", "strip"])
-              .withColumn("sub", F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("int")))
-    blocks = written(blocks.select("id", "unit", "dim", "n", "cell", "kind", "strip", "sub")
-                     .groupBy("cell", "kind", "strip", "sub")
-                     .applyInPandas(_pack, "cell int, kind int, strip int, sub int, dim int, ids binary, ns binary, units binary"),
-                     "range-blocks")
-    key = ["cell", "kind", "strip", "sub"]
-    left = blocks.select("cell", *[F.col(c).alias("a_" + c) for c in key[1:]])
-    right = blocks.where("kind = 0").select("cell", *[F.col(c).alias("b_" + c) for c in key[1:]])
-    pairs = left.join(right, "cell").where(
-        "abs(a_strip - b_strip) <= 1 and (a_kind = 1 or a_strip < b_strip or (a_strip = b_strip and a_sub <= b_sub))")
-    xa = blocks.select("cell", "dim", *[F.col(c).alias("a_" + c) for c in [*key[1:], "ids", "ns", "units"]])
-    xb = blocks.where("kind = 0").select("cell", *[F.col(c).alias("b_" + c) for c in [*key[1:], "ids", "ns", "units"]])
-    work = (pairs.join(xa, ["cell", "a_kind", "a_strip", "a_sub"]).join(xb, ["cell", "b_kind", "b_strip", "b_sub"])
-            .select(((F.col("a_kind") == 0) & (F.col("a_strip") == F.col("b_strip")) & (F.col("a_sub") == F.col("b_sub"))).alias("same"),
-                    "dim", "a_ids", "a_ns", "a_units", "b_ids", "b_ns", "b_units"))
-    n_all = sum(sizes.values())
-    work = work.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_all // CELL_ROWS))
-    return written(work.mapInArrow(_join_blocks(threshold), "u long, v long, n long"), "range-links")
+    """(u, v, n): link counts (v null) and forest edges (n null) of the distinct vectors (id, n, embedding) of a stored table."""
+    index = I.build_index(reps, "embedding", ["id", "n"], choose=_pivots, sample=max(I.SAMPLE, MOST_PIVOTS), most_rows=BLOCK_ROWS, stored=True)
+
+    def work(a: I.Block, blocks: list[I.Block], _) -> Iterator[pa.RecordBatch]:
+        ids_a, n_a = (a.keys.column(i).to_numpy() for i in range(2))
+        got_a = np.zeros(len(ids_a), np.int64)
+        us, ns, eu, ev = [ids_a], [got_a], [], []
+        for b in blocks:
+            ids_b, n_b = (b.keys.column(i).to_numpy() for i in range(2))
+            got_b = np.zeros(len(ids_b), np.int64)
+            for r, c, _ in I.pairs_above(a, b, threshold):
+                if a.number == b.number:
+                    r, c = r[r < c], c[r < c]
+                if len(r):
+                    np.add.at(got_a, r, n_b[c])
+                    np.add.at(got_b, c, n_a[r])
+                    u, v = forest(ids_a[r], ids_b[c])
+                    eu.append(u)
+                    ev.append(v)
+            if got_b.any():
+                us.append(ids_b[got_b > 0])
+                ns.append(got_b[got_b > 0])
+        if not eu:
+            return
+        u, n = np.concatenate(us), np.concatenate(ns)
+        u, n = u[n > 0], n[n > 0]
+        p, q = forest(np.concatenate(eu), np.concatenate(ev))
+        counts, links = np.zeros(len(u), bool), np.ones(len(p), bool)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([u, p])), pa.array(np.concatenate([np.zeros_like(u), q]), mask=np.concatenate([~counts, ~links])),
+             pa.array(np.concatenate([n, np.zeros_like(p)]), mask=np.concatenate([counts, links]))], ["u", "v", "n"])
+
+    reach = math.acos(min(1.0, max(-1.0, threshold)))
+    return written(I.products(index, index, I.near_blocks(index, index, reach), work, "u long, v long, n long", block=_unit_block), "range-links")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(id, n_links, component_id) of rows (id, embedding): cosine >= threshold in double precision."""
     arrow_conf(vectors.sparkSession)
-    base = vectors.select("id", "embedding").mapInArrow(_units, "id long, unit binary, dim int")
-    base = written(base.withColumn("key", F.unhex(F.sha2("unit", 256))), "range-units")
+    spark, rows = vectors.sparkSession, vectors.select("id", "embedding")
+    schema = T.StructType([T.StructField("id", T.LongType()), *rows.select("embedding").schema, T.StructField("key", T.BinaryType())])
+    base = written(rows.mapInArrow(_keys, schema), "range-keys")
     # groups go by a number of their own: ids may be null, and then have no order
-    groups = written(base.where("unit is not null").groupBy("key", "dim")
-                     .agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("unit").alias("unit"))
+    groups = written(base.where("key is not null").groupBy("key", F.size("embedding").alias("dim"))
+                     .agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
                      .withColumn("id", F.monotonically_increasing_id()), "range-groups")
-    found = range_join(groups.select("id", "unit", "dim", "n"), threshold)
+    free_disk(spark)                            # the vectors' shuffle files
+    found = range_join(groups.select("id", "n", "embedding"), threshold)
     counts = found.where("v is null").groupBy("u").agg(F.sum("n").alias("others"))
     comp = components(found.where("v is not null").select("u", "v"), "range-cc")
     groups = (groups.select("key", "id", "least", "n").join(counts.withColumnRenamed("u", "id"), "id", "left")

@@ -6,8 +6,13 @@ the triangle inequality of angles two vectors are at least ``|angle(x, p) - angl
 any pair between them from below.
 
 ``near_blocks`` meets those ranges alone: blocks are grouped in pages of bounds, and a pair of pages is compared in numpy; matrices
-are not read. ``products`` then sends each matrix once to each tile (a small square of blocks) that has work for it. The number of tasks
-follows the number of tiles, and a task holds one tile.
+are not read. ``products`` then sends each matrix once to each tile (a square of neighbouring blocks) that has work for it. The number of tasks
+follows the number of tiles, and a task holds one side of a tile and a block of the other. Where the matrices that are sent would be more than the
+index has, the tiles are taken in turns, and each turn's shuffle files go before the next.
+
+Matrices are stored as the table has its vectors (floats or doubles). A product of two blocks is first one of floats in the leading directions of
+the sample, with what these leave out of a vector as its last entry: by Cauchy and Schwarz it is at least the cosine, so only the pairs that reach
+the threshold there are computed in doubles.
 
 Rows whose vector is null, empty, or holds null or non-finite entries are in no index. Vectors meet vectors of their own length only.
 """
@@ -21,21 +26,28 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import COSINE_EPS
-from ..session import scratch_path
+from ..session import free_disk, scratch_path
 
 BLOCK_BYTES = 4 << 20      # of a block's matrix (doubles)
 LEAST_ROWS = 256           # of a block where there are that many
 SPLITS = 16                # blocks a small table is cut into, so that its products are spread over tasks
 SORTED_AT_ONCE = 32 << 20  # bytes of vectors that one task sorts into blocks; above that, ranges of them are dealt to tasks
-TILE = 4                   # a tile is TILE x TILE blocks
+SIDE_BYTES = 32 << 20      # of stored matrices on a side of a tile
+LEAST_SIDE, SIDES = 1 << 20, 10    # an index of less than so many full sides is cut into so many, so that its tiles are spread over tasks
+TURN_BYTES = 384 << 20     # of matrices sent to tiles at a time, or as many as the indexes have if these are more
+TILED_BYTES = 1 << 20      # of a block's matrix (doubles) where blocks meet in tiles only: small rows take less memory on their way
+BATCH_BYTES = 4 << 20      # of an Arrow batch
 PAGE = 1024                # blocks whose bounds are compared at once
 SAMPLE, PIVOTS = 512, 32   # vectors the pivots are chosen from, pivots of one length
 GROUP_BYTES = 16 << 20     # of a row group of the stored blocks: a reader holds one whole, and a writer checks only every hundred rows unless told
 PRODUCT = 1 << 20          # cosines that a product has at once
+LEFT_OUT = 1e-3            # of the sample's squared lengths that its leading directions may leave out
+DENSE = 64                 # a product where more than one cosine of so many may reach the threshold is made in doubles at once
 SLACK = 1e-6               # of angles, far above rounding
 BLOCK_SCHEMA = "block long, dim int, n int, lo array<double>, hi array<double>, keys binary, mat binary"
 
@@ -46,8 +58,10 @@ class VectorIndex:
     blocks: DataFrame
     n_blocks: int
     n_rows: int
-    n_bytes: int               # of all matrices
+    n_bytes: int               # of all matrices (doubles)
     pivots: dict[int, np.ndarray]
+    axes: dict[int, np.ndarray]     # leading directions by length of the vectors, where few of them do
+    width: int                 # bytes of a stored number: 4 or 8
 
 
 # --------------------------------------------------------------------------
@@ -101,6 +115,23 @@ def choose_pivots(vectors: Sequence[Sequence[float]]) -> dict[int, np.ndarray]:
     return out
 
 
+def leading_axes(vectors: Sequence[Sequence[float]]) -> dict[int, np.ndarray]:
+    """Per length the fewest leading directions that leave LEFT_OUT of the sample out, if these are at most half of the length."""
+    by_dim: dict[int, list] = {}
+    for v in vectors:
+        x = np.array([np.nan if e is None else e for e in v], np.float64)
+        if np.isfinite(x).all() and x.any():
+            by_dim.setdefault(len(x), []).append(x)
+    out = {}
+    for d, some in by_dim.items():
+        _, s, axes = np.linalg.svd(units(np.array(some)), full_matrices=False)
+        rest = 1 - np.cumsum(s * s) / (s * s).sum()
+        m = int(np.argmax(rest <= LEFT_OUT)) + 1
+        if 2 * m <= d and 2 * m <= len(some):
+            out[d] = np.ascontiguousarray(axes[:m].T)
+    return out
+
+
 # --------------------------------------------------------------------------
 # Building
 # --------------------------------------------------------------------------
@@ -130,7 +161,7 @@ def _assign(pivots: dict[int, np.ndarray], schema: pa.Schema):
     return run
 
 
-def _pack(pivots: dict[int, np.ndarray], keys: list[str], order: list[str], block_rows: Callable[[int], int]):
+def _pack(pivots: dict[int, np.ndarray], keys: list[str], order: list[str], block_rows: Callable[[int], int], width: int):
     """Blocks of rows that follow one another (of one length; where a cell ends, a block does if it is half full)."""
     names = ["block", "dim", "n", "lo", "hi", "keys", "mat"]
 
@@ -143,7 +174,7 @@ def _pack(pivots: dict[int, np.ndarray], keys: list[str], order: list[str], bloc
         k = t.select(keys).to_batches()[0]
         return pa.RecordBatch.from_arrays(
             [pa.array([number]), pa.array([d], pa.int32()), pa.array([len(x)], pa.int32()), pa.array([a.min(axis=0)]), pa.array([a.max(axis=0)]),
-             pa.array([_ipc(k)], pa.binary()), pa.array([x.tobytes()], pa.binary())], names)
+             pa.array([_ipc(k)], pa.binary()), pa.array([x.astype(f"<f{width}").tobytes()], pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -175,40 +206,56 @@ def _pack(pivots: dict[int, np.ndarray], keys: list[str], order: list[str], bloc
 
 
 def build_index(df: DataFrame, vec_col: str, key_cols: Sequence[str], order_cols: Sequence[str] = (),
-                pivots: dict[int, np.ndarray] | None = None) -> VectorIndex:
+                pivots: dict[int, np.ndarray] | None = None, choose: Callable[[list, int], dict[int, np.ndarray]] | None = None,
+                sample: int = SAMPLE, most_rows: int | None = None, block_bytes: int = BLOCK_BYTES, stored: bool = False) -> VectorIndex:
     """Store ``df``'s vectors with their key columns; rows of a block are in the order of ``order_cols``.
 
-    An index that is to meet another is built with the other's ``pivots``.
+    An index that is to meet another is built with the other's ``pivots``; ``choose(vectors of the sample, rows)`` gives others than
+    ``choose_pivots``. ``block_bytes`` (doubles) and ``most_rows`` limit a block. A ``stored`` table is cheap to read and not written once more.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     spark, keys = df.sparkSession, list(key_cols)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     usable = df.where(F.col(vec_col).isNotNull() & (F.size(vec_col) > 0)).select(*keys, F.col(vec_col).alias("_v"))
-    seen = Observation()
-    path = scratch_path(spark, "vectors")
-    usable.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)      # the source is computed once
-    n = int(seen.get["n"])
-    base = spark.read.schema(usable.schema).parquet(path)
+    path = None
+    if stored:
+        base, n = usable, usable.count()
+    else:
+        seen = Observation()
+        path = scratch_path(spark, "vectors")
+        usable.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)      # the source is computed once
+        n = int(seen.get["n"])
+        base = spark.read.schema(usable.schema).parquet(path)
+    axes: dict[int, np.ndarray] = {}
     if pivots is None:
-        sample = base.select("_v", F.xxhash64(*keys, "_v").alias("_h")).orderBy("_h").limit(SAMPLE).select("_v").collect() if n else []
-        pivots = choose_pivots([r[0] for r in sample])
+        rows = base.select("_v", F.xxhash64(*keys, "_v").alias("_h")).orderBy("_h").limit(sample).select("_v").collect() if n else []
+        some = [r[0] for r in rows]
+        pivots, axes = choose(some, n) if choose else choose_pivots(some), leading_axes(some[:SAMPLE])
+    width = 4 if isinstance(usable.schema["_v"].dataType.elementType, T.FloatType) else 8
 
     def block_rows(dim: int) -> int:
-        return max(1, min(BLOCK_BYTES // (8 * dim), max(LEAST_ROWS, math.ceil(n / SPLITS))))
+        rows = max(1, min(block_bytes // (8 * dim), max(LEAST_ROWS, math.ceil(n / SPLITS))))
+        return min(rows, most_rows) if most_rows else rows
 
     schema = base.limit(0).withColumns({"_dim": F.lit(0), "_cell": F.lit(0), "_angle": F.lit(0.0)}).schema
     placed = base.mapInArrow(_assign(pivots, to_arrow_schema(schema)), schema)
     longest = max([d for d in pivots] or [1])
-    if n * longest * 8 <= SORTED_AT_ONCE:
+    small = n * longest * 8 <= SORTED_AT_ONCE
+    if small:
         placed = placed.coalesce(1)
     else:
         placed = placed.repartitionByRange("_dim", "_cell", "_angle", F.xxhash64(*keys))
     placed = placed.sortWithinPartitions("_dim", "_cell", "_angle")
     count, to = Observation(), scratch_path(spark, "vector-blocks")
-    (placed.mapInArrow(_pack(pivots, keys, list(order_cols), block_rows), BLOCK_SCHEMA)
+    (placed.mapInArrow(_pack(pivots, keys, list(order_cols), block_rows, width), BLOCK_SCHEMA)
      .observe(count, F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-              F.coalesce(F.sum(F.octet_length("mat").cast("long")), F.lit(0)).alias("bytes"))
+              F.coalesce(F.sum(F.col("n").cast("long") * F.col("dim") * 8), F.lit(0)).alias("bytes"))
      .write.options(**{"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}).parquet(to))
-    return VectorIndex(spark.read.schema(BLOCK_SCHEMA).parquet(to), int(count.get["blocks"]), int(count.get["rows"]), int(count.get["bytes"]), pivots)
+    if not small:
+        del usable, base, placed
+        free_disk(spark, *([path] if path else []))             # the blocks have all that is needed
+    return VectorIndex(spark.read.schema(BLOCK_SCHEMA).parquet(to), int(count.get["blocks"]), int(count.get["rows"]), int(count.get["bytes"]), pivots,
+                       axes, width)
 
 
 # --------------------------------------------------------------------------
@@ -291,7 +338,6 @@ def nearest_blocks(a: VectorIndex, b: VectorIndex, most: int) -> DataFrame:
                                                  ["a_block", "b_block", "far"])
 
     near = pages.select("a_blocks", "b_blocks").mapInArrow(run, "a_block long, b_block long, far double")
-    from pyspark.sql import Window
     w = Window.partitionBy("a_block").orderBy("far", "b_block")
     return near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select("a_block", "b_block", F.lit(-2.0).alias("floor"))
 
@@ -300,19 +346,27 @@ def nearest_blocks(a: VectorIndex, b: VectorIndex, most: int) -> DataFrame:
 # Products of the blocks that are left
 # --------------------------------------------------------------------------
 class Block:
-    """A block as a task holds it; ``norms`` have the epsilon of the cosine."""
-
-    def __init__(self, number: int, keys: pa.RecordBatch, x: np.ndarray):
-        self.number, self.keys, self.x = number, keys, x
-        self.norms = np.sqrt((x * x).sum(axis=1)) + COSINE_EPS
+    """A block as a task holds it; ``norms`` have the epsilon of the cosine, or are those given."""
+
+    def __init__(self, number: int, keys: pa.RecordBatch, x: np.ndarray, axes: np.ndarray | None = None, norms: np.ndarray | None = None):
+        self.number, self.keys, self.x, self.axes = number, keys, x, axes
+        if norms is None:
+            y = self.doubles
+            norms = np.sqrt((y * y).sum(axis=1)) + COSINE_EPS
+        self.norms = norms
         self._kinds: tuple[np.ndarray, np.ndarray] | None = None
         self._units: np.ndarray | None = None
+        self._low: np.ndarray | None = None
+
+    @property
+    def doubles(self) -> np.ndarray:
+        return self.x.astype(np.float64, copy=False)
 
     @property
     def kinds(self) -> tuple[np.ndarray, np.ndarray]:
         """(first row of each distinct vector, number of each row's vector): equal rows then have equal cosines to the last digit."""
         if self._kinds is None:
-            raw = np.ascontiguousarray(self.x).view(np.dtype((np.void, self.x.shape[1] * 8))).ravel()
+            raw = np.ascontiguousarray(self.x).view(np.dtype((np.void, self.x.shape[1] * self.x.itemsize))).ravel()
             _, first, number = np.unique(raw, return_index=True, return_inverse=True)
             self._kinds = first, number
         return self._kinds
@@ -325,6 +379,22 @@ class Block:
             self._units = self.x / self.norms[:, None]
         return self._units
 
+    @property
+    def low(self) -> np.ndarray:
+        """Floats whose products are, but for ``loose``, the cosines or more: unit vectors, or their part along the axes and the length of the rest."""
+        if self._low is None:
+            u = units(self.doubles)
+            if self.axes is not None:
+                part = u @ self.axes
+                u = np.column_stack([part, np.sqrt(np.maximum((u * u).sum(axis=1) - (part * part).sum(axis=1), 0.0))])
+            self._low = u.astype(np.float32)
+        return self._low
+
+
+def loose(dim: int) -> float:
+    """More than a product of floats of this length differs from that of the doubles (unit vectors)."""
+    return (dim + 16) * 2.0 ** -23
+
 
 def all_blocks(a: VectorIndex, b: VectorIndex) -> DataFrame:
     """(a_block, b_block, floor) of all blocks of one length (for a ``b`` of few blocks)."""
@@ -332,36 +402,61 @@ def all_blocks(a: VectorIndex, b: VectorIndex) -> DataFrame:
             .select("a_block", "b_block", F.lit(-2.0).alias("floor")))
 
 
+def _sides(index: VectorIndex, side_bytes: int, name: str) -> DataFrame:
+    """(``name``_block, side) of all blocks: blocks that follow one another share a side up to so many bytes. The driver sees a row per part of the index."""
+    blocks = index.blocks.select("block", F.shiftright("block", 32).alias("part"), (F.col("n").cast("long") * F.col("dim") * index.width).alias("bytes"))
+    start, starts = 0, []
+    for part, size in blocks.groupBy("part").agg(F.sum("bytes")).orderBy("part").collect():
+        starts.append((part, start))
+        start += size
+    table = index.blocks.sparkSession.createDataFrame(starts, "part long, start long")
+    w = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("start") + F.coalesce(F.sum("bytes").over(w), F.lit(0))
+    return (blocks.join(F.broadcast(table), "part")
+            .select(F.col("block").alias(f"{name}_block"), F.floor(before / side_bytes).cast("long").alias(f"t{name}")))
+
+
 def products(a: VectorIndex, b: VectorIndex, pairs: DataFrame, work: Callable[[Block, list[Block], float], Iterator[pa.RecordBatch]],
-             schema, by_left: bool = False) -> DataFrame:
+             schema, by_left: bool = False, block: Callable[..., Block] = Block) -> DataFrame:
     """``work(block of a, its blocks of b within a tile, floor)`` for the given pairs (a_block, b_block, floor).
 
-    Tiles are squares of TILE blocks a side that lie next to each other; with ``by_left`` a tile is one block of a and all its partners (for
-    pairs that are few per block).
+    Tiles are squares of blocks that lie next to each other, SIDE_BYTES a side; with ``by_left`` a tile is one block of a and all its partners
+    (for pairs that are few per block). What is sent at a time is no more than TURN_BYTES or the indexes' own size: if it is more in all, this
+    works in turns and its result is stored. ``block(number, keys, matrix, axes)`` makes what ``work`` gets.
     """
     spark = pairs.sparkSession
-    side = F.lit(0).cast("long") if by_left else F.floor(F.col("b_block") / TILE).cast("long")
-    own = F.col("a_block") if by_left else F.floor(F.col("a_block") / TILE).cast("long")
-    need = (pairs.select(own.alias("ta"), side.alias("tb"), "a_block", "b_block", "floor").groupBy("ta", "tb", "a_block")
+    stored = {0: a.n_bytes // 8 * a.width, 1: b.n_bytes // 8 * b.width}
+    turns, path = 1, scratch_path(spark, "tiles")
+    if by_left:
+        need = pairs.withColumns({"ta": F.col("a_block"), "tb": F.lit(0).cast("long")})
+        tiles = a.n_blocks
+    else:
+        side = min(SIDE_BYTES, max(LEAST_SIDE, math.ceil(max(stored.values()) / SIDES)))
+        need = pairs.join(_sides(a, side, "a"), "a_block").join(_sides(b, side, "b"), "b_block")
+    need = (need.select("ta", "tb", "a_block", "b_block", "floor").groupBy("ta", "tb", "a_block")
             .agg(F.collect_list("b_block").alias("wanted"), F.min("floor").alias("floor")))
-    n_lefts = a.n_blocks
     if not by_left:                             # how many tiles have work is known once the pairs are
-        path, count = scratch_path(spark, "tiles"), Observation()
-        need.observe(count, F.count(F.lit(1)).alias("n")).write.parquet(path)
-        need, n_lefts = spark.read.schema(need.schema).parquet(path), int(count.get["n"])
+        need.write.parquet(path)
+        need = spark.read.schema(need.schema).parquet(path)
+        tiles = need.select("ta", "tb").distinct().count()
+        turns = math.ceil(2 * side * tiles / max(TURN_BYTES, sum(stored.values()) // (2 if a is b else 1)))
     wide = ["block", "dim", "keys", "mat"]
-    left = need.select("ta", "tb", F.lit(0).alias("side"), F.col("a_block").alias("block"), "wanted", "floor")
-    right = (need.select("ta", "tb", F.lit(1).alias("side"), F.explode("wanted").alias("block")).distinct()
-             .withColumns({"wanted": F.lit(None).cast("array<long>"), "floor": F.lit(None).cast("double")}))
-    rows = left.join(a.blocks.select(*wide), "block").unionByName(right.join(b.blocks.select(*wide), "block"))
-    per = 1 if by_left else TILE
-    tiles = max(math.ceil(n_lefts / per), min(n_lefts, spark.sparkContext.defaultParallelism), 1)
-    rows = (rows.select("ta", "tb", "side", "block", "wanted", "floor", "dim", "keys", "mat")
-            .repartition(tiles, "ta", "tb").sortWithinPartitions("ta", "tb", F.col("side").desc(), "block"))
+    axes, widths = a.axes if a is b else {}, (a.width, b.width)
+
+    def rows_of(need: DataFrame, parts: int, few: bool) -> DataFrame:
+        left = need.select("ta", "tb", F.lit(0).alias("side"), F.col("a_block").alias("block"), "wanted", "floor")
+        right = (need.select("ta", "tb", F.lit(1).alias("side"), F.explode("wanted").alias("block")).distinct()
+                 .withColumns({"wanted": F.lit(None).cast("array<long>"), "floor": F.lit(None).cast("double")}))
+        if few:                                 # a turn's tiles are bounded: matrices are shuffled once, to their tiles
+            left, right = F.broadcast(left), F.broadcast(right)
+        rows = left.join(a.blocks.select(*wide), "block").unionByName(right.join(b.blocks.select(*wide), "block"))
+        return (rows.select("ta", "tb", "side", "block", "wanted", "floor", "dim", "keys", "mat")
+                .repartition(parts, "ta", "tb").sortWithinPartitions("ta", "tb", F.col("side").desc(), "block"))
 
     def opened(rb, i) -> Block:
-        x = np.frombuffer(rb.column(8)[i].as_buffer(), "<f8").reshape(-1, rb.column(6)[i].as_py()).copy()    # a view would keep the whole batch
-        return Block(rb.column(3)[i].as_py(), keys_of(rb.column(7)[i].as_buffer()), x)
+        dim = rb.column(6)[i].as_py()
+        x = np.frombuffer(rb.column(8)[i].as_buffer(), f"<f{widths[rb.column(2)[i].as_py()]}").reshape(-1, dim).copy()    # a view would keep the whole batch
+        return block(rb.column(3)[i].as_py(), keys_of(rb.column(7)[i].as_buffer()), x, axes.get(dim))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, right = None, {}
@@ -370,13 +465,26 @@ def products(a: VectorIndex, b: VectorIndex, pairs: DataFrame, work: Callable[[B
                 at = (rb.column(0)[i].as_py(), rb.column(1)[i].as_py())
                 if at != tile:
                     tile, right = at, {}
-                block = opened(rb, i)
+                one = opened(rb, i)
                 if rb.column(2)[i].as_py():             # the blocks of b come first
-                    right[block.number] = block
+                    right[one.number] = one
                 else:
-                    yield from work(block, [right[w] for w in sorted(rb.column(4)[i].as_py())], rb.column(5)[i].as_py())
+                    yield from work(one, [right[w] for w in sorted(rb.column(4)[i].as_py())], rb.column(5)[i].as_py())
+
+    def parts(tiles: int) -> int:               # few tiles are dealt to more tasks, so that each has one
+        return max(1, tiles if by_left else min(4 * tiles, max(tiles, 3 * spark.sparkContext.defaultParallelism)))
 
-    return rows.mapInArrow(run, schema)
+    if turns <= 1:
+        return rows_of(need, parts(tiles), not by_left).mapInArrow(run, schema)
+    out = []
+    for turn in range(turns):
+        mine = need.where(F.pmod(F.xxhash64("ta", "tb"), F.lit(turns)) == turn)
+        done = rows_of(mine, parts(math.ceil(tiles / turns)), True).mapInArrow(run, schema)
+        out.append(scratch_path(spark, "products"))
+        done.write.parquet(out[-1])
+        del mine, done
+        free_disk(spark)
+    return spark.read.schema(schema).parquet(*out)
 
 
 def single_cosines(a: Block, b: Block, r: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -385,15 +493,25 @@ def single_cosines(a: Block, b: Block, r: np.ndarray, c: np.ndarray) -> np.ndarr
     step = max(1, (1 << 21) // a.x.shape[1])
     for lo in range(0, len(r), step):
         i, j = r[lo:lo + step], c[lo:lo + step]
-        out[lo:lo + step] = (a.x[i] * b.x[j]).sum(axis=1) / (a.norms[i] * b.norms[j])
+        x, y = a.x[i].astype(np.float64, copy=False), b.x[j].astype(np.float64, copy=False)
+        out[lo:lo + step] = (x * y).sum(axis=1) / (a.norms[i] * b.norms[j])
     return out
 
 
 def pairs_above(a: Block, b: Block, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows of a, rows of b, cosines) of the pairs that reach the threshold, for a bounded number of rows of a at once."""
     step = max(16, PRODUCT // max(1, len(b.x)))
+    least = np.float32(threshold - loose(a.x.shape[1]))
     for lo in range(0, len(a.x), step):
-        sim = (a.x[lo:lo + step] @ b.x.T) / np.outer(a.norms[lo:lo + step], b.norms)
+        if threshold > 0:                       # the epsilon only makes a positive cosine less
+            r, c = np.nonzero(a.low[lo:lo + step] @ b.low.T >= least)
+            if len(r) * DENSE <= len(b.x) * min(step, len(a.x) - lo):
+                s = single_cosines(a, b, r + lo, c)
+                ok = s >= threshold
+                if ok.any():
+                    yield r[ok] + lo, c[ok], s[ok]
+                continue
+        sim = (a.doubles[lo:lo + step] @ b.doubles.T) / np.outer(a.norms[lo:lo + step], b.norms)
         r, c = np.nonzero(sim >= threshold - 1e-12)
         s = sim[r, c]
         close = np.abs(s - threshold) <= 1e-12

@@ -9,8 +9,10 @@ is created only when that setting is unset, which happens in tests.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -124,6 +126,20 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def free_disk(spark: SparkSession, *folders: str) -> None:
+    """Delete written tables that no later step reads, and have Spark's cleaner delete the shuffle files of jobs whose plans are out of reach.
+
+    For jobs of several rounds: else shuffle files stay until the driver happens to collect its garbage.
+    """
+    jvm = spark.sparkContext._jvm
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    time.sleep(0.5)                             # the listeners let go of a job's plan a moment after its end
+    jvm.System.gc()
+
+
 def clean_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; call it when no DataFrame built on them is needed any more."""
     base = os.path.join(ensure_checkpoint_dir(spark), "sparkmem")
