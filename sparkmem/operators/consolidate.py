@@ -201,7 +201,7 @@ def block_pairs(df: DataFrame, threshold: float, scope_col: str | None = None, l
     base = df.select("id", F.col("seq").cast("long").alias("seq"), *([scope_col] if scope_col else []), F.col("embedding").alias("_emb"))
     if scope_col:
         base = base.withColumn(scope_col, F.xxhash64(scope_col))
-    index = V.build_index(base, "_emb", keys, ["seq"])
+    index = V.build_index(base, "_emb", keys, ["seq"], block_bytes=V.TILED_BYTES)
     reach = math.acos(min(1.0, threshold)) if threshold > 0 else math.pi
     id_type = df.schema["id"].dataType
     schema = T.StructType([T.StructField("id_a", id_type), T.StructField("id_b", id_type), T.StructField("sim", T.DoubleType())])
